@@ -81,12 +81,17 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES):
         at = to
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Bytes between words for models of wording: ASCII that is neither letter nor digit.
+SYMBOL = np.ones(256, dtype=bool)
+SYMBOL[48:58] = SYMBOL[65:91] = SYMBOL[97:123] = SYMBOL[128:] = False
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and the index of each document's first word (one more at the end)."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    word = ~SPACE[data]
+    word = ~between[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
     before = np.empty(n, dtype=bool)
@@ -103,8 +108,8 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 class Words:
     """Hashes of the words of a packed chunk."""
 
-    def __init__(self, fold=LOWER) -> None:
-        self.powers, self.fold = Powers(), fold
+    def __init__(self, fold=LOWER, between=SPACE) -> None:
+        self.powers, self.fold, self.between = Powers(), fold, between
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
         up, _ = self.powers(len(data) + 1)
@@ -119,7 +124,7 @@ class Words:
     def __call__(self, data: np.ndarray, offsets: np.ndarray):
         """(word hashes, first word of each document)."""
         data = self.fold[data]
-        starts, ends, first = word_spans(data, offsets)
+        starts, ends, first = word_spans(data, offsets, self.between)
         return self.span_hash(self.prefix(data), starts, ends), first
 
 
@@ -146,3 +151,10 @@ def shingle_sets(batch_column, words: Words | None = None, k: int = SHINGLE):
         hashes, first = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         for row in range(a, b):
             yield row, np.unique(shingle_hashes(hashes[first[row - a] : first[row - a + 1]], k))
+
+
+def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sum of each document's values; first: the index of each document's first value, one more at the end."""
+    total = np.zeros(len(values) + 1)
+    np.cumsum(values, out=total[1:])
+    return total[first[1:]] - total[first[:-1]]
