@@ -137,14 +137,20 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both) and both > 0
 
 
-def _documents(percent: int, k: int):
+#: Rows of documents, and of parts of the frequency sketch.
+SCANNED = "id long, n long, cls long, sketch binary, cell int, counts binary"
+SCANNED_NAMES = ["id", "n", "cls", "sketch", "cell", "counts"]
+
+
+def _documents(k: int):
     def scan(batches):
         words, cells = K.Words(), np.zeros(CELLS, dtype=np.uint32)
         for batch in batches:
             n, names = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            gathered, held = [], 0
+            gathered, held, sketches = [], 0, []
             for row, s in K.shingle_sets(batch.column(1), words, k):
                 n[row], names[row] = len(s), class_of(s)
+                sketches.append(sketch_of(s))
                 gathered.append(s)
                 held += len(s)
                 if held > 1 << 20:
@@ -153,10 +159,10 @@ def _documents(percent: int, k: int):
             if gathered:
                 cells += np.bincount((np.concatenate(gathered) >> U(40)).astype(np.int64) % CELLS, minlength=CELLS).astype(np.uint32)
             m = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n), pa.array(names), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=["id", "n", "cls", "cell", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n), pa.array(names), pa.array(sketches, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=SCANNED_NAMES)
         if cells.any():
             parts = cells.reshape(8, -1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(8, pa.int64()), pa.nulls(8, pa.int64()), pa.nulls(8, pa.int64()), pa.array(range(8), pa.int32()), pa.array([pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in parts], pa.binary())], names=["id", "n", "cls", "cell", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(8, pa.int64()), pa.nulls(8, pa.int64()), pa.nulls(8, pa.int64()), pa.nulls(8, pa.binary()), pa.array(range(8), pa.int32()), pa.array([pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in parts], pa.binary())], names=SCANNED_NAMES)
 
     return scan
 
@@ -296,7 +302,7 @@ def _sets(k: int, bits: np.ndarray):
                 if not len(s) or (c := class_of(s)) in seen or not bit[_filter_at(np.array([c]))[0]]:
                     continue
                 seen.add(c)
-                rows.append((c, len(s), sketch_of(s), s.tobytes()))
+                rows.append((c, s.tobytes()))
                 if len(rows) == 512:
                     yield _set_rows(rows)
                     rows = []
@@ -306,12 +312,9 @@ def _sets(k: int, bits: np.ndarray):
     return scan
 
 
-SETS = "cls long, n long, sketch binary, shingles binary"
-
-
 def _set_rows(rows):
-    c, n, s, b = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.binary()), pa.array(b, pa.binary())], names=["cls", "n", "sketch", "shingles"])
+    c, b = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(b, pa.binary())], names=["cls", "shingles"])
 
 
 def _near_sketches(percent: int):
@@ -388,25 +391,25 @@ def _tile(percent: int):
     return compare
 
 
-def links(docs: DataFrame, text: str = "text", percent: int = 80, k: int = K.SHINGLE, cells: DataFrame | None = None) -> DataFrame:
+def links(docs: DataFrame, scanned: DataFrame, text: str = "text", percent: int = 80, k: int = K.SHINGLE) -> DataFrame:
     """Links ``(a, b)`` between classes of equal sets that connect whatever all links connect."""
     texts = docs.select(F.col(text).cast("string"))
-    hot = frequent_cells(cells) if cells is not None else np.zeros(CELLS, bool)
+    hot = frequent_cells(scanned.where("cell is not null").select("cell", "counts"))
     keys = texts.mapInArrow(_keys(percent, k, hot), "key long, cls long")
-    spark = docs.sparkSession
-    found = keys.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_runs, "a long, b long, hot boolean").distinct()
-    found = cut(found)
+    found = cut(keys.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_runs, "a long, b long, hot boolean").distinct())
     pairs, crowds = found.where("not hot").select("a", "b"), found.where("hot and a <> b").select("a", "b")
-    wanted = found.select(F.explode(F.array("a", "b")))
-    classes = cut(texts.mapInArrow(_sets(k, _filter_bits(wanted)), SETS).dropDuplicates(["cls"]))
-    side = lambda s, *c: classes.select(F.col("cls").alias(s), *[F.col(x).alias(f"{x}_{s}") for x in c])
-    near = (
-        pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b")
+    sketched = scanned.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    side = lambda of, s, *c: of.select(F.col("cls").alias(s), *[F.col(x).alias(f"{x}_{s}") for x in c])
+    # sets are fetched only for what the sketches leave
+    near = cut(
+        pairs.join(side(sketched, "a", "n", "sketch"), "a").join(side(sketched, "b", "n", "sketch"), "b")
         .select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
         .mapInArrow(_near_sketches(percent), "a long, b long")
     )
+    wanted = near.unionAll(crowds).select(F.explode(F.array("a", "b")))
+    sets = cut(texts.mapInArrow(_sets(k, _filter_bits(wanted)), "cls long, shingles binary").dropDuplicates(["cls"]))
     checked = (
-        near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
+        near.join(side(sets, "a", "shingles"), "a").join(side(sets, "b", "shingles"), "b")
         .select("a", "b", "shingles_a", "shingles_b")
         .mapInArrow(_verify(percent), "a long, b long")
     )
@@ -420,15 +423,15 @@ def links(docs: DataFrame, text: str = "text", percent: int = 80, k: int = K.SHI
     tiles = dealt.select("component", "cls", "block", other).select(
         "component", "cls", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("side")
     )
-    tiled = tiles.join(classes, "cls").groupBy("component", "i", "j").applyInArrow(_tile(percent), "a long, b long")
+    tiled = tiles.join(sets, "cls").join(sketched, "cls").groupBy("component", "i", "j").applyInArrow(_tile(percent), "a long, b long")
     return checked.unionAll(tiled)
 
 
 def jaccard_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80, k: int = K.SHINGLE) -> DataFrame:
     """``(id, n_shingles, component_id)`` for every row of docs."""
-    rows = cut(docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(_documents(percent, k), "id long, n long, cls long, cell int, counts binary"))
+    rows = cut(docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(_documents(k), SCANNED))
     found = rows.where("n is not null").select("id", "n", "cls")
-    joined = components(links(docs, text, percent, k, rows.where("cell is not null").select("cell", "counts")), "a", "b")
+    joined = components(links(docs, rows, text, percent, k), "a", "b")
     full, least = found.where("n > 0"), F.min("id").alias("least")
     classes = full.groupBy("cls").agg(least).join(joined, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("component", "cls").alias("component"))
     classes = cut(classes)
