@@ -1,11 +1,63 @@
-"""Training-corpus pipeline over ``documents``: stages run in order, each written and read again."""
+"""Training-corpus pipeline over ``documents``: stages run in order, each written and read again.
 
-STAGES: list = []
+Every stage takes ``(spark, docs, sf_dir)`` and keeps the columns of documents; the
+last adds token columns. A document that loses its last line to line dedup
+goes with it; one that had no line with content stays. Of a group of
+near-duplicates the document with the smallest id stays.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenframe.llm import bpe, decontamination, jaccard_join, line_dedup, toxicity
+from lumenframe.llm.queries import table, vocabulary
+from lumenframe.llm.session import cut, ensure_checkpoint_dir
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, keep=docs.columns).where("not rejected").select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(docs, counts=("__lines", "__gone")).where("__lines = 0 or __gone < __lines")
+    return done.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    later = cut(jaccard_join.jaccard_groups(docs).where("doc_id <> component_id").select("doc_id"))
+    few = later.count() <= decontamination.BROADCAST_ROWS
+    return docs.join(F.broadcast(later) if few else later, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    done = bpe.encode_documents(docs, vocabulary(), keep=docs.columns)
+    return done.select(*docs.columns, "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", dedup_lines),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("bpe", tokenize),
+]
+
+#: Regression, edit joins, components and BPE have no SQL form; tests hold the run against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{spark.sparkContext.applicationId}-{spark._jvm.java.util.UUID.randomUUID()}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

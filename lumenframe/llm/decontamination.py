@@ -77,21 +77,18 @@ class Lanes:
         kept = bits.bitwiseAND(_long(self.pick)) + _long(self.below)
         return F.shiftrightunsigned(kept, self.width - 1).bitwiseAND(_long(self.one))
 
-    def fingerprint(self, shingles: Column) -> Column:
-        """SimHash of an array of shingle hashes, equal ones counted as often as they stand."""
-        names = [f"c{i}" for i in range(self.width)]
-        zero = F.struct(F.lit(0).alias("n"), *[F.lit(0).cast("long").alias(x) for x in names])
-        count = lambda c, h: F.struct((c["n"] + 1).alias("n"), *[(c[x] + self.spread(h, i)).alias(x) for i, x in enumerate(names)])
+    def counts(self, hash: Column) -> list[Column]:
+        """Sums over shingle hashes, equal ones counted as often as they stand."""
+        return [F.count("*").alias("shingles"), *[F.sum(self.spread(hash, i)).alias(f"c{i}") for i in range(self.width)]]
 
-        def majority(c: Column) -> Column:
-            out = F.lit(0).cast("long")
-            for i, x in enumerate(names):
-                for lane in range(self.lanes):
-                    often = F.shiftrightunsigned(c[x], self.width * lane).bitwiseAND(_long((1 << self.width) - 1))
-                    out = out.bitwiseOR(F.when(often * 2 > c["n"], _long(1 << (self.lanes * i + lane))).otherwise(F.lit(0).cast("long")))
-            return out
-
-        return F.aggregate(shingles, zero, count, majority)
+    def fingerprint(self) -> Column:
+        """SimHash, from the columns of ``counts``."""
+        out = F.lit(0).cast("long")
+        for i in range(self.width):
+            for lane in range(self.lanes):
+                often = F.shiftrightunsigned(F.col(f"c{i}"), self.width * lane).bitwiseAND(_long((1 << self.width) - 1))
+                out = out.bitwiseOR(F.when(often * 2 > F.col("shingles"), _long(1 << (self.lanes * i + lane))).otherwise(F.lit(0).cast("long")))
+        return out
 
 
 def blocks_of(fingerprint: Column, radius: int = RADIUS) -> Column:
@@ -123,15 +120,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str
     shape = items.agg(F.collect_set("k").alias("k"), F.max(F.size("of_item")).alias("most"), F.sum(F.size("of_item")).alias("rows")).first()
     lanes = Lanes(shape.most or 0)
     small = (shape.rows or 0) <= BROADCAST_ROWS
-    coded = items.withColumn("item_print", lanes.fingerprint(F.col("of_item")))
+    prints = items.select("item", "n", F.explode("of_item").alias("shingle")).groupBy("item", "n").agg(*lanes.counts(F.col("shingle"))).select("item", "n", lanes.fingerprint().alias("item_print"))
+    offered = prints.select("item", "n", "item_print", F.explode(blocks_of(F.col("item_print"), radius)).alias("block"))
     known = items.select(F.explode("of_item").alias("shingle"), "n", "k").distinct().groupBy("shingle").agg(F.collect_set(F.struct("n", "k")).alias("sizes"))
 
     named = docs.select(F.col(id).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text")).where("text is not null")
+    # words are a column of their own: inside a lambda their expression would be evaluated again and again
+    worded = named.select("id", "th", words_of(F.col("text")).alias("words"))
     if shape.k == [SHINGLE]:
-        placed = named.select("id", "th", F.posexplode(shingles_of(words_of(F.col("text")), SHINGLE)).alias("pos", "shingle")).withColumn("of", F.lit(SHINGLE))
+        placed = worded.select("id", "th", F.posexplode(shingles_of(F.col("words"), SHINGLE)).alias("pos", "shingle")).withColumn("of", F.lit(SHINGLE))
     elif shape.k:
-        every = F.flatten(F.array(*[placed_shingles(words_of(F.col("text")), j) for j in sorted(shape.k)]))
-        placed = named.select("id", "th", F.explode(every).alias("x")).select("id", "th", "x.pos", "x.shingle", "x.of")
+        every = F.flatten(F.array(*[placed_shingles(F.col("words"), j) for j in sorted(shape.k)]))
+        placed = worded.select("id", "th", F.explode(every).alias("x")).select("id", "th", "x.pos", "x.shingle", "x.of")
     else:
         placed = named.select("id", "th", F.lit(0).alias("pos"), F.lit(0).cast("long").alias("shingle"), F.lit(0).alias("of")).where("false")
     hits = placed.join(F.broadcast(known) if small else known, "shingle").select("id", "th", "pos", F.explode("sizes").alias("x")).where("x.k = of").select("id", "th", "pos", "x.n", "x.k")
@@ -146,19 +146,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str
     last = F.greatest(F.lit(0), F.size("words") - F.col("n"))
     around = F.transform("pos", lambda p: F.sequence(F.greatest(F.lit(0), p - (F.col("n") - F.col("k"))), F.greatest(F.lit(0), F.least(p, last))))
     starts = F.array_distinct(F.flatten(F.filter(around, lambda x: F.size(x) > 0)))
-    windows = (
-        near.select("id", "n", "k", of_doc.alias("of_doc"), last.alias("last"), starts.alias("starts"))
-        .select("id", "n", "k", "of_doc", F.explode(F.filter("starts", lambda s: s <= F.col("last"))).alias("start"))
-        .select("id", "n", "start", F.slice("of_doc", F.col("start") + 1, F.col("n") - F.col("k") + 1).alias("of_window"))
-        .distinct()
-        .withColumn("print", lanes.fingerprint(F.col("of_window")))
-    )
-    asked = windows.withColumn("block", F.explode(blocks_of(F.col("print"), radius)))
-    offered = coded.select("item", "n", "of_item", "item_print", F.explode(blocks_of(F.col("item_print"), radius)).alias("block"))
+    near = cut(near.select(F.monotonically_increasing_id().alias("row"), "id", "n", "k", of_doc.alias("of_doc"), F.filter(starts, lambda x: x <= last).alias("starts")))
+    of_window = F.slice("of_doc", F.col("start") + 1, F.col("n") - F.col("k") + 1)
+    windows = near.select("row", "n", "k", "of_doc", F.explode("starts").alias("start")).select("row", "n", "start", F.explode(of_window).alias("shingle"))
+    prints = windows.groupBy("row", "n", "start").agg(*lanes.counts(F.col("shingle"))).select("row", "n", "start", lanes.fingerprint().alias("print"))
+    asked = prints.withColumn("block", F.explode(blocks_of(F.col("print"), radius)))
     close = asked.join(F.broadcast(offered) if small else offered, ["n", "block"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
-    # a pair that agrees in several blocks is judged by the first of them
-    first = F.array_position(F.zip_with(blocks_of(F.col("print"), radius), blocks_of(F.col("item_print"), radius), lambda a, b: a == b), True)
-    judged = close.where(F.element_at(blocks_of(F.col("print"), radius), first.cast("int")) == F.col("block")).select("id", "item", "n", "start", similarity(F.col("of_window"), F.col("of_item")).alias("similarity"))
+    pairs = close.select("row", "start", "item").distinct()
+    whole = items.select("item", F.col("n").alias("item_n"), "of_item")
+    judged = (
+        pairs.join(near, "row").join(F.broadcast(whole) if small else whole, "item").where("item_n = n")
+        .select("id", "item", "n", "start", similarity(of_window, F.col("of_item")).alias("similarity"))
+    )
     best = judged.where(F.col("similarity") >= similar).groupBy("id", "item").agg(F.max_by(F.struct("similarity", "start", "n"), F.struct("similarity", -F.col("start"))).alias("best"))
     return best.select(F.col("id").alias(id), F.col("item").alias(item), "best.similarity", "best.start", F.col("best.n").alias("size"))
 
