@@ -21,7 +21,8 @@ documents; null texts are empty.
   decides for every region that holds it.
 
 Null ids come after all others and remove nothing from each other. Rows with
-equal ids never remove from one another. Texts of any length are taken whole.
+equal ids never remove from one another; their texts are told apart by TAG_BITS
+bits of their hashes. Texts of any length are taken whole.
 Only the two named columns are read. An empty table gives an empty result.
 """
 
@@ -167,7 +168,9 @@ def _bits(bits: int):
     return scan
 
 
-REGION = "key long, id long, th long, start long, lead int, last int, bytes binary"
+#: place packs the text's tag, the anchor's place in the text, and how far the first and the last string begin before it.
+REGION = "key long, id long, place long, sides binary"
+TAG_BITS, STEP_BITS = 22, 5
 
 
 def _regions(table, bits: int):
@@ -184,11 +187,11 @@ def _regions(table, bits: int):
                 document, first, last, anchor, hashes = (x[take] for x in (document, first, last, anchor, hashes))
                 who = pa.array(document + row)
                 text = part.tobytes()
-                blobs = [text[s : e + LENGTH] for s, e in zip(first.tolist(), last.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes.view(np.int64)), batch.column(0).take(who), batch.column(1).take(who), pa.array(first - rows[document] + place), pa.array((anchor - first).astype(np.int32)), pa.array((anchor - last).astype(np.int32)), pa.array(blobs, pa.binary())],
-                    names=["key", "id", "th", "start", "lead", "last", "bytes"],
-                )
+                # the anchor itself is known by its hash
+                blobs = [text[s:m] + text[m + GRAM : e + LENGTH] for s, m, e in zip(first.tolist(), anchor.tolist(), last.tolist(), strict=True)]
+                packed = (batch.column(1).take(who).to_numpy() << 31) + anchor - rows[document] + place
+                packed = (packed << STEP_BITS | (anchor - first)) << STEP_BITS | (anchor - last)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column(0).take(who), pa.array(packed), pa.array(blobs, pa.binary())], names=["key", "id", "place", "sides"])
 
     return scan
 
@@ -212,8 +215,10 @@ def agreement(key: np.ndarray, side: np.ndarray, size: np.ndarray) -> np.ndarray
 class Regions:
     """Rows of whole anchors, as arrays."""
 
-    def __init__(self, key, id, th, start, lead, last, blobs) -> None:
-        self.key, self.id, self.th, self.start, self.lead, self.last = key, id, th, start, lead.astype(np.int64), last.astype(np.int64)
+    def __init__(self, key, id, place, blobs) -> None:
+        step = (1 << STEP_BITS) - 1
+        self.key, self.id, self.last, self.lead = key, id, place & step, place >> STEP_BITS & step
+        self.anchor, self.tag = place >> 2 * STEP_BITS & (1 << 31) - 1, place >> (2 * STEP_BITS + 31)
         self.size = np.array([len(x) for x in blobs], np.int64)
         self.flat = np.frombuffer(b"".join(blobs), np.uint8)
         self.begin = np.cumsum(self.size) - self.size
@@ -222,12 +227,12 @@ class Regions:
     def side(self, left: bool) -> tuple[np.ndarray, np.ndarray]:
         far = self.lead if left else SIDES - self.last
         step = np.arange(SIDES)[None, :]
-        at = (self.begin + self.lead)[:, None] + (-1 - step if left else GRAM + step)
+        at = (self.begin + self.lead)[:, None] + (-1 - step if left else step)
         inside = step < far[:, None]
-        return np.where(inside, self.flat[np.clip(at, 0, len(self.flat) - 1)], 0).astype(np.uint8), far
+        return np.where(inside, self.flat[np.clip(at, 0, max(0, len(self.flat) - 1))], 0).astype(np.uint8) if len(self.flat) else np.zeros((len(self.key), SIDES), np.uint8), far
 
     def spans(self, words: K.Words, new: np.ndarray):
-        """(id, th, start, end) of what the rows marked as new lose."""
+        """(id, tag, start, end) of what the rows marked as new lose."""
         empty = tuple(np.zeros(0, np.int64) for _ in range(4))
         if len(self.key) < 2:
             return empty
@@ -237,8 +242,8 @@ class Regions:
         if not len(keep):
             return empty
         high, low, key, id = high[keep], low[keep], self.key[keep], self.id[keep]
-        lo = self.begin[keep] + self.lead[keep] - high
-        hi = self.begin[keep] + self.lead[keep] + LENGTH - low
+        middle = self.begin[keep] + self.lead[keep]
+        lo, hi = middle - high, middle + SIDES - low
         content = words.span_hash(words.prefix(self.flat), lo, hi) ^ K.mix((high << 8 | low).astype(U))
         order = np.lexsort((id, content, key))
         k, c = key[order], content[order]
@@ -258,7 +263,7 @@ class Regions:
         owner = np.repeat(least, windows)
         for some in _batches(np.flatnonzero(~alone), group, (hi - lo)[sample]):
             at_array = np.concatenate([np.arange(edge[i], edge[i + 1]) for i in some])
-            owner[at_array] = owners([self.flat[lo[sample[i]] : hi[sample[i]]] for i in some], least[some])
+            owner[at_array] = owners([(group[i], self.flat[lo[sample[i]] : middle[sample[i]]], self.flat[middle[sample[i]] : hi[sample[i]]]) for i in some], least[some])
         mine = np.flatnonzero(new[keep])
         count = (high - low + 1)[mine]
         row = np.repeat(mine, count)
@@ -272,8 +277,8 @@ class Regions:
         a = np.flatnonzero(begins)
         b = np.append(a[1:], len(row)) - 1
         source = keep[row[a]]
-        base = self.start[source] + self.lead[source] - high[row[a]]
-        return self.id[source], self.th[source], base + step[a], base + step[b] + LENGTH
+        base = self.anchor[source] - high[row[a]]
+        return self.id[source], self.tag[source], base + step[a], base + step[b] + LENGTH
 
     def contents(self) -> np.ndarray:
         """A row for each distinct region of an anchor, the one with the smallest id."""
@@ -297,17 +302,26 @@ def _batches(contents: np.ndarray, group: np.ndarray, size: np.ndarray):
         yield np.array(some)
 
 
-def owners(contents: list[np.ndarray], least: np.ndarray) -> np.ndarray:
-    """Smallest id of each string of LENGTH bytes of the contents, content by content."""
-    gap = np.array([1], np.uint16)
-    codes = np.concatenate([y for x in contents for y in (x.astype(np.uint16) + np.uint16(2), gap)] + [np.zeros(1, np.uint16)])
-    order = suffix_array(codes.tolist())
-    size = np.array([len(x) for x in contents])
+def owners(contents: list[tuple[int, np.ndarray, np.ndarray]], least: np.ndarray) -> np.ndarray:
+    """Smallest id of each string of the contents (anchor, bytes before, bytes after), content by content.
+
+    An anchor is one symbol above the bytes; a string is that and SIDES bytes around it.
+    """
+    symbol: dict[int, int] = {}
+    codes: list[int] = []
+    for anchor, before, after in contents:
+        codes += (before.astype(np.int64) + 2).tolist()
+        codes.append(symbol.setdefault(anchor, 258 + len(symbol)))
+        codes += (after.astype(np.int64) + 2).tolist()
+        codes.append(1)
+    codes.append(0)
+    order = suffix_array(codes)
+    size = np.array([len(x) + len(y) + 1 for _, x, y in contents])
     begin = np.cumsum(size + 1) - size - 1
     content = np.searchsorted(begin, order, side="right") - 1
-    whole = order - begin[content] <= size[content] - LENGTH
+    whole = order - begin[content] < size[content] - SIDES
     order, content = order[whole], content[whole]
-    text = codes[order[:, None] + np.arange(LENGTH)[None, :]]
+    text = np.array(codes, np.int32)[order[:, None] + np.arange(SIDES + 1)[None, :]]
     new = np.ones(len(order), bool)
     new[1:] = (text[1:] != text[:-1]).any(axis=1)
     smallest = np.minimum.reduceat(least[content], np.flatnonzero(new))[np.cumsum(new) - 1]
@@ -319,10 +333,10 @@ def _judge(batches):
     words, held, carried = K.Words(), None, 0
 
     def read(batch):
-        return [batch.column(i).to_numpy() for i in range(6)] + [batch.column(6).to_pylist()]
+        return [batch.column(i).to_numpy() for i in range(3)] + [batch.column(3).to_pylist()]
 
     def join(a, b):
-        return [np.concatenate((x, y)) for x, y in zip(a[:6], b[:6], strict=True)] + [a[6] + b[6]]
+        return [np.concatenate((x, y)) for x, y in zip(a[:3], b[:3], strict=True)] + [a[3] + b[3]]
 
     def part(x, s):
         return [y[s] for y in x]
@@ -332,7 +346,7 @@ def _judge(batches):
         new[:carried] = False
         regions = Regions(*rows)
         out = regions.spans(words, new)
-        return regions, pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["id", "th", "a", "b"])
+        return regions, pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["id", "tag", "a", "b"])
 
     for batch in batches:
         for at in range(0, batch.num_rows, 1 << 15):
@@ -348,20 +362,29 @@ def _judge(batches):
                 regions, out = judged(held, carried)
                 yield out
                 keep = regions.contents()
-                held = [x[keep] for x in held[:6]] + [[held[6][i] for i in keep]]
+                held = [x[keep] for x in held[:3]] + [[held[3][i] for i in keep]]
                 carried = len(keep)
     if held is not None and len(held[0]):
         yield judged(held, carried)[1]
 
 
+def _squeezed(batches):
+    """The last column, texts, as compressed bytes and their number."""
+    codec = pa.Codec("zstd", compression_level=3)
+    for batch in batches:
+        data, offsets = K.packed(batch.column(batch.num_columns - 1))
+        text = [codec.compress(data[a:b].tobytes(), asbytes=True) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.diff(offsets)), pa.array(text, pa.binary())], names=[*batch.schema.names[:-1], "n", "body"])
+
+
 def _cut_out(batches):
     """Kept bytes and removed spans of each text."""
     for batch in batches:
-        data, offsets = K.packed(batch.column(1))
+        size, bodies = batch.column(1).to_pylist(), batch.column(5).to_pylist()
         whole, starts, ends = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()
         kept, spans = [], []
         for i in range(batch.num_rows):
-            text = data[offsets[i] : offsets[i + 1]]
+            text = np.frombuffer(pa.decompress(bodies[i], size[i], codec="zstd"), np.uint8)
             if whole[i] and len(text) >= LENGTH:
                 kept.append(b"")
                 spans.append([{"start": 0, "end": len(text)}])
@@ -378,7 +401,7 @@ def _cut_out(batches):
             spans.append([{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)])
             kept.append(text[~gone].tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(np.diff(offsets)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
+            [batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
             names=["id", "n_bytes", "spans", "kept"],
         )
 
@@ -387,7 +410,8 @@ def dedup_strings(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     """``(id, n_bytes, spans, kept)`` for every row: removed byte spans and the remaining bytes."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    named = docs.select(F.col(id).cast("long").alias("given"), F.coalesce(F.col(id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(body).alias("th"), F.md5(body).alias("md5"), body.alias("text"))
+    tag = F.shiftrightunsigned(F.xxhash64(body), 64 - TAG_BITS)
+    named = docs.select(F.col(id).cast("long").alias("given"), F.coalesce(F.col(id).cast("long"), F.lit(LAST_ID)).alias("id"), tag.alias("tag"), F.md5(body).alias("md5"), body.alias("text"))
     copies = cut(named.groupBy("md5").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("md5", "least"))
     few = copies.count() <= BROADCAST_TEXTS
     told = named.join(F.broadcast(copies) if few else copies, "md5", "left").withColumn("copy", F.coalesce(F.col("id") > F.col("least"), F.lit(False)))
@@ -396,12 +420,13 @@ def dedup_strings(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     asked = first.select("text").mapInArrow(_ask(shards), "shard int, n long, keys binary, many binary")
     shared = cut(asked.groupBy("shard").applyInArrow(_settle, SHARED))
     found = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits = min(MOST_BITS, max(16, int(found * 16).bit_length()))
+    bits = min(MOST_BITS, max(16, int(found * 32).bit_length()))
     table = np.zeros(1 << bits >> 3, np.uint8)
     for r in shared.mapInArrow(_bits(bits), "low long, size long, part binary").toLocalIterator():
         table[r.low : r.low + r.size] |= np.frombuffer(pa.decompress(r.part, r.size, codec="zstd"), np.uint8)
-    regions = first.select("id", "th", "text").mapInArrow(_regions(spark.sparkContext.broadcast(table), bits), REGION)
-    spans = regions.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_judge, "id long, th long, a long, b long")
-    gone = spans.groupBy("id", "th").agg(F.collect_list("a").alias("starts"), F.collect_list("b").alias("ends"))
-    out = told.join(gone, ["id", "th"], "left").select(F.col("given").alias("id"), "text", "copy", "starts", "ends")
+    regions = first.select("id", "tag", "text").mapInArrow(_regions(spark.sparkContext.broadcast(table), bits), REGION)
+    spans = regions.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_judge, "id long, tag long, a long, b long")
+    gone = spans.groupBy("id", "tag").agg(F.collect_list("a").alias("starts"), F.collect_list("b").alias("ends"))
+    bodies = told.select("given", "id", "tag", "copy", "text").mapInArrow(_squeezed, "given long, id long, tag long, copy boolean, n long, body binary")
+    out = bodies.join(gone, ["id", "tag"], "left").select(F.col("given").alias("id"), "n", "copy", "starts", "ends", "body")
     return out.mapInArrow(_cut_out, "id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary").withColumnRenamed("id", id)
