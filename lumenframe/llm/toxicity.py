@@ -67,7 +67,7 @@ class Model:
 
     def severity(self, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(expected severity, probability of grade 1 or more)."""
-        above = 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -500, 500)))
+        above = 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -500, 500))) * np.isfinite(self.thresholds)
         return above.sum(axis=1), above[:, 0]
 
 
@@ -84,7 +84,7 @@ def fit(toxic: np.ndarray, found: list[np.ndarray], often: list[np.ndarray], rou
     kept = (np.abs(z) >= SCREEN) & (in_toxic + in_other >= 3)
     weights = np.zeros(size)
     if not toxic.any() or not kept.any():
-        return Model(weights, np.full(GRADES, 500.0))
+        return Model(weights, np.full(GRADES, np.inf))
     tells = kept & (odds >= EVIDENCE)
     evidence = np.bincount(rows, np.concatenate([*often, np.zeros(0, np.uint8)]) * tells[flat], minlength=len(found))
     grade = np.where(toxic == 1, 1 + (evidence > MILD) + (evidence > STRONG), 0)
