@@ -80,6 +80,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": r"""
+WITH d AS (SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+ds AS (SELECT doc_id, size, i AS pos, array_to_string(w[i + 1:i + 5], ' ') AS s FROM (SELECT *, len(w) AS size, unnest(range(len(w) - 4)) AS i FROM d)),
+bs AS (SELECT item_id, n, array_to_string(w[i + 1:i + 5], ' ') AS s, count(*) AS c FROM (SELECT *, len(w) AS n, unnest(range(len(w) - 4)) AS i FROM b) GROUP BY ALL),
+windows AS (SELECT DISTINCT doc_id, item_id, n, size, unnest(range(greatest(0, pos - (n - 5)), least(pos, greatest(0, size - n)) + 1)) AS start FROM ds JOIN bs USING (s)),
+held AS (SELECT doc_id, item_id, n, start, s, count(*) AS c FROM windows JOIN ds USING (doc_id) WHERE pos BETWEEN start AND start + n - 5 GROUP BY ALL),
+met AS (SELECT h.doc_id, h.item_id, h.n, h.start, sum(h.c) AS here, sum(CASE WHEN b.c IS NULL THEN 0 ELSE least(h.c, b.c) END) AS shared
+    FROM held h LEFT JOIN bs b USING (item_id, s) GROUP BY ALL),
+scored AS (SELECT *, shared::DOUBLE / (here + n - 4 - shared) AS similarity FROM met)
+SELECT doc_id, item_id, similarity, start::INT AS start, n::INT AS size FROM scored WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+""",
+    "op6_ngram_jaccard_join": r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + 5], ' ') AS s FROM (SELECT *, unnest(range(greatest(len(w) - 4, least(len(w), 1)))) AS i FROM d)),
+n AS (SELECT doc_id, count(s) AS n FROM d LEFT JOIN sh USING (doc_id) GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+r(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+m AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+SELECT doc_id, n AS n_shingles, component_id FROM n JOIN m ON doc_id = x
+""",
     "op4_url_filter": r"""
 WITH rules(verdict, host, path) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'),
     ('allow', 'example.net', '/de/8'), ('block', 'org', '/es/')),
