@@ -43,9 +43,9 @@ LENGTH, GRAM = 50, 24
 SIDES = LENGTH - GRAM
 KEY_BITS, MOST_BITS = 48, 28
 #: Piece of a text handled at once, and bytes of contents in one suffix array.
-PIECE, ARRAY_BYTES = 2 << 20, 1 << 17
-#: Rows of one anchor taken at once; more come in slabs in order of id.
-SLAB = 1 << 17
+PIECE, ARRAY_BYTES = 1 << 20, 1 << 16
+#: Rows of one anchor taken at once, more come in slabs in order of id; rows read at once.
+SLAB, STEP = 1 << 16, 1 << 14
 LAST_ID = (1 << 63) - 1
 #: Duplicate texts are joined by broadcast up to so many, counted first.
 BROADCAST_TEXTS = 200_000
@@ -349,10 +349,10 @@ def _judge(batches):
         return regions, pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["id", "tag", "a", "b"])
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 1 << 15):
-            now = read(batch.slice(at, 1 << 15))
+        for at in range(0, batch.num_rows, STEP):
+            now = read(batch.slice(at, STEP))
             held = now if held is None else join(held, now)
-            if len(held[0]) < 1 << 15:
+            if len(held[0]) < STEP:
                 continue
             last = int(np.searchsorted(held[0], held[0][-1]))
             if last:
