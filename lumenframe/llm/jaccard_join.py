@@ -258,10 +258,14 @@ def _runs(batches):
         if last:
             yield from pairs(key[:last], names[:last])
             key, names = key[last:], names[last:]
-        if len(key) > 1 << 16 and len(np.unique(names)) > RUN:
-            long_key, long_first = key[0], names[0]
-            yield from pairs(key, names)
-            key, names = key[:0], names[:0]
+        if len(key) > 1 << 16:
+            # one key is left, sorted by class: copies of a class are one
+            names = np.unique(names)
+            key = np.full(len(names), key[0])
+            if len(names) > RUN:
+                long_key, long_first = key[0], names[0]
+                yield from pairs(key, names)
+                key, names = key[:0], names[:0]
     if len(key):
         yield from pairs(key, names)
 

@@ -169,7 +169,13 @@ def _runs(edits: int):
     """Of rows sorted by key: pairs that pass the sketch, of short runs; the rows of long runs, dealt into tiles."""
     most = 4 * edits
 
+    def distinct(key, names, sketch, indexed):
+        """One row for each key and line, however many batches the line stood in."""
+        first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (names[1:] != names[:-1]))))
+        return key[first], names[first], sketch[first], np.logical_or.reduceat(indexed, first)
+
     def pairs(key, names, sketch, indexed):
+        key, names, sketch, indexed = distinct(key, names, sketch, indexed)
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(first, len(key)))
         short = np.repeat((size > 1) & (size <= RUN), size)
@@ -196,9 +202,10 @@ def _runs(edits: int):
             now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
             if long_key is not None:
                 same = int(np.searchsorted(now[0], long_key, side="right"))
-                for a in range(0, same, TILE):
+                more = distinct(*(x[:same] for x in now)) if same else [x[:0] for x in now]
+                for a in range(0, len(more[0]), TILE):
                     tile += 1
-                    yield _crowd(long_key, tile, *(x[a : min(a + TILE, same)] for x in now[1:]))
+                    yield _crowd(long_key, tile, *(x[a : a + TILE] for x in more[1:]))
                 now = [x[same:] for x in now]
                 if not len(now[0]):
                     continue
@@ -208,6 +215,8 @@ def _runs(edits: int):
             if last:
                 yield from pairs(*(x[:last] for x in held))
                 held = [x[last:] for x in held]
+            if len(held[0]) > 1 << 16:
+                held = list(distinct(*held))
             if len(held[0]) > 1 << 16:
                 long_key = held[0][0]
                 tile = -(-len(held[0]) // TILE) - 1
