@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster (``spark.checkpoint.dir``); one of our own only where none is set."""
     sc = spark.sparkContext
-    told = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    told = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if told:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(told)
