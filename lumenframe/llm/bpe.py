@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .session import lean
 
 INF = np.iinfo(np.int64).max
 #: Words kept encoded by a worker before it starts anew.
@@ -218,7 +219,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep=
         source = f.read()
     picked = docs.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(_encode(source), f"{kinds}, {OUT}")
+    return picked.mapInArrow(lean(_encode(source)), f"{kinds}, {OUT}")
 
 
 def digests(encoded: DataFrame, *keep: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .session import cut
+from .session import cut, lean
 
 #: Counters of the shingle-frequency sketch, and the multiple of the mean that counts as frequent.
 CELLS, FREQUENT = 1 << 19, 4
@@ -179,7 +179,7 @@ def _cells(batches):
 
 def frequent_cells(counts: DataFrame) -> np.ndarray:
     """Which counters are frequent: CELLS bits, whatever the input."""
-    rows = counts.repartition(8, "cell").mapInArrow(_cells, "cell int, counts binary").collect()
+    rows = counts.repartition(8, "cell").mapInArrow(lean(_cells), "cell int, counts binary").collect()
     total = np.zeros(CELLS, dtype=np.uint64)
     for r in rows:
         total.reshape(8, -1)[r.cell] += np.frombuffer(r.counts, np.uint64)
@@ -286,7 +286,7 @@ def _filter_bits(names: DataFrame) -> np.ndarray:
                 bits |= np.frombuffer(pa.decompress(x, FILTER_BITS // 8, codec="zstd"), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([pa.compress(bits.tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["bits"])
 
-    parts = names.mapInArrow(build, "bits binary").repartition(8).mapInArrow(merge, "bits binary").collect()
+    parts = names.mapInArrow(lean(build), "bits binary").repartition(8).mapInArrow(lean(merge), "bits binary").collect()
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in parts:
         bits |= np.frombuffer(pa.decompress(r.bits, FILTER_BITS // 8, codec="zstd"), np.uint8)
@@ -399,8 +399,8 @@ def links(docs: DataFrame, scanned: DataFrame, text: str = "text", percent: int
     """Links ``(a, b)`` between classes of equal sets that connect whatever all links connect."""
     texts = docs.select(F.col(text).cast("string"))
     hot = frequent_cells(scanned.where("cell is not null").select("cell", "counts"))
-    keys = texts.mapInArrow(_keys(percent, k, hot), "key long, cls long")
-    found = cut(keys.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_runs, "a long, b long, hot boolean").distinct())
+    keys = texts.mapInArrow(lean(_keys(percent, k, hot)), "key long, cls long")
+    found = cut(keys.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(lean(_runs), "a long, b long, hot boolean").distinct())
     pairs, crowds = found.where("not hot").select("a", "b"), found.where("hot and a <> b").select("a", "b")
     sketched = scanned.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     side = lambda of, s, *c: of.select(F.col("cls").alias(s), *[F.col(x).alias(f"{x}_{s}") for x in c])
@@ -408,14 +408,14 @@ def links(docs: DataFrame, scanned: DataFrame, text: str = "text", percent: int
     near = cut(
         pairs.join(side(sketched, "a", "n", "sketch"), "a").join(side(sketched, "b", "n", "sketch"), "b")
         .select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
-        .mapInArrow(_near_sketches(percent), "a long, b long")
+        .mapInArrow(lean(_near_sketches(percent)), "a long, b long")
     )
     wanted = near.unionAll(crowds).select(F.explode(F.array("a", "b")))
-    sets = cut(texts.mapInArrow(_sets(k, _filter_bits(wanted)), "cls long, shingles binary").dropDuplicates(["cls"]))
+    sets = cut(texts.mapInArrow(lean(_sets(k, _filter_bits(wanted))), "cls long, shingles binary").dropDuplicates(["cls"]))
     checked = (
         near.join(side(sets, "a", "shingles"), "a").join(side(sets, "b", "shingles"), "b")
         .select("a", "b", "shingles_a", "shingles_b")
-        .mapInArrow(_verify(percent), "a long, b long")
+        .mapInArrow(lean(_verify(percent)), "a long, b long")
     )
     if crowds.isEmpty():
         return checked
@@ -433,7 +433,7 @@ def links(docs: DataFrame, scanned: DataFrame, text: str = "text", percent: int
 
 def jaccard_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80, k: int = K.SHINGLE) -> DataFrame:
     """``(id, n_shingles, component_id)`` for every row of docs."""
-    rows = cut(docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(_documents(k), SCANNED))
+    rows = cut(docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(_documents(k)), SCANNED))
     found = rows.where("n is not null").select("id", "n", "cls")
     joined = components(links(docs, rows, text, percent, k), "a", "b")
     full, least = found.where("n > 0"), F.min("id").alias("least")

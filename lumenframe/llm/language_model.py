@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .session import cut, partitions
+from .session import cut, lean, partitions
 
 U = np.uint64
 #: Prior strength m, in observations.
@@ -215,9 +215,9 @@ def _read(total: int, distinct: int, strength: float):
 def score(docs: DataFrame, id: str = "doc_id", text: str = "text", strength: float = STRENGTH) -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row."""
     spark = docs.sparkSession
-    blocks = cut(docs.select(F.col(id).cast("long"), F.col(text).cast("string")).mapInArrow(_pack, BLOCK))
+    blocks = cut(docs.select(F.col(id).cast("long"), F.col(text).cast("string")).mapInArrow(lean(_pack), BLOCK))
     shards = max(1, partitions(spark))
-    asked = blocks.mapInArrow(_ask(shards), "shard int, kind int, block long, n long, keys binary, counts binary")
+    asked = blocks.mapInArrow(lean(_ask(shards)), "shard int, kind int, block long, n long, keys binary, counts binary")
     answers = cut(asked.groupBy("kind", "shard").applyInArrow(_answer, ANSWER))
     total, distinct = answers.where("kind = 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     read = blocks.groupBy("block").cogroup(answers.select("block", "kind", "shard", "n", "counts").groupBy("block")).applyInArrow(_read(total, distinct, strength), OUT)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .components import components
 from .jaccard_join import FILTER_BITS, _filter_at, _filter_bits
-from .session import cut
+from .session import cut, lean
 
 EDITS, SHORTEST = 2, 16
 RUN, TILE = 256, 2048
@@ -326,17 +326,17 @@ def _texts(edits: int, bits: np.ndarray):
 
 def links(texts: DataFrame, edits: int = EDITS) -> DataFrame:
     """``(a, b)``: verified matches between hashes of different lines of a one-column frame of texts."""
-    keyed = texts.mapInArrow(_keyed(edits), "key long, name long, sketch long, indexed boolean")
-    found = cut(keyed.repartition("key").sortWithinPartitions("key", "name").mapInArrow(_runs(edits), PAIRED).distinct())
+    keyed = texts.mapInArrow(lean(_keyed(edits)), "key long, name long, sketch long, indexed boolean")
+    found = cut(keyed.repartition("key").sortWithinPartitions("key", "name").mapInArrow(lean(_runs(edits)), PAIRED).distinct())
     pairs, crowd = found.where("key is null").select("a", "b"), found.where("key is not null")
     if not crowd.isEmpty():
         counted = crowd.groupBy("key").agg((F.max("tile") + 1).alias("tiles"))
         dealt = crowd.join(counted, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         dealt = dealt.select("key", "a", "sketch", "indexed", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), (F.col("tile") > F.col("other")).alias("side"))
         pairs = cut(pairs.unionAll(dealt.groupBy("key", "i", "j").applyInArrow(_tiles(edits), "a long, b long")).distinct())
-    bytes_of = cut(texts.mapInArrow(_texts(edits, _filter_bits(pairs.select(F.explode(F.array("a", "b"))))), "name long, bytes binary").dropDuplicates(["name"]))
+    bytes_of = cut(texts.mapInArrow(lean(_texts(edits, _filter_bits(pairs.select(F.explode(F.array("a", "b")))))), "name long, bytes binary").dropDuplicates(["name"]))
     side = lambda s: bytes_of.select(F.col("name").alias(s), F.col("bytes").alias(f"bytes_{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "bytes_a", "bytes_b").mapInArrow(_verify(edits), "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "bytes_a", "bytes_b").mapInArrow(lean(_verify(edits)), "a long, b long")
 
 
 def _apply(at: int):
@@ -367,7 +367,7 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", edits:
     """All rows and columns of docs, the text without its removed lines, and two counts of lines with content."""
     order = F.coalesce(F.col(id).cast("long"), F.lit(LAST_ID))
     keyed = docs.select(order.alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).cast("string").alias("text")).where("text is not null")
-    seen = keyed.mapInArrow(_occurrences(edits), "id long, th long, line long, name long")
+    seen = keyed.mapInArrow(lean(_occurrences(edits)), "id long, th long, line long, name long")
     classes = cut(components(links(keyed.select("text"), edits), "a", "b"))
     seen = seen.join(classes, seen.name == classes.node, "left").select("id", "th", "line", F.coalesce("component", "name").alias("cls"))
     firsts = seen.groupBy("cls").agg(F.min(F.struct("id", "th", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -376,5 +376,5 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", edits:
     gone = gone.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "__gone")
     joined = marked.join(gone, ["__id", "__th"], "left").select(*[F.col(c) for c in docs.columns], "__gone")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = joined.mapInArrow(_apply(docs.columns.index(text)), f"{kinds}, __lines long, __removed long")
+    out = joined.mapInArrow(lean(_apply(docs.columns.index(text))), f"{kinds}, __lines long, __removed long")
     return out.withColumnsRenamed({"__lines": counts[0], "__removed": counts[1]})

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .samples import hashed_sample, with_texts
+from .session import lean
 
 SAMPLE = 12_000
 DIMENSION_BITS = 16
@@ -205,17 +206,17 @@ def _scored(weights: np.ndarray, bias: float, posterior: np.ndarray):
 def classify(docs: DataFrame, id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """``(id, score, label_posterior, keep)`` for every row; label_posterior is null for texts without words."""
     texts = docs.select(F.col(text).cast("string").alias("text"))
-    seen = texts.mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toArrow()  # at most 3^8 rows
+    seen = texts.mapInArrow(lean(_patterns), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toArrow()  # at most 3^8 rows
     patterns, counts = seen.column("pattern").to_numpy(), seen.column("n").to_numpy().astype(float)
     good, _, _ = label_model(patterns, counts)
     posterior = np.full(3 ** len(LABELLERS), np.nan)
     posterior[patterns] = good
     picked = with_texts(docs, hashed_sample(docs.select(F.col(id)).distinct(), id, sample), id, text)
-    got = picked.where("trim(text) <> ''").select("text").mapInArrow(_sampled, "pattern long, shapes binary, shares binary").toArrow()
+    got = picked.where("trim(text) <> ''").select("text").mapInArrow(lean(_sampled), "pattern long, shapes binary, shares binary").toArrow()
     target = posterior[got.column("pattern").to_numpy()] if got.num_rows else np.zeros(0)
     fine = ~np.isnan(target)
     read = lambda name, kind: [np.frombuffer(x, kind) for x, ok in zip(got.column(name).to_pylist(), fine, strict=True) if ok]
     weights, bias = train_scorer(target[fine], read("shapes", np.int32), read("shares", np.float32))
     out = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
     kind = out.schema["id"].dataType.simpleString()
-    return out.mapInArrow(_scored(weights, bias, posterior), f"id {kind}, score double, label_posterior double, keep boolean").withColumnRenamed("id", id)
+    return out.mapInArrow(lean(_scored(weights, bias, posterior)), f"id {kind}, score double, label_posterior double, keep boolean").withColumnRenamed("id", id)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .language_model import squeeze, unsqueeze
-from .session import cut, partitions
+from .session import cut, lean, partitions
 from .suffix_array import suffix_array
 
 LENGTH, GRAM = 50, 24
@@ -417,16 +417,16 @@ def dedup_strings(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     told = named.join(F.broadcast(copies) if few else copies, "md5", "left").withColumn("copy", F.coalesce(F.col("id") > F.col("least"), F.lit(False)))
     first = told.where(f"not copy and octet_length(text) >= {LENGTH}")
     shards = max(1, partitions(spark))
-    asked = first.select("text").mapInArrow(_ask(shards), "shard int, n long, keys binary, many binary")
+    asked = first.select("text").mapInArrow(lean(_ask(shards)), "shard int, n long, keys binary, many binary")
     shared = cut(asked.groupBy("shard").applyInArrow(_settle, SHARED))
     found = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = min(MOST_BITS, max(16, int(found * 32).bit_length()))
     table = np.zeros(1 << bits >> 3, np.uint8)
-    for r in shared.mapInArrow(_bits(bits), "low long, size long, part binary").toLocalIterator():
+    for r in shared.mapInArrow(lean(_bits(bits)), "low long, size long, part binary").toLocalIterator():
         table[r.low : r.low + r.size] |= np.frombuffer(pa.decompress(r.part, r.size, codec="zstd"), np.uint8)
-    regions = first.select("id", "tag", "text").mapInArrow(_regions(spark.sparkContext.broadcast(table), bits), REGION)
-    spans = regions.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_judge, "id long, tag long, a long, b long")
+    regions = first.select("id", "tag", "text").mapInArrow(lean(_regions(spark.sparkContext.broadcast(table), bits)), REGION)
+    spans = regions.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lean(_judge), "id long, tag long, a long, b long")
     gone = spans.groupBy("id", "tag").agg(F.collect_list("a").alias("starts"), F.collect_list("b").alias("ends"))
-    bodies = told.select("given", "id", "tag", "copy", "text").mapInArrow(_squeezed, "given long, id long, tag long, copy boolean, n long, body binary")
+    bodies = told.select("given", "id", "tag", "copy", "text").mapInArrow(lean(_squeezed), "given long, id long, tag long, copy boolean, n long, body binary")
     out = bodies.join(gone, ["id", "tag"], "left").select(F.col("given").alias("id"), "n", "copy", "starts", "ends", "body")
-    return out.mapInArrow(_cut_out, "id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary").withColumnRenamed("id", id)
+    return out.mapInArrow(lean(_cut_out), "id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary").withColumnRenamed("id", id)

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .samples import hashed_sample, with_texts
+from .session import lean
 
 SAMPLE = 12_000
 DIMENSION_BITS = 18
@@ -124,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     """A model fitted on a bounded sample of the labelled rows."""
     told = labels.where(F.col(label).isNotNull()).groupBy(F.col(id)).agg(F.max((F.col(label) > 0).cast("int")).alias("__toxic"))
     rows = with_texts(docs, hashed_sample(told, id, sample), id, text)
-    got = rows.select("__toxic", "text").mapInArrow(_features, "toxic int, found binary, often binary").toArrow()
+    got = rows.select("__toxic", "text").mapInArrow(lean(_features), "toxic int, found binary, often binary").toArrow()
     toxic = got.column("toxic").to_numpy().astype(np.int64)
     return fit(toxic, [np.frombuffer(x, np.int32) for x in got.column("found").to_pylist()], [np.frombuffer(x, np.uint8) for x in got.column("often").to_pylist()])
 
@@ -157,4 +158,4 @@ def score(docs: DataFrame, model: Model, keep=("doc_id",), text: str = "text") -
     """The kept columns with ``severity`` (expected grade), ``p_toxic`` and ``rejected`` of every row."""
     picked = docs.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(_score(model.weights, model.thresholds), f"{kinds}, severity double, p_toxic double, rejected boolean")
+    return picked.mapInArrow(lean(_score(model.weights, model.thresholds)), f"{kinds}, severity double, p_toxic double, rejected boolean")
