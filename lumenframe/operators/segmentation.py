@@ -130,10 +130,11 @@ def run_segmentation(movie: Imaging, method: str = "peaks", tau: float = 1.0, nb
     spark = movie.spark
     bad = normal_bad_frames(spark, movie, badframes)
     means = binned_movie(movie, bin_size(movie.n_frames, movie.fs, tau, nbins, size), batch, bad)
-    # at most nbins images reach the driver
-    table = means.groupBy("batch", "bin").agg(F.sort_array(F.collect_list(F.struct("pix", "v"))).alias("p")).orderBy("batch", "bin").limit(nbins)
+    # every bin reaches the driver: nbins sets their size, never which part of the movie is seen
+    table = means.groupBy("batch", "bin").agg(F.sort_array(F.collect_list(F.struct("pix", "v"))).alias("p")).orderBy("batch", "bin")
     rows = table.select(F.transform("p", lambda x: x["v"]).alias("v")).toArrow()
-    stack = np.array(rows.column("v").to_pylist(), float).reshape(-1, movie.height, movie.width)
+    parts = [c.flatten().to_numpy(zero_copy_only=False) for c in rows.column("v").chunks]
+    stack = np.concatenate([np.zeros(0), *parts]).reshape(-1, movie.height, movie.width)
     (y0, y1), (x0, x1) = bounds or ((0, movie.height), (0, movie.width))
     stats = METHODS[method](stack[:, y0:y1, x0:x1].reshape(len(stack), -1), (y1 - y0, x1 - x0), **how)
     for s in stats:

@@ -194,6 +194,30 @@ def test_segmentation_finds_planted_discs(spark):
         segmentation.run_segmentation(movie, "other")
 
 
+def test_segmentation_sees_the_whole_movie(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    block = rng.normal(100, 1, (240, 24, 24))
+    y, x = np.mgrid[:24, :24]
+    # active only in the third of thirteen batches, only in the eleventh, and only at the end
+    places = [((6, 6), 40), ((6, 17), 205), ((17, 12), 230)]
+    for (cy, cx), start in places:
+        block[start : start + 10][:, np.hypot(y - cy, x - cx) <= 3] += rng.uniform(10, 30, (10, 1))
+    movie = arrays.imaging_from_numpy(spark, [block[:150], block[150:]], 10.0)
+    seen = []
+
+    def probe(stack, shape, **how):
+        seen.append((stack, segmentation.detect_peaks(stack, shape, **how)))
+        return seen[-1][1]
+
+    monkeypatch.setitem(segmentation.METHODS, "probe", probe)
+    segmentation.run_segmentation(movie, "probe", nbins=40, size=1, batch=20, diameter=6)
+    stack, stats = seen[0]
+    assert np.allclose(stack, block.reshape(240, -1))
+    best = sorted(stats, key=lambda s: -s["score"])[:3]
+    centres = [(s["ypix"].mean(), s["xpix"].mean()) for s in best]
+    assert all(min(np.hypot(cy - a, cx - b) for a, b in centres) < 2 for (cy, cx), _ in places)
+
+
 def test_segmentation_helpers(spark, recording):
     movie, _, _ = recording
     assert segmentation.bin_size(1000, 30.0, 0.5, 100) == 15
