@@ -3,7 +3,9 @@
 Every stage takes ``(spark, docs, sf_dir)`` and keeps the columns of documents; the
 last adds token columns. A document that loses its last line to line dedup
 goes with it; one that had no line with content stays. Of a group of
-near-duplicates the document with the smallest id stays.
+near-duplicates the document with the smallest id stays, null ids last, then
+the smallest text hash; of equal rows one. Rows are told apart by id and text,
+so null and shared ids are judged row by row.
 """
 
 from __future__ import annotations
@@ -27,9 +29,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    later = cut(jaccard_join.jaccard_groups(docs).where("doc_id <> component_id").select("doc_id"))
-    few = later.count() <= decontamination.BROADCAST_ROWS
-    return docs.join(F.broadcast(later) if few else later, "doc_id", "left_anti").select(*docs.columns)
+    again = cut(jaccard_join.repeated_rows(docs).toDF("__id", "__of", "__stays"))
+    few = again.count() <= decontamination.BROADCAST_ROWS
+    marked = docs.withColumn("__th", F.xxhash64(F.col("text").cast("string")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__of"))
+    marked = marked.join(F.broadcast(again) if few else again, same, "left")
+    kept = marked.where("__stays is null").select(*docs.columns)
+    if again.where("__stays").isEmpty():
+        return kept
+    # equal rows of which one stays
+    return kept.unionAll(marked.where("__stays").dropDuplicates(["doc_id", "__th"]).select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -109,8 +109,8 @@ def similarity(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", similar: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
-    """``(id, item, similarity, start, size)``: for each document and item that match, the best window (then the first)."""
+def _matching(docs: DataFrame, benchmark: DataFrame, id: str, text: str, item: str = "item_id", item_text: str = "text", similar: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
+    """``(id, th, item, n, start, similarity)`` of all windows that match; th is the text's hash."""
     words = words_of(F.col(item_text).cast("string"))
     items = benchmark.select(F.col(item).alias("item"), words.alias("words")).where("size(words) > 0").distinct()
     k = F.least(F.lit(SHINGLE), F.size("words"))
@@ -139,14 +139,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str
 
     few = ranges.count() <= BROADCAST_ROWS
     held = ranges.withColumnsRenamed({"id": "hit_id", "th": "hit_th"})
-    near = named.join(F.broadcast(held) if few else held, (F.col("th") == F.col("hit_th")) & F.col("id").eqNullSafe(F.col("hit_id"))).select("id", "n", "k", "pos", words_of(F.col("text")).alias("words"))
+    near = named.join(F.broadcast(held) if few else held, (F.col("th") == F.col("hit_th")) & F.col("id").eqNullSafe(F.col("hit_id"))).select("id", "th", "n", "k", "pos", words_of(F.col("text")).alias("words"))
     if not few:
         near = near.repartition("id", "n", "pos")
     of_doc = F.coalesce(*[F.when(F.col("k") == j, shingles_of(F.col("words"), j)) for j in sorted(shape.k) or [SHINGLE]])
     last = F.greatest(F.lit(0), F.size("words") - F.col("n"))
     around = F.transform("pos", lambda p: F.sequence(F.greatest(F.lit(0), p - (F.col("n") - F.col("k"))), F.greatest(F.lit(0), F.least(p, last))))
     starts = F.array_distinct(F.flatten(F.filter(around, lambda x: F.size(x) > 0)))
-    near = cut(near.select(F.monotonically_increasing_id().alias("row"), "id", "n", "k", of_doc.alias("of_doc"), F.filter(starts, lambda x: x <= last).alias("starts")))
+    near = cut(near.select(F.monotonically_increasing_id().alias("row"), "id", "th", "n", "k", of_doc.alias("of_doc"), F.filter(starts, lambda x: x <= last).alias("starts")))
     of_window = F.slice("of_doc", F.col("start") + 1, F.col("n") - F.col("k") + 1)
     windows = near.select("row", "n", "k", "of_doc", F.explode("starts").alias("start")).select("row", "n", "start", F.explode(of_window).alias("shingle"))
     prints = windows.groupBy("row", "n", "start").agg(*lanes.counts(F.col("shingle"))).select("row", "n", "start", lanes.fingerprint().alias("print"))
@@ -156,14 +156,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str
     whole = items.select("item", F.col("n").alias("item_n"), "of_item")
     judged = (
         pairs.join(near, "row").join(F.broadcast(whole) if small else whole, "item").where("item_n = n")
-        .select("id", "item", "n", "start", similarity(of_window, F.col("of_item")).alias("similarity"))
+        .select("id", "th", "item", "n", "start", similarity(of_window, F.col("of_item")).alias("similarity"))
     )
-    best = judged.where(F.col("similarity") >= similar).groupBy("id", "item").agg(F.max_by(F.struct("similarity", "start", "n"), F.struct("similarity", -F.col("start"))).alias("best"))
+    return judged.where(F.col("similarity") >= similar)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", **how) -> DataFrame:
+    """``(id, item, similarity, start, size)``: for each document and item that match, the best window (then the first)."""
+    best = _matching(docs, benchmark, id, text, item, **how).groupBy("id", "item").agg(F.max_by(F.struct("similarity", "start", "n"), F.struct("similarity", -F.col("start"))).alias("best"))
     return best.select(F.col("id").alias(id), F.col("item").alias(item), "best.similarity", "best.start", F.col("best.n").alias("size"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """Documents that match no item; all columns as they are."""
-    found = cut(matches(docs, benchmark, id, text, **how).select(F.col(id).alias("__hit")).distinct())
+    """Rows whose text matches no item, whatever other rows share their id; all columns as they are."""
+    found = cut(_matching(docs, benchmark, id, text, **how).select(F.col("id").alias("__hit"), F.col("th").alias("__hit_th")).distinct())
     few = found.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(found) if few else found, docs[id].eqNullSafe(F.col("__hit")), "left_anti")
+    same = docs[id].eqNullSafe(F.col("__hit")) & (F.xxhash64(docs[text].cast("string")) == F.col("__hit_th"))
+    return docs.join(F.broadcast(found) if few else found, same, "left_anti")

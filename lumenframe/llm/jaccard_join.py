@@ -138,8 +138,8 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 #: Rows of documents, and of parts of the frequency sketch.
-SCANNED = "id long, n long, cls long, sketch binary, cell int, counts binary"
-SCANNED_NAMES = ["id", "n", "cls", "sketch", "cell", "counts"]
+SCANNED = "id long, th long, n long, cls long, sketch binary, cell int, counts binary"
+SCANNED_NAMES = ["id", "th", "n", "cls", "sketch", "cell", "counts"]
 
 
 def _documents(k: int):
@@ -148,7 +148,7 @@ def _documents(k: int):
         for batch in batches:
             n, names = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             gathered, held, sketches = [], 0, []
-            for row, s in K.shingle_sets(batch.column(1), words, k):
+            for row, s in K.shingle_sets(batch.column(2), words, k):
                 n[row], names[row] = len(s), class_of(s)
                 sketches.append(sketch_of(s))
                 gathered.append(s)
@@ -159,10 +159,10 @@ def _documents(k: int):
             if gathered:
                 cells += np.bincount((np.concatenate(gathered) >> U(40)).astype(np.int64) % CELLS, minlength=CELLS).astype(np.uint32)
             m = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n), pa.array(names), pa.array(sketches, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=SCANNED_NAMES)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(n), pa.array(names), pa.array(sketches, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=SCANNED_NAMES)
         if cells.any():
             parts = cells.reshape(8, -1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(8, pa.int64()), pa.nulls(8, pa.int64()), pa.nulls(8, pa.int64()), pa.nulls(8, pa.binary()), pa.array(range(8), pa.int32()), pa.array([pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in parts], pa.binary())], names=SCANNED_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.nulls(8, pa.int64()), pa.nulls(8, pa.int64()), pa.nulls(8, pa.int64()), pa.nulls(8, pa.int64()), pa.nulls(8, pa.binary()), pa.array(range(8), pa.int32()), pa.array([pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in parts], pa.binary())], names=SCANNED_NAMES)
 
     return scan
 
@@ -431,16 +431,42 @@ def links(docs: DataFrame, scanned: DataFrame, text: str = "text", percent: int
     return checked.unionAll(tiled)
 
 
+def _scanned(docs: DataFrame, id: str, text: str, k: int) -> DataFrame:
+    body = F.col(text).cast("string")
+    return cut(docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(body).alias("th"), body.alias("text")).mapInArrow(lean(_documents(k)), SCANNED))
+
+
+def _named(full: DataFrame, joined: DataFrame, least) -> DataFrame:
+    """``(cls, least)``: of each class the least over its component."""
+    classes = full.groupBy("cls").agg(least.alias("least")).join(joined, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("component", "cls").alias("component"))
+    classes = cut(classes)
+    named = classes.groupBy("component").agg(F.min("least").alias("component_least"))
+    return classes.join(named, "component").select("cls", F.col("component_least").alias("least"))
+
+
 def jaccard_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80, k: int = K.SHINGLE) -> DataFrame:
     """``(id, n_shingles, component_id)`` for every row of docs."""
-    rows = cut(docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(_documents(k)), SCANNED))
+    rows = _scanned(docs, id, text, k)
     found = rows.where("n is not null").select("id", "n", "cls")
     joined = components(links(docs, rows, text, percent, k), "a", "b")
-    full, least = found.where("n > 0"), F.min("id").alias("least")
-    classes = full.groupBy("cls").agg(least).join(joined, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("component", "cls").alias("component"))
-    classes = cut(classes)
-    named = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = classes.join(named, "component").select("cls", "component_id")
+    full = found.where("n > 0")
+    named = _named(full, joined, F.min("id")).withColumnRenamed("least", "component_id")
     some = full.join(named, "cls").select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id")
     none = found.where("n = 0").select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return some.unionAll(none)
+
+
+def repeated_rows(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80, k: int = K.SHINGLE) -> DataFrame:
+    """``(id, th, stays)`` of the rows that are not all to be kept, told apart by id and text hash.
+
+    Of a component the row with the smallest (id, text hash) stays, null ids
+    last. Rows with equal ids and texts are one entry: none of them is to be
+    kept, or, with ``stays``, one.
+    """
+    rows = _scanned(docs, id, text, k)
+    joined = components(links(docs, rows, text, percent, k), "a", "b")
+    full = rows.where("n > 0").groupBy("cls", "id", "th").agg(F.count("*").alias("rows"))
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "th")
+    named = _named(full, joined, F.min(place))
+    judged = full.join(named, "cls").select("id", "th", "rows", place.eqNullSafe(F.col("least")).alias("stays"))
+    return judged.where("not stays or rows > 1").select("id", "th", "stays")

@@ -419,6 +419,34 @@ def test_empty_tables(spark):
     assert decontamination.matches(none, spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
 
 
+def test_stages_judge_rows_not_ids(spark):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    text = lambda: " ".join(f"w{r.randrange(5000)}" for _ in range(40))
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    a, b, c, d, e, f, leak = (text() for _ in range(7))
+    rows = [
+        (1, a), (None, near(a)),  # a near copy without an id
+        (None, b), (None, near(b)), (None, text()),  # null ids only
+        (2, c), (2, c), (2, c),  # one row three times
+        (None, d), (None, d),
+        (3, e), (4, near(e)), (4, f),  # an id with two texts, one a near copy
+        (5, None), (5, None), (None, ""),
+    ]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = collections.Counter((x.doc_id, x.text) for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    of_b = [x for x in got if x[1] in (b, near(b))]
+    assert len(of_b) == 1
+    want = [(1, a), of_b[0], rows[4], (2, c), (None, d), (3, e), (4, f), (5, None), (5, None), (None, "")]
+    assert got == collections.Counter(want)
+
+    rows = [(None, a + " " + leak), (None, b), (6, leak), (6, c), (7, d), (7, d), (8, leak), (8, leak), (None, None)]
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    left = decontamination.clean(spark.createDataFrame(rows, SCHEMA), bench)
+    assert collections.Counter((x.doc_id, x.text) for x in left.collect()) == collections.Counter([(None, b), (6, c), (7, d), (7, d), (None, None)])
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 def test_pipeline(spark):
     import corpus_pipeline
