@@ -22,7 +22,8 @@ Whether the benchmark side and the list of documents with shared shingles are
 broadcast is settled by counting them; larger ones are joined by shuffle.
 
 Null and empty texts and items without words match nothing. Repeated rows of a
-document or an item give one row. Null ids are kept as ids. Only ids and texts
+document or an item give one row. Null ids are kept as ids; of texts that share
+an id each is judged by itself, and the id gets its best window. Only ids and texts
 are read. Empty tables give an empty result.
 """
 
@@ -116,12 +117,13 @@ def _matching(docs: DataFrame, benchmark: DataFrame, id: str, text: str, item: s
     k = F.least(F.lit(SHINGLE), F.size("words"))
     items = items.select("item", F.size("words").alias("n"), k.alias("k"), *[shingles_of(F.col("words"), j).alias(f"s{j}") for j in range(1, SHINGLE + 1)])
     chosen = F.coalesce(*[F.when(F.col("k") == j, F.col(f"s{j}")) for j in range(1, SHINGLE + 1)])
-    items = cut(items.select("item", "n", "k", chosen.alias("of_item")))
+    # an id may name several texts, or be null: items go by a number of their own
+    items = cut(items.select(F.monotonically_increasing_id().alias("number"), "item", "n", "k", chosen.alias("of_item")))
     shape = items.agg(F.collect_set("k").alias("k"), F.max(F.size("of_item")).alias("most"), F.sum(F.size("of_item")).alias("rows")).first()
     lanes = Lanes(shape.most or 0)
     small = (shape.rows or 0) <= BROADCAST_ROWS
-    prints = items.select("item", "n", F.explode("of_item").alias("shingle")).groupBy("item", "n").agg(*lanes.counts(F.col("shingle"))).select("item", "n", lanes.fingerprint().alias("item_print"))
-    offered = prints.select("item", "n", "item_print", F.explode(blocks_of(F.col("item_print"), radius)).alias("block"))
+    prints = items.select("number", "n", F.explode("of_item").alias("shingle")).groupBy("number", "n").agg(*lanes.counts(F.col("shingle"))).select("number", "n", lanes.fingerprint().alias("item_print"))
+    offered = prints.select("number", "n", "item_print", F.explode(blocks_of(F.col("item_print"), radius)).alias("block"))
     known = items.select(F.explode("of_item").alias("shingle"), "n", "k").distinct().groupBy("shingle").agg(F.collect_set(F.struct("n", "k")).alias("sizes"))
 
     named = docs.select(F.col(id).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text")).where("text is not null")
@@ -152,10 +154,10 @@ def _matching(docs: DataFrame, benchmark: DataFrame, id: str, text: str, item: s
     prints = windows.groupBy("row", "n", "start").agg(*lanes.counts(F.col("shingle"))).select("row", "n", "start", lanes.fingerprint().alias("print"))
     asked = prints.withColumn("block", F.explode(blocks_of(F.col("print"), radius)))
     close = asked.join(F.broadcast(offered) if small else offered, ["n", "block"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
-    pairs = close.select("row", "start", "item").distinct()
-    whole = items.select("item", F.col("n").alias("item_n"), "of_item")
+    pairs = close.select("row", "start", "number").distinct()
+    whole = items.select("number", "item", "of_item")
     judged = (
-        pairs.join(near, "row").join(F.broadcast(whole) if small else whole, "item").where("item_n = n")
+        pairs.join(near, "row").join(F.broadcast(whole) if small else whole, "number")
         .select("id", "th", "item", "n", "start", similarity(of_window, F.col("of_item")).alias("similarity"))
     )
     return judged.where(F.col("similarity") >= similar)
@@ -163,7 +165,7 @@ def _matching(docs: DataFrame, benchmark: DataFrame, id: str, text: str, item: s
 
 def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", **how) -> DataFrame:
     """``(id, item, similarity, start, size)``: for each document and item that match, the best window (then the first)."""
-    best = _matching(docs, benchmark, id, text, item, **how).groupBy("id", "item").agg(F.max_by(F.struct("similarity", "start", "n"), F.struct("similarity", -F.col("start"))).alias("best"))
+    best = _matching(docs, benchmark, id, text, item, **how).groupBy("id", "item").agg(F.max_by(F.struct("similarity", "start", "n"), F.struct("similarity", -F.col("start"), "n")).alias("best"))
     return best.select(F.col("id").alias(id), F.col("item").alias(item), "best.similarity", "best.start", F.col("best.n").alias("size"))
 
 

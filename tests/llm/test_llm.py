@@ -347,6 +347,16 @@ def test_decontamination(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_items_that_share_an_id_or_have_none(spark):
+    r = random.Random(9)
+    text = lambda n: " ".join(f"w{r.randrange(3000)}" for _ in range(n))
+    texts = [text(n) for n in [12, 20, 40] * 20]
+    bench = [(1 if i < 30 else None, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    got = {(x.doc_id, x.item_id): (x.similarity, x.start) for x in decontamination.matches(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got == {(i, item): (1.0, 0) for i, (item, _) in enumerate(bench)}
+
+
 # -- bpe --------------------------------------------------------------------
 
 
