@@ -12,11 +12,11 @@ smaller counts over the sum of the larger, and a match has ``SIMILAR`` or more.
   of its shingles' hashes. Fingerprints are cut into ``RADIUS`` + 1 blocks: two
   within the radius agree in a block (multi-index hashing), so an equi-join on
   (size, block, value) finds all of them, and the Hamming distance is checked.
-* Surviving pairs are compared by their shingles.
-
-At similarity 0.8 the fingerprints differ in 9.7 bits of 64 on average with a
-deviation of 2.9, so a radius of 19 leaves one match in a thousand at the very
-threshold and none of copies.
+* Fingerprints may miss a match near the threshold (at similarity 0.8 they
+  differ in 9.7 bits of 64 on average with a deviation of 2.9). So windows with
+  enough places whose shingles are of items of their size also meet the items
+  that share one of their rarest shingles; these pairs hold every match.
+* All pairs are compared by their shingles.
 
 Whether the benchmark side and the list of documents with shared shingles are
 broadcast is settled by counting them; larger ones are joined by shuffle.
@@ -110,6 +110,24 @@ def similarity(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
+def _sharing(near: DataFrame, items: DataFrame, of_window: Column, similar: float, small: bool) -> DataFrame:
+    """``(row, start, number)``: windows with enough shared shingles, and the items that share a telling one."""
+    # a match shares similar / (1 + similar) of both multisets; places whose shingle is of any item of that size are no fewer
+    around = F.sequence(F.greatest(F.lit(0), F.col("p") - (F.col("n") - F.col("k"))), F.least("p", "last"))
+    at = near.select("row", F.explode("pos").alias("p"), "n", "k", "last").where("p - (n - k) <= last")
+    held = at.select("row", F.explode(around).alias("start")).groupBy("row", "start").agg(F.count("*").alias("held"))
+    size = F.size(of_window)
+    full = F.col("held") * (1 + similar) >= similar * (size + F.col("n") - F.col("k") + 1) - 1e-6
+    windows = held.join(near, "row").where(full).select("row", "n", "start", F.explode(F.array_distinct(of_window)).alias("shingle"))
+    # of an item's m shingles a match lacks at most m - similar * m: one more of them, the rarest, cannot all be missing
+    each = items.select("number", "n", F.size("of_item").alias("m"), F.explode(F.array_distinct("of_item")).alias("shingle"))
+    often = each.groupBy("n", "shingle").agg(F.count("*").alias("often"))
+    ranked = each.join(often, ["n", "shingle"]).groupBy("number", "n", "m").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("s"))
+    most = (F.col("m") - F.ceil(similar * F.col("m") - 1e-6) + 1).cast("int")
+    telling = ranked.select("number", "n", F.explode(F.slice("s", F.lit(1), most)).alias("x")).select("number", "n", "x.shingle")
+    return windows.join(F.broadcast(telling) if small else telling, ["n", "shingle"]).select("row", "start", "number")
+
+
 def _matching(docs: DataFrame, benchmark: DataFrame, id: str, text: str, item: str = "item_id", item_text: str = "text", similar: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
     """``(id, th, item, n, start, similarity)`` of all windows that match; th is the text's hash."""
     words = words_of(F.col(item_text).cast("string"))
@@ -148,13 +166,15 @@ def _matching(docs: DataFrame, benchmark: DataFrame, id: str, text: str, item: s
     last = F.greatest(F.lit(0), F.size("words") - F.col("n"))
     around = F.transform("pos", lambda p: F.sequence(F.greatest(F.lit(0), p - (F.col("n") - F.col("k"))), F.greatest(F.lit(0), F.least(p, last))))
     starts = F.array_distinct(F.flatten(F.filter(around, lambda x: F.size(x) > 0)))
-    near = cut(near.select(F.monotonically_increasing_id().alias("row"), "id", "th", "n", "k", of_doc.alias("of_doc"), F.filter(starts, lambda x: x <= last).alias("starts")))
+    near = cut(near.select(F.monotonically_increasing_id().alias("row"), "id", "th", "n", "k", of_doc.alias("of_doc"), F.filter(starts, lambda x: x <= last).alias("starts"), "pos", last.alias("last")))
     of_window = F.slice("of_doc", F.col("start") + 1, F.col("n") - F.col("k") + 1)
     windows = near.select("row", "n", "k", "of_doc", F.explode("starts").alias("start")).select("row", "n", "start", F.explode(of_window).alias("shingle"))
     prints = windows.groupBy("row", "n", "start").agg(*lanes.counts(F.col("shingle"))).select("row", "n", "start", lanes.fingerprint().alias("print"))
     asked = prints.withColumn("block", F.explode(blocks_of(F.col("print"), radius)))
     close = asked.join(F.broadcast(offered) if small else offered, ["n", "block"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
-    pairs = close.select("row", "start", "number").distinct()
+    pairs = close.select("row", "start", "number")
+    sharing = _sharing(near, items, of_window, similar, small)
+    pairs = pairs.unionAll(sharing).distinct()
     whole = items.select("number", "item", "of_item")
     judged = (
         pairs.join(near, "row").join(F.broadcast(whole) if small else whole, "number")

@@ -357,6 +357,21 @@ def test_items_that_share_an_id_or_have_none(spark):
     assert got == {(i, item): (1.0, 0) for i, (item, _) in enumerate(bench)}
 
 
+def test_matches_beyond_the_radius(spark):
+    r = random.Random(10)
+    items = [[f"w{r.randrange(60)}" for _ in range(r.choice([1, 4, 7, 45, 60, 90]))] for _ in range(30)]
+    docs = []
+    for x in items:
+        w = list(x)
+        if len(w) >= 45:
+            w[r.randrange(5, len(w) - 5)] = "other"
+        docs.append((len(docs), " ".join(["before", "it", *w, "after"] if len(docs) % 2 else w)))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    found = lambda **how: {(x.doc_id, x.item_id): x.similarity for x in decontamination.matches(spark.createDataFrame(docs, SCHEMA), bench, **how).collect()}
+    wide, narrow = found(), found(radius=1)
+    assert any(0.75 < s < 0.95 for s in wide.values()) and narrow == wide
+
+
 # -- bpe --------------------------------------------------------------------
 
 
