@@ -6,12 +6,15 @@ a merge updates three leaves and their ancestors, until the root is infinite.
 The trees of many words of one width are rows of one array and advance together.
 
 Texts go through the vocabulary file's own steps: special tokens cut the raw
-text, then NFC, white space to one space, lower case, the word pattern, bytes,
-merges with the word-end mark. Distinct words are encoded once per worker batch.
+text, then NFC, lower case, the word pattern, bytes, merges with the word-end
+mark. (The file also turns white space to one space; its pattern takes no white
+space, so that step changes nothing and is left out.) A worker keeps up to about
+``KEPT_BYTES`` of encoded words.
 
 A null or empty text has no tokens and decodes to the empty string. Texts of
-any length are encoded whole. Rows with equal ids are separate rows; only the
-named columns are read. An empty table gives an empty result.
+any length are encoded whole. Of equal ranks the leftmost pair merges first. Rows
+with equal ids are separate rows; the kept columns are handed on whatever their
+names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .session import lean
+from .session import lean, numbered
 
 INF = np.iinfo(np.int64).max
-#: Words kept encoded by a worker before it starts anew.
-KEPT_WORDS = 200_000
+#: Bytes of words that a worker keeps encoded before it starts anew, and the cost of a word beside its bytes.
+KEPT_BYTES, WORD_COST = 16 << 20, 200
 #: Encoded documents handed on at once, in bytes of text.
-HAND_ON = 1 << 20
+HAND_ON = 1 << 18
 
 
 def byte_symbols() -> list[str]:
@@ -57,7 +60,7 @@ class Codec:
         self.token |= {i: t for t, i in self.special.items()}
         split = file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pattern = regex.compile(split)
-        self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
+        self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         shown = byte_symbols()
         self.inner = np.array([vocab[s] for s in shown], dtype=np.int64)
         self.last = np.array([vocab[s + end] for s in shown], dtype=np.int64)
@@ -67,6 +70,7 @@ class Codec:
         order = np.argsort(code)
         self.code, self.rank, self.into = code[order], order, into
         self.words: dict[str, list[int]] = {}
+        self.kept = 0
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 for pairs that don't merge."""
@@ -165,12 +169,13 @@ class Codec:
         return self.pattern.findall(text)
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        cut = [list(self.pieces(t)) if "<|" in t else self._split(t) for t in texts]
+        cut = [list(self.pieces(t)) if self.cut and self.cut.search(t) else self._split(t) for t in texts]
         new = {w for words in cut for w in words if type(w) is str and w not in self.words}
-        if len(self.words) + len(new) > KEPT_WORDS:
-            self.words = {}
+        if self.kept > KEPT_BYTES:
+            self.words, self.kept = {}, 0
             new = {w for words in cut for w in words if type(w) is str}
         new = list(new)
+        self.kept += sum(WORD_COST + 9 * len(w) for w in new)
         self.words |= zip(new, self.merge([w.encode() for w in new]), strict=True)
         known = self.words
         out = []
@@ -210,16 +215,16 @@ def _encode(source: str):
     return scan
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep=("doc_id",)) -> DataFrame:
-    """The kept columns with ``token_ids``, ``n_tokens`` and ``decoded`` of every row.
+def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep=("doc_id",), into=("token_ids", "n_tokens", "decoded")) -> DataFrame:
+    """The kept columns with the ids, their number and the decoded text of every row, named by ``into``.
 
     ``vocabulary`` is the path of a tokenizer file that the driver can read.
     """
     with open(vocabulary, encoding="utf-8") as f:
         source = f.read()
-    picked = docs.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(lean(_encode(source)), f"{kinds}, {OUT}")
+    picked = numbered(docs.select(*[F.col(c) for c in keep], F.col(text).cast("string")))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
+    return picked.mapInArrow(lean(_encode(source)), f"{kinds}, {OUT}").toDF(*keep, *into)
 
 
 def digests(encoded: DataFrame, *keep: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .components import components
+from .components import again, components
 from .session import cut, lean
 
 #: Counters of the shingle-frequency sketch, and the multiple of the mean that counts as frequent.
@@ -440,8 +440,8 @@ def _named(full: DataFrame, joined: DataFrame, least) -> DataFrame:
     """``(cls, least)``: of each class the least over its component."""
     classes = full.groupBy("cls").agg(least.alias("least")).join(joined, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("component", "cls").alias("component"))
     classes = cut(classes)
-    named = classes.groupBy("component").agg(F.min("least").alias("component_least"))
-    return classes.join(named, "component").select("cls", F.col("component_least").alias("least"))
+    named = classes.groupBy("component").agg(F.min("least").alias("component_least")).select(again("component").alias("component"), "component_least")
+    return classes.join(named, "component").select(again("cls").alias("cls"), F.col("component_least").alias("least"))
 
 
 def jaccard_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80, k: int = K.SHINGLE) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes handled at once; one longer document is handled alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 256 << 10
 SHINGLE = 5
 
 
@@ -27,33 +27,80 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BASE = U(0x5851F42D4C957F2D)
-BASE_INVERSE = U(pow(int(BASE), -1, 1 << 64))
-BYTE_CODE = mix(np.arange(256, dtype=U))
+#: Random values of bytes at the first places of a span; later places are mixed as they come.
+NEAR = mix(np.arange(64 << 8, dtype=U))
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def powers(n: int, of: np.uint64) -> np.ndarray:
-    out = np.full(n, of, dtype=U)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
-
+class Rolling:
+    """Polynomial hashes modulo 2^64 of any spans of a chunk. They choose what meets and never decide that two spans are equal:
+    for some families of strings (Thue-Morse words) such hashes agree whatever the base."""
 
-class Powers:
-    """Powers of the hash base and of its inverse, grown on demand."""
+    BASE = U(0x5851F42D4C957F2D)
+    INVERSE = U(pow(0x5851F42D4C957F2D, -1, 1 << 64))
+    CODE = mix(np.arange(256, dtype=U))
 
     def __init__(self) -> None:
         self.up = self.down = np.ones(1, dtype=U)
 
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > 4 * CHUNK_BYTES:  # of a single long text: not to be kept
+            return _powers(n, self.BASE), _powers(n, self.INVERSE)
         if len(self.up) < n:
-            self.up, self.down = powers(n, BASE), powers(n, BASE_INVERSE)
+            self.up, self.down = _powers(n, self.BASE), _powers(n, self.INVERSE)
         return self.up[:n], self.down[:n]
 
+    def prefix(self, data: np.ndarray) -> np.ndarray:
+        up, self.shift = self._powers(len(data) + 1)
+        out = np.zeros(len(data) + 1, dtype=U)
+        np.cumsum(self.CODE[data] * up[: len(data)], out=out[1:])
+        return out
+
+    def spans(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((prefix[ends] - prefix[starts]) * self.shift[starts] + (ends - starts).astype(U))
+
+
+def _powers(n: int, of: np.uint64) -> np.ndarray:
+    out = np.full(n, of, dtype=U)
+    if n:
+        out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def span_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit names of ascending spans that don't overlap: sums of random values, one for each (byte, place in its span).
+
+    Two different spans share a name with a chance of about 2^-64 whatever their
+    bytes; different seeds give independent names.
+    """
+    out = np.zeros(len(starts), dtype=U)
+    turn = mix(np.array([seed], dtype=U))[0] if seed else U(0)
+    # a slice of bytes at a time, so that a long text needs no more memory than a chunk
+    for lo in range(0, len(data), CHUNK_BYTES):
+        hi = min(len(data), lo + CHUNK_BYTES)
+        a, b = int(np.searchsorted(ends, lo, side="right")), int(np.searchsorted(starts, hi, side="left"))
+        if a >= b:
+            continue
+        begin = np.zeros(hi - lo, np.int64)
+        inner = starts[a:b]
+        begin[0] = inner[0]
+        inside = inner[inner >= lo]
+        begin[inside - lo] = inside
+        place = np.arange(lo, hi) - np.maximum.accumulate(begin)
+        code = place.astype(U) << U(8) | data[lo:hi]
+        near = place < 64
+        if near.all():
+            value = NEAR[code] if not seed else mix(code ^ turn)
+        else:
+            value = mix(code ^ turn)
+        total = np.zeros(hi - lo + 1, dtype=U)
+        np.cumsum(value, out=total[1:])
+        out[a:b] += total[np.clip(ends[a:b], lo, hi) - lo] - total[np.clip(starts[a:b], lo, hi) - lo]
+    return mix(out ^ (ends - starts).astype(U) * U(0x9E3779B97F4A7C15))
+
 
 def packed(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (from 0) of a string column; null as empty."""
@@ -106,26 +153,16 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPAC
 
 
 class Words:
-    """Hashes of the words of a packed chunk."""
+    """Names of the words of a packed chunk."""
 
     def __init__(self, fold=LOWER, between=SPACE) -> None:
-        self.powers, self.fold, self.between = Powers(), fold, between
-
-    def prefix(self, data: np.ndarray) -> np.ndarray:
-        up, _ = self.powers(len(data) + 1)
-        out = np.zeros(len(data) + 1, dtype=U)
-        np.cumsum(BYTE_CODE[data] * up[: len(data)], out=out[1:])
-        return out
-
-    def span_hash(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        _, down = self.powers(len(prefix))
-        return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U))
+        self.fold, self.between = fold, between
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray):
-        """(word hashes, first word of each document)."""
+        """(word names, first word of each document)."""
         data = self.fold[data]
         starts, ends, first = word_spans(data, offsets, self.between)
-        return self.span_hash(self.prefix(data), starts, ends), first
+        return span_names(data, starts, ends), first
 
 
 SLOT = mix(np.arange(1000, 1000 + SHINGLE, dtype=U)) | U(1)

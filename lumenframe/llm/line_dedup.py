@@ -1,7 +1,7 @@
 """Line dedup by a segment-partition edit join.
 
 Lines (between ``\\n``) are compared by their bytes without white space at either
-end. Two lines match when they are equal or, if both have at least ``SHORTEST``
+end. Two lines match when they are equal or, if both have at least ``shortest``
 bytes, when their edit distance (insertions, deletions, substitutions of bytes
 of UTF-8) is at most ``edits``. Matches join into classes; of a class the first
 occurrence by (document id, position) stays, the others are removed. Blank
@@ -17,10 +17,12 @@ four bits) and are verified by a banded bit-parallel edit distance. Equal lines
 are one line throughout. A key that more than ``RUN`` lines share is handed on
 as tiles that are compared two by two.
 
-Lines are told apart by 64-bit hashes. Positions are (id, text hash, line
-number): rows with equal ids and texts are treated alike, null ids come last.
-A null text has no lines and stays null. The other columns are handed on as
-they are. An empty table gives an empty result.
+Lines are told apart by two independent 64-bit names: 10^12 different lines
+hold two that agree in both with a chance below 10^-14. Positions are (id, text
+hash, line number): rows with equal ids and texts are treated alike, null ids
+come last. A null text has no lines and stays null. The other columns are
+handed on as they are, whatever their names; the two counts come last, named as
+``counts`` says. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,11 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .components import components
-from .jaccard_join import FILTER_BITS, _filter_at, _filter_bits
-from .session import cut, lean
+from .components import again, components
+from .jaccard_join import _filter_at, _filter_bits
+from .session import cut, lean, numbered
 
+#: Edits that a match may have, and bytes of the shortest line that is compared by edits: parameters of the operator.
 EDITS, SHORTEST = 2, 16
+#: The band of 2 edits + 1 rows lies in one word of 64 bits.
+MOST_EDITS = 30
 RUN, TILE = 256, 2048
 
 U = np.uint64
@@ -84,21 +89,24 @@ def segments(length: np.ndarray, number: int, parts: int) -> tuple[np.ndarray, n
 
 
 class Lines:
-    """Hashes, sketches and join keys of the lines of packed texts."""
+    """Names, sketches and join keys of the lines of packed texts."""
 
     def __init__(self, edits: int) -> None:
-        self.words, self.edits = K.Words(), edits
+        self.rolling, self.edits = K.Rolling(), edits
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray):
         self.data = data
-        self.prefix = self.words.prefix(data)
         document, number, self.starts, self.ends = line_spans(data, offsets)
-        self.names = self.words.span_hash(self.prefix, self.starts, self.ends).view(np.int64)
+        self.names = K.span_names(data, self.starts, self.ends).view(np.int64)
         return document, number, self.ends > self.starts
 
+    def checks(self) -> np.ndarray:
+        """The lines' second names."""
+        return K.span_names(self.data, self.starts, self.ends, seed=1).view(np.int64)
+
     def sketches(self, at: np.ndarray) -> np.ndarray:
         """Parity of each line's byte pairs in 64 bits."""
-        pair = K.BYTE_CODE[self.data[:-1]] * U(3) + K.BYTE_CODE[self.data[1:]] if len(self.data) > 1 else np.zeros(0, U)
+        pair = self.data[:-1].astype(U) << U(8) | self.data[1:] if len(self.data) > 1 else np.zeros(0, U)
         flips = np.zeros(len(self.data) + 1, U)
         np.bitwise_xor.accumulate(U(1) << (K.mix(pair) >> U(58)), out=flips[1 : len(pair) + 1])
         return flips[np.maximum(self.ends[at] - 1, self.starts[at])] ^ flips[self.starts[at]]
@@ -106,6 +114,7 @@ class Lines:
     def keys(self, at: np.ndarray):
         """(key, is it an index entry) arrays, one after another, for the given lines."""
         starts, length, parts = self.starts[at], (self.ends - self.starts)[at], self.edits + 1
+        prefix = self.rolling.prefix(self.data)
         for shorter in range(self.edits + 1):
             target = length - shorter
             for i in range(parts):
@@ -116,7 +125,7 @@ class Lines:
                     begin = starts + where + shift
                     fits = (where + shift >= 0) & (where + shift + size <= length)
                     begin = np.where(fits, begin, starts)
-                    key = self.words.span_hash(self.prefix, begin, begin + size) ^ K.mix((target * parts + i).astype(U))
+                    key = self.rolling.spans(prefix, begin, begin + size) ^ K.mix((target * parts + i).astype(U))
                     yield fits, K.mix(key).view(np.int64), shorter == 0 and shift == 0
 
 
@@ -128,23 +137,28 @@ def _occurrences(edits: int):
             for a, b in K.chunks(offsets):
                 document, number, solid = lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 take = pa.array(document[solid] + a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(number[solid]), pa.array(lines.names[solid])], names=["id", "th", "line", "name"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(number[solid]), pa.array(lines.names[solid]), pa.array(lines.checks()[solid])], names=["id", "th", "line", "name", "check"])
 
     return scan
 
 
-def _keyed(edits: int):
+#: Names that a task remembers as handed on, by their last bits.
+REMEMBERED = 1 << 17
+
+
+def _keyed(edits: int, shortest: int):
     def scan(batches):
-        lines = Lines(edits)
+        lines, told = Lines(edits), np.zeros(REMEMBERED, np.int64)
         for batch in batches:
             data, offsets = K.packed(batch.column(0))
             for a, b in K.chunks(offsets):
                 _, _, solid = lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 names, at = np.unique(lines.names, return_index=True)
-                fine = solid[at] & (lines.ends[at] - lines.starts[at] >= SHORTEST)
+                fine = solid[at] & (lines.ends[at] - lines.starts[at] >= shortest) & (told[names & REMEMBERED - 1] != names)
                 names, at = names[fine], at[fine]
                 if not len(at):
                     continue
+                told[names & REMEMBERED - 1] = names
                 sketch = lines.sketches(at).view(np.int64)
                 for fits, key, index in lines.keys(at):
                     yield pa.RecordBatch.from_arrays([pa.array(key[fits]), pa.array(names[fits]), pa.array(sketch[fits]), pa.array(np.full(fits.sum(), index))], names=["key", "name", "sketch", "indexed"])
@@ -290,7 +304,7 @@ def within(patterns: list[bytes], texts: list[bytes], edits: int) -> np.ndarray:
 def _verify(edits: int):
     def scan(batches):
         for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            a, b = batch.column(4).to_pylist(), batch.column(5).to_pylist()
             order = sorted(range(len(a)), key=lambda i: len(a[i]))
             keep = np.zeros(len(a), bool)
             at = 0
@@ -302,7 +316,7 @@ def _verify(edits: int):
                 some = order[at:to]
                 keep[some] = within([a[i] for i in some], [b[i] for i in some], edits)
                 at = to
-            yield batch.select([0, 1]).filter(pa.array(keep))
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(keep))
 
     return scan
 
@@ -315,18 +329,19 @@ def _texts(edits: int, bits: np.ndarray):
             for a, b in K.chunks(offsets):
                 part = data[offsets[a] : offsets[b]]
                 _, _, solid = lines(part, offsets[a : b + 1] - offsets[a])
-                names, at = np.unique(lines.names, return_index=True)
+                _, at = np.unique(np.stack((lines.names, lines.checks())), axis=1, return_index=True)
+                names = lines.names[at]
                 fine = solid[at] & bit[_filter_at(names)]
                 if fine.any():
                     names, at = names[fine], at[fine]
-                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([part[lines.starts[i] : lines.ends[i]].tobytes() for i in at], pa.binary())], names=["name", "bytes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(lines.checks()[at]), pa.array([part[lines.starts[i] : lines.ends[i]].tobytes() for i in at], pa.binary())], names=["name", "check", "bytes"])
 
     return scan
 
 
-def links(texts: DataFrame, edits: int = EDITS) -> DataFrame:
-    """``(a, b)``: verified matches between hashes of different lines of a one-column frame of texts."""
-    keyed = texts.mapInArrow(lean(_keyed(edits)), "key long, name long, sketch long, indexed boolean")
+def links(texts: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
+    """``(a, b)``: verified matches between different lines of a one-column frame of texts, each a pair of names."""
+    keyed = texts.mapInArrow(lean(_keyed(edits, shortest)), "key long, name long, sketch long, indexed boolean")
     found = cut(keyed.repartition("key").sortWithinPartitions("key", "name").mapInArrow(lean(_runs(edits)), PAIRED).distinct())
     pairs, crowd = found.where("key is null").select("a", "b"), found.where("key is not null")
     if not crowd.isEmpty():
@@ -334,9 +349,11 @@ def links(texts: DataFrame, edits: int = EDITS) -> DataFrame:
         dealt = crowd.join(counted, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         dealt = dealt.select("key", "a", "sketch", "indexed", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), (F.col("tile") > F.col("other")).alias("side"))
         pairs = cut(pairs.unionAll(dealt.groupBy("key", "i", "j").applyInArrow(_tiles(edits), "a long, b long")).distinct())
-    bytes_of = cut(texts.mapInArrow(lean(_texts(edits, _filter_bits(pairs.select(F.explode(F.array("a", "b")))))), "name long, bytes binary").dropDuplicates(["name"]))
-    side = lambda s: bytes_of.select(F.col("name").alias(s), F.col("bytes").alias(f"bytes_{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "bytes_a", "bytes_b").mapInArrow(lean(_verify(edits)), "a long, b long")
+    bytes_of = cut(texts.mapInArrow(lean(_texts(edits, _filter_bits(pairs.select(F.explode(F.array("a", "b")))))), "name long, check long, bytes binary").dropDuplicates(["name", "check"]))
+    side = lambda s: bytes_of.select(F.col("name").alias(s), F.col("check").alias(f"check_{s}"), F.col("bytes").alias(f"bytes_{s}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "check_a", "b", "check_b", "bytes_a", "bytes_b")
+    fine = met.mapInArrow(lean(_verify(edits)), "a long, check_a long, b long, check_b long")
+    return fine.select(F.struct(F.col("a").alias("name"), F.col("check_a").alias("check")).alias("a"), F.struct(F.col("b").alias("name"), F.col("check_b").alias("check")).alias("b"))
 
 
 def _apply(at: int):
@@ -358,23 +375,29 @@ def _apply(at: int):
                     text[i] = "\n".join(x for k, x in enumerate(parts) if k not in drop)
             columns = [*batch.columns[:-1], pa.array(lines, pa.int64()), pa.array(removed, pa.int64())]
             columns[at] = pa.array(text, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "__lines", "__removed"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "lines", "removed"])
 
     return scan
 
 
-def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS, counts=("n_lines", "n_removed")) -> DataFrame:
+def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS, shortest: int = SHORTEST, counts=("n_lines", "n_removed")) -> DataFrame:
     """All rows and columns of docs, the text without its removed lines, and two counts of lines with content."""
-    order = F.coalesce(F.col(id).cast("long"), F.lit(LAST_ID))
-    keyed = docs.select(order.alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).cast("string").alias("text")).where("text is not null")
-    seen = keyed.mapInArrow(lean(_occurrences(edits)), "id long, th long, line long, name long")
-    classes = cut(components(links(keyed.select("text"), edits), "a", "b"))
+    if not 0 <= edits <= MOST_EDITS:
+        raise ValueError(f"edits must lie between 0 and {MOST_EDITS}")
+    plain = numbered(docs)
+    place, body = docs.columns.index(id), docs.columns.index(text)
+    order, words = F.coalesce(F.col(f"c{place}").cast("long"), F.lit(LAST_ID)), F.col(f"c{body}").cast("string")
+    keyed = plain.select(order.alias("id"), F.xxhash64(words).alias("th"), words.alias("text")).where("text is not null")
+    seen = keyed.mapInArrow(lean(_occurrences(edits)), "id long, th long, line long, name long, check long")
+    seen = seen.select("id", "th", "line", F.struct("name", "check").alias("name"))
+    classes = cut(components(links(keyed.select("text"), edits, shortest), "a", "b"))
     seen = seen.join(classes, seen.name == classes.node, "left").select("id", "th", "line", F.coalesce("component", "name").alias("cls"))
     firsts = seen.groupBy("cls").agg(F.min(F.struct("id", "th", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = seen.join(firsts, "cls").where("struct(id, th, line) <> first").groupBy("id", "th").agg(F.collect_set("line").alias("__gone"))
-    marked = docs.withColumn("__id", order).withColumn("__th", F.xxhash64(F.col(text)))
-    gone = gone.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "__gone")
-    joined = marked.join(gone, ["__id", "__th"], "left").select(*[F.col(c) for c in docs.columns], "__gone")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = joined.mapInArrow(lean(_apply(docs.columns.index(text))), f"{kinds}, __lines long, __removed long")
-    return out.withColumnsRenamed({"__lines": counts[0], "__removed": counts[1]})
+    # the class is named anew, so that the join deals out both sides itself and may split a frequent line's occurrences
+    firsts = firsts.select(again("cls").alias("cls"), "first")
+    gone = seen.join(firsts, "cls").where("struct(id, th, line) <> first").groupBy("id", "th").agg(F.collect_set("line").alias("gone"))
+    joined = plain.withColumns({"own_id": order, "own_th": F.xxhash64(words)}).join(gone, (F.col("own_id") == F.col("id")) & (F.col("own_th") == F.col("th")), "left")
+    kinds = ", ".join(f"{f.name} {'string' if i == body else f.dataType.simpleString()}" for i, f in enumerate(plain.schema.fields))
+    picked = [words.alias(f"c{body}") if i == body else F.col(c) for i, c in enumerate(plain.columns)]
+    out = joined.select(*picked, "gone").mapInArrow(lean(_apply(body)), f"{kinds}, lines long, removed long")
+    return out.toDF(*docs.columns, *counts)

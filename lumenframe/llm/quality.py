@@ -5,8 +5,10 @@ nothing. Expectation-maximisation over the counts of vote patterns, of all
 documents, estimates how each heuristic votes on good and on bad documents
 (no labels are used); a pattern then has a posterior probability of good. A
 linear scorer over hashed word shapes is trained on the posteriors of a sample
-of at most ``SAMPLE`` documents (smallest hashes of the id) and scores every
-document whole; ``keep`` is a score of one half or more.
+of at most ``SAMPLE`` different rows (smallest hashes of id and text) and scores
+every document whole; ``keep`` is a score of one half or more, and so is a tie.
+Every statistic is taken over the whole text; short texts are drawn to a value
+without a vote by ``SHRINK`` words, with no limit at which they are treated apart.
 
 A shape is a word with runs of capitals, of other letters and of digits reduced
 to A, a and 0; a word equal to the one before has a mark of its own.
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .samples import hashed_sample, with_texts
+from .samples import sampled_texts
 from .session import lean
 
 SAMPLE = 12_000
@@ -37,12 +39,16 @@ LABELLERS = [
     ("capitals", 0.35, 0.10),
     ("lone_symbols", 0.15, 0.02),
     ("repeats", 0.20, 0.05),
-    ("sameness", 0.85, 0.75),
+    ("sameness", 0.55, 0.40),
     ("symbols", 0.12, 0.06),
     ("shouts", 0.15, 0.03),
     ("no_short_words", 0.92, 0.80),
 ]
 NAMES = [n for n, _, _ in LABELLERS]
+#: Words of a stretch, within which ``sameness`` counts words that stand again; all stretches of a text count.
+STRETCH = 100
+#: Value that short texts are drawn to, by SHRINK words: between the two votes.
+MIDDLE = {name: (bad + good) / 2 for name, bad, good in LABELLERS}
 
 CLASS = np.arange(256, dtype=np.uint8)
 CLASS[97:123] = CLASS[128:] = ord("a")
@@ -58,16 +64,13 @@ SMALL[97:123] = True
 class Style:
     """Word shapes and style statistics of packed texts."""
 
-    def __init__(self) -> None:
-        self.words, self.shapes = K.Words(), K.Words()
-
     def __call__(self, data: np.ndarray, offsets: np.ndarray):
         """(hashed shape of each word, first word of each document, {statistic: by document})."""
         starts, ends, first = K.word_spans(data, offsets)
         rows, n = len(offsets) - 1, np.maximum(1, np.diff(first))
         if not len(starts):
             return np.zeros(0, np.int64), first, {name: np.zeros(rows) for name in NAMES}
-        hashes = self.words.span_hash(self.words.prefix(K.LOWER[data]), starts, ends)
+        hashes = K.span_names(K.LOWER[data], starts, ends)
         again = np.zeros(len(starts), bool)
         again[1:] = hashes[1:] == hashes[:-1]
         inner = first[1:-1][first[1:-1] < len(again)]
@@ -77,7 +80,7 @@ class Style:
         turn[1:] = classes[1:] != classes[:-1]
         turn[starts] = True
         rank = np.concatenate(([0], np.cumsum(turn)))
-        shape = self.shapes.span_hash(self.shapes.prefix(classes[turn]), rank[starts], rank[ends])
+        shape = K.span_names(classes[turn], rank[starts], rank[ends])
         shape = np.where(again, np.uint64(12345), shape)
         symbol, capital = ASCII_SYMBOL[data], CAPITAL[data]
         count = lambda x: np.concatenate(([0], np.cumsum(x)))
@@ -88,28 +91,28 @@ class Style:
         tail, total = data[ends - 1], count(pairs)
         letters = by_byte(capital) + by_byte(SMALL[data])
         row = np.repeat(np.arange(rows), np.diff(first))
-        kinds = np.bincount(_distinct_rows(row, hashes), minlength=rows)
-        few = np.diff(first) < 30
+        stretch = (np.arange(len(starts)) - first[:-1][row]) // STRETCH
+        known = np.bincount(_distinct_rows(row, stretch, hashes), minlength=rows)
         length = ends - starts
         stats = {
             "symbol_words": by_word(total[ends] - total[starts] > 0),
             "capitals": by_byte(capital) / (letters + 2 * SHRINK),
             "lone_symbols": by_word((length == 1) & symbol[starts]),
             "repeats": by_word(again),
-            "sameness": np.where(few, 0.8, 1 - kinds / np.minimum(n, 400)),
+            "sameness": (np.diff(first) - known + SHRINK * MIDDLE["sameness"]) / (n + SHRINK),
             "symbols": by_byte(symbol) / (np.diff(offsets) + 4 * SHRINK),
             "shouts": by_word(tail == ord("!")),
-            "no_short_words": np.where(few, 0.85, 1 - by_word((length <= 3) & ~symbol[starts])),
+            "no_short_words": (np.diff(first) - K.sums((length <= 3) & ~symbol[starts], first) + SHRINK * MIDDLE["no_short_words"]) / (n + SHRINK),
         }
         return (shape >> np.uint64(64 - DIMENSION_BITS)).astype(np.int64), first, stats
 
 
-def _distinct_rows(row: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """The row of every distinct (row, hash)."""
-    order = np.lexsort((hashes, row))
-    r, h = row[order], hashes[order]
+def _distinct_rows(row: np.ndarray, stretch: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The row of every distinct (row, stretch, hash)."""
+    order = np.lexsort((hashes, stretch, row))
+    r, s, h = row[order], stretch[order], hashes[order]
     new = np.ones(len(r), bool)
-    new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
+    new[1:] = (r[1:] != r[:-1]) | (s[1:] != s[:-1]) | (h[1:] != h[:-1])
     return r[new]
 
 
@@ -211,8 +214,7 @@ def classify(docs: DataFrame, id: str = "doc_id", text: str = "text", sample: in
     good, _, _ = label_model(patterns, counts)
     posterior = np.full(3 ** len(LABELLERS), np.nan)
     posterior[patterns] = good
-    picked = with_texts(docs, hashed_sample(docs.select(F.col(id)).distinct(), id, sample), id, text)
-    got = picked.where("trim(text) <> ''").select("text").mapInArrow(lean(_sampled), "pattern long, shapes binary, shares binary").toArrow()
+    got = sampled_texts(docs, id, text, sample).where("trim(text) <> ''").select("text").mapInArrow(lean(_sampled), "pattern long, shapes binary, shares binary").toArrow()
     target = posterior[got.column("pattern").to_numpy()] if got.num_rows else np.zeros(0)
     fine = ~np.isnan(target)
     read = lambda name, kind: [np.frombuffer(x, kind) for x, ok in zip(got.column(name).to_pylist(), fine, strict=True) if ok]

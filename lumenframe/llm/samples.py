@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def hashed_sample(rows: DataFrame, id: str, bound: int) -> DataFrame:
-    """At most ``bound`` rows, those with the smallest hashes of their id; the same rows however the table is dealt."""
-    return rows.where(F.col(id).isNotNull()).orderBy(F.xxhash64(id), id).limit(bound)
+def sampled_texts(docs: DataFrame, id: str, text: str, bound: int) -> DataFrame:
+    """``(id, th, text)`` of at most ``bound`` different rows, those with the smallest hashes of id and text.
 
-
-def with_texts(docs: DataFrame, sample: DataFrame, id: str, text: str) -> DataFrame:
-    """Texts of the sampled rows. The sample is bounded by ``hashed_sample``, so it may be broadcast."""
-    return docs.select(F.col(id), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), id)
+    The same rows however the table is dealt and however often a row is repeated; rows with a null id or text take no part.
+    """
+    rows = docs.select(F.col(id).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text"))
+    rows = rows.where("id is not null and text is not null")
+    chosen = rows.select("id", "th").distinct().orderBy(F.xxhash64("id", "th"), "id", "th").limit(bound)
+    return rows.join(F.broadcast(chosen), ["id", "th"]).dropDuplicates(["id", "th"])

@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); one of our own only where none is set."""
+    """The shared folder of the cluster (``spark.checkpoint.dir``); one of our own only in a local session where none is set."""
     sc = spark.sparkContext
     told = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if told:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(told)
         return told
+    if not sc.isLocal:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
@@ -29,6 +31,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns named c0, c1, ...: no name of a caller's column can clash with one of our own."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def _trim() -> None:
     """Hands freed memory back: a worker that waits for its next task should not keep what its last one needed."""
     import ctypes

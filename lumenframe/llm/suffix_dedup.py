@@ -13,29 +13,32 @@ documents; null texts are empty.
   their number up to ``MOST_BITS``, spares the others the next step (a wrong bit
   costs a row and changes nothing).
 * Around each shared anchor lies the region of the strings it anchors. Regions
-  meet by anchor. Within an anchor a region is cut down to what could repeat:
-  as far to either side as it agrees with some other region. What is left is
-  collapsed by content; if one content is left, all its strings repeat. Else the
-  suffix array of the contents (suffix_array.py) is built, neighbours in it that
-  agree in LENGTH bytes are one string, and the smallest id of each string
-  decides for every region that holds it.
+  meet by anchor, which is all that anchors decide. Of the regions of an anchor,
+  equal ones are one content with the smallest of their ids. All contents go
+  into suffix arrays (linear grouping, suffix_array.py), as many whole anchors to
+  an array as ``ARRAY_BYTES`` hold: neighbours in an array that have a common
+  prefix of LENGTH bytes begin one string, and the smallest id of such a run
+  decides for every region that holds the string.
 
 Null ids come after all others and remove nothing from each other. Rows with
-equal ids never remove from one another; their texts are told apart by TAG_BITS
-bits of their hashes. Texts of any length are taken whole.
-Only the two named columns are read. An empty table gives an empty result.
+equal ids never remove from one another; they are told apart by 64-bit hashes
+of their texts, so among n rows of one id about n^2 / 2^65 pairs are expected
+to share their spans (spans that a text has no room for are left out). Equal
+texts are known by MD5. Texts of any length are taken whole, in pieces. Only
+the two named columns are read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .language_model import squeeze, unsqueeze
-from .session import cut, lean, partitions
+from .session import cut, lean
 from .suffix_array import suffix_array
 
 LENGTH, GRAM = 50, 24
@@ -43,10 +46,14 @@ LENGTH, GRAM = 50, 24
 SIDES = LENGTH - GRAM
 KEY_BITS, MOST_BITS = 48, 28
 #: Piece of a text handled at once, and bytes of contents in one suffix array.
-PIECE, ARRAY_BYTES = 1 << 20, 1 << 16
-#: Rows of one anchor taken at once, more come in slabs in order of id; rows read at once.
+PIECE, ARRAY_BYTES = 256 << 10, 1 << 16
+#: Rows of one anchor taken at once, more come in slabs in order of id (at least twice as many as there are contents so far); rows read at once.
 SLAB, STEP = 1 << 16, 1 << 14
+#: Rows that a task remembers as seen, by the last bits of their hashes.
+REMEMBERED = 1 << 16
 LAST_ID = (1 << 63) - 1
+#: Anchors asked of a shard.
+SHARD_KEYS = 2 << 20
 #: Duplicate texts are joined by broadcast up to so many, counted first.
 BROADCAST_TEXTS = 200_000
 
@@ -63,32 +70,50 @@ def least_in_windows(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-class Anchors:
-    """Anchors of all strings of packed texts."""
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number."""
+    return np.ndarray((max(0, len(data) - 7),), "<u8", np.ascontiguousarray(data), strides=(1,))
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray):
+    """For each run of strings with one anchor: (document, first and last start, anchor, hash)."""
+    if len(data) < LENGTH:
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, U),)
+    word = eights(data)
+    hashes = K.mix(K.mix(K.mix(word[:-16]) ^ word[8:-8]) ^ word[16:])
+    at = np.arange(len(hashes))
+    least = least_in_windows((hashes >> U(24) << U(24)) | at.astype(U), SIDES + 1)
+    anchor = (least & U(0xFFFFFF)).astype(np.int64)
+    start = np.arange(len(anchor))
+    document = np.searchsorted(offsets, start, side="right") - 1
+    inside = start + LENGTH <= offsets[document + 1]
+    start, anchor, document = start[inside], anchor[inside], document[inside]
+    if not len(start):
+        return document, start, start, anchor, hashes[:0]
+    new = np.ones(len(start), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (document[1:] != document[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(start)) - 1
+    return document[first], start[first], start[last], anchor[first], hashes[anchor[first]]
+
+
+class Remembered:
+    """Rows that a task has seen: a row that stands many times is read about once a task."""
 
     def __init__(self) -> None:
-        self.words = K.Words()
-
-    def __call__(self, data: np.ndarray, offsets: np.ndarray):
-        """For each run of strings with one anchor: (document, first and last start, anchor, hash)."""
-        if len(data) < LENGTH:
-            return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, U),)
-        prefix = self.words.prefix(data)
-        at = np.arange(len(data) - GRAM + 1)
-        hashes = self.words.span_hash(prefix, at, at + GRAM)
-        least = least_in_windows((hashes >> U(24) << U(24)) | at.astype(U), SIDES + 1)
-        anchor = (least & U(0xFFFFFF)).astype(np.int64)
-        start = np.arange(len(anchor))
-        document = np.searchsorted(offsets, start, side="right") - 1
-        inside = start + LENGTH <= offsets[document + 1]
-        start, anchor, document = start[inside], anchor[inside], document[inside]
-        if not len(start):
-            return document, start, start, anchor, hashes[:0]
-        new = np.ones(len(start), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (document[1:] != document[:-1])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(start)) - 1
-        return document[first], start[first], start[last], anchor[first], hashes[anchor[first]]
+        self.rows = np.zeros((REMEMBERED, 2), np.int64)
+
+    def new(self, id: int, th: int) -> bool:
+        slot = self.rows[(th ^ id) & REMEMBERED - 1]
+        if slot[0] == id and slot[1] == th:
+            return False
+        slot[:] = id, th
+        return True
+
+    def column(self, batch) -> pa.Array:
+        """The texts (third column) of a batch's new rows, null for the others."""
+        fresh = [self.new(i, t) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        return batch.column(2) if all(fresh) else pa.compute.if_else(pa.array(fresh), batch.column(2), pa.scalar(None, batch.column(2).type))
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray):
@@ -110,9 +135,9 @@ def _ask(shards: int):
     bounds = (np.arange(1, shards) * ((1 << KEY_BITS) / shards)).astype(U)
 
     def scan(batches):
-        anchors = Anchors()
+        seen = Remembered()
         for batch in batches:
-            data, offsets = K.packed(batch.column(0))
+            data, offsets = K.packed(seen.column(batch))
             for _, rows, part, _ in pieces(data, offsets):
                 document, _, _, _, hashes = anchors(part, rows)
                 keys = hashes >> U(64 - KEY_BITS)
@@ -168,107 +193,65 @@ def _bits(bits: int):
     return scan
 
 
-#: place packs the text's tag, the anchor's place in the text, and how far the first and the last string begin before it.
-REGION = "key long, id long, place long, sides binary"
-TAG_BITS, STEP_BITS = 22, 5
+REGION = "key long, id long, th long, place long, region binary"
 
 
 def _regions(table, bits: int):
     def scan(batches):
-        anchors, bit = Anchors(), table.value
+        seen, bit = Remembered(), table.value
         for batch in batches:
-            data, offsets = K.packed(batch.column(2))
+            data, offsets = K.packed(seen.column(batch))
             for row, rows, part, place in pieces(data, offsets):
-                document, first, last, anchor, hashes = anchors(part, rows)
+                document, first, last, _, hashes = anchors(part, rows)
                 at = (hashes >> U(64 - bits)).astype(np.int64)
                 take = np.flatnonzero((bit[at >> 3] >> (at & 7)) & 1)
                 if not len(take):
                     continue
-                document, first, last, anchor, hashes = (x[take] for x in (document, first, last, anchor, hashes))
+                document, first, last, hashes = (x[take] for x in (document, first, last, hashes))
                 who = pa.array(document + row)
                 text = part.tobytes()
-                # the anchor itself is known by its hash
-                blobs = [text[s:m] + text[m + GRAM : e + LENGTH] for s, m, e in zip(first.tolist(), anchor.tolist(), last.tolist(), strict=True)]
-                packed = (batch.column(1).take(who).to_numpy() << 31) + anchor - rows[document] + place
-                packed = (packed << STEP_BITS | (anchor - first)) << STEP_BITS | (anchor - last)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column(0).take(who), pa.array(packed), pa.array(blobs, pa.binary())], names=["key", "id", "place", "sides"])
+                blobs = [text[s : e + LENGTH] for s, e in zip(first.tolist(), last.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column(0).take(who), batch.column(1).take(who), pa.array(first - rows[document] + place), pa.array(blobs, pa.binary())], names=["key", "id", "th", "place", "region"])
 
     return scan
 
 
-def agreement(key: np.ndarray, side: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """How many bytes of a side a row has in common with the row of its key that agrees most."""
-    wide = np.zeros((len(key), 32), np.uint8)
-    wide[:, : side.shape[1]] = side
-    word = wide.view(">u8").astype(U)
-    order = np.lexsort((word[:, 3], word[:, 2], word[:, 1], word[:, 0], key))
-    a, b = order[:-1], order[1:]
-    differ = side[a] != side[b]
-    same = np.where(differ.any(axis=1), differ.argmax(axis=1), side.shape[1])
-    same = np.where(key[a] == key[b], np.minimum(same, np.minimum(size[a], size[b])), -1)
-    out = np.full(len(key), -1)
-    np.maximum.at(out, a, same)
-    np.maximum.at(out, b, same)
-    return out
+class Regions:
+    """Rows of whole anchors, sorted by anchor."""
+
+    def __init__(self, key, id, th, place, blobs) -> None:
+        self.key, self.id, self.th, self.place, self.blobs = key, id, th, place, blobs
 
+    def contents(self) -> tuple[np.ndarray, np.ndarray]:
+        """(content of each row, of each content its row with the smallest id): equal regions of an anchor are one content."""
+        number: dict = {}
+        content = np.array([number.setdefault(x, len(number)) for x in zip(self.key.tolist(), self.blobs, strict=True)], np.int64)
+        order = np.lexsort((self.id, content))
+        return content, order[np.searchsorted(content[order], np.arange(len(number)))]
 
-class Regions:
-    """Rows of whole anchors, as arrays."""
-
-    def __init__(self, key, id, place, blobs) -> None:
-        step = (1 << STEP_BITS) - 1
-        self.key, self.id, self.last, self.lead = key, id, place & step, place >> STEP_BITS & step
-        self.anchor, self.tag = place >> 2 * STEP_BITS & (1 << 31) - 1, place >> (2 * STEP_BITS + 31)
-        self.size = np.array([len(x) for x in blobs], np.int64)
-        self.flat = np.frombuffer(b"".join(blobs), np.uint8)
-        self.begin = np.cumsum(self.size) - self.size
-        self.blobs = blobs
-
-    def side(self, left: bool) -> tuple[np.ndarray, np.ndarray]:
-        far = self.lead if left else SIDES - self.last
-        step = np.arange(SIDES)[None, :]
-        at = (self.begin + self.lead)[:, None] + (-1 - step if left else step)
-        inside = step < far[:, None]
-        return np.where(inside, self.flat[np.clip(at, 0, max(0, len(self.flat) - 1))], 0).astype(np.uint8) if len(self.flat) else np.zeros((len(self.key), SIDES), np.uint8), far
-
-    def spans(self, words: K.Words, new: np.ndarray):
-        """(id, tag, start, end) of what the rows marked as new lose."""
+    def spans(self, new: np.ndarray):
+        """(id, th, start, end) of what the rows marked as new lose."""
         empty = tuple(np.zeros(0, np.int64) for _ in range(4))
         if len(self.key) < 2:
             return empty
-        left, right = (agreement(self.key, *self.side(x)) for x in (True, False))
-        high, low = np.minimum(self.lead, left), np.maximum(self.last, SIDES - right)
-        keep = np.flatnonzero((low <= high) & (left >= 0) & (right >= 0))
-        if not len(keep):
+        first = np.flatnonzero(np.concatenate(([True], self.key[1:] != self.key[:-1])))
+        many = np.minimum.reduceat(self.id, first) < np.maximum.reduceat(self.id, first)
+        rows = np.flatnonzero(np.repeat(many, np.diff(np.append(first, len(self.key)))))
+        if not len(rows):
             return empty
-        high, low, key, id = high[keep], low[keep], self.key[keep], self.id[keep]
-        middle = self.begin[keep] + self.lead[keep]
-        lo, hi = middle - high, middle + SIDES - low
-        content = words.span_hash(words.prefix(self.flat), lo, hi) ^ K.mix((high << 8 | low).astype(U))
-        order = np.lexsort((id, content, key))
-        k, c = key[order], content[order]
-        first = np.ones(len(k), bool)
-        first[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-        at = np.flatnonzero(first)
-        kind = np.empty(len(k), np.int64)
-        kind[order] = np.cumsum(first) - 1
-        sample, least = order[at], id[order][at]  # a row of each content, with its smallest id
-        group = k[at]
-        alone = np.ones(len(group), bool)
-        alone[1:] &= group[1:] != group[:-1]
-        alone[:-1] &= group[1:] != group[:-1]
-        windows = (high - low + 1)[sample]
+        some = Regions(self.key[rows], self.id[rows], self.th[rows], self.place[rows], [self.blobs[i] for i in rows])
+        content, sample = some.contents()
+        size = np.array([len(some.blobs[i]) for i in sample])
+        windows = size - LENGTH + 1
         edge = np.concatenate(([0], np.cumsum(windows)))
-        # smallest id by string: the strings of a content in order of their starts
-        owner = np.repeat(least, windows)
-        for some in _batches(np.flatnonzero(~alone), group, (hi - lo)[sample]):
-            at_array = np.concatenate([np.arange(edge[i], edge[i + 1]) for i in some])
-            owner[at_array] = owners([(group[i], self.flat[lo[sample[i]] : middle[sample[i]]], self.flat[middle[sample[i]] : hi[sample[i]]]) for i in some], least[some])
-        mine = np.flatnonzero(new[keep])
-        count = (high - low + 1)[mine]
+        owner = np.empty(edge[-1], np.int64)
+        for a, b in _batches(some.key[sample], size):
+            owner[edge[a] : edge[b]] = owners([some.blobs[i] for i in sample[a:b]], some.id[sample[a:b]])
+        mine = np.flatnonzero(new[rows])
+        count = windows[content[mine]]
         row = np.repeat(mine, count)
         step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        gone = owner[edge[kind[row]] + step] < id[row]
+        gone = owner[edge[content[row]] + step] < some.id[row]
         row, step = row[gone], step[gone]
         if not len(row):
             return empty
@@ -276,77 +259,59 @@ class Regions:
         begins[1:] = (row[1:] != row[:-1]) | (step[1:] != step[:-1] + 1)
         a = np.flatnonzero(begins)
         b = np.append(a[1:], len(row)) - 1
-        source = keep[row[a]]
-        base = self.anchor[source] - high[row[a]]
-        return self.id[source], self.tag[source], base + step[a], base + step[b] + LENGTH
-
-    def contents(self) -> np.ndarray:
-        """A row for each distinct region of an anchor, the one with the smallest id."""
-        seen: dict = {}
-        for i, x in enumerate(zip(self.key.tolist(), self.lead.tolist(), self.blobs, strict=True)):
-            if x not in seen or self.id[i] < self.id[seen[x]]:
-                seen[x] = i
-        return np.array(sorted(seen.values()), np.int64)
-
-
-def _batches(contents: np.ndarray, group: np.ndarray, size: np.ndarray):
-    """Contents of whole anchors, so many that one suffix array holds them."""
-    some, held = [], 0
-    for i in contents.tolist():
-        if some and held > ARRAY_BYTES and group[i] != group[some[-1]]:
-            yield np.array(some)
-            some, held = [], 0
-        some.append(i)
-        held += int(size[i]) + 1
-    if some:
-        yield np.array(some)
-
-
-def owners(contents: list[tuple[int, np.ndarray, np.ndarray]], least: np.ndarray) -> np.ndarray:
-    """Smallest id of each string of the contents (anchor, bytes before, bytes after), content by content.
-
-    An anchor is one symbol above the bytes; a string is that and SIDES bytes around it.
-    """
-    symbol: dict[int, int] = {}
-    codes: list[int] = []
-    for anchor, before, after in contents:
-        codes += (before.astype(np.int64) + 2).tolist()
-        codes.append(symbol.setdefault(anchor, 258 + len(symbol)))
-        codes += (after.astype(np.int64) + 2).tolist()
-        codes.append(1)
-    codes.append(0)
-    order = suffix_array(codes)
-    size = np.array([len(x) + len(y) + 1 for _, x, y in contents])
+        source = row[a]
+        return some.id[source], some.th[source], some.place[source] + step[a], some.place[source] + step[b] + LENGTH
+
+
+def _batches(key: np.ndarray, size: np.ndarray):
+    """Ranges of contents, whole anchors each, so many that one suffix array holds them."""
+    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    at, held = 0, 0
+    for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(key)], strict=True):
+        more = int(size[a:b].sum()) + b - a
+        if a > at and held + more > ARRAY_BYTES:
+            yield at, a
+            at, held = a, 0
+        held += more
+    yield at, len(key)
+
+
+def owners(contents: list[bytes], least: np.ndarray) -> np.ndarray:
+    """Smallest id of each string of the contents, content by content, read from their suffix array."""
+    size = np.array([len(x) for x in contents])
     begin = np.cumsum(size + 1) - size - 1
+    raw = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8)
+    codes = raw.astype(np.int64) + 2
+    codes[begin + size] = 1  # between contents
+    order = suffix_array([*codes.tolist(), 0])
     content = np.searchsorted(begin, order, side="right") - 1
-    whole = order - begin[content] < size[content] - SIDES
+    whole = order - begin[content] <= size[content] - LENGTH
     order, content = order[whole], content[whole]
-    text = np.array(codes, np.int32)[order[:, None] + np.arange(SIDES + 1)[None, :]]
-    new = np.ones(len(order), bool)
-    new[1:] = (text[1:] != text[:-1]).any(axis=1)
+    # neighbours with a common prefix of LENGTH bytes; no such string holds a mark between contents
+    word, new = eights(raw), np.zeros(len(order), bool)
+    new[0] = True
+    for at in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+        piece = word[order + at]
+        new[1:] |= piece[1:] != piece[:-1]
     smallest = np.minimum.reduceat(least[content], np.flatnonzero(new))[np.cumsum(new) - 1]
     return smallest[np.argsort(order, kind="stable")]
 
 
 def _judge(batches):
     """Spans to remove, from rows sorted by anchor and id."""
-    words, held, carried = K.Words(), None, 0
+    held, carried = None, 0
 
     def read(batch):
-        return [batch.column(i).to_numpy() for i in range(3)] + [batch.column(3).to_pylist()]
+        return [batch.column(i).to_numpy() for i in range(4)] + [batch.column(4).to_pylist()]
 
     def join(a, b):
-        return [np.concatenate((x, y)) for x, y in zip(a[:3], b[:3], strict=True)] + [a[3] + b[3]]
-
-    def part(x, s):
-        return [y[s] for y in x]
+        return [np.concatenate((x, y)) for x, y in zip(a[:4], b[:4], strict=True)] + [a[4] + b[4]]
 
     def judged(rows, carried):
         new = np.ones(len(rows[0]), bool)
         new[:carried] = False
-        regions = Regions(*rows)
-        out = regions.spans(words, new)
-        return regions, pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["id", "tag", "a", "b"])
+        out = Regions(*rows).spans(new)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["id", "th", "a", "b"])
 
     for batch in batches:
         for at in range(0, batch.num_rows, STEP):
@@ -356,16 +321,15 @@ def _judge(batches):
                 continue
             last = int(np.searchsorted(held[0], held[0][-1]))
             if last:
-                yield judged(part(held, slice(0, last)), carried)[1]
-                held, carried = part(held, slice(last, None)), 0
-            if len(held[0]) - carried > SLAB:
-                regions, out = judged(held, carried)
-                yield out
-                keep = regions.contents()
-                held = [x[keep] for x in held[:3]] + [[held[3][i] for i in keep]]
+                yield judged([x[:last] for x in held], carried)
+                held, carried = [x[last:] for x in held], 0
+            if len(held[0]) - carried > max(SLAB, 2 * carried):
+                yield judged(held, carried)
+                _, keep = Regions(*held).contents()
+                held = [x[keep] for x in held[:4]] + [[held[4][i] for i in keep]]
                 carried = len(keep)
     if held is not None and len(held[0]):
-        yield judged(held, carried)[1]
+        yield judged(held, carried)
 
 
 def _squeezed(batches):
@@ -394,8 +358,10 @@ def _cut_out(batches):
                 spans.append([])
                 continue
             turn = np.zeros(len(text) + 1, np.int64)
-            np.add.at(turn, starts[i], 1)
-            np.add.at(turn, ends[i], -1)
+            a, b = np.array(starts[i]), np.array(ends[i])
+            room = b <= len(text)
+            np.add.at(turn, a[room], 1)
+            np.add.at(turn, b[room], -1)
             gone = np.cumsum(turn[:-1]) > 0
             edge = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
             spans.append([{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)])
@@ -410,23 +376,24 @@ def dedup_strings(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     """``(id, n_bytes, spans, kept)`` for every row: removed byte spans and the remaining bytes."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    tag = F.shiftrightunsigned(F.xxhash64(body), 64 - TAG_BITS)
-    named = docs.select(F.col(id).cast("long").alias("given"), F.coalesce(F.col(id).cast("long"), F.lit(LAST_ID)).alias("id"), tag.alias("tag"), F.md5(body).alias("md5"), body.alias("text"))
+    named = docs.select(F.col(id).cast("long").alias("given"), F.coalesce(F.col(id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(body).alias("th"), F.md5(body).alias("md5"), body.alias("text"))
     copies = cut(named.groupBy("md5").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("md5", "least"))
     few = copies.count() <= BROADCAST_TEXTS
     told = named.join(F.broadcast(copies) if few else copies, "md5", "left").withColumn("copy", F.coalesce(F.col("id") > F.col("least"), F.lit(False)))
     first = told.where(f"not copy and octet_length(text) >= {LENGTH}")
-    shards = max(1, partitions(spark))
-    asked = first.select("text").mapInArrow(lean(_ask(shards)), "shard int, n long, keys binary, many binary")
+    # about two anchors for every SIDES bytes
+    size = first.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = 1 + 2 * size // SIDES // SHARD_KEYS
+    asked = first.select("id", "th", "text").mapInArrow(lean(_ask(shards)), "shard int, n long, keys binary, many binary")
     shared = cut(asked.groupBy("shard").applyInArrow(_settle, SHARED))
     found = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = min(MOST_BITS, max(16, int(found * 32).bit_length()))
     table = np.zeros(1 << bits >> 3, np.uint8)
     for r in shared.mapInArrow(lean(_bits(bits)), "low long, size long, part binary").toLocalIterator():
         table[r.low : r.low + r.size] |= np.frombuffer(pa.decompress(r.part, r.size, codec="zstd"), np.uint8)
-    regions = first.select("id", "tag", "text").mapInArrow(lean(_regions(spark.sparkContext.broadcast(table), bits)), REGION)
-    spans = regions.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lean(_judge), "id long, tag long, a long, b long")
-    gone = spans.groupBy("id", "tag").agg(F.collect_list("a").alias("starts"), F.collect_list("b").alias("ends"))
-    bodies = told.select("given", "id", "tag", "copy", "text").mapInArrow(lean(_squeezed), "given long, id long, tag long, copy boolean, n long, body binary")
-    out = bodies.join(gone, ["id", "tag"], "left").select(F.col("given").alias("id"), "n", "copy", "starts", "ends", "body")
+    regions = first.select("id", "th", "text").mapInArrow(lean(_regions(spark.sparkContext.broadcast(table), bits)), REGION)
+    spans = regions.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lean(_judge), "id long, th long, a long, b long")
+    gone = spans.groupBy("id", "th").agg(F.collect_list("a").alias("starts"), F.collect_list("b").alias("ends"))
+    bodies = told.select("given", "id", "th", "copy", "text").mapInArrow(lean(_squeezed), "given long, id long, th long, copy boolean, n long, body binary")
+    out = bodies.join(gone, ["id", "th"], "left").select(F.col("given").alias("id"), "n", "copy", "starts", "ends", "body")
     return out.mapInArrow(lean(_cut_out), "id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary").withColumnRenamed("id", id)

@@ -5,22 +5,26 @@ t1 < t2 < t3 order them: ``P(grade >= k) = 1 / (1 + exp(t_k - w.x))``. The outpu
 is the expected severity, the sum of the three. A document is rejected when
 grade 1 or more is likelier than grade 0.
 
-The labels are binary, so grades are made from them: an unlabelled-toxic row has
-grade 0; a toxic row has grade 1, 2 or 3 by how many of its words tell toxic
-texts from others (at most ``MILD``, at most ``STRONG``, more). Words are runs
-of ASCII letters and digits and of bytes beyond ASCII, lower-cased A-Z, present
-or absent in a document; only words whose shares in toxic and other sample rows
-differ by ``SCREEN`` standard errors get a weight, so a long text does not add
-up noise.
-
-The model is fitted on at most ``SAMPLE`` labelled rows (smallest hashes of the
-id), on the driver; every document is scored whole.
+The labels are binary, so grades are made from them: a row that is not labelled
+toxic has grade 0; a toxic row has grade 1, 2 or 3 by how sure a model is that
+did not see it. For that the sample is dealt into ``FOLDS`` parts by a hash, a
+binary model is fitted without each part, and the toxic rows are dealt by their
+held-out scores into thirds. ``calibration`` reports expected against held-out
+grades. Words are runs of ASCII letters and digits and of bytes beyond ASCII,
+lower-cased A-Z, present or absent in a document; only words whose shares in
+toxic and other rows of the fit differ by ``SCREEN`` standard errors get a
+weight, so a long text does not add up noise.
+
+The model is fitted on at most ``SAMPLE`` labelled rows (smallest hashes of id
+and text), on the driver; every document is scored whole.
 
 Null and empty texts, and words never seen, score as an empty text. Labels that
-are null or of documents that don't exist are not used; several labels of one
-document count as its highest. Without any toxic label nothing is rejected and
-severity is 0. Rows with equal ids are scored separately; only the named columns
-are read. An empty table gives an empty result.
+are null or of documents that don't exist are not used, nor are rows with a null
+id or text in the fit; several labels of one document count as its highest.
+Without any toxic label nothing is rejected and severity is 0. A tie of the
+probabilities rejects. Rows with equal ids are scored separately; the kept
+columns are handed on whatever their names. An empty table gives an empty
+result, and no labels a model that rejects nothing.
 """
 
 from __future__ import annotations
@@ -31,33 +35,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .samples import hashed_sample, with_texts
-from .session import lean
+from .session import lean, numbered
 
 SAMPLE = 12_000
 DIMENSION_BITS = 18
-SCREEN, EVIDENCE = 3.5, 2.0
-MILD, STRONG = 2, 5
-GRADES = 3
+SCREEN = 3.5
+GRADES, FOLDS = 3, 3
 
 
-def distinct_features(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed words of one document and how often each stands."""
-    return np.unique((hashes >> np.uint64(64 - DIMENSION_BITS)).astype(np.int32), return_counts=True)
+def features_of(hashes: np.ndarray) -> np.ndarray:
+    """Distinct hashed words of one document."""
+    return np.unique((hashes >> np.uint64(64 - DIMENSION_BITS)).astype(np.int32))
 
 
 def _features(batches):
     words = K.Words(between=K.SYMBOL)
     for batch in batches:
-        data, offsets = K.packed(batch.column(1))
-        found, often = [], []
+        data, offsets = K.packed(batch.column(3))
+        found = []
         for a, b in K.chunks(offsets):
             hashes, first = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            for row in range(b - a):
-                at, n = distinct_features(hashes[first[row] : first[row + 1]])
-                found.append(at.astype(np.int32).tobytes())
-                often.append(np.minimum(n, 255).astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array(often, pa.binary())], names=["toxic", "found", "often"])
+            found += [features_of(hashes[first[row] : first[row + 1]]).tobytes() for row in range(b - a)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], names=["id", "th", "toxic", "found"])
 
 
 class Model:
@@ -65,6 +64,8 @@ class Model:
 
     def __init__(self, weights: np.ndarray, thresholds: np.ndarray) -> None:
         self.weights, self.thresholds = weights, thresholds
+        #: Mean expected severity of the sample's rows by grade.
+        self.calibration: dict[int, float] = {}
 
     def severity(self, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(expected severity, probability of grade 1 or more)."""
@@ -72,62 +73,110 @@ class Model:
         return above.sum(axis=1), above[:, 0]
 
 
-def fit(toxic: np.ndarray, found: list[np.ndarray], often: list[np.ndarray], rounds: int = 400) -> Model:
-    """Maximum penalised likelihood by Adam over the screened words."""
-    size, n = 1 << DIMENSION_BITS, np.maximum(1, np.bincount(toxic, minlength=2))
-    rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
-    flat = np.concatenate([*found, np.zeros(0, np.int32)])
-    in_toxic = np.bincount(flat[toxic[rows] == 1], minlength=size)
-    in_other = np.bincount(flat[toxic[rows] == 0], minlength=size)
+class Rows:
+    """Sparse rows of hashed words."""
+
+    def __init__(self, found: list[np.ndarray]) -> None:
+        self.count = len(found)
+        self.row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        self.word = np.concatenate([*found, np.zeros(0, np.int32)])
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights[self.word], minlength=self.count)
+
+
+def screened(toxic: np.ndarray, rows: Rows, used: np.ndarray) -> np.ndarray:
+    """Words whose shares in toxic and other used rows differ by SCREEN standard errors."""
+    size, n = 1 << DIMENSION_BITS, np.maximum(1, np.bincount(toxic[used], minlength=2))
+    by = lambda c: np.bincount(rows.word[(used & (toxic == c))[rows.row]], minlength=size)
+    in_other, in_toxic = by(0), by(1)
     p, q, both = in_toxic / n[1], in_other / n[0], (in_toxic + in_other) / n.sum()
     z = (p - q) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n[0] + 1 / n[1]))
-    odds = np.log((in_toxic + 0.5) / (n[1] - in_toxic + 0.5)) - np.log((in_other + 0.5) / (n[0] - in_other + 0.5))
-    kept = (np.abs(z) >= SCREEN) & (in_toxic + in_other >= 3)
-    weights = np.zeros(size)
-    if not toxic.any() or not kept.any():
-        return Model(weights, np.full(GRADES, np.inf))
-    tells = kept & (odds >= EVIDENCE)
-    evidence = np.bincount(rows, np.concatenate([*often, np.zeros(0, np.uint8)]) * tells[flat], minlength=len(found))
-    grade = np.where(toxic == 1, 1 + (evidence > MILD) + (evidence > STRONG), 0)
-    column = np.full(size, -1)
+    return (np.abs(z) >= SCREEN) & (in_toxic + in_other >= 3)
+
+
+def likelihood(grade: np.ndarray, score: np.ndarray, cuts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(log-likelihood of the grades, its slopes by score and by cut) of a cumulative-link model."""
+    n, grades = len(grade), len(cuts)
+    at_least = np.hstack([np.ones((n, 1)), 1 / (1 + np.exp(np.clip(cuts - score[:, None], -30, 30))), np.zeros((n, 1))])
+    row = np.arange(n)
+    likely = np.maximum(at_least[row, grade] - at_least[row, grade + 1], 1e-12)
+    # a grade's likelihood is a difference of neighbours; each moves by p(1-p)
+    slope = at_least * (1 - at_least)
+    by_cut = np.zeros((n, grades + 2))
+    by_cut[row, grade] += slope[row, grade] / likely
+    by_cut[row, grade + 1] -= slope[row, grade + 1] / likely
+    by_cut = by_cut[:, 1:-1]
+    return float(np.log(likely).sum()), by_cut.sum(axis=1), -by_cut.sum(axis=0)
+
+
+RIDGE = 0.05
+
+
+def ordinal(grade: np.ndarray, rows: Rows, used: np.ndarray, kept: np.ndarray, grades: int, rounds: int = 400) -> Model:
+    """Maximum penalised likelihood over the kept words and ordered cuts, by Adam; the mean is over the used rows."""
+    column = np.full(len(kept), -1)
     column[kept] = np.arange(kept.sum())
-    inside = column[flat] >= 0
-    r, c = rows[inside], column[flat[inside]]
-    w, t, gaps = np.zeros(kept.sum()), 2.0, np.zeros(GRADES - 1)
-    state = [np.zeros(len(w) + GRADES), np.zeros(len(w) + GRADES)]
-    above = (grade[:, None] >= np.arange(1, GRADES + 1)).astype(float)
+    number = np.cumsum(used) - 1
+    inside = (column[rows.word] >= 0) & used[rows.row]
+    r, c, g, n = number[rows.row[inside]], column[rows.word[inside]], grade[used], int(used.sum())
+    w, t, gaps = np.zeros(kept.sum()), 2.0, np.zeros(grades - 1)
+    state = [np.zeros(len(w) + grades), np.zeros(len(w) + grades)]
     for step in range(1, rounds + 1):
-        score = np.bincount(r, w[c], minlength=len(found))
-        cut = t + np.concatenate(([0], np.cumsum(np.exp(gaps))))
-        at_least = np.hstack([np.ones((len(found), 1)), 1 / (1 + np.exp(np.clip(cut - score[:, None], -30, 30))), np.zeros((len(found), 1))])
-        # likelihood of a grade is a difference of neighbours; its slope is p(1-p) on both sides
-        slope = at_least * (1 - at_least)
-        row = np.arange(len(found))
-        likely = np.maximum(at_least[row, grade] - at_least[row, grade + 1], 1e-12)
-        by_cut = np.zeros((len(found), GRADES + 2))
-        by_cut[row, grade] += slope[row, grade] / likely
-        by_cut[row, grade + 1] -= slope[row, grade + 1] / likely
-        by_cut = by_cut[:, 1:-1]
-        by_score = by_cut.sum(axis=1)
-        d_cut = -by_cut.sum(axis=0)
-        d_gap = np.array([d_cut[j + 1 :].sum() for j in range(GRADES - 1)]) * np.exp(gaps)
-        slopes = np.concatenate((np.bincount(c, by_score[r], minlength=len(w)) - 0.05 * w, [d_cut.sum()], d_gap)) / len(found)
+        score = np.bincount(r, w[c], minlength=n)
+        _, by_score, d_cut = likelihood(g, score, t + np.concatenate(([0], np.cumsum(np.exp(gaps)))))
+        d_gap = np.array([d_cut[j + 1 :].sum() for j in range(grades - 1)]) * np.exp(gaps)
+        slopes = np.concatenate((np.bincount(c, by_score[r], minlength=len(w)) - RIDGE * w, [d_cut.sum()], d_gap)) / n
         state[0] = 0.9 * state[0] + 0.1 * slopes
         state[1] = 0.99 * state[1] + 0.01 * slopes**2
         move = 0.1 * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-9)
         w, t, gaps = w + move[: len(w)], t + move[len(w)], np.clip(gaps + move[len(w) + 1 :], -4, 4)
-    del above
+    weights = np.zeros(len(kept))
     weights[kept] = w
     return Model(weights, t + np.concatenate(([0], np.cumsum(np.exp(gaps)))))
 
 
+def grades_of(toxic: np.ndarray, rows: Rows, fold: np.ndarray) -> np.ndarray:
+    """Grades of toxic rows by the thirds of what models without them say; 0 for the others."""
+    held = np.zeros(len(toxic))
+    for f in range(FOLDS):
+        used = fold != f
+        kept = screened(toxic, rows, used) if toxic[used].any() and not toxic[used].all() else np.zeros(1 << DIMENSION_BITS, bool)
+        if kept.any():
+            model = ordinal(toxic, rows, used, kept, 1, rounds=150)
+            held[fold == f] = (rows.scores(model.weights) - model.thresholds[0])[fold == f]
+    if not toxic.any():
+        return toxic.copy()
+    low, high = np.quantile(held[toxic == 1], [1 / 3, 2 / 3])
+    return np.where(toxic == 1, 1 + (held > low) + (held > high), 0)
+
+
+def fit(toxic: np.ndarray, found: list[np.ndarray], fold: np.ndarray) -> Model:
+    """The model of a sample: grades by held-out folds, then one cumulative-link fit over all rows."""
+    rows, every = Rows(found), np.ones(len(found), bool)
+    kept = screened(toxic, rows, every)
+    if not toxic.any() or not kept.any():
+        return Model(np.zeros(1 << DIMENSION_BITS), np.full(GRADES, np.inf))
+    grade = grades_of(toxic, rows, fold)
+    model = ordinal(grade, rows, every, kept, GRADES)
+    severity, _ = model.severity(rows.scores(model.weights))
+    model.calibration = {int(g): float(severity[grade == g].mean()) for g in np.unique(grade)}
+    return model
+
+
 def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """A model fitted on a bounded sample of the labelled rows."""
-    told = labels.where(F.col(label).isNotNull()).groupBy(F.col(id)).agg(F.max((F.col(label) > 0).cast("int")).alias("__toxic"))
-    rows = with_texts(docs, hashed_sample(told, id, sample), id, text)
-    got = rows.select("__toxic", "text").mapInArrow(lean(_features), "toxic int, found binary, often binary").toArrow()
-    toxic = got.column("toxic").to_numpy().astype(np.int64)
-    return fit(toxic, [np.frombuffer(x, np.int32) for x in got.column("found").to_pylist()], [np.frombuffer(x, np.uint8) for x in got.column("often").to_pylist()])
+    told = labels.where(F.col(label).isNotNull()).select(F.col(id).alias("id"), (F.col(label) > 0).cast("int").alias("toxic"))
+    told = told.groupBy("id").agg(F.max("toxic").alias("toxic")).where("id is not null").orderBy(F.xxhash64("id"), "id").limit(sample)
+    body = F.col(text).cast("string")
+    named = docs.select(F.col(id).alias("id"), F.xxhash64(body).alias("th"), body.alias("text")).where("text is not null")
+    kind = named.schema["id"].dataType.simpleString()
+    # as many labels as the bound; a label's id may have any number of rows, so those are bounded after their words are taken
+    rows = named.join(F.broadcast(told), "id").select("id", "th", "toxic", "text").mapInArrow(lean(_features), f"id {kind}, th long, toxic int, found binary")
+    rows = rows.dropDuplicates(["id", "th"]).withColumn("place", F.xxhash64("id", "th")).orderBy("place", "id", "th").limit(sample)
+    got = rows.select("toxic", "place", "found").toArrow()
+    toxic, fold = got.column("toxic").to_numpy().astype(np.int64), got.column("place").to_numpy() % FOLDS
+    return fit(toxic, [np.frombuffer(x, np.int32) for x in got.column("found").to_pylist()], fold)
 
 
 def _score(weights: np.ndarray, thresholds: np.ndarray):
@@ -154,8 +203,8 @@ def _score(weights: np.ndarray, thresholds: np.ndarray):
     return scan
 
 
-def score(docs: DataFrame, model: Model, keep=("doc_id",), text: str = "text") -> DataFrame:
-    """The kept columns with ``severity`` (expected grade), ``p_toxic`` and ``rejected`` of every row."""
-    picked = docs.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(lean(_score(model.weights, model.thresholds)), f"{kinds}, severity double, p_toxic double, rejected boolean")
+def score(docs: DataFrame, model: Model, keep=("doc_id",), text: str = "text", into=("severity", "p_toxic", "rejected")) -> DataFrame:
+    """The kept columns with the expected grade, the probability of grade 1 or more and the verdict of every row, named by ``into``."""
+    picked = numbered(docs.select(*[F.col(c) for c in keep], F.col(text).cast("string")))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
+    return picked.mapInArrow(lean(_score(model.weights, model.thresholds)), f"{kinds}, severity double, p_toxic double, rejected boolean").toDF(*keep, *into)

@@ -223,7 +223,7 @@ def test_long_texts_come_in_pieces(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 300)
     r = np.random.default_rng(1)
     data = r.integers(97, 100, 2000).astype(np.uint8)
-    anchors = suffix_dedup.Anchors()
+    anchors = suffix_dedup.anchors
     whole = {int(s): (int(a), int(h)) for _, x, y, a, h in zip(*anchors(data, np.array([0, 2000]))) for s in range(x, y + 1)}
     cut = {}
     for _, rows, part, place in suffix_dedup.pieces(data, np.array([0, 2000])):
@@ -235,28 +235,77 @@ def test_long_texts_come_in_pieces(monkeypatch):
 # -- language model ---------------------------------------------------------
 
 
-def test_language_model(spark, monkeypatch):
+class Reader:
+    """The backoff automaton as dictionaries, read word by word with one carried state (a tuple of words)."""
+
+    def __init__(self, docs, strength):
+        self.strength, self.order = strength, len(strength) + 1
+        self.count, self.total = collections.Counter(), 0
+        for i, t in docs:
+            if not held(i):
+                w = ["<s>", *words(t), None]
+                self.total += len(w) - 1
+                for n in range(1, self.order + 1):
+                    self.count.update(tuple(w[j : j + n]) for j in range(len(w) - n + 1))
+        self.known = {g[0] for g in self.count if len(g) == 1} - {"<s>"}
+
+    def p(self, history, w):
+        if not history:
+            return (self.count[w,] + 0.5) / (self.total + 0.5 * (len(self.known) + 1))
+        m = self.strength[len(history) - 1]
+        return (self.count[(*history, w)] + m * self.p(history[1:], w)) / (self.count[history] + m)
+
+    def is_state(self, history):
+        return not history or (len(history) < self.order and self.count[history] > 0)
+
+    def read(self, text):
+        state, out = (("<s>",) if self.is_state(("<s>",)) else ()), 0.0
+        for w in [*words(text), None]:
+            while state and not self.count[(*state, w)]:
+                m = self.strength[len(state) - 1]
+                out += math.log10(m / (self.count[state] + m))
+                state = state[1:]
+            out += math.log10(self.p(state, w))
+            state = (*state, w)
+            while not self.is_state(state):
+                state = state[1:]
+        return out
+
+
+def held(i):
+    return i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+
+
+@pytest.mark.parametrize("strength", [(20.0, 3.0), (), (7.0,), (20.0, 3.0, 2.0)])
+def test_language_model(spark, monkeypatch, strength):
     monkeypatch.setattr(language_model, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(language_model, "SHARD_KEYS", 500)
     docs = documents(4) + EDGE
-    rows = language_model.score(extra(spark.createDataFrame(docs, SCHEMA)), strength=20.0).collect()
+    rows = language_model.score(extra(spark.createDataFrame(docs, SCHEMA)), strength=strength).collect()
     assert len(rows) == len(docs)
     got = {(r.doc_id, r.n_tokens): r for r in rows}
-    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
-    one, two = collections.Counter(), collections.Counter()
-    for i, t in docs:
-        w = [*words(t), None]
-        if not held(i):
-            one.update(w)
-            two.update(zip(["<s>", *w], w))
-    n, v = sum(one.values()), len(one)
-    seen = dict(one) | {"<s>": one[None]}
-    p = lambda x: (one[x] + 0.5) / (n + 0.5 * (v + 1))
+    reader = Reader(docs, strength)
+    p = lambda x: reader.p((), x)
     for i, t in docs:
         w = [*words(t), None]
         r = got[i, len(w)]
-        assert (r.held_out, r.n_known, r.train_tokens) == (held(i), sum(one[x] > 0 for x in w), n)
+        assert (r.held_out, r.n_known, r.train_tokens) == (held(i), sum(x in reader.known for x in w), reader.total)
         assert r.base_score == pytest.approx(sum(math.log10(p(x)) for x in w))
-        assert r.score == pytest.approx(sum(math.log10((two[h, x] + 20 * p(x)) / (seen.get(h, 0) + 20)) for h, x in zip(["<s>", *w], w)))
+        assert r.score == pytest.approx(reader.read(t))
+
+
+def test_probabilities_of_a_history_sum_to_one():
+    docs = documents(4)
+    reader = Reader(docs, (20.0, 3.0))
+    for history in [(), ("<s>",), *[g for g in reader.count if len(g) == 2 and None not in g][:40]]:
+        unseen = reader.p(history, "never seen")
+        assert sum(reader.p(history, w) for w in reader.known) + unseen == pytest.approx(1)
+
+
+def test_language_model_without_training_documents(spark):
+    kept = [(i, "a b a") for i in range(100) if held(i)]
+    for r in language_model.score(spark.createDataFrame(kept, SCHEMA)).collect():
+        assert (r.train_tokens, r.n_known, r.score) == (0, 0, pytest.approx(0.0))
 
 
 # -- urls -------------------------------------------------------------------
