@@ -51,7 +51,7 @@ from .session import cut, lean
 
 U = np.uint64
 #: Words of the longest n-grams, and prior strength m of each order from two on, in observations.
-ORDER, STRENGTH = 3, (50.0, 5.0)
+ORDER, STRENGTH = 3, (500.0, 10.0)
 FOLDS, HELD_OUT = 5, 1
 #: Bytes of text in a block, and n-grams asked of a shard.
 BLOCK_BYTES, SHARD_KEYS = 8 << 20, 4 << 20

@@ -1,13 +1,19 @@
 """Approximate nearest neighbours by hierarchical navigable small-world graphs.
 
 Nearness is the inner product in double precision. Equal vectors are one node.
-Nodes are dealt by hash into shards of about ``SHARD`` (one index, bounded, however
-large the table); every row is indexed. A shard's graph has layers: a node's top
-layer falls off geometrically, each layer links a node to diverse near members
-(a candidate is kept if it is nearer to the node than to any kept one) and
-back. Neighbours lie in one flat array for each layer, -1 where there are
-fewer. For inner products, nodes get one more component that gives all of a
-shard the same norm, so the nearest by angle have the largest products.
+Nodes are dealt by hash into shards of at most about ``SHARD`` (one index, bounded,
+however large the table); every row is indexed.
+
+Graph. A node's top layer falls off geometrically, and nodes are numbered by
+falling top layer, so the members of a layer are its first nodes and a layer is
+one flat array of neighbours, -1 where there are fewer. Nodes are inserted in
+that order, block by block: a block's nodes enter at the top, walk greedily
+down, search the layer with a beam among the nodes inserted so far (and among
+their own block, so that near copies that come together are linked), keep
+diverse near ones (a candidate is kept if it is nearer to the node than to any
+kept one), and are linked back; a node with too many links keeps diverse ones.
+For inner products nodes get one more component that gives all of a shard the
+same norm, so the nearest by angle have the largest products.
 
 A block of queries enters at the top, walks greedily down to layer 0 and there
 follows a beam of ``BEAM`` nodes until all are expanded; all queries of a block
@@ -19,9 +25,11 @@ anything (one may be the query's own), so a node carries those.
 
 Vectors that are null, empty, zero or hold a null or non-finite component take
 no part, nor do rows with a null id. Vectors of different lengths never meet.
-A query has fewer than k results if there are fewer candidates. Rows with equal
-ids are separate candidates, but none for a query of that id. Only the two
-named columns are read. An empty table gives an empty result.
+A query has fewer than k results if there are fewer candidates. Query rows that
+are repeated are one query; different vectors under one id are one query each,
+with ranks of their own, none of which finds a row of that id. Candidates are
+rows: those with equal ids are separate candidates. Only the two named columns
+are read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,10 +44,11 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .session import cut
 
-SHARD = 4096
-LINKS, CANDIDATES, BEAM, AT_ONCE = 16, 64, 128, 6
-#: Queries that a task searches one shard for, and those advancing together.
-QUERIES, BLOCK = 2048, 256
+SHARD = 1 << 16
+#: Links of a node (twice as many places: its own and those back), beams of insertion and of search, nodes of a beam expanded at once.
+LINKS, BUILD_BEAM, BEAM, AT_ONCE = 16, 128, 112, 4
+#: Queries that a task searches one shard for, those advancing together, and nodes inserted together.
+QUERIES, BLOCK, INSERTED = 8192, 128, 256
 
 
 def usable(vector: Column) -> Column:
@@ -65,155 +74,185 @@ def diverse(space: np.ndarray, node: np.ndarray, near: np.ndarray, most: int) ->
     return np.take_along_axis(near, order, axis=1)
 
 
-def link(space: np.ndarray, members: np.ndarray, links: int) -> np.ndarray:
-    """Neighbours of each member of a layer, as members' places in the shard."""
-    m, width = len(members), 2 * links
-    points = space[members]
-    out = np.full((m, width), -1, np.int32)
-    count = min(CANDIDATES, m - 1)
-    if count <= 0:
-        return out
-    for a in range(0, m, 256):
-        rows = np.arange(a, min(m, a + 256))
-        sim = points[rows] @ points.T
-        sim[np.arange(len(rows)), rows] = -np.inf
-        near = np.argpartition(-sim, count - 1, axis=1)[:, :count]
-        near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sim, near, axis=1), axis=1, kind="stable"), axis=1)
-        some = diverse(points, rows, near, links)
-        out[rows, : some.shape[1]] = some
-    # links back, while the other side has places left
-    source = np.repeat(np.arange(m), links)
-    target = out[:, :links].ravel()
-    source, target = source[target >= 0], target[target >= 0]
-    order = np.lexsort((-np.einsum("ij,ij->i", points[source], points[target]), target))
-    source, target = source[order], target[order]
-    begin = np.searchsorted(target, np.arange(m))
-    rank = np.arange(len(target)) - begin[target]
-    fits = rank < links
-    out[target[fits], links + rank[fits]] = source[fits]
-    return np.where(out >= 0, members[out], -1).astype(np.int32)
+def nearest_first(space: np.ndarray, node: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+    """Each node's distinct candidates (-1 for none) in order of nearness."""
+    candidates = np.sort(candidates, axis=1)
+    candidates[:, 1:][candidates[:, 1:] == candidates[:, :-1]] = -1
+    near = np.where(candidates >= 0, np.einsum("bcd,bd->bc", space[candidates], space[node]), -np.inf)
+    return np.take_along_axis(candidates, np.argsort(-near, axis=1, kind="stable"), axis=1)
+
+
+def walk(space: np.ndarray, neighbours: np.ndarray, queries: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """Each query's node after greedy steps in a layer."""
+    rows = np.arange(len(queries))
+    best = np.einsum("qd,qd->q", space[now], queries)
+    moving = rows
+    while len(moving):
+        around = neighbours[now[moving]]
+        worth = np.where(around >= 0, np.einsum("qcd,qd->qc", space[around], queries[moving]), -np.inf)
+        pick = worth.argmax(axis=1)
+        top = worth[np.arange(len(moving)), pick]
+        better = top > best[moving]
+        moving, around, pick, top = moving[better], around[better], pick[better], top[better]
+        now[moving], best[moving] = around[np.arange(len(moving)), pick], top
+    return now
+
+
+def beam_search(space: np.ndarray, neighbours: np.ndarray, queries: np.ndarray, now: np.ndarray, width: int, at_once: int = AT_ONCE) -> tuple[np.ndarray, np.ndarray, int]:
+    """(nodes nearest first, their products, nodes looked at): a beam of each query in one layer, from one node each."""
+    n, count = len(neighbours), len(queries)
+    rows = np.arange(count)
+    seen = np.zeros((count, n + 1), bool)
+    seen[:, n] = True  # where -1 points
+    beam, worth, open_ = np.full((count, width), -1, np.int64), np.full((count, width), -np.inf), np.zeros((count, width), bool)
+    beam[:, 0], worth[:, 0], open_[:, 0] = now, np.einsum("qd,qd->q", space[now], queries), True
+    seen[rows, now] = True
+    active, looked = rows, count
+    while len(active):
+        b, w, o, q = beam[active], worth[active], open_[active], np.arange(len(active))[:, None]
+        rank = np.where(o, w, -np.inf)
+        pick = np.argpartition(-rank, min(at_once, width - 1), axis=1)[:, :at_once]
+        chosen = np.take_along_axis(o, pick, axis=1)
+        o[q, pick] = False
+        around = neighbours[np.where(chosen, b[q, pick], 0)].astype(np.int64)
+        around = np.where(chosen[:, :, None], around, -1).reshape(len(active), -1)
+        around[seen[active[:, None], around]] = -1
+        around = np.sort(around, axis=1)
+        around[:, 1:][around[:, 1:] == around[:, :-1]] = -1
+        around = around[:, (around >= 0).argmax(axis=1).min() :]  # columns that are empty everywhere come first
+        seen[active[:, None], around] = True
+        seen[active, n] = True
+        at, place = np.nonzero(around >= 0)
+        looked += len(at)
+        fresh = np.full(around.shape, -np.inf)
+        fresh[at, place] = np.einsum("cd,cd->c", space[around[at, place]], queries[active[at]])
+        all_nodes, all_worth, all_open = np.hstack((b, around)), np.hstack((w, fresh)), np.hstack((o, around >= 0))
+        keep = np.argpartition(-all_worth, width - 1, axis=1)[:, :width]
+        b, w = np.take_along_axis(all_nodes, keep, axis=1), np.take_along_axis(all_worth, keep, axis=1)
+        o = np.take_along_axis(all_open, keep, axis=1) & np.isfinite(w)
+        beam[active], worth[active], open_[active] = b, w, o
+        active = active[o.any(axis=1)]
+    order = np.argsort(-worth, axis=1, kind="stable")
+    worth = np.take_along_axis(worth, order, axis=1)
+    return np.where(np.isfinite(worth), np.take_along_axis(beam, order, axis=1), -1), worth, looked
 
 
 class Graph:
-    """Layers of one shard, each a member list and a flat neighbour array."""
-
-    def __init__(self, vectors: np.ndarray, layers=None) -> None:
-        self.vectors = vectors
-        self.layers = layers if layers is not None else self._build()
-
-    def _build(self):
-        n, norms = len(self.vectors), np.einsum("ij,ij->i", self.vectors, self.vectors)
-        extra = np.sqrt(np.maximum(0, norms.max() - norms))
-        space = np.hstack((self.vectors, extra[:, None])).astype(np.float32)
-        space /= max(float(np.sqrt(norms.max())), 1e-30)
-        chance = (K.mix(np.arange(n, dtype=np.uint64)) >> np.uint64(11)).astype(float) / (1 << 53)
-        top = np.minimum((-np.log(chance + 1e-18) / math.log(LINKS)).astype(int), 8)
-        layers, level = [], 0
-        while True:
-            members = np.flatnonzero(top >= level).astype(np.int32)
-            if level and len(members) < 2:
-                return layers
-            layers.append((members, link(space, members, LINKS)))
-            level += 1
+    """Layers of one shard, from 0 up: a flat neighbour array each, over the first nodes."""
+
+    def __init__(self, vectors: np.ndarray, layers: list[np.ndarray] | None = None) -> None:
+        """Without layers, ``vectors`` are numbered as ``order`` says and a graph is built over them."""
+        self.looked = 0
+        if layers is None:
+            n = len(vectors)
+            chance = (K.mix(np.arange(n, dtype=np.uint64)) >> np.uint64(11)).astype(float) / (1 << 53)
+            top = np.minimum((-np.log(chance + 1e-18) / math.log(LINKS)).astype(int), 8)
+            self.order = np.argsort(-top, kind="stable")
+            vectors, top = vectors[self.order], top[self.order]
+            norms = np.einsum("ij,ij->i", vectors, vectors)
+            space = np.hstack((vectors, np.sqrt(np.maximum(0, norms.max() - norms))[:, None])).astype(np.float32)
+            space /= max(float(np.sqrt(norms.max())), 1e-30)
+            layers = []
+            for level in range(int(top[0]), -1, -1):
+                layers.insert(0, self._layer(space, int((top >= level).sum()), layers))
+        self.vectors, self.layers = vectors, layers
+
+    @staticmethod
+    def _layer(space: np.ndarray, members: int, above: list[np.ndarray]) -> np.ndarray:
+        """A layer's neighbours, its members inserted block by block; ``above`` are the layers over it, from low to high."""
+        out, done = np.full((members, 2 * LINKS), -1, np.int32), 0
+        while done < members:
+            to = min(members, done + min(INSERTED, max(1, done)))
+            new = np.arange(done, to)
+            found = np.full((len(new), 1), -1, np.int64)
+            if done:
+                now = np.zeros(len(new), np.int64)
+                for layer in above[::-1]:
+                    now = walk(space, layer, space[new], now)
+                now = np.where(now < done, now, 0)
+                found, _, _ = beam_search(space, out[:done], space[new], now, BUILD_BEAM)
+            peers = space[new] @ space[new].T
+            np.fill_diagonal(peers, -np.inf)
+            near = min(LINKS, len(new) - 1)
+            if near:
+                found = np.hstack((found, done + np.argpartition(-peers, near - 1, axis=1)[:, :near]))
+            own = diverse(space, new, nearest_first(space, new, found), LINKS)
+            out[new, : own.shape[1]] = own
+            # links back: to the end of the other node's places, or, where they are used up, diverse ones of all
+            source, target = np.repeat(new, own.shape[1]), own.ravel()
+            source, target = source[target >= 0], target[target >= 0]
+            order = np.argsort(target, kind="stable")
+            source, target = source[order], target[order]
+            nodes, first, times = np.unique(target, return_index=True, return_counts=True)
+            more = np.full((len(nodes), times.max() if len(nodes) else 0), -1, np.int64)
+            more[np.repeat(np.arange(len(nodes)), times), np.arange(len(source)) - np.repeat(first, times)] = source
+            for a in range(0, len(nodes), INSERTED):
+                some = nodes[a : a + INSERTED]
+                joined = nearest_first(space, some, np.hstack((out[some].astype(np.int64), more[a : a + INSERTED])))
+                joined = joined[:, : max(2 * LINKS, int((joined >= 0).sum(axis=1).max()))]
+                crowded = (joined >= 0).sum(axis=1) > 2 * LINKS
+                out[some[~crowded]] = joined[~crowded, : 2 * LINKS]
+                if crowded.any():
+                    out[some[crowded]] = diverse(space, some[crowded], joined[crowded], 2 * LINKS)
+            done = to
+        return out
 
     def search(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(nodes, products) of the k best of each query, -1 where there are fewer."""
-        n, count = len(self.vectors), len(queries)
-        rows = np.arange(count)
-        product = lambda nodes: np.einsum("qcd,qd->qc", self.vectors[nodes], queries)
-        now = np.full(count, self.layers[-1][0][0], np.int64)
-        best = product(now[:, None])[:, 0]
-        place = np.full(n, -1, np.int64)
-        for members, neighbours in self.layers[:0:-1]:
-            place[members] = np.arange(len(members))
-            while True:
-                around = neighbours[place[now]]
-                worth = np.where(around >= 0, product(around), -np.inf)
-                pick = worth.argmax(axis=1)
-                better = worth[rows, pick] > best
-                if not better.any():
-                    break
-                now = np.where(better, around[rows, pick], now)
-                best = np.where(better, worth[rows, pick], best)
-        neighbours = self.layers[0][1]
-        seen = np.zeros((count, n + 1), bool)
-        seen[:, n] = True  # where -1 points
-        beam, worth, open_ = np.full((count, BEAM), -1, np.int64), np.full((count, BEAM), -np.inf), np.zeros((count, BEAM), bool)
-        # the entry and evenly dealt others: a product's neighbourhood may be cut off from any one entry
-        entries = np.unique(np.linspace(0, n - 1, min(n, BEAM // 2)).astype(np.int64))
-        first = np.concatenate((now[:, None], np.broadcast_to(entries, (count, len(entries)))), axis=1)
-        value = product(first)
-        value[:, 1:][first[:, 1:] == now[:, None]] = -np.inf
-        beam[:, : first.shape[1]], worth[:, : first.shape[1]], open_[:, : first.shape[1]] = first, value, np.isfinite(value)
-        seen[rows[:, None], first] = True
-        while open_.any():
-            rank = np.where(open_, worth, -np.inf)
-            pick = np.argpartition(-rank, AT_ONCE, axis=1)[:, :AT_ONCE]
-            chosen = np.take_along_axis(open_, pick, axis=1)
-            open_[rows[:, None], pick] = False
-            around = neighbours[np.where(chosen, beam[rows[:, None], pick], 0)].astype(np.int64)
-            around = np.where(chosen[:, :, None], around, -1).reshape(count, -1)
-            around = np.where(seen[rows[:, None], around], -1, around)
-            around = np.sort(around, axis=1)
-            around[:, 1:][around[:, 1:] == around[:, :-1]] = -1
-            seen[rows[:, None], around] = True
-            fresh = np.where(around >= 0, product(around), -np.inf)
-            all_nodes, all_worth = np.hstack((beam, around)), np.hstack((worth, fresh))
-            all_open = np.hstack((open_, around >= 0))
-            keep = np.argpartition(-all_worth, BEAM - 1, axis=1)[:, :BEAM]
-            beam, worth = np.take_along_axis(all_nodes, keep, axis=1), np.take_along_axis(all_worth, keep, axis=1)
-            open_ = np.take_along_axis(all_open, keep, axis=1) & np.isfinite(worth)
-        order = np.argsort(-worth, axis=1, kind="stable")[:, :k]
-        nodes = np.take_along_axis(beam, order, axis=1)
-        return np.where(np.isfinite(np.take_along_axis(worth, order, axis=1)), nodes, -1), np.take_along_axis(worth, order, axis=1)
-
-
-INDEX = "dim int, shard int, ids binary, of binary, vectors binary, members array<binary>, neighbours array<binary>"
+        now = np.zeros(len(queries), np.int64)
+        for layer in self.layers[:0:-1]:
+            now = walk(self.vectors, layer, queries, now)
+        nodes, worth, looked = beam_search(self.vectors, self.layers[0], queries, now, max(BEAM, k))
+        self.looked += looked
+        return nodes[:, :k], worth[:, :k]
+
+
+INDEX = "dim int, shard int, ids binary, begin binary, vectors binary, layers array<binary>"
 
 
 def _index(table: pa.Table) -> pa.Table:
-    lists = table.column("ids").to_pylist()
-    of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    vectors = np.array(table.column("vector").to_pylist(), dtype=np.float64)
-    layers = Graph(vectors).layers
+    flat = table.column("vector").combine_chunks()
+    vectors = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1).astype(np.float64)
+    graph, lists = Graph(vectors), table.column("ids").to_pylist()
+    begin = np.cumsum([0, *[len(lists[i]) for i in graph.order]])
     one = lambda x, kind: pa.array([x], kind)
     return pa.table({
         "dim": table.column("dim")[:1], "shard": table.column("shard")[:1],
-        "ids": one(np.array([i for x in lists for i in x], np.int64).tobytes(), pa.binary()), "of": one(of.astype(np.int32).tobytes(), pa.binary()),
-        "vectors": one(vectors.tobytes(), pa.binary()),
-        "members": one([m.tobytes() for m, _ in layers], pa.list_(pa.binary())), "neighbours": one([x.tobytes() for _, x in layers], pa.list_(pa.binary())),
+        "ids": one(np.array([x for i in graph.order for x in lists[i]], np.int64).tobytes(), pa.binary()), "begin": one(begin.astype(np.int64).tobytes(), pa.binary()),
+        "vectors": one(graph.vectors.tobytes(), pa.binary()), "layers": one([x.tobytes() for x in graph.layers], pa.list_(pa.binary())),
     })
 
 
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query long, query_id long, vec_id long, score double"
 
 
 def _search(k: int):
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for row in left.to_pylist():
-            vectors = np.frombuffer(row["vectors"]).reshape(-1, row["dim"])
-            ids, of = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["of"], np.int32)
-            layers = [(np.frombuffer(m, np.int32), np.frombuffer(x, np.int32).reshape(-1, 2 * LINKS)) for m, x in zip(row["members"], row["neighbours"], strict=True)]
-            graph, begin = Graph(vectors, layers), np.searchsorted(of, np.arange(len(vectors) + 1))
-            asked = right.column("query_id").to_numpy()
-            queries = np.array(right.column("vector").to_pylist(), dtype=np.float64)
+        out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for i in range(left.num_rows if right.num_rows else 0):
+            dim = left.column("dim")[i].as_py()
+            read = lambda x, kind: np.frombuffer(x.as_buffer(), kind)
+            ids, begin = read(left.column("ids")[i], np.int64), read(left.column("begin")[i], np.int64)
+            layers = [read(x, np.int32).reshape(-1, 2 * LINKS) for x in left.column("layers")[i]]
+            graph = Graph(read(left.column("vectors")[i], np.float64).reshape(-1, dim), layers)
+            number, asked = right.column("query").to_numpy(), right.column("query_id").to_numpy()
+            queries = right.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(asked), -1).astype(np.float64)
             for a in range(0, len(asked), BLOCK):
                 nodes, products = graph.search(queries[a : a + BLOCK], k + 1)
                 query, rank = np.nonzero(nodes >= 0)
                 node = nodes[query, rank]
-                size = (begin[1:] - begin[:-1])[node]
+                size = begin[node + 1] - begin[node]
                 at = np.repeat(begin[node] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                who, score = np.repeat(asked[a : a + BLOCK][query], size), np.repeat(products[query, rank], size)
-                fine = ids[at] != who
+                query, score = np.repeat(query, size) + a, np.repeat(products[query, rank], size)
+                fine = ids[at] != asked[query]
                 # a shard's own k best of each query, ties to the smaller id
-                who, found, score = who[fine], ids[at][fine], score[fine]
-                order = np.lexsort((found, -score, who))
-                who, found, score = who[order], found[order], score[order]
-                best = np.arange(len(who)) - np.searchsorted(who, who) < k
-                for x, y in zip(out, (who, found, score), strict=True):
+                query, found, score = query[fine], ids[at][fine], score[fine]
+                order = np.lexsort((found, -score, query))
+                query, found, score = query[order], found[order], score[order]
+                best = np.arange(len(query)) - np.searchsorted(query, query) < k
+                for x, y in zip(out, (number[query], asked[query], found, score), strict=True):
                     x.append(y[best])
-        return pa.table([pa.array(np.concatenate(x)) for x in out], names=["query_id", "vec_id", "score"])
+        return pa.table([pa.array(np.concatenate(x)) for x in out], names=["query", "query_id", "vec_id", "score"])
 
     return search
 
@@ -228,12 +267,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_i
     counts = nodes.groupBy("dim").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
     dealt = nodes.join(F.broadcast(counts), "dim").withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int"))
     index = cut(dealt.groupBy("dim", "shard").applyInArrow(_index, INDEX))
-    asked = double(queries).select(F.col("id").alias("query_id"), "vector", F.size("vector").alias("dim"))
+    asked = double(queries).distinct().select(F.monotonically_increasing_id().alias("query"), F.col("id").alias("query_id"), "vector", F.size("vector").alias("dim"))
+    asked = cut(asked)
     parts = max(1, math.ceil(asked.count() / QUERIES))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id", "vector"), F.lit(parts)).cast("int"))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int"))
     to_all = asked.join(F.broadcast(counts), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     copies = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     keys = ["dim", "shard", "part"]
-    found = copies.groupBy(*keys).cogroup(to_all.select("query_id", "vector", *keys).groupBy(*keys)).applyInArrow(_search(k), FOUND)
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = copies.groupBy(*keys).cogroup(to_all.select("query", "query_id", "vector", *keys).groupBy(*keys)).applyInArrow(_search(k), FOUND)
+    ranked = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

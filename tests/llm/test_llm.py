@@ -358,6 +358,34 @@ def test_nearest(spark, monkeypatch):
     assert nearest.search(few.where("false"), few.where("false")).count() == 0
 
 
+def test_repeated_query_rows_are_one_query(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, r.normal(size=8).tolist()) for i in range(1, 60)]
+    rows += [rows[19], (40, r.normal(size=8).tolist())]  # 20 twice with one vector, 40 with two
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest.search(df, df.where("vec_id = 20 or vec_id = 40")).toPandas()
+    mine = got[got.query_id == 20].sort_values("rank")
+    v = np.array(rows[19][1])
+    want = sorted(((-float(np.dot(v, x)), i) for i, x in rows if i != 20))[:20]
+    assert mine.vec_id.tolist() == [i for _, i in want] and mine["rank"].tolist() == list(range(1, 21))
+    assert sorted(got[got.query_id == 40]["rank"]) == sorted(list(range(1, 21)) * 2)
+
+
+def test_recall_and_share_looked_at_of_a_whole_shard():
+    """A full shard of vectors as the tables hold them: directions with groups of near copies."""
+    r = np.random.default_rng(3)
+    v = r.normal(size=(nearest.SHARD // 2, 64))
+    v[: len(v) // 4] = v[r.integers(0, 400, len(v) // 4)] + 0.05 * r.normal(size=(len(v) // 4, 64))
+    v = np.vstack((v, v + 0.6 * r.normal(size=v.shape)))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    graph, count = nearest.Graph(v), 256
+    queries = graph.vectors[r.integers(0, len(v), count)]
+    got = np.concatenate([graph.search(queries[a : a + nearest.BLOCK], 21)[0] for a in range(0, count, nearest.BLOCK)])
+    want = np.argsort(-(queries @ graph.vectors.T), axis=1)[:, :21]
+    assert np.mean([len(set(a) & set(b)) / 21 for a, b in zip(got, want)]) >= 0.9
+    assert graph.looked / count < 0.05 * len(v)
+
+
 # -- decontamination --------------------------------------------------------
 
 
