@@ -9,13 +9,15 @@ smaller counts over the sum of the larger, and a match has ``SIMILAR`` or more.
 * A window that shares no shingle with an item of its size has similarity 0, so
   only windows around shared shingles are looked at; nothing else is skipped.
 * Each window and item gets a 64-bit SimHash, bit by bit the weighted majority
-  of its shingles' hashes. Fingerprints are cut into ``RADIUS`` + 1 blocks: two
-  within the radius agree in a block (multi-index hashing), so an equi-join on
-  (size, block, value) finds all of them, and the Hamming distance is checked.
-* Fingerprints may miss a match near the threshold (at similarity 0.8 they
-  differ in 9.7 bits of 64 on average with a deviation of 2.9). So windows with
-  enough places whose shingles are of items of their size also meet the items
-  that share one of their rarest shingles; these pairs hold every match.
+  of its shingles' hashes. Fingerprints are cut into ``RADIUS`` + 1 blocks of eight
+  bits: two within the radius agree in a block (multi-index hashing), so an
+  equi-join on (size, block, value) finds all of them, and the Hamming distance is
+  checked. Unrelated fingerprints share one of eight blocks with a chance of 3 %.
+* At similarity 0.8 fingerprints differ in 9.7 bits of 64 on average, and blocks
+  for a radius that holds all of those would be three bits wide and filter
+  nothing. So windows with enough places whose shingles are of items of their
+  size also meet the items that share one of their rarest shingles; with these
+  pairs no match is lost, whatever its fingerprints say.
 * All pairs are compared by their shingles.
 
 Whether the benchmark side and the list of documents with shared shingles are
@@ -32,10 +34,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .components import again
 from .session import cut
 
-SIMILAR, RADIUS, SHINGLE = 0.8, 19, 5
-#: Rows (a few dozen bytes each) that may be broadcast.
+SIMILAR, RADIUS, SHINGLE = 0.8, 7, 5
+#: Rows, or places in lists (a few dozen bytes each), that may be broadcast.
 BROADCAST_ROWS = 200_000
 
 
@@ -142,7 +145,7 @@ def _matching(docs: DataFrame, benchmark: DataFrame, id: str, text: str, item: s
     small = (shape.rows or 0) <= BROADCAST_ROWS
     prints = items.select("number", "n", F.explode("of_item").alias("shingle")).groupBy("number", "n").agg(*lanes.counts(F.col("shingle"))).select("number", "n", lanes.fingerprint().alias("item_print"))
     offered = prints.select("number", "n", "item_print", F.explode(blocks_of(F.col("item_print"), radius)).alias("block"))
-    known = items.select(F.explode("of_item").alias("shingle"), "n", "k").distinct().groupBy("shingle").agg(F.collect_set(F.struct("n", "k")).alias("sizes"))
+    known = items.select(F.explode("of_item").alias("shingle"), "n", "k").distinct().groupBy("shingle").agg(F.collect_set(F.struct("n", "k")).alias("sizes")).select(again("shingle").alias("shingle"), "sizes")
 
     named = docs.select(F.col(id).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text")).where("text is not null")
     # words are a column of their own: inside a lambda their expression would be evaluated again and again
@@ -157,7 +160,7 @@ def _matching(docs: DataFrame, benchmark: DataFrame, id: str, text: str, item: s
     hits = placed.join(F.broadcast(known) if small else known, "shingle").select("id", "th", "pos", F.explode("sizes").alias("x")).where("x.k = of").select("id", "th", "pos", "x.n", "x.k")
     ranges = cut(hits.groupBy("id", "th", "n", "k").agg(F.collect_set("pos").alias("pos")))
 
-    few = ranges.count() <= BROADCAST_ROWS
+    few = (ranges.agg(F.sum(F.size("pos"))).first()[0] or 0) <= BROADCAST_ROWS
     held = ranges.withColumnsRenamed({"id": "hit_id", "th": "hit_th"})
     near = named.join(F.broadcast(held) if few else held, (F.col("th") == F.col("hit_th")) & F.col("id").eqNullSafe(F.col("hit_id"))).select("id", "th", "n", "k", "pos", words_of(F.col("text")).alias("words"))
     if not few:

@@ -10,6 +10,9 @@ every document whole; ``keep`` is a score of one half or more, and so is a tie.
 Every statistic is taken over the whole text; short texts are drawn to a value
 without a vote by ``SHRINK`` words, with no limit at which they are treated apart.
 
+Sameness compares logarithms of the number of different words and of all words,
+a ratio that falls slowly with the length of prose and fast where words repeat.
+
 A shape is a word with runs of capitals, of other letters and of digits reduced
 to A, a and 0; a word equal to the one before has a mark of its own.
 
@@ -39,15 +42,13 @@ LABELLERS = [
     ("capitals", 0.35, 0.10),
     ("lone_symbols", 0.15, 0.02),
     ("repeats", 0.20, 0.05),
-    ("sameness", 0.55, 0.40),
+    ("sameness", 0.35, 0.25),
     ("symbols", 0.12, 0.06),
     ("shouts", 0.15, 0.03),
     ("no_short_words", 0.92, 0.80),
 ]
 NAMES = [n for n, _, _ in LABELLERS]
-#: Words of a stretch, within which ``sameness`` counts words that stand again; all stretches of a text count.
-STRETCH = 100
-#: Value that short texts are drawn to, by SHRINK words: between the two votes.
+#: Share that short texts are drawn to, by SHRINK words: between the two votes.
 MIDDLE = {name: (bad + good) / 2 for name, bad, good in LABELLERS}
 
 CLASS = np.arange(256, dtype=np.uint8)
@@ -91,15 +92,14 @@ class Style:
         tail, total = data[ends - 1], count(pairs)
         letters = by_byte(capital) + by_byte(SMALL[data])
         row = np.repeat(np.arange(rows), np.diff(first))
-        stretch = (np.arange(len(starts)) - first[:-1][row]) // STRETCH
-        known = np.bincount(_distinct_rows(row, stretch, hashes), minlength=rows)
+        kinds = np.bincount(_distinct_rows(row, hashes), minlength=rows)
         length = ends - starts
         stats = {
             "symbol_words": by_word(total[ends] - total[starts] > 0),
             "capitals": by_byte(capital) / (letters + 2 * SHRINK),
             "lone_symbols": by_word((length == 1) & symbol[starts]),
             "repeats": by_word(again),
-            "sameness": (np.diff(first) - known + SHRINK * MIDDLE["sameness"]) / (n + SHRINK),
+            "sameness": 1 - np.log(kinds + SHRINK) / np.log(np.diff(first) + SHRINK),
             "symbols": by_byte(symbol) / (np.diff(offsets) + 4 * SHRINK),
             "shouts": by_word(tail == ord("!")),
             "no_short_words": (np.diff(first) - K.sums((length <= 3) & ~symbol[starts], first) + SHRINK * MIDDLE["no_short_words"]) / (n + SHRINK),
@@ -107,12 +107,12 @@ class Style:
         return (shape >> np.uint64(64 - DIMENSION_BITS)).astype(np.int64), first, stats
 
 
-def _distinct_rows(row: np.ndarray, stretch: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """The row of every distinct (row, stretch, hash)."""
-    order = np.lexsort((hashes, stretch, row))
-    r, s, h = row[order], stretch[order], hashes[order]
+def _distinct_rows(row: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The row of every distinct (row, hash)."""
+    order = np.lexsort((hashes, row))
+    r, h = row[order], hashes[order]
     new = np.ones(len(r), bool)
-    new[1:] = (r[1:] != r[:-1]) | (s[1:] != s[:-1]) | (h[1:] != h[:-1])
+    new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
     return r[new]
 
 

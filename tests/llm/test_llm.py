@@ -509,6 +509,57 @@ def test_quality(spark):
     assert quality.classify(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+# -- different texts that polynomial hashes take for one -----------------------
+
+
+def thue_morse():
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_thue_morse_words(spark):
+    one, two = thue_morse()
+    assert jaccard_join.jaccard_groups(spark.createDataFrame([(1, one), (2, two)], SCHEMA)).where("doc_id <> component_id").count() == 0
+    lines = spark.createDataFrame([(1, one + "\n" + two), (2, two)], SCHEMA)
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(lines).collect()} == {1: one + "\n" + two, 2: ""}
+    docs = [(i, (one + " ") * 9 if i % 2 else two) for i in range(40)]
+    got = {r.doc_id: r for r in language_model.score(spark.createDataFrame(docs, SCHEMA)).collect()}
+    reader = Reader(docs, language_model.STRENGTH)
+    assert all(r.score == pytest.approx(reader.read(dict(docs)[i])) for i, r in got.items())
+
+
+# -- rows of one id -------------------------------------------------------------
+
+
+def test_strings_of_many_rows_of_one_id(spark):
+    r = random.Random(12)
+    passage = "a passage that stands in very many of the texts, with more than fifty bytes"
+    text = lambda: "".join(r.choice("abcdefgh ") for _ in range(40)) + passage * (r.random() < 0.3) + "".join(r.choice("abcdefgh ") for _ in range(30))
+    rows = [(None, text()) for _ in range(150)] + [(7, text()) for _ in range(150)] + [(3, text())] + [(5, passage)] * 30
+    check_strings(spark, rows)
+
+
+def test_lines_bounds(spark):
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(spark.createDataFrame([], SCHEMA), edits=31)
+    docs = spark.createDataFrame([(1, "short line"), (2, "shirt line")], SCHEMA)
+    assert line_dedup.dedup_lines(docs).where("n_removed > 0").count() == 0
+    assert line_dedup.dedup_lines(docs, shortest=5).where("n_removed > 0").count() == 1
+
+
+def test_names_of_our_own_columns(spark):
+    """Columns named as the operators' own are handed on."""
+    clash = [f"c{i}" for i in range(4)] + ["__gone", "__id", "__th", "__lines", "gone", "own_id", "lines", "token_ids", "n_tokens", "decoded", "th", "cls"]
+    docs = spark.createDataFrame([(1, "a line that is long enough\nx"), (2, "a line that is long enough")], SCHEMA).select("*", *[F.lit(i).alias(c) for i, c in enumerate(clash)])
+    done = line_dedup.dedup_lines(docs)
+    assert done.columns == [*docs.columns, "n_lines", "n_removed"] and {r.n_removed for r in done.collect()} == {0, 1}
+    public = pytest.importorskip("public_tokenizers")
+    coded = bpe.encode_documents(docs, public.path("word_bpe_49k.json"), keep=docs.columns, into=("x", "y", "z"))
+    assert coded.columns == [*docs.columns, "x", "y", "z"] and coded.count() == 2
+    assert bpe.encode_documents(docs.where("false"), public.path("word_bpe_49k.json")).count() == 0
+    assert bpe.encode_documents(docs.unionAll(docs), public.path("word_bpe_49k.json")).count() == 4
+
+
 # -- empty tables and the pipeline ------------------------------------------
 
 
@@ -549,28 +600,105 @@ def test_stages_judge_rows_not_ids(spark):
     assert collections.Counter((x.doc_id, x.text) for x in left.collect()) == collections.Counter([(None, b), (6, c), (7, d), (7, d), (None, None)])
 
 
+def lines_left(rows):
+    """Texts without repeated lines, by brute force; rows are (id, text) in order."""
+    strip = lambda x: x.strip(" \t\n\x0b\x0c\r")
+    solid = sorted({strip(x) for _, t in rows for x in (t or "").split("\n")} - {""})
+    u, by_length = Union(solid), collections.defaultdict(list)
+    for x in solid:
+        if len(x.encode()) >= line_dedup.SHORTEST:
+            by_length[len(x.encode())].append(x)
+    for n, some in by_length.items():
+        for m in range(n, n + line_dedup.EDITS + 1):
+            for a in some:
+                for b in by_length.get(m, ()):
+                    # pairs further apart than the edits differ in more places of their sorted bytes as well
+                    if a != b and sum((collections.Counter(a.encode()) - collections.Counter(b.encode())).values()) <= line_dedup.EDITS and line_dedup.EDITS >= distance(a.encode(), b.encode()):
+                        u.join(a, b)
+    seen, out = set(), []
+    for i, t in rows:
+        kept, solid = [], 0
+        for x in (t or "").split("\n"):
+            solid += bool(strip(x))
+            if strip(x) and u.root(strip(x)) in seen:
+                continue
+            seen |= {u.root(strip(x))} if strip(x) else set()
+            kept.append(x)
+        if t is None or not solid or any(strip(x) for x in kept):
+            out.append((i, None if t is None else "\n".join(kept)))
+    return out
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 def test_pipeline(spark):
+    """Every stage against brute force on its own input; toxicity, which is fitted, against its labels."""
     import corpus_pipeline
 
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    library = tokenizers.Tokenizer.from_file(public.path("word_bpe_49k.json"))
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = {name: None for name, _ in corpus_pipeline.STAGES}
-    now = docs
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    now, kept = docs, {}
     for name, stage in corpus_pipeline.STAGES:
-        before = {r.doc_id: r.text for r in now.collect()}
+        before = sorted((r.doc_id, r.text) for r in now.collect())
         now = stage(spark, now, sf).cache()
-        kept[name] = {r.doc_id for r in now.collect()}
-        assert kept[name] <= set(before)
+        after = {r.doc_id: r.text for r in now.collect()}
+        kept[name] = set(after)
         if name != "bpe":
             assert now.columns == docs.columns
+            assert now.where("n_chars <> length(text)").count() == 0 or name == "toxicity"
+        if name == "toxicity":
+            told = [(i in after, toxic[i]) for i, _ in before if i in toxic]
+            assert sum(stays != bool(t) for stays, t in told) / len(told) > 0.95
+            assert all(after[i] == t for i, t in before if i in after)
+        if name == "line_dedup":
+            assert sorted(after.items()) == lines_left(before)
         if name == "ngram_jaccard_join":
-            u, sets = Union(before), {i: shingles(t) for i, t in before.items()}
+            u, sets = Union(dict(before)), {i: shingles(t) for i, t in before}
             for a, b in itertools.combinations(sets, 2):
                 both = len(sets[a] & sets[b])
                 if both and 100 * both >= 80 * len(sets[a] | sets[b]):
                     u.join(a, b)
-            assert kept[name] == {i for i in before if u.root(i) == i}
+            assert kept[name] == {i for i, _ in before if u.root(i) == i}
+        if name == "decontamination":
+            assert kept[name] == {i for i, t in before if not any(holds(t, x) for _, x in items)}
+        if name == "bpe":
+            for r in now.collect():
+                ids = library.encode(r.text, add_special_tokens=False).ids
+                assert (r.token_ids, r.n_tokens) == (ids, len(ids))
+                assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     run = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in run.select("doc_id").collect()} == kept["bpe"]
     assert run.where("size(token_ids) <> n_tokens").count() == 0
+
+
+def holds(text, item):
+    """Has a window of the text a weighted shingle similarity of 0.8 or more with the item?"""
+    cut = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    w, v = cut(text), cut(item)
+    k = min(5, len(v))
+    bag = lambda z: collections.Counter(tuple(z[j : j + k]) for j in range(len(z) - k + 1))
+    want = bag(v)
+    where = [j for j in range(len(w) - k + 1) if tuple(w[j : j + k]) in want]
+    starts = {s for j in where for s in range(max(0, j - (len(v) - k)), min(j, max(0, len(w) - len(v))) + 1)}
+    return any(10 * sum((a & want).values()) >= 8 * sum((a | want).values()) for a in (bag(w[s : s + len(v)]) for s in starts)) if v else False
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, shared ids, repeated rows, empty tables, a column more."""
+    import corpus_pipeline
+
+    r = random.Random(3)
+    text = lambda: " ".join(f"w{r.randrange(3000)}" for _ in range(40))
+    a, b, item = text(), text(), text()
+    schema = "doc_id long, text string, lang string, source string, n_chars long, token_ids int, __lines int"
+    rows = [(1, a, "en", "s", len(a), 1, 1), (None, a, None, None, None, None, None), (2, b, "en", "s", len(b), 1, 1), (2, b, "en", "s", len(b), 1, 1), (2, item, None, None, None, None, None), (3, None, None, None, None, None, None), (None, "", None, None, 0, None, None), (4, " \n ", None, None, 3, None, None)]
+    for name, docs, items in (("some", rows, [(1, item), (None, None), (2, "")]), ("none", [], [])):
+        spark.createDataFrame(docs, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        spark.createDataFrame([(None, 1, 1), (1, None, None)] if docs else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        kept = collections.Counter((x.doc_id, x.text) for x in got.select("doc_id", "text").collect())
+        assert kept == (collections.Counter([(1, a), (2, b), (3, None), (None, ""), (4, " \n ")]) if docs else {})
