@@ -15,16 +15,20 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm import bpe, decontamination, jaccard_join, line_dedup, toxicity
 from lumenframe.llm.queries import table, vocabulary
-from lumenframe.llm.session import cut, ensure_checkpoint_dir
+from lumenframe.llm.session import cut, ensure_checkpoint_dir, remove_folder
+
+
+#: Names of the stages' own columns beside those of docs.
+OWN = ("__stage_1", "__stage_2", "__stage_3")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep=docs.columns).where("not rejected").select(*docs.columns)
+    return toxicity.score(docs, model, keep=docs.columns, into=OWN).where(f"not {OWN[2]}").select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = line_dedup.dedup_lines(docs, counts=("__lines", "__gone")).where("__lines = 0 or __gone < __lines")
+    done = line_dedup.dedup_lines(docs, counts=OWN[:2]).where(f"{OWN[0]} = 0 or {OWN[1]} < {OWN[0]}")
     return done.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
@@ -46,8 +50,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = bpe.encode_documents(docs, vocabulary(), keep=docs.columns)
-    return done.select(*docs.columns, "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    done = bpe.encode_documents(docs, vocabulary(), keep=docs.columns, into=OWN)
+    ids, count, decoded = OWN
+    return done.select(*docs.columns, F.col(count).alias("n_tokens"), F.col(ids).alias("token_ids"), F.sha2(decoded, 256).alias("decoded_sha256"))
 
 
 STAGES = [
@@ -63,10 +68,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written to the shared folder and read again."""
+    """All stages, each written to the shared folder and read again; a stage's input is removed when its output is written.
+
+    The last input stays, for the result is read from it.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{spark.sparkContext.applicationId}-{spark._jvm.java.util.UUID.randomUUID()}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove_folder(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
