@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.graph import register_extension
@@ -9,17 +10,6 @@ from . import extraction, traces
 from .background import cnmf_background
 from .neuropil import surround_masks
 
-KEYS = ["global_frame", "plane_index"]
-
-
-def global_pixels(analysis):
-    movie = analysis.imaging
-    base = F.element_at(F.lit(movie.offsets), F.col("epoch_index") + 1)
-    p = movie.pixels().withColumn("global_frame", F.col("frame") + base)
-    area = movie.height * movie.width
-    return p.select("global_frame", (F.col("plane_index") * area + F.col("pix")).alias("pix"), "v")
-
-
 def _masks(analysis):
     area = analysis.rois.height * analysis.rois.width
     return analysis.rois.sparse.select(F.col("roi_id").alias("roi"), (F.col("plane_index") * area + F.col("pix")).alias("pix"), "w")
@@ -45,27 +35,33 @@ def fluorescence(analysis, method: str = "projection", use_neuropil: bool | str
     if method not in ("projection", "regression", "nnls"):
         raise ValueError(f"unknown method {method!r}")
     source = extraction.resolve_neuropil(use_neuropil, [n for n in ("neuropil", "background") if n in analysis.tables])
-    pixels, masks, keys = global_pixels(analysis), _masks(analysis), ["global_frame"]
+    if method == "projection" and source == "background":
+        raise ValueError("a background needs regression or nnls")
+    masks, keys, order = _masks(analysis), ["global_frame"], list(analysis.rois.order)
+    b = _placed(analysis, analysis.tables["background"]) if source == "background" else None
+    frames = whole_frames(analysis)
     if method == "projection":
-        if source == "background":
-            raise ValueError("a background needs regression or nnls")
         if source == "neuropil":
-            done = extraction.surround_corrected(pixels, masks, _placed(analysis, analysis.tables["neuropil"]), neuropil_weight, keys)
-            found = done.select("global_frame", "roi", F.col("value").cast("float").alias("value"), F.col("neuropil").cast("float").alias("background"))
+            done = extraction.surround_of_frames(frames, masks, _placed(analysis, analysis.tables["neuropil"]), neuropil_weight, keys, order)
         else:
-            done = extraction.projection(pixels, masks, keys)
-            found = done.select("global_frame", "roi", F.col("value").cast("float").alias("value"), F.lit(None).cast("float").alias("background"))
+            done = extraction.projection_of_frames(frames, masks, keys, order)
+        value = F.col("value")
     else:
-        b = _placed(analysis, analysis.tables["background"]) if source == "background" else None
-        solver = extraction.JointSolver(masks, b, ridge, method == "nnls", list(analysis.rois.order))
-        done = solver(pixels, keys)
+        done = extraction.JointSolver(masks, b, ridge, method == "nnls", order).on_frames(frames, keys)
         value = extraction.weighted(F.col("value"), F.col("background"), neuropil_weight) if b is not None else F.col("value")
-        back = F.col("background").cast("float") if b is not None else F.lit(None).cast("float")
-        found = done.select("global_frame", "roi", value.cast("float").alias("value"), back.alias("background"))
-    # a region without pixels has a trace of zeros
-    every = pixels.select("global_frame").distinct().crossJoin(F.broadcast(analysis.rois.masks.sparkSession.createDataFrame([(r,) for r in analysis.rois.order], "roi string")))
-    zero = F.lit(0.0).cast("float")
-    return every.join(found, ["global_frame", "roi"], "left").select("global_frame", "roi", F.coalesce("value", zero).alias("value"), "background")
+    back = F.col("background") if source is not None else F.lit(None)
+    # a region without pixels has a trace of zeros: its inner products are 0
+    return done.select("global_frame", "roi", value.cast("float").alias("value"), back.cast("float").alias("background"))
+
+
+def whole_frames(analysis) -> DataFrame:
+    """(global_frame, pixels): all planes of a frame one after another in one row."""
+    movie = analysis.imaging
+    numbered = movie.frames.withColumn("global_frame", F.col("frame") + F.element_at(F.lit(movie.offsets), F.col("epoch_index") + 1))
+    if movie.n_planes == 1:
+        return numbered.select("global_frame", "pixels")
+    rows = numbered.groupBy("global_frame").agg(F.sort_array(F.collect_list(F.struct("plane_index", "pixels"))).alias("x"))
+    return rows.select("global_frame", F.flatten(F.transform("x", lambda v: v["pixels"])).alias("pixels"))
 
 
 @register_extension("df_over_f", needs=("fluorescence",))
@@ -78,6 +74,7 @@ def df_over_f(analysis, method: str = "percentile", percentile: float | None = N
 
 
 @register_extension("deconvolution", needs=("df_over_f",))
-def deconvolution(analysis, decay_time: float | None = None, rise_time: float | None = None, penalty: int = 1):
+def deconvolution(analysis, decay_time: float | None = None, rise_time: float | None = None, penalty: int | None = 1, baseline: float | None = None, baseline_nonneg: bool = True, noise_std: float | None = None, lam: float = 0.0, s_min: float = 0.0, refine_kinetics: int = 0):
     fs = analysis.imaging.fs if analysis.imaging is not None else analysis.rois.fs
-    return traces.deconvolve(analysis.tables["df_over_f"], fs, decay_time, rise_time, penalty, value="dff", frame="global_frame")
+    how = {"noise_std": noise_std, "baseline": baseline, "baseline_nonneg": baseline_nonneg, "lam": lam, "s_min": s_min, "refine": refine_kinetics}
+    return traces.deconvolve(analysis.tables["df_over_f"], fs, decay_time, rise_time, penalty, value="dff", frame="global_frame", **how)

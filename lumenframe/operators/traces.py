@@ -74,7 +74,7 @@ def ar1_filter(traces: DataFrame, g: float, value: str = "value", roi: str = "ro
 def baseline_dff(
     traces: DataFrame, fs: float, method: str = "percentile", percentile: float | None = None, window: float = 60.0, sigma: float = 10.0, background: str | None = None, value: str = "value", roi: str = "roi", frame: str = "frame",
 ) -> DataFrame:
-    """(roi, frame, dff, f0) with mirrored borders. Without a percentile, that of the density's mode of the trace is used."""
+    """(roi, frame, dff, f0) with mirrored borders. Without a percentile, that of the density's mode over the first window is used, for the background as well."""
     if method not in ("percentile", "maximin"):
         raise ValueError(f"unknown method {method!r}")
     columns = [roi, frame, value, *([background] if background else [])]
@@ -85,8 +85,9 @@ def baseline_dff(
         if method == "maximin":
             base = lambda v: kernels.maximin(v, sigma, kernels.odd_window(window, fs))
         else:
-            level = kernels.mode_percentile(x) if percentile is None else percentile
-            base = lambda v: kernels.rolling_percentile(v, int(window * fs), level)
+            size = int(window * fs)
+            level = kernels.mode_percentile(x[:size]) if percentile is None else percentile
+            base = lambda v: kernels.rolling_percentile(v, size, level)
         f0 = base(x)
         below = f0 + base(pdf[background].to_numpy(float)) if background else f0
         pdf["dff"], pdf["f0"] = ((x - f0) / (below + EPS32)).astype(np.float32), f0.astype(np.float32)
@@ -96,16 +97,21 @@ def baseline_dff(
     return traces.select(*columns).groupBy(roi).applyInPandas(run, f"`{roi}` {kinds[roi]}, `{frame}` {kinds[frame]}, dff float, f0 float")
 
 
-def deconvolve(traces: DataFrame, fs: float, decay: float | None = None, rise: float | None = None, penalty: int = 1, value: str = "value", roi: str = "roi", frame: str = "frame") -> DataFrame:
-    """(roi, frame, denoised, spikes) by non-negative AR(1) deconvolution of each trace."""
+def deconvolve(
+    traces: DataFrame, fs: float, decay: float | None = None, rise: float | None = None, penalty: int | None = 1, value: str = "value", roi: str = "roi", frame: str = "frame", noise_std: float | None = None, baseline: float | None = None, baseline_nonneg: bool = True, lam: float = 0.0, s_min: float = 0.0, refine: int = 0,
+) -> DataFrame:
+    """(roi, frame, denoised, spikes) by non-negative AR deconvolution of each trace, AR(2) unless a decay without a rise is given."""
     if rise and not decay:
         raise ValueError("a rise time needs a decay time")
-    if penalty not in (0, 1):
-        raise ValueError("penalty is 0 or 1")
+    if penalty not in (0, 1, None):
+        raise ValueError("penalty is 0, 1 or None")
+    if penalty is not None and (lam or s_min):
+        raise ValueError("lam and s_min need penalty None")
+    how = {"penalty": penalty, "noise_std": noise_std, "baseline": baseline, "baseline_nonneg": baseline_nonneg, "lam": lam, "s_min": s_min, "refine": refine}
 
     def run(pdf):
         pdf = pdf.sort_values(frame)
-        c, s = kernels.deconvolve(pdf[value].to_numpy(float), fs, decay, penalty)
+        c, s = kernels.deconvolve(pdf[value].to_numpy(float), fs, decay, rise, **how)
         pdf["denoised"], pdf["spikes"] = c.astype(np.float32), s.astype(np.float32)
         return pdf[[roi, frame, "denoised", "spikes"]]
 

@@ -1,4 +1,4 @@
-"""Movies and regions from arrays and from flat binary files."""
+"""Movies and regions from arrays."""
 
 from __future__ import annotations
 
@@ -8,9 +8,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
-from ..model import FRAMES, MASKS, Epoch, Imaging, Rois
+from ..model import MASKS, Epoch, Imaging, Rois
+from .recording import read_binary  # noqa: F401
 
 
 def imaging_from_numpy(spark: SparkSession, series, fs: float, t_starts=None, plane_ids=None) -> Imaging:
@@ -65,40 +65,6 @@ def rois_from_stat(spark: SparkSession, stats: list[dict], height: int, width: i
     return Rois(spark.createDataFrame(masks, MASKS), height, width, tuple(str(i) for i in range(len(stats))), n_planes, fs, properties)
 
 
-KINDS = {"uint8": "u1", "int16": "<i2", "uint16": "<u2", "int32": "<i4", "float32": "<f4", "float64": "<f8"}
-
-
-def read_binary(spark: SparkSession, paths: list[str], fs: float, shape: tuple[int, ...], dtype: str = "uint16", t_starts=None, offset: int = 0) -> Imaging:
-    """Flat files of frames (H, W[, P]), one to an epoch; a trailing part of a frame is not read.
-
-    Read from any store that Spark reads; a file is one task's, so a long
-    recording should be split into files of at most 2 GB, or stored as Parquet.
-    """
-    h, w, p = (*shape, 1)[:3]
-    kind = np.dtype(KINDS[dtype])
-    size = h * w * p * kind.itemsize
-    parts, lengths = None, []
-    for e, path in enumerate(paths):
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        length = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).getLen()
-        lengths.append(max(0, length - offset) // size)
-        whole = spark.read.format("binaryFile").load(path).select(F.lit(e).cast("int").alias("epoch_index"), "content")
-
-        def cut(batches, n=lengths[-1]):
-            for batch in batches:
-                for epoch, content in zip(batch["epoch_index"], batch["content"], strict=True):
-                    step = max(1, (8 << 20) // size)
-                    for a in range(0, n, step):
-                        m = min(step, n - a)
-                        x = np.frombuffer(content, kind, m * h * w * p, offset + a * size).reshape(m, h, w, p).transpose(0, 3, 1, 2).reshape(m * p, h * w)
-                        yield pd.DataFrame({"epoch_index": np.full(m * p, epoch, "int32"), "frame": np.repeat(np.arange(a, a + m), p), "plane_index": np.tile(np.arange(p, dtype="int32"), m), "pixels": list(x.astype(np.float32))})
-
-        frames = whole.mapInPandas(cut, FRAMES)
-        parts = frames if parts is None else parts.unionByName(frames)
-    starts = t_starts or [0.0] * len(paths)
-    return Imaging(parts, fs, h, w, tuple(Epoch(n, t) for n, t in zip(lengths, starts, strict=True)), tuple(range(p)), dtype)
-
-
 def describe(movie: Imaging) -> str:
     """A movie's metadata as JSON."""
     return json.dumps({"fs": movie.fs, "height": movie.height, "width": movie.width, "plane_ids": list(movie.plane_ids), "dtype": movie.dtype, "epochs": [[e.n_frames, e.t_start] for e in movie.epochs], "annotations": movie.annotations})
