@@ -27,8 +27,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: Random values of bytes at the first places of a span; later places are mixed as they come.
-NEAR = mix(np.arange(64 << 8, dtype=U))
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -70,36 +68,64 @@ def _powers(n: int, of: np.uint64) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def span_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit names of ascending spans that don't overlap: sums of random values, one for each (byte, place in its span).
+def _near(seed: int) -> np.ndarray:
+    """Random values of (place modulo 64, byte), one table for each seed."""
+    if seed not in _NEAR:
+        _NEAR[seed] = mix(np.arange(64 << 8, dtype=U) + (U(seed) << U(32)))
+    return _NEAR[seed]
 
+
+_NEAR: dict[int, np.ndarray] = {}
+
+
+def span_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, *seeds: int):
+    """64-bit names of ascending spans that don't overlap; one array for each seed, of seed 0 if none is given.
+
+    A name sums a random value for each byte, by its place in the span: a table's
+    value for the place modulo 64, times a random odd number for each 64 places.
     Two different spans share a name with a chance of about 2^-64 whatever their
     bytes; different seeds give independent names.
     """
-    out = np.zeros(len(starts), dtype=U)
-    turn = mix(np.array([seed], dtype=U))[0] if seed else U(0)
+    out = [np.zeros(len(starts), dtype=U) for _ in seeds or (0,)]
     # a slice of bytes at a time, so that a long text needs no more memory than a chunk
     for lo in range(0, len(data), CHUNK_BYTES):
         hi = min(len(data), lo + CHUNK_BYTES)
         a, b = int(np.searchsorted(ends, lo, side="right")), int(np.searchsorted(starts, hi, side="left"))
         if a >= b:
             continue
-        begin = np.zeros(hi - lo, np.int64)
-        inner = starts[a:b]
-        begin[0] = inner[0]
-        inside = inner[inner >= lo]
-        begin[inside - lo] = inside
-        place = np.arange(lo, hi) - np.maximum.accumulate(begin)
-        code = place.astype(U) << U(8) | data[lo:hi]
-        near = place < 64
-        if near.all():
-            value = NEAR[code] if not seed else mix(code ^ turn)
+        inner = starts[a:b] - lo
+        begin = np.zeros(hi - lo, np.int32)
+        inside = inner[inner >= 0]
+        begin[inside] = inside
+        # the first span may have begun before the slice; bytes of no span are counted from anywhere
+        before = max(0, -int(inner[0]))
+        place = np.arange(hi - lo, dtype=np.int32) - np.maximum.accumulate(begin)
+        if before:
+            whole = place.astype(np.int64)
+            whole[: int(inside[0]) if len(inside) else hi - lo] += before
         else:
-            value = mix(code ^ turn)
+            whole = place
+        code = ((whole & 63) << 8) | data[lo:hi]
+        top = int(whole.max()) >> 6
+        far = None
+        if top:
+            step = whole >> 6
+            low = int(step.min())
+            scale = mix(np.arange(low, top + 1, dtype=U)) | U(1)
+            if low == 0:
+                scale[0] = 1
+            far = scale[step - low]
+        first, last = np.clip(starts[a:b], lo, hi) - lo, np.clip(ends[a:b], lo, hi) - lo
         total = np.zeros(hi - lo + 1, dtype=U)
-        np.cumsum(value, out=total[1:])
-        out[a:b] += total[np.clip(ends[a:b], lo, hi) - lo] - total[np.clip(starts[a:b], lo, hi) - lo]
-    return mix(out ^ (ends - starts).astype(U) * U(0x9E3779B97F4A7C15))
+        for names, seed in zip(out, seeds or (0,), strict=True):
+            value = _near(seed)[code]
+            if far is not None:
+                value *= far
+            np.cumsum(value, out=total[1:])
+            names[a:b] += total[last] - total[first]
+    size = (ends - starts).astype(U) * U(0x9E3779B97F4A7C15)
+    out = [mix(x ^ size) for x in out]
+    return out if len(out) > 1 else out[0]
 
 
 def packed(column) -> tuple[np.ndarray, np.ndarray]:

@@ -61,16 +61,39 @@ def line_spans(data: np.ndarray, offsets: np.ndarray):
     ends = np.sort(ends[: len(rows)]) if not len(breaks) else _line_ends(starts, document, offsets)
     first = np.searchsorted(document, rows)
     number = np.arange(len(starts)) - first[document]
-    # trim: the next and the previous byte that is not white space
-    place = np.arange(len(data) + 1)
-    solid = np.append(~K.SPACE[data], True)
-    after = np.minimum.accumulate(np.where(solid, place, len(data))[::-1])[::-1]
-    before = np.maximum.accumulate(np.where(np.append(~K.SPACE[data], False), place, -1))
-    starts = np.minimum(after[starts], ends)
-    ends = np.maximum(np.where(ends > 0, before[ends - 1] + 1, 0), starts)
+    starts, ends = trimmed(data, starts, ends)
     return document, number, starts, ends
 
 
+#: White space at a line's end is stepped over byte by byte so far, then looked up for all bytes at once.
+STEPS = 32
+
+
+def trimmed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans without white space at either end."""
+    starts, ends = starts.copy(), ends.copy()
+    for left in (True, False):
+        open_ = np.flatnonzero(starts < ends)
+        for _ in range(STEPS):
+            open_ = open_[K.SPACE[data[starts[open_] if left else ends[open_] - 1]]]
+            if left:
+                starts[open_] += 1
+            else:
+                ends[open_] -= 1
+            open_ = open_[starts[open_] < ends[open_]]
+            if not len(open_):
+                break
+        else:
+            solid = np.flatnonzero(~K.SPACE[data])
+            if left:
+                after = np.append(solid, len(data))[np.searchsorted(solid, starts[open_])]
+                starts[open_] = np.minimum(after, ends[open_])
+            else:
+                before = np.concatenate(([0], solid + 1))[np.searchsorted(solid, ends[open_])]
+                ends[open_] = np.maximum(before, starts[open_])
+    return starts, ends
+
+
 def _line_ends(starts: np.ndarray, document: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Each line ends before the break that the next line of its document follows."""
     ends = np.empty_like(starts)
@@ -88,6 +111,10 @@ def segments(length: np.ndarray, number: int, parts: int) -> tuple[np.ndarray, n
     return number * size + np.maximum(0, number - short), size + (number >= short)
 
 
+#: The sketch's bit of each byte pair.
+FLIP = U(1) << (K.mix(np.arange(1 << 16, dtype=U)) >> U(58))
+
+
 class Lines:
     """Names, sketches and join keys of the lines of packed texts."""
 
@@ -97,18 +124,14 @@ class Lines:
     def __call__(self, data: np.ndarray, offsets: np.ndarray):
         self.data = data
         document, number, self.starts, self.ends = line_spans(data, offsets)
-        self.names = K.span_names(data, self.starts, self.ends).view(np.int64)
+        self.names, self.checks = (x.view(np.int64) for x in K.span_names(data, self.starts, self.ends, 0, 1))
         return document, number, self.ends > self.starts
 
-    def checks(self) -> np.ndarray:
-        """The lines' second names."""
-        return K.span_names(self.data, self.starts, self.ends, seed=1).view(np.int64)
-
     def sketches(self, at: np.ndarray) -> np.ndarray:
         """Parity of each line's byte pairs in 64 bits."""
-        pair = self.data[:-1].astype(U) << U(8) | self.data[1:] if len(self.data) > 1 else np.zeros(0, U)
+        pair = self.data[:-1].astype(np.uint16) << 8 | self.data[1:]
         flips = np.zeros(len(self.data) + 1, U)
-        np.bitwise_xor.accumulate(U(1) << (K.mix(pair) >> U(58)), out=flips[1 : len(pair) + 1])
+        np.bitwise_xor.accumulate(FLIP[pair], out=flips[1 : len(pair) + 1])
         return flips[np.maximum(self.ends[at] - 1, self.starts[at])] ^ flips[self.starts[at]]
 
     def keys(self, at: np.ndarray):
@@ -137,7 +160,7 @@ def _occurrences(edits: int):
             for a, b in K.chunks(offsets):
                 document, number, solid = lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 take = pa.array(document[solid] + a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(number[solid]), pa.array(lines.names[solid]), pa.array(lines.checks()[solid])], names=["id", "th", "line", "name", "check"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(number[solid]), pa.array(lines.names[solid]), pa.array(lines.checks[solid])], names=["id", "th", "line", "name", "check"])
 
     return scan
 
@@ -329,12 +352,13 @@ def _texts(edits: int, bits: np.ndarray):
             for a, b in K.chunks(offsets):
                 part = data[offsets[a] : offsets[b]]
                 _, _, solid = lines(part, offsets[a : b + 1] - offsets[a])
-                _, at = np.unique(np.stack((lines.names, lines.checks())), axis=1, return_index=True)
-                names = lines.names[at]
-                fine = solid[at] & bit[_filter_at(names)]
-                if fine.any():
-                    names, at = names[fine], at[fine]
-                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(lines.checks()[at]), pa.array([part[lines.starts[i] : lines.ends[i]].tobytes() for i in at], pa.binary())], names=["name", "check", "bytes"])
+                at = np.flatnonzero(solid & bit[_filter_at(lines.names)])
+                if len(at):
+                    order = at[np.lexsort((lines.checks[at], lines.names[at]))]
+                    names, checks = lines.names[order], lines.checks[order]
+                    at = order[np.concatenate(([True], (names[1:] != names[:-1]) | (checks[1:] != checks[:-1])))]
+                    names = lines.names[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(lines.checks[at]), pa.array([part[lines.starts[i] : lines.ends[i]].tobytes() for i in at], pa.binary())], names=["name", "check", "bytes"])
 
     return scan
 
@@ -388,14 +412,18 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", edits:
     place, body = docs.columns.index(id), docs.columns.index(text)
     order, words = F.coalesce(F.col(f"c{place}").cast("long"), F.lit(LAST_ID)), F.col(f"c{body}").cast("string")
     keyed = plain.select(order.alias("id"), F.xxhash64(words).alias("th"), words.alias("text")).where("text is not null")
-    seen = keyed.mapInArrow(lean(_occurrences(edits)), "id long, th long, line long, name long, check long")
-    seen = seen.select("id", "th", "line", F.struct("name", "check").alias("name"))
-    classes = cut(components(links(keyed.select("text"), edits, shortest), "a", "b"))
-    seen = seen.join(classes, seen.name == classes.node, "left").select("id", "th", "line", F.coalesce("component", "name").alias("cls"))
-    firsts = seen.groupBy("cls").agg(F.min(F.struct("id", "th", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    seen = cut(keyed.mapInArrow(lean(_occurrences(edits)), "id long, th long, line long, name long, check long"))
+    linked = components(links(keyed.select("text"), edits, shortest), "a", "b")
+    classes = cut(linked.select(F.col("node.name").alias("name"), F.col("node.check").alias("check"), F.col("component.name").alias("first_name"), F.col("component.check").alias("first_check")))
+    # only lines that stand more than once, or that match others, go further
+    often = seen.groupBy("name", "check").agg(F.count("*").alias("n")).select(again("name").alias("name"), again("check").alias("check"), "n")
+    often = often.join(classes, ["name", "check"], "left").where("n > 1 or first_name is not null")
+    cls = [F.coalesce("first_name", "name").alias("cls"), F.coalesce("first_check", "check").alias("cls_check")]
+    met = seen.join(often.select("name", "check", *cls), ["name", "check"]).select("id", "th", "line", "cls", "cls_check")
+    firsts = met.groupBy("cls", "cls_check").agg(F.min(F.struct("id", "th", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
     # the class is named anew, so that the join deals out both sides itself and may split a frequent line's occurrences
-    firsts = firsts.select(again("cls").alias("cls"), "first")
-    gone = seen.join(firsts, "cls").where("struct(id, th, line) <> first").groupBy("id", "th").agg(F.collect_set("line").alias("gone"))
+    firsts = firsts.select(again("cls").alias("cls"), again("cls_check").alias("cls_check"), "first")
+    gone = met.join(firsts, ["cls", "cls_check"]).where("struct(id, th, line) <> first").groupBy("id", "th").agg(F.collect_set("line").alias("gone"))
     joined = plain.withColumns({"own_id": order, "own_th": F.xxhash64(words)}).join(gone, (F.col("own_id") == F.col("id")) & (F.col("own_th") == F.col("th")), "left")
     kinds = ", ".join(f"{f.name} {'string' if i == body else f.dataType.simpleString()}" for i, f in enumerate(plain.schema.fields))
     picked = [words.alias(f"c{body}") if i == body else F.col(c) for i, c in enumerate(plain.columns)]
