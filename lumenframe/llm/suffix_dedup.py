@@ -13,12 +13,13 @@ documents; null texts are empty.
   their number up to ``MOST_BITS``, spares the others the next step (a wrong bit
   costs a row and changes nothing).
 * Around each shared anchor lies the region of the strings it anchors. Regions
-  meet by anchor, which is all that anchors decide. Of the regions of an anchor,
-  equal ones are one content with the smallest of their ids. All contents go
-  into suffix arrays (linear grouping, suffix_array.py), as many whole anchors to
-  an array as ``ARRAY_BYTES`` hold: neighbours in an array that have a common
-  prefix of LENGTH bytes begin one string, and the smallest id of such a run
-  decides for every region that holds the string.
+  meet by anchor. Of the regions of an anchor, equal ones are one content with
+  the smallest of their ids. A content whose bytes agree too little with all
+  others, before and after the anchor, shares no string and is settled by that.
+  All others go whole into suffix arrays (linear grouping, suffix_array.py), as
+  many anchors to an array as ``ARRAY_BYTES`` hold: neighbours in an array that
+  have a common prefix of LENGTH bytes begin one string, and the smallest id of
+  such a run decides for every region that holds the string.
 
 Null ids come after all others and remove nothing from each other. Rows with
 equal ids never remove from one another; they are told apart by 64-bit hashes
@@ -193,7 +194,8 @@ def _bits(bits: int):
     return scan
 
 
-REGION = "key long, id long, th long, place long, region binary"
+#: place is where the region begins in its text, lead how far the anchor lies from there.
+REGION = "key long, id long, th long, place long, lead long, region binary"
 
 
 def _regions(table, bits: int):
@@ -202,32 +204,69 @@ def _regions(table, bits: int):
         for batch in batches:
             data, offsets = K.packed(seen.column(batch))
             for row, rows, part, place in pieces(data, offsets):
-                document, first, last, _, hashes = anchors(part, rows)
+                document, first, last, anchor, hashes = anchors(part, rows)
                 at = (hashes >> U(64 - bits)).astype(np.int64)
                 take = np.flatnonzero((bit[at >> 3] >> (at & 7)) & 1)
                 if not len(take):
                     continue
-                document, first, last, hashes = (x[take] for x in (document, first, last, hashes))
+                document, first, last, anchor, hashes = (x[take] for x in (document, first, last, anchor, hashes))
                 who = pa.array(document + row)
                 text = part.tobytes()
                 blobs = [text[s : e + LENGTH] for s, e in zip(first.tolist(), last.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column(0).take(who), batch.column(1).take(who), pa.array(first - rows[document] + place), pa.array(blobs, pa.binary())], names=["key", "id", "th", "place", "region"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column(0).take(who), batch.column(1).take(who), pa.array(first - rows[document] + place), pa.array(anchor - first), pa.array(blobs, pa.binary())], names=["key", "id", "th", "place", "lead", "region"])
 
     return scan
 
 
+def agreement(key: np.ndarray, side: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many bytes of a side a row has in common with the row of its key that agrees most; -1 for a row alone."""
+    wide = np.zeros((len(key), 32), np.uint8)
+    wide[:, : side.shape[1]] = side
+    word = wide.view(">u8").astype(U)
+    order = np.lexsort((word[:, 3], word[:, 2], word[:, 1], word[:, 0], key))
+    a, b = order[:-1], order[1:]
+    differ = side[a] != side[b]
+    same = np.where(differ.any(axis=1), differ.argmax(axis=1), side.shape[1])
+    same = np.where(key[a] == key[b], np.minimum(same, np.minimum(size[a], size[b])), -1)
+    out = np.full(len(key), -1)
+    np.maximum.at(out, a, same)
+    np.maximum.at(out, b, same)
+    return out
+
+
 class Regions:
     """Rows of whole anchors, sorted by anchor."""
 
-    def __init__(self, key, id, th, place, blobs) -> None:
-        self.key, self.id, self.th, self.place, self.blobs = key, id, th, place, blobs
+    def __init__(self, key, id, th, place, lead, blobs) -> None:
+        self.key, self.id, self.th, self.place, self.lead, self.blobs = key, id, th, place, lead, blobs
+
+    def some(self, rows: np.ndarray) -> Regions:
+        return Regions(self.key[rows], self.id[rows], self.th[rows], self.place[rows], self.lead[rows], [self.blobs[i] for i in rows])
 
-    def contents(self) -> tuple[np.ndarray, np.ndarray]:
-        """(content of each row, of each content its row with the smallest id): equal regions of an anchor are one content."""
+    def contents(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(content of each row, of each content its row with the smallest id, is it of several ids): equal regions of an anchor are one content."""
         number: dict = {}
         content = np.array([number.setdefault(x, len(number)) for x in zip(self.key.tolist(), self.blobs, strict=True)], np.int64)
         order = np.lexsort((self.id, content))
-        return content, order[np.searchsorted(content[order], np.arange(len(number)))]
+        first = np.searchsorted(content[order], np.arange(len(number) + 1))
+        return content, order[first[:-1]], self.id[order[first[:-1]]] < self.id[order[first[1:] - 1]]
+
+    def may_share(self) -> np.ndarray:
+        """Contents (rows that differ) that may share a string with another content of their anchor.
+
+        A string holds the anchor and SIDES bytes more: those before it agree with
+        some content and those after it with some content, or it is in no other.
+        """
+        size = np.array([len(x) for x in self.blobs])
+        flat = np.frombuffer(b"".join(self.blobs), np.uint8)
+        middle = np.cumsum(size) - size + self.lead
+        step, agree = np.arange(SIDES)[None, :], 0
+        for left in (True, False):
+            far = np.minimum(self.lead if left else size - self.lead - GRAM, SIDES)
+            at = middle[:, None] + (-1 - step if left else GRAM + step)
+            side = np.where(step < far[:, None], flat[np.clip(at, 0, len(flat) - 1)], 0).astype(np.uint8)
+            agree = agree + np.maximum(agreement(self.key, side, far), -SIDES)
+        return agree >= SIDES
 
     def spans(self, new: np.ndarray):
         """(id, th, start, end) of what the rows marked as new lose."""
@@ -239,15 +278,21 @@ class Regions:
         rows = np.flatnonzero(np.repeat(many, np.diff(np.append(first, len(self.key)))))
         if not len(rows):
             return empty
-        some = Regions(self.key[rows], self.id[rows], self.th[rows], self.place[rows], [self.blobs[i] for i in rows])
-        content, sample = some.contents()
-        size = np.array([len(some.blobs[i]) for i in sample])
+        some = self.some(rows)
+        content, sample, several = some.contents()
+        kinds = some.some(sample)
+        sharing = kinds.may_share()
+        size = np.array([len(x) for x in kinds.blobs])
         windows = size - LENGTH + 1
         edge = np.concatenate(([0], np.cumsum(windows)))
-        owner = np.empty(edge[-1], np.int64)
-        for a, b in _batches(some.key[sample], size):
-            owner[edge[a] : edge[b]] = owners([some.blobs[i] for i in sample[a:b]], some.id[sample[a:b]])
-        mine = np.flatnonzero(new[rows])
+        # a content that shares no string owns all of its own
+        owner = np.repeat(kinds.id, windows)
+        met = np.flatnonzero(sharing)
+        for a, b in _batches(kinds.key[met], size[met]) if len(met) else ():
+            here = met[a:b]
+            at = np.repeat(edge[here] - np.cumsum(windows[here]) + windows[here], windows[here]) + np.arange(windows[here].sum())
+            owner[at] = owners([kinds.blobs[i] for i in here], kinds.id[here])
+        mine = np.flatnonzero(new[rows] & (sharing | several)[content])
         count = windows[content[mine]]
         row = np.repeat(mine, count)
         step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
@@ -302,10 +347,10 @@ def _judge(batches):
     held, carried = None, 0
 
     def read(batch):
-        return [batch.column(i).to_numpy() for i in range(4)] + [batch.column(4).to_pylist()]
+        return [batch.column(i).to_numpy() for i in range(5)] + [batch.column(5).to_pylist()]
 
     def join(a, b):
-        return [np.concatenate((x, y)) for x, y in zip(a[:4], b[:4], strict=True)] + [a[4] + b[4]]
+        return [np.concatenate((x, y)) for x, y in zip(a[:5], b[:5], strict=True)] + [a[5] + b[5]]
 
     def judged(rows, carried):
         new = np.ones(len(rows[0]), bool)
@@ -325,8 +370,8 @@ def _judge(batches):
                 held, carried = [x[last:] for x in held], 0
             if len(held[0]) - carried > max(SLAB, 2 * carried):
                 yield judged(held, carried)
-                _, keep = Regions(*held).contents()
-                held = [x[keep] for x in held[:4]] + [[held[4][i] for i in keep]]
+                _, keep, _ = Regions(*held).contents()
+                held = [x[keep] for x in held[:5]] + [[held[5][i] for i in keep]]
                 carried = len(keep)
     if held is not None and len(held[0]):
         yield judged(held, carried)
