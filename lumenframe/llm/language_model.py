@@ -27,8 +27,9 @@ part of the automaton and is read. There are as many shards as keep about
 ``SHARD_KEYS`` n-grams in each, by the number of tokens. N and V are two numbers
 for each shard.
 
-N-grams are told apart by 64-bit names: among 10^10 different ones about three
-pairs are expected to share their counts.
+N-grams are told apart by as many bits of their names as keep the chance that one
+shares its counts with another below 2^-``SPARE``, by the number of tokens (up to
+64 bits, which is reached at 2^42 tokens).
 
 A null text is empty and has the end only. A document with a null id trains and
 is not held out. Rows with equal ids are separate documents with one common
@@ -55,6 +56,8 @@ ORDER, STRENGTH = 3, (500.0, 10.0)
 FOLDS, HELD_OUT = 5, 1
 #: Bytes of text in a block, and n-grams asked of a shard.
 BLOCK_BYTES, SHARD_KEYS = 8 << 20, 4 << 20
+#: Bits of a name beyond those that number the tokens.
+SPARE = 22
 END, START = U(0x0123456789ABCDEF), U(0x0FEDCBA987654321)
 
 
@@ -106,37 +109,43 @@ def _pack(batches):
                 streams.append(tokens)
                 lengths.append(np.diff(begin))
             distinct, stream = np.unique(np.concatenate(streams), return_inverse=True)
+            # words are numbered by falling frequency: that makes their stream small
+            order = np.argsort(-np.bincount(stream), kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            stream = place[stream]
             held = [held_out(i) for i in ids.slice(a, b - a).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([at + seq], pa.int64()), pa.array([ids.slice(a, b - a).to_pylist()], pa.list_(pa.int64())),
                     pa.array([np.concatenate(lengths)], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())),
-                    pa.array([squeeze(np.diff(distinct, prepend=U(0)))], pa.binary()), pa.array([len(distinct)], pa.int64()), pa.array([squeeze(stream)], pa.binary()), pa.array([len(stream)], pa.int64()),
+                    pa.array([squeeze(np.diff(distinct, prepend=U(0)))], pa.binary()), pa.array([squeeze(place)], pa.binary()), pa.array([len(distinct)], pa.int64()), pa.array([squeeze(stream)], pa.binary()), pa.array([len(stream)], pa.int64()),
                 ],
                 names=BLOCK_NAMES,
             )
             seq += 1
 
 
-BLOCK = "block long, ids array<long>, lengths array<long>, held array<boolean>, words binary, n_words long, stream binary, n_tokens long"
-BLOCK_NAMES = ["block", "ids", "lengths", "held", "words", "n_words", "stream", "n_tokens"]
+BLOCK = "block long, ids array<long>, lengths array<long>, held array<boolean>, words binary, places binary, n_words long, stream binary, n_tokens long"
+BLOCK_NAMES = ["block", "ids", "lengths", "held", "words", "places", "n_words", "stream", "n_tokens"]
 
 
 class Block:
     """Tokens of one packed block, and its n-grams: for each order the distinct names and each token's place among them."""
 
-    def __init__(self, row: dict, order: int) -> None:
+    def __init__(self, row: dict, order: int, bits: int) -> None:
         self.ids, self.held = row["ids"], np.array(row["held"], dtype=bool)
         lengths = np.array(row["lengths"], dtype=np.int64)
         self.begin = np.concatenate(([0], np.cumsum(lengths)))
         words = np.cumsum(unsqueeze(row["words"], row["n_words"]), dtype=U)
-        stream = unsqueeze(row["stream"], int(self.begin[-1])).astype(np.int64)
+        number = np.argsort(unsqueeze(row["places"], row["n_words"]))
+        stream = number[unsqueeze(row["stream"], int(self.begin[-1])).astype(np.int64)]
         self.document = np.repeat(np.arange(len(lengths)), lengths)
         self.names, self.grams = [words], [stream]
         tokens = name = words[stream]
         for n in range(2, order + 1):
             name = longer(name, tokens, self.begin, n)
-            distinct, place = np.unique(name, return_inverse=True)
+            distinct, place = np.unique(name >> U(64 - bits), return_inverse=True)
             self.names.append(distinct)
             self.grams.append(place)
 
@@ -147,17 +156,17 @@ class Block:
             yield n, self.names[n], np.bincount(self.grams[n], trained, len(self.names[n])).astype(U)
 
 
-def shard_bounds(shards: int) -> np.ndarray:
-    return np.array([(i << 64) // shards for i in range(1, shards)], dtype=U)
+def shard_bounds(shards: int, bits: int) -> np.ndarray:
+    return np.array([(i << bits) // shards for i in range(1, shards)], dtype=U)
 
 
-def _ask(shards: int, orders):
-    bounds = shard_bounds(shards)
+def _ask(shards: int, orders, bits: int):
+    bounds = shard_bounds(shards, 64 if 0 in orders else bits)  # words are told apart by all 64 bits
 
     def scan(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                block = Block(row, max(orders) + 1)
+                block = Block(row, max(orders) + 1, bits)
                 for kind, keys, counts in block.asked(orders):
                     edge = np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)]))
                     some = [s for s in range(shards) if edge[s + 1] > edge[s]]
@@ -278,14 +287,14 @@ class Automaton:
 OUT = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _read(total: int, distinct: int, strength):
+def _read(total: int, distinct: int, strength, bits: int):
     order = len(strength) + 1
 
     def read(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = []
         answers = sorted(zip(right.column("kind").to_pylist(), right.column("shard").to_pylist(), right.column("n").to_pylist(), right.column("counts").to_pylist(), strict=True), key=lambda x: x[:2])
         for row in left.to_pylist():
-            block = Block(row, order)
+            block = Block(row, order, bits)
             counts = [np.concatenate([unsqueeze(c, n) for k, _, n, c in answers if k == kind]) for kind in range(order)]
             score, base, known = Automaton(block, counts, total, distinct, strength).read()
             m = len(block.ids)
@@ -303,9 +312,10 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", strength=STRE
     order = len(strength) + 1
     blocks = cut(docs.select(F.col(id).cast("long"), F.col(text).cast("string")).mapInArrow(lean(_pack), BLOCK))
     tokens, words = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
-    answered = lambda shards, orders: blocks.mapInArrow(lean(_ask(shards, orders)), ASKED).groupBy("kind", "shard").applyInArrow(_answer, ANSWER)
+    bits = min(64, int(tokens).bit_length() + SPARE)
+    answered = lambda shards, orders: blocks.mapInArrow(lean(_ask(shards, orders, bits)), ASKED).groupBy("kind", "shard").applyInArrow(_answer, ANSWER)
     ones = cut(answered(1 + words // SHARD_KEYS, [0]))
     total, distinct = ones.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     answers = ones.unionAll(answered(1 + tokens // SHARD_KEYS, range(1, order))) if order > 1 else ones
-    read = blocks.groupBy("block").cogroup(answers.select("block", "kind", "shard", "n", "counts").groupBy("block")).applyInArrow(_read(total, distinct, strength), OUT)
+    read = blocks.groupBy("block").cogroup(answers.select("block", "kind", "shard", "n", "counts").groupBy("block")).applyInArrow(_read(total, distinct, strength, bits), OUT)
     return read.withColumnRenamed("id", id)
