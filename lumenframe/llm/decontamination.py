@@ -38,7 +38,7 @@ from .components import again
 from .session import cut
 
 SIMILAR, RADIUS, SHINGLE = 0.8, 7, 5
-#: Rows, or places in lists (a few dozen bytes each), that may be broadcast.
+#: Rows (a few dozen bytes each) that may be broadcast.
 BROADCAST_ROWS = 200_000
 
 
@@ -160,11 +160,13 @@ def _matching(docs: DataFrame, benchmark: DataFrame, id: str, text: str, item: s
     hits = placed.join(F.broadcast(known) if small else known, "shingle").select("id", "th", "pos", F.explode("sizes").alias("x")).where("x.k = of").select("id", "th", "pos", "x.n", "x.k")
     ranges = cut(hits.groupBy("id", "th", "n", "k").agg(F.collect_set("pos").alias("pos")))
 
-    few = (ranges.agg(F.sum(F.size("pos"))).first()[0] or 0) <= BROADCAST_ROWS
+    hit = ranges.select(F.col("id").alias("hit_id"), F.col("th").alias("hit_th")).distinct()
+    same = (F.col("th") == F.col("hit_th")) & F.col("id").eqNullSafe(F.col("hit_id"))
+    # texts without a hit are left behind before any is moved; the places, lists as long as they may be, are joined to what is left
+    few = hit.count() <= BROADCAST_ROWS
+    met = named.join(F.broadcast(hit), same, "left_semi") if few else named
     held = ranges.withColumnsRenamed({"id": "hit_id", "th": "hit_th"})
-    near = named.join(F.broadcast(held) if few else held, (F.col("th") == F.col("hit_th")) & F.col("id").eqNullSafe(F.col("hit_id"))).select("id", "th", "n", "k", "pos", words_of(F.col("text")).alias("words"))
-    if not few:
-        near = near.repartition("id", "n", "pos")
+    near = met.join(held, same).select("id", "th", "n", "k", "pos", words_of(F.col("text")).alias("words"))
     of_doc = F.coalesce(*[F.when(F.col("k") == j, shingles_of(F.col("words"), j)) for j in sorted(shape.k) or [SHINGLE]])
     last = F.greatest(F.lit(0), F.size("words") - F.col("n"))
     around = F.transform("pos", lambda p: F.sequence(F.greatest(F.lit(0), p - (F.col("n") - F.col("k"))), F.greatest(F.lit(0), F.least(p, last))))
