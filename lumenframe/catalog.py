@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -492,8 +493,8 @@ def integer_shift(spark, d):
 c AS (SELECT frame, dy, dx, sum(v * r) AS score FROM mv, g, ref WHERE ref.p = ((mv.p // 8 + dy + 8) % 8) * 8 + (mv.p % 8 + dx + 8) % 8 GROUP BY ALL)
 SELECT frame, dy, dx, round(score, 6) AS score FROM c QUALIFY row_number() OVER (PARTITION BY frame ORDER BY round(score, 9) DESC, dy, dx) = 1""")
 def integer_shift_search(spark, d):
-    p = pixels(spark, d)
-    best = scoring.best_integer_shift(p, reduce.image(p).withColumnRenamed("v", "r"), SIDE, SIDE, 2)
+    image = np.array([r.v for r in reduce.image(pixels(spark, d)).orderBy("pix").collect()]).reshape(SIDE, SIDE)  # one image
+    best = scoring.best_integer_shift(frames(spark, d), image, 2)
     return best.select("frame", F.col("dy").cast("long").alias("dy"), F.col("dx").cast("long").alias("dx"), r6("score"))
 
 
@@ -505,3 +506,6 @@ def projection_at_scale(spark, d):
     w = 1 - F.col("l_discount")
     li = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("roi"))
     return li.agg(F.count("*").alias("n"), (F.round(F.sum(F.col("l_extendedprice") * w) / F.nullif(F.sum(w * w), F.lit(0.0)), 4)).alias("value"))
+
+
+from . import catalog_graph, catalog_kernels, catalog_sources  # noqa: E402, F401 - register their queries

@@ -70,6 +70,20 @@ class Imaging:
     def duration(self) -> float:
         return self.n_frames / self.fs
 
+    def __str__(self) -> str:
+        from .functions.text import bytes_text, seconds_text
+
+        lengths = ", ".join(seconds_text(e.n_frames / self.fs) for e in self.epochs)
+        sizes = ", ".join(bytes_text(e.n_frames * self.height * self.width * self.n_planes * 4) for e in self.epochs)
+        return f"{self.fs} Hz - {len(self.epochs)} epochs - {self.height} rows x {self.width} columns x {self.n_planes} planes - {lengths} - {self.dtype} - {sizes}"
+
+    def totals(self) -> DataFrame:
+        """(epoch_index, frames, pixels, bytes, seconds) by epoch and, with a null epoch, in all."""
+        e = self.epoch_frame().select("epoch_index", F.col("n_frames").alias("frames"))
+        area = self.height * self.width * self.n_planes
+        rows = e.rollup("epoch_index").agg(F.sum("frames").alias("frames"))
+        return rows.select("epoch_index", "frames", (F.col("frames") * area).alias("pixels"), (F.col("frames") * area * 4).alias("bytes"), (F.col("frames") / F.lit(self.fs)).alias("seconds"))
+
     def raw_bytes(self, itemsize: int = 4) -> int:
         return self.n_frames * self.height * self.width * self.n_planes * itemsize
 

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import band_pass, nnls_descent, regularise, smooth_image
+from ..functions.kernels import band_pass, nnls_descent, regularise, ridge_inverse, smooth_image
 from ..model import Imaging, Rois
 from .reduce import sampled_frames
 
@@ -29,61 +29,117 @@ def inpaint(image: np.ndarray, holes: np.ndarray, sigma: float) -> np.ndarray:
     """Fills holes by a normalised Gaussian mean of what lies around."""
     free = (~holes).astype(float)
     top, bottom = smooth_image(image * free, sigma, "edge"), smooth_image(free, sigma, "edge")
-    filled = np.where(bottom > 1e-6, top / np.maximum(bottom, 1e-6), image[~holes].mean() if (~holes).any() else 0.0)
+    filled = np.where(bottom > 1e-6, top / np.maximum(bottom, 1e-6), image)
     return np.where(holes, filled, image)
 
 
-def fit(movie: np.ndarray, masks: np.ndarray, shape: tuple[int, int], components: int = 1, init: str = "ramp", low: float = 1.0, high: float = 20.0, ridge: float = 1e-6, rounds: int = 30, tol: float = 1e-4, nonnegative: bool = True):
+class Fit:
+    """Alternating updates of C A + f b on a subsample held in memory (rows are frames)."""
+
+    def __init__(self, movie: np.ndarray, masks: np.ndarray, shape: tuple[int, int], ridge: float = 1e-6, nonnegative: bool = True, nonnegative_background: bool = True) -> None:
+        self.y, self.a, self.shape, self.ridge = movie.astype(float), masks.astype(float), shape, ridge
+        self.nonnegative, self.nonnegative_background = nonnegative, nonnegative_background
+        self.support = self.a.any(axis=0)
+        self.gram = self.a @ self.a.T
+        self.inverse = ridge_inverse(self.gram, ridge)
+        self.ya, self.total = self.y @ self.a.T, float(np.sum(self.y**2))
+        self.c = self.b = self.f = None
+
+    def clipped(self, c: np.ndarray) -> np.ndarray:
+        return np.maximum(c, 0) if self.nonnegative else c
+
+    def seed(self, low: float, high: float) -> None:
+        """First traces, from band-passed frames: a broad background must not leak into them."""
+        soft = np.stack([band_pass(x.reshape(self.shape), low, high).ravel() for x in self.y]) if low or high else self.y
+        self.c = self.clipped(soft @ self.a.T @ self.inverse)
+
+    def start(self, components: int, init: str, high: float) -> None:
+        """First background: bumps of the mean residual image, or its leading directions; regions are filled from around."""
+        sigma = np.sqrt(max(np.diag(self.gram).max(initial=0.0), 1.0) / np.pi) + 1
+        sigma = min(sigma, high) if high else sigma
+        image = (self.y.mean(axis=0) - self.c.mean(axis=0) @ self.a).reshape(self.shape)
+        mean = np.maximum(inpaint(image, self.support.reshape(self.shape), sigma).ravel(), 0)
+        if init == "ramp":
+            b = unit_partition(*self.shape, components) * mean
+        elif init == "svd":
+            left = np.where(self.support, 0.0, self.y - self.c @ self.a)
+            rank = min(components, min(left.shape) - 1)
+            b = np.repeat(mean[None], components, axis=0)
+            if rank > 0:
+                v = np.abs(np.linalg.svd(left, full_matrices=False)[2][:rank])
+                b = v[np.minimum(np.arange(components), rank - 1)]
+        else:
+            raise ValueError(f"unknown start {init!r}")
+        # a component of zeros could never grow
+        self.b = np.where((b > 0).any(axis=1, keepdims=True), b, 1.0)
+        wanted = self.y @ self.b.T - self.c @ (self.a @ self.b.T)
+        own = self.b @ self.b.T
+        self.f = wanted @ ridge_inverse(own, self.ridge)
+        if self.nonnegative_background:
+            self.f = nnls_descent(regularise(own, self.ridge), wanted, self.f)
+
+    def _solve(self, gram: np.ndarray, wanted: np.ndarray, now: np.ndarray) -> np.ndarray:
+        """Rows that minimise 1/2 xGx - wanted x, from where they are."""
+        return nnls_descent(regularise(gram, self.ridge), wanted, now) if self.nonnegative_background else wanted @ ridge_inverse(gram, self.ridge)
+
+    def update(self) -> float:
+        """Traces, then background, then its courses, each from the newest of the others; the objective."""
+        if len(self.a):
+            self.c = self.clipped((self.ya - self.f @ (self.b @ self.a.T)) @ self.inverse)
+        self.b = self._solve(self.f.T @ self.f, (self.f.T @ self.y - (self.f.T @ self.c) @ self.a).T, self.b.T).T
+        self.f = self._solve(self.b @ self.b.T, self.y @ self.b.T - self.c @ (self.a @ self.b.T), self.f)
+        return self.objective()
+
+    def objective(self) -> float:
+        """|Y - C A - f b|^2, from inner products."""
+        d = np.vstack((self.a, self.b))
+        x = np.hstack((self.c, self.f))
+        return float(self.total - 2 * np.sum(x * np.hstack((self.ya, self.y @ self.b.T))) + np.sum((x.T @ x) * (d @ d.T)))
+
+    def ordered(self) -> tuple[np.ndarray, np.ndarray]:
+        """(b of unit norm by falling energy of its course, f)."""
+        norm = np.linalg.norm(self.b, axis=1)
+        norm = np.where(norm > 0, norm, 1.0)
+        b, f = self.b / norm[:, None], self.f * norm
+        order = np.argsort(-np.linalg.norm(f, axis=0), kind="stable")
+        return b[order], f[:, order]
+
+
+ILL = 1e6
+
+
+def fit(movie: np.ndarray, masks: np.ndarray, shape: tuple[int, int], components: int = 1, init: str = "ramp", low: float = 1.0, high: float = 20.0, ridge: float = 1e-6, rounds: int = 30, tol: float = 1e-4, nonnegative: bool = True, nonnegative_background: bool = True):
     """(b [components, pixels] of unit norm by falling energy, f [frames, components], objective by round)."""
-    y = movie.astype(float)
-    a = masks.astype(float)
-    support = a.any(axis=0)
-    gram = a @ a.T
-    inverse = np.linalg.pinv(regularise(gram, ridge), hermitian=True) if len(a) else gram
-    ya = y @ a.T
-    mean = (y - (ya @ inverse) @ a).mean(axis=0) if len(a) else y.mean(axis=0)
-    sigma = min(np.sqrt(max(np.diag(gram).max(initial=1.0), 1.0) / np.pi) + 1, high)
-    if init == "ramp":
-        b = unit_partition(*shape, components) * np.maximum(inpaint(mean.reshape(shape), support.reshape(shape), sigma).ravel(), 0)
-    elif init == "svd":
-        _, _, v = np.linalg.svd(np.where(support, y, 0) - np.where(support, y, 0).mean(axis=0), full_matrices=False)
-        b = np.abs(np.where(support, 0, v[:components]))
-        b = np.stack([inpaint(x.reshape(shape), support.reshape(shape), sigma).ravel() for x in b])
-    else:
-        raise ValueError(f"unknown start {init!r}")
-    b = np.where(b.any(axis=1, keepdims=True), b, 1.0)
-    filtered = np.stack([band_pass(x.reshape(shape), low, 0).ravel() for x in b]) if low > 0 else b
-    b = np.maximum(filtered, 0)
-    f = nnls_descent(b @ b.T, y @ b.T, np.maximum(0, y @ b.T @ np.linalg.pinv(b @ b.T)))
-    total, seen = float(np.sum(y * y)), []
-    c = np.zeros((len(y), len(a)))
+    model, seen = Fit(movie, masks, shape, ridge, nonnegative, nonnegative_background), []
+    model.seed(low, high)
+    model.start(components, init, high)
     for _ in range(rounds):
-        if len(a):
-            c = (ya - f @ (b @ a.T)) @ inverse
-            c = np.maximum(c, 0) if nonnegative else c
-        target = f.T @ y - (f.T @ c) @ a
-        b = nnls_descent(f.T @ f, target.T, b.T).T
-        yb = y @ b.T
-        f = nnls_descent(b @ b.T, yb - c @ (a @ b.T), f)
-        cross = f @ (b @ a.T)
-        value = total - 2 * np.sum(c * ya) - 2 * np.sum(f * yb) + np.sum((c.T @ c) * gram) + 2 * np.sum(c * cross) + np.sum((f.T @ f) * (b @ b.T))
-        seen.append(float(value))
-        if len(seen) > 1 and abs(seen[-2] - seen[-1]) <= tol * abs(seen[-2]):
+        seen.append(model.update())
+        if len(seen) > 1 and abs(seen[-2] - seen[-1]) < tol * (abs(seen[-2]) or 1.0):
             break
-    b = np.stack([inpaint(x.reshape(shape), support.reshape(shape), sigma).ravel() for x in b])
-    norm = np.linalg.norm(b, axis=1)
-    norm = np.where(norm > 0, norm, 1.0)
-    b, f = b / norm[:, None], f * norm
-    order = np.argsort(-np.sum(f * f, axis=0), kind="stable")
-    if len(a) and np.linalg.cond(regularise(gram, ridge)) > 1e6:
-        warnings.warn("masks are nearly dependent: traces are ill-determined", stacklevel=2)
-    return b[order], f[:, order], seen
+    b, f = model.ordered()
+    joint = np.vstack((model.a, b))
+    worst = max([np.linalg.cond(g @ g.T) for g in (model.a, joint) if len(g)], default=1.0)
+    if worst > ILL:
+        warnings.warn("masks and background are nearly dependent: traces are ill-determined", stacklevel=2)
+    return b, f, seen
 
 
-def cnmf_background(movie: Imaging, rois: Rois, components: int = 1, frames: int | None = 1000, **how) -> DataFrame:
-    """(component, plane_index, pix, b) of unit norm, fitted plane by plane."""
+def check_settings(components: int, frames: int | None, rounds: int, low: float, high: float, ridge: float, tol: float) -> None:
     if components < 1 or frames is not None and (frames < 2 or components >= frames):
         raise ValueError("at least one component and more frames than components")
+    if rounds < 1:
+        raise ValueError("at least one round")
+    if any(not np.isfinite(v) or v < 0 for v in (low, high, ridge, tol)):
+        raise ValueError("widths, ridge and tolerance must be finite and not negative")
+
+
+def cnmf_background(movie: Imaging, rois: Rois, components: int = 1, frames: int | None = 1000, **how) -> DataFrame:
+    """(component, plane_index, pix, b) of unit norm, fitted plane by plane."""
+    given = {"low": 1.0, "high": 20.0, "ridge": 1e-6, "rounds": 30, "tol": 1e-4} | {k: v for k, v in how.items() if k in ("low", "high", "ridge", "rounds", "tol")}
+    check_settings(components, frames, given["rounds"], given["low"], given["high"], given["ridge"], given["tol"])
+    if unknown := set(how) - set(given) - {"init", "nonnegative", "nonnegative_background"}:
+        raise TypeError(f"unknown settings: {sorted(unknown)}")
     rois.check(movie)
     total = movie.n_frames
     keep = sampled_frames(total, frames or total)

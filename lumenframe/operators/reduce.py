@@ -31,7 +31,7 @@ def temporal_bins(pixels: DataFrame, size: int, batch: int) -> DataFrame:
     """Mean of runs of ``size`` frames in each batch; a batch's incomplete last run goes, unless the batch is one."""
     numbered = pixels.withColumns({"batch": F.floor(F.col("frame") / batch), "at": F.col("frame") % batch})
     length = numbered.groupBy("batch").agg((F.max("at") + 1).alias("length"))
-    binned = numbered.join(F.broadcast(length), "batch").withColumn("bin", F.floor(F.col("at") / size))
+    binned = numbered.join(length, "batch").withColumn("bin", F.floor(F.col("at") / size))
     whole = binned.where((F.col("length") <= size) | ((F.col("bin") + 1) * size <= F.col("length")))
     return whole.groupBy("batch", "bin", "pix").agg(F.avg("v").alias("v"))
 
@@ -42,6 +42,32 @@ def bin_median(pixels: DataFrame, windows: int) -> DataFrame:
     return means.groupBy("pix").agg(F.median("v").alias("v"))
 
 
+def split_templates(pixels: DataFrame, chunks: int, total: int) -> DataFrame:
+    """(chunk, pix, v): mean of each run of frames without NaN; a pixel that is NaN throughout gets its chunk's least."""
+    clean = F.when(~F.isnan("v"), F.col("v"))
+    means = pixels.groupBy(F.floor(F.col("frame") * chunks / total).alias("chunk"), "pix").agg(F.avg(clean).alias("v"))
+    least = means.groupBy("chunk").agg(F.min("v").alias("least"))
+    return means.join(least, "chunk").select("chunk", "pix", F.coalesce("v", "least").alias("v"))
+
+
+def template(pixels: DataFrame, chunks: int, total: int) -> DataFrame:
+    """(pix, v): median over the split templates."""
+    return split_templates(pixels, chunks, total).groupBy("pix").agg(F.median("v").alias("v"))
+
+
+def temporal_projection(pixels: DataFrame, courses: DataFrame) -> DataFrame:
+    """(component, pix, v): the sum over frames of a course (component, frame, f) times the movie."""
+    return pixels.join(courses, "frame").groupBy("component", "pix").agg(F.sum(F.col("f") * F.col("v")).alias("v"))
+
+
+def padded_histogram(traces: DataFrame, bins: int, value: str = "value", roi: str = "roi") -> DataFrame:
+    """(roi, bin, n): counts of each trace over its range widened by a tenth at both ends; constant traces have none."""
+    span = traces.groupBy(roi).agg(F.min(value).alias("__a"), F.max(value).alias("__b")).where("__b > __a")
+    margin = (F.col("__b") - F.col("__a")) / 10
+    at = F.width_bucket(F.col(value), F.col("__a") - margin, F.col("__b") + margin, F.lit(bins)) - 1
+    return traces.join(span, roi).groupBy(roi, at.alias("bin")).agg(F.count("*").alias("n"))
+
+
 def binned(pixels: DataFrame, width: int, time: int, space: int) -> DataFrame:
     """Mean over blocks of time x space x space."""
     y, x = F.floor(F.col("pix") / width), F.col("pix") % width
@@ -53,10 +79,10 @@ def norm_squared(pixels: DataFrame) -> DataFrame:
 
 
 def kept_batches(total: int, size: int, nbins: int, batch: int = 500) -> list[int]:
-    """Batches read when only so many bins are wanted."""
+    """Numbers of the batches read when at most ``nbins`` bins are wanted: all, or evenly spaced ones from the first to the last."""
     count = -(-total // batch)
-    n = min(max(1, nbins // max(1, batch // size)), count)
-    return sampled_frames(count, n)
+    n = max(1, min(nbins // max(1, batch // size), count))
+    return [int(i * (count - 1) / max(1, n - 1)) for i in range(n)]
 
 
 def percentile(value: Column, level: float) -> Column:

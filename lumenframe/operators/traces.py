@@ -41,6 +41,29 @@ def dff(value: Column, f0: Column, background: Column | None = None) -> Column:
     return (value - f0) / (base + EPS32)
 
 
+def smoothed(traces: DataFrame, sigma: float, value: str = "value", roi: str = "roi", frame: str = "frame") -> DataFrame:
+    """Adds ``soft``: a Gaussian mean along the trace (sigma in frames), borders mirrored."""
+
+    def run(pdf):
+        pdf = pdf.sort_values(frame)
+        pdf["soft"] = kernels.smooth(pdf[value].to_numpy(float), sigma)
+        return pdf
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in traces.schema.fields)
+    return traces.groupBy(roi).applyInPandas(run, f"{kinds}, soft double")
+
+
+def mode_levels(traces: DataFrame, value: str = "value", roi: str = "roi", frame: str = "frame") -> DataFrame:
+    """(roi, level): the percentile at which each trace's density peaks."""
+
+    def run(pdf):
+        pdf = pdf.sort_values(frame)
+        return pdf[[roi]].iloc[:1].assign(level=kernels.mode_percentile(pdf[value].to_numpy(float)))
+
+    kind = traces.schema[roi].dataType.simpleString()
+    return traces.groupBy(roi).applyInPandas(run, f"`{roi}` {kind}, level double")
+
+
 def high_pass(traces: DataFrame, half: int, value: str = "value", roi: str = "roi", frame: str = "frame") -> DataFrame:
     return traces.withColumn("high", F.col(value) - F.avg(value).over(centred(half, roi, frame)))
 
@@ -72,12 +95,13 @@ def ar1_filter(traces: DataFrame, g: float, value: str = "value", roi: str = "ro
 
 
 def baseline_dff(
-    traces: DataFrame, fs: float, method: str = "percentile", percentile: float | None = None, window: float = 60.0, sigma: float = 10.0, background: str | None = None, value: str = "value", roi: str = "roi", frame: str = "frame",
+    traces: DataFrame, fs: float, method: str = "percentile", percentile: float | None = None, window: float = 60.0, sigma: float = 10.0, background: str | None = None, value: str = "value", roi: str = "roi", frame: str = "frame", kind: str = "float",
 ) -> DataFrame:
-    """(roi, frame, dff, f0) with mirrored borders. Without a percentile, that of the density's mode over the first window is used, for the background as well."""
+    """(roi, frame, dff, f0) with mirrored borders, as ``kind`` (float or double). Without a percentile, that of the density's mode over the first window is used, for the background as well."""
     if method not in ("percentile", "maximin"):
         raise ValueError(f"unknown method {method!r}")
     columns = [roi, frame, value, *([background] if background else [])]
+    single = np.float32 if kind == "float" else np.float64
 
     def run(pdf):
         pdf = pdf.sort_values(frame)
@@ -90,11 +114,11 @@ def baseline_dff(
             base = lambda v: kernels.rolling_percentile(v, size, level)
         f0 = base(x)
         below = f0 + base(pdf[background].to_numpy(float)) if background else f0
-        pdf["dff"], pdf["f0"] = ((x - f0) / (below + EPS32)).astype(np.float32), f0.astype(np.float32)
+        pdf["dff"], pdf["f0"] = ((x - f0) / (below + EPS32)).astype(single), f0.astype(single)
         return pdf[[roi, frame, "dff", "f0"]]
 
     kinds = {f.name: f.dataType.simpleString() for f in traces.schema.fields}
-    return traces.select(*columns).groupBy(roi).applyInPandas(run, f"`{roi}` {kinds[roi]}, `{frame}` {kinds[frame]}, dff float, f0 float")
+    return traces.select(*columns).groupBy(roi).applyInPandas(run, f"`{roi}` {kinds[roi]}, `{frame}` {kinds[frame]}, dff {kind}, f0 {kind}")
 
 
 def deconvolve(
@@ -141,6 +165,19 @@ def triggered_average(traces: DataFrame, events: Column, before: int, after: int
     return met.groupBy(roi, "lag").agg(F.avg(value).alias("value"), F.count("*").alias("n"))
 
 
+def outliers_removed(traces: DataFrame, half: int, clip: float, value: str = "value", roi: str = "roi", frame: str = "frame") -> DataFrame:
+    """Adds ``flat``: the trace less its rolling median, cut at so many times its median size of the differences."""
+    flat = traces.withColumn("__m", F.percentile(value, 0.5).over(centred(half, roi, frame))).withColumn("flat", F.col(value) - F.col("__m")).drop("__m")
+    limit = flat.groupBy(roi).agg((F.lit(clip) * F.median(F.abs("flat"))).alias("__l"))
+    cut = F.greatest(-F.col("__l"), F.least(F.col("__l"), F.col("flat")))
+    return flat.join(limit, roi).withColumn("flat", cut).drop("__l")
+
+
+def median_over_regions(scores: DataFrame, score: str, *by: str) -> DataFrame:
+    """The median of a score over regions."""
+    return scores.groupBy(*by).agg(F.median(score).alias(score), F.count("*").alias("n"))
+
+
 def spike_bins(spikes: DataFrame, spine: DataFrame, t0: float, fs: float, t: str = "t", roi: str = "roi") -> DataFrame:
     """Spikes counted into frames floor((t - t0) fs) of a spine (roi, frame); those outside are dropped, empty frames are 0."""
     counted = spikes.withColumn("frame", F.floor((F.col(t) - t0) * fs)).groupBy(roi, "frame").agg(F.count("*").alias("n"))

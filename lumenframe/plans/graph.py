@@ -10,9 +10,11 @@ from __future__ import annotations
 import inspect
 import json
 import time
+import warnings
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace  # noqa: F401 - replace is part of what this module offers
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,26 @@ def register_extension(name: str, needs=(), optional=(), need_imaging: bool = Fa
     return add
 
 
+#: The column of an extension's table that is meant when none is named.
+MAIN = {"fluorescence": "value", "df_over_f": "dff", "deconvolution": "spikes"}
+
+
+def function_factory(name: str):
+    """``compute_<name>(analysis, **params)`` of a registered extension, with its defaults as signature."""
+    if name not in REGISTRY:
+        raise ValueError(f"unknown extension {name}")
+
+    def compute(analysis: Analysis, **params) -> DataFrame:
+        return analysis.compute(name, **params)
+
+    compute.__name__ = compute.__qualname__ = f"compute_{name}"
+    compute.__doc__ = REGISTRY[name].run.__doc__
+    own = [p for p in inspect.signature(REGISTRY[name].run).parameters.values()][1:]
+    first = inspect.Parameter("analysis", inspect.Parameter.POSITIONAL_OR_KEYWORD)
+    compute.__signature__ = inspect.Signature([first, *[p.replace(kind=inspect.Parameter.KEYWORD_ONLY) for p in own]])
+    return compute
+
+
 def default_params(name: str) -> dict:
     return {k: p.default for k, p in inspect.signature(REGISTRY[name].run).parameters.items() if p.default is not inspect.Parameter.empty}
 
@@ -54,6 +76,7 @@ class Analysis:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     params: dict[str, dict] = field(default_factory=dict)
     seconds: dict[str, float] = field(default_factory=dict)
+    shared: DataFrame | None = None
 
     def __post_init__(self) -> None:
         if self.imaging is not None:
@@ -81,23 +104,39 @@ class Analysis:
         for held in (self.tables, self.params, self.seconds):
             held.pop(name, None)
 
-    def compute(self, what, **params):
-        """One extension with parameters, or several: a list of names or name -> parameters."""
+    def compute(self, what, share: bool = False, **params):
+        """One extension with parameters, or several: a list of names or name -> parameters; ``share`` keeps the movie's rows for a batch."""
         if isinstance(what, str):
             return self._one(what, params)
         wanted = {n: {} for n in what} if not isinstance(what, dict) else dict(what)
+        for n in wanted:
+            self._checked(n, wanted[n])
+        # those that scan the movie share its rows: they are read from storage once
+        scans = [n for n in wanted if REGISTRY[n].need_imaging]
+        held = self.imaging.frames.persist(StorageLevel.DISK_ONLY) if share and len(scans) > 1 else None
         for n in sort_by_needs(list(wanted)):
             self._one(n, wanted[n])
+        if held is not None:
+            self.shared = held
         return self
 
-    def _one(self, name: str, params: dict) -> DataFrame:
+    def release(self) -> None:
+        """Lets go of the rows that a batch shared."""
+        if self.shared is not None:
+            self.shared.unpersist()
+            self.shared = None
+
+    def _checked(self, name: str, params: dict) -> Extension:
         if name not in REGISTRY:
             raise ValueError(f"unknown extension {name}")
-        e = REGISTRY[name]
         if unknown := set(params) - set(default_params(name)):
             raise TypeError(f"unknown parameters: {sorted(unknown)}")
-        if e.need_imaging and self.imaging is None:
+        if REGISTRY[name].need_imaging and self.imaging is None:
             raise ValueError(f"{name} needs the movie")
+        return REGISTRY[name]
+
+    def _one(self, name: str, params: dict) -> DataFrame:
+        e = self._checked(name, params)
         for other in self.dependants(name):
             self._drop(other)
         self._drop(name)
@@ -111,6 +150,37 @@ class Analysis:
     def get(self, name: str) -> DataFrame:
         return self.tables[name]
 
+    def get_data(self, name: str, key: str | None = None) -> DataFrame:
+        """(global_frame, roi, value) of a column of an extension: its main one, or the one that is named.
+
+        A background that was not computed raises, but for a table without regions.
+        """
+        table, main = self.tables[name], MAIN.get(name)
+        column = {"fluorescence": "value", "deconvolved": "spikes"}.get(key, key) or main
+        if column not in table.columns:
+            raise ValueError(f"{name} has no {key or main}")
+        if key == "background" and len(self.rois.order) and table.where(F.col(column).isNotNull()).isEmpty():
+            raise ValueError(f"{name} was computed without a background")
+        return table.select("global_frame", "roi", F.col(column).alias("value"))
+
+    def with_imaging(self, movie: Imaging) -> Analysis:
+        """The same analysis over another copy of its movie: shape, rate, planes, epochs and type must agree."""
+        self.rois.check(movie)
+        if self.imaging is not None:
+            told = lambda m: (m.height, m.width, m.plane_ids, m.fs, m.dtype, tuple(e.n_frames for e in m.epochs))
+            if told(self.imaging) != told(movie):
+                raise ValueError("the movie is not like the one it stands in for")
+            warnings.warn("the analysis had a movie; it is replaced", stacklevel=2)
+        return Analysis(self.rois, movie, dict(self.tables), dict(self.params), dict(self.seconds))
+
+    def computed(self) -> list[str]:
+        """Names of the extensions that are there."""
+        return list(self.tables)
+
+    def computable(self) -> list[str]:
+        """Names of the extensions whose needs are met."""
+        return [n for n, e in REGISTRY.items() if all(self._pick(need) for need in e.needs) and (self.imaging is not None or not e.need_imaging)]
+
     def select_rois(self, ids) -> Analysis:
         """Regions and every table that has a roi column, cut to the ids; others as they are."""
         ids = [str(i) for i in ids]

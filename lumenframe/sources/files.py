@@ -94,3 +94,16 @@ def load_npy(path: str) -> np.ndarray:
 def load_npz(path: str) -> dict[str, np.ndarray]:
     with np.load(io.BytesIO(read_bytes(path)), allow_pickle=False) as z:
         return {k: z[k] for k in z.files}
+
+
+def scratch(spark, name: str) -> str:
+    """A new folder for written intermediate data: in the cluster's shared folder (``spark.checkpoint.dir``), in a local session in a temporary one."""
+    import tempfile
+    import uuid
+
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    if told is None:
+        if not spark.sparkContext.isLocal:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        told = tempfile.mkdtemp(prefix="scratch-")
+    return f"{told.rstrip('/')}/{name}-{uuid.uuid4().hex}"
