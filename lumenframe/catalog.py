@@ -19,6 +19,7 @@ from .operators import algebra, extraction, reduce, scoring, traces
 SIDE, FS, EPOCH = 8, 10.0, 100
 #: Six discs: region, centre row, centre column; the first two overlap.
 DISCS = [("r0", 2, 2), ("r1", 2, 3), ("r2", 5, 5), ("r3", 6, 1), ("r4", 1, 6), ("r5", 4, 0)]
+ROIS = [r for r, _, _ in DISCS]
 LITERAL = ", ".join(f"('{r}', {y}, {x})" for r, y, x in DISCS)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -273,7 +274,7 @@ def trace_projection(spark, d):
 
 @query(f"WITH {MV}, {MKW} SELECT frame, roi, round(sum(v * w) / sum(w * w), 6) AS value FROM mv JOIN mk USING (p) GROUP BY ALL")
 def trace_projection_weighted(spark, d):
-    return extraction.projection(pixels(spark, d), masks(spark, True), ["frame"]).select("frame", "roi", r6("value"))
+    return extraction.projection_of_frames(frames(spark, d), masks(spark, True), ["frame"], ROIS).select("frame", "roi", r6("value"))
 
 
 @query(f"WITH {MV}, {MKW} SELECT frame, roi, round(sum(v * w) / sum(w), 6) AS value FROM mv JOIN mk USING (p) GROUP BY ALL")
@@ -285,7 +286,8 @@ def trace_mean_l1(spark, d):
 f AS (SELECT frame, roi, sum(v * w) AS dot FROM mv JOIN mk USING (p) GROUP BY ALL), r AS (SELECT frame, roi, sum(v * w) AS ring FROM mv JOIN rg USING (p) GROUP BY ALL)
 SELECT frame, roi, round((dot / l1 - 0.7::DOUBLE * coalesce(ring, 0)) * l1 / l2, 6) AS value, round(coalesce(ring, 0) * l1 / l2, 6) AS neuropil FROM f JOIN n USING (roi) LEFT JOIN r USING (frame, roi)""")
 def trace_surround(spark, d):
-    return extraction.surround_corrected(pixels(spark, d), masks(spark), rings(spark), 0.7, ["frame"]).select("frame", "roi", r6("value"), r6("neuropil"))
+    done = extraction.surround_of_frames(frames(spark, d), masks(spark), rings(spark), 0.7, ["frame"], ROIS)
+    return done.select("frame", "roi", r6("value"), r6("background", "neuropil"))
 
 
 @query(f"WITH {MK}, {RG} SELECT roi, p AS pix, round(w, 6) AS w FROM rg")
@@ -295,9 +297,8 @@ def neuropil_ring_weights(spark, d):
 
 @query(f"WITH {MV}, {MK}, g AS (SELECT frame, avg(v) AS g FROM mv WHERE p NOT IN (SELECT p FROM mk) GROUP BY frame), f AS (SELECT frame, roi, sum(v * w) / sum(w) AS f FROM mv JOIN mk USING (p) GROUP BY ALL) SELECT frame, roi, round(f - 0.7::DOUBLE * g, 6) AS value FROM f JOIN g USING (frame)")
 def global_neuropil(spark, d):
-    p = pixels(spark, d)
-    outside = p.join(F.broadcast(masks(spark).select("pix").distinct()), "pix", "left_anti").groupBy("frame").agg(F.avg("v").alias("g"))
-    return extraction.mean_trace(p, masks(spark), ["frame"]).join(outside, "frame").select("frame", "roi", r6(F.col("value") - 0.7 * F.col("g"), "value"))
+    outside = extraction.global_neuropil(frames(spark, d), masks(spark), ["frame"])
+    return extraction.mean_trace(pixels(spark, d), masks(spark), ["frame"]).join(outside, "frame").select("frame", "roi", r6(F.col("value") - 0.7 * F.col("g"), "value"))
 
 
 @query(f"WITH {MKW} SELECT a.roi AS roi_i, b.roi AS roi_j, round(sum(a.w * b.w), 6) AS g FROM mk a JOIN mk b USING (p) GROUP BY ALL")
@@ -324,13 +325,13 @@ SELECT frame, 'r0' AS roi, round((g11 * y0 - g01 * y1) / (g00 * g11 - g01 * g01)
 SELECT frame, 'r1', round((g00 * y1 - g01 * y0) / (g00 * g11 - g01 * g01), 6) FROM t, g""")
 def trace_regression_pair(spark, d):
     solver = extraction.JointSolver(masks(spark, True).where("roi in ('r0', 'r1')"), ridge=0.0)
-    return solver(pixels(spark, d), ["frame"]).select("frame", "roi", r6("value"))
+    return solver.on_frames(frames(spark, d), ["frame"]).select("frame", "roi", r6("value"))
 
 
 @query(f"WITH {MV}, {MKW} SELECT frame, roi, round(greatest(0, sum(v * w) / sum(w * w)), 6) AS value FROM mv JOIN mk USING (p) WHERE roi IN ('r2', 'r3', 'r4') GROUP BY ALL")
 def trace_nnls_disjoint(spark, d):
     solver = extraction.JointSolver(masks(spark, True).where("roi in ('r2', 'r3', 'r4')"), ridge=0.0, nonnegative=True)
-    return solver(pixels(spark, d), ["frame"]).select("frame", "roi", r6("value"))
+    return solver.on_frames(frames(spark, d), ["frame"]).select("frame", "roi", r6("value"))
 
 
 @query(f"WITH {MV}, {MKW}, t AS (SELECT frame, roi, sum(v * w) / sum(w * w) AS value FROM mv JOIN mk USING (p) GROUP BY ALL) SELECT frame, p AS pix, round(sum(value * w), 6) AS v FROM t JOIN mk USING (roi) GROUP BY ALL")
@@ -437,13 +438,14 @@ def event_triggered_average(spark, d):
 
 
 @query("""WITH e AS (SELECT user_id AS roi, epoch(ts) AS t, event_type FROM events), m AS (SELECT floor(min(t)) AS t0 FROM e),
-spine AS (SELECT roi, range AS frame FROM (SELECT DISTINCT roi FROM e), range(30)),
+last AS (SELECT max(floor((t - t0) / 86400))::BIGINT AS last FROM e, m), spine AS (SELECT roi, unnest(range(last + 1)) AS frame FROM (SELECT DISTINCT roi FROM e), last),
 c AS (SELECT roi, floor((t - t0) / 86400)::BIGINT AS frame, count(*) AS n FROM e, m WHERE event_type = 'purchase' GROUP BY ALL)
 SELECT roi, frame, coalesce(n, 0) AS n FROM spine LEFT JOIN c USING (roi, frame)""")
 def spike_bin_counts(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("roi"), (F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))") / 1e6).alias("t"), "event_type")
-    t0 = e.agg(F.floor(F.min("t"))).first()[0]
-    spine = e.select("roi").distinct().withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(29)))).withColumn("frame", F.col("frame").cast("long"))
+    t0, last = e.agg(F.floor(F.min("t")), F.max("t")).first()
+    days = int((last - t0) // 86400) + 1
+    spine = e.select("roi").distinct().withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(days - 1)))).withColumn("frame", F.col("frame").cast("long"))
     return traces.spike_bins(e.where("event_type = 'purchase'"), spine, t0, 1 / 86400)
 
 
