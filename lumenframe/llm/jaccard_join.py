@@ -19,8 +19,11 @@ sketches that differ are at most as many as the sets' symmetric difference.
 * Sets that share a block are compared by bit sketches, whose Hamming distance
   is a lower bound of the symmetric difference, then by the sets themselves.
 * A block shared by more than ``RUN`` sets is not expanded into pairs: its sets
-  are joined into clusters, clusters cut into tiles, and tiles compared two by
-  two, each comparison returning a spanning forest of the links it found.
+  are joined into clusters. Of a cluster, ``PIVOTS`` sets are compared with all
+  others; sets that link with one pivot are one group, and within a group all
+  are connected already. Groups (and what no pivot links) are cut into tiles, and
+  tiles of different groups are compared two by two, until one link between two
+  groups is found; each comparison returns a spanning forest of its links.
 
 Texts of equal sets are one class throughout, so copies cost nothing.
 
@@ -34,7 +37,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -44,7 +47,7 @@ from .session import cut, lean
 #: Counters of the shingle-frequency sketch, and the multiple of the mean that counts as frequent.
 CELLS, FREQUENT = 1 << 19, 4
 #: Sets that share a block are paired up to this many; beyond it clusters are tiled.
-RUN, TILE = 48, 512
+RUN, TILE, PIVOTS = 48, 512, 8
 #: Bits of the membership filter of candidate classes.
 FILTER_BITS = 1 << 23
 
@@ -361,16 +364,42 @@ def forest(n: int):
     return up, root
 
 
+def _grouped(percent: int):
+    """(component, cls, grp, pivot): the first pivot that each set links with; a set that links with none is a group of its own (-1)."""
+
+    def scan(batches):
+        for batch in batches:
+            group, pivot = np.full(batch.num_rows, -1, np.int32), np.zeros(batch.num_rows, np.int64)
+            names, pivots = batch.column(1).to_numpy(), batch.column(3).to_pylist()
+            mine, held = batch.column(2), {}
+            for i in range(batch.num_rows):
+                own = np.frombuffer(mine[i].as_buffer(), U)
+                for k, p in enumerate(pivots[i]):
+                    if p["cls"] not in held:
+                        held = held if len(held) < 64 else {}
+                        held[p["cls"]] = np.frombuffer(p["shingles"], U)
+                    if p["cls"] == names[i] or linked(own, held[p["cls"]], percent):
+                        group[i], pivot[i] = k, p["cls"]
+                        break
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(group), pa.array(pivot)], names=["component", "cls", "grp", "pivot"])
+
+    return scan
+
+
 def _tile(percent: int):
-    """Links between the two sides of a tile pair, as a spanning forest of what is found."""
+    """Links between the two sides of a tile pair, as a spanning forest of what is found; a group is connected from the start."""
 
     def compare(table: pa.Table) -> pa.Table:
         n = table.column("n").to_numpy()
         order = np.argsort(n, kind="stable")
-        n, names, side = n[order], table.column("cls").to_numpy()[order], table.column("side").to_numpy()[order]
+        n, names, side, group = n[order], table.column("cls").to_numpy()[order], table.column("side").to_numpy()[order], table.column("grp").to_numpy()[order]
         sketches, sets = table.column("sketch").to_pylist(), table.column("shingles").to_pylist()
         bits, sets = [np.frombuffer(sketches[i], np.uint8) for i in order], [np.frombuffer(sets[i], U) for i in order]
         up, root = forest(len(n))
+        first: dict[int, int] = {}
+        for i, g in enumerate(group.tolist()):
+            if g >= 0:
+                up[i] = first.setdefault(g, i)
         out_a, out_b = [], []
         alone = bool((side == side[0]).all())
         folded: dict[int, np.ndarray] = {}
@@ -378,6 +407,8 @@ def _tile(percent: int):
             to = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
             if to <= i + 1:
                 continue
+            if len(first) == 2 and not alone and (group >= 0).all() and root(first[min(first)]) == root(first[max(first)]):
+                break  # two groups that are one by now
             size = len(bits[i])
             if size not in folded:
                 folded = {size: np.stack([fold(x, size) if len(x) >= size else np.zeros(size, np.uint8) for x in bits])}
@@ -419,16 +450,26 @@ def links(docs: DataFrame, scanned: DataFrame, text: str = "text", percent: int
     )
     if crowds.isEmpty():
         return checked
-    member = components(crowds, "a", "b")
-    block = F.pmod(F.xxhash64("node"), "blocks")
-    sizes = member.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
-    dealt = member.join(sizes, "component").select("component", F.col("node").alias("cls"), "blocks", block.alias("block"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tiles = dealt.select("component", "cls", "block", other).select(
-        "component", "cls", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("side")
-    )
-    tiled = tiles.join(sets, "cls").join(sketched, "cls").groupBy("component", "i", "j").applyInArrow(_tile(percent), "a long, b long")
-    return checked.unionAll(tiled)
+    member = cut(components(crowds, "a", "b").select("component", F.col("node").alias("cls")))
+    held = _smallest(member).join(sets, "cls").groupBy("component").agg(F.sort_array(F.collect_list(F.struct("cls", "shingles"))).alias("pivots")).select(again("component").alias("component"), "pivots")
+    grouped = cut(member.join(sets, "cls").join(held, "component").select("component", "cls", "shingles", "pivots").mapInArrow(lean(_grouped(percent)), "component long, cls long, grp int, pivot long"))
+    found = grouped.where("grp >= 0 and cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b"))
+    # tiles of a component: runs of its groups; within a group nothing is left to compare
+    sizes = grouped.groupBy("component", "grp").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    tiles = sizes.groupBy("component").agg(F.flatten(F.transform(F.collect_list(F.struct("grp", "blocks")), lambda g: F.transform(F.sequence(F.lit(0), g["blocks"] - 1), lambda b: F.struct(g["grp"].alias("grp"), b.alias("block"))))).alias("others"))
+    tiles = tiles.where("size(others) > 1 or others[0].grp = -1").select(again("component").alias("component"), "others")
+    own = F.struct("grp", "block")
+    dealt = grouped.join(sizes, ["component", "grp"]).select("component", "cls", "grp", F.pmod(F.xxhash64("cls"), "blocks").cast("int").alias("block")).join(tiles, "component")
+    dealt = dealt.select("component", "cls", "grp", own.alias("own"), F.explode("others").alias("other")).where("grp = -1 or other.grp <> grp")
+    dealt = dealt.select("component", "cls", "grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"))
+    tiled = dealt.join(sets, "cls").join(sketched, "cls").groupBy("component", "i", "j").applyInArrow(_tile(percent), "a long, b long")
+    return checked.unionAll(found).unionAll(tiled)
+
+
+def _smallest(member: DataFrame) -> DataFrame:
+    """(component, cls) of the PIVOTS classes of each component that come first by a hash; ranked within partitions before they are moved."""
+    order = Window.partitionBy("component").orderBy(F.xxhash64("cls"), "cls")
+    return member.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS).select("component", "cls")
 
 
 def _scanned(docs: DataFrame, id: str, text: str, k: int) -> DataFrame:

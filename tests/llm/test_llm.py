@@ -104,6 +104,38 @@ def test_jaccard_with_crowded_blocks(spark, monkeypatch):
     check_jaccard(spark, documents(3, 90))
 
 
+def test_jaccard_crowds_at_default_settings(spark):
+    """Three families of near copies, each far larger than a run, one of them a chain; and texts in between."""
+    r = random.Random(21)
+    word = lambda: f"w{r.randrange(4000)}"
+    docs, base = [], [[word() for _ in range(120)] for _ in range(2)]
+    for k in range(2):
+        for _ in range(150):
+            w = list(base[k])
+            for _ in range(r.choice([0, 1, 1, 2, 3])):
+                w[r.randrange(len(w))] = word()
+            docs.append((len(docs), " ".join(w)))
+    chain = [word() for _ in range(120)]
+    for _ in range(150):  # each differs from the one before in a word, so its ends have nothing in common
+        chain[r.randrange(120)] = word()
+        docs.append((len(docs), " ".join(chain)))
+    r.shuffle(docs)
+    check_jaccard(spark, docs)
+
+
+def test_lines_crowds_at_default_settings(spark):
+    """Lines of one length with one beginning and one end, more than a run holds; copies with up to three edits among them."""
+    r = random.Random(22)
+    lines = ["the common beginning " + "".join(r.choice("abcdefgh") for _ in range(24)) + " the common end" for _ in range(330)]
+    docs = [(i, x) for i, x in enumerate(lines)]
+    for x in lines[:60]:
+        y = list(x)
+        for _ in range(r.randint(1, 3)):
+            y[r.randrange(22, 44)] = r.choice("abcdefgh")
+        docs.append((len(docs), "".join(y)))
+    check_lines(spark, docs)
+
+
 def test_published_keys_meet():
     r = np.random.default_rng(0)
     bands, cold = jaccard_join.Bands(80), np.zeros(jaccard_join.CELLS, bool)
