@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from .session import lean, numbered
 
 INF = np.iinfo(np.int64).max
 #: Bytes of words that a worker keeps encoded before it starts anew, and the cost of a word beside its bytes.
-KEPT_BYTES, WORD_COST = 16 << 20, 200
+KEPT_BYTES, WORD_COST = 48 << 20, 200
 #: Encoded documents handed on at once, in bytes of text.
 HAND_ON = 1 << 18
 
@@ -69,7 +70,10 @@ class Codec:
         into = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)
         order = np.argsort(code)
         self.code, self.rank, self.into = code[order], order, into
-        self.words: dict[str, list[int]] = {}
+        # special tokens stand among the words as their ids
+        self.seeds = {i: [i] for i in self.special.values()}
+        self.words: dict[str | int, list[int]] = dict(self.seeds)
+        self.old: dict[str | int, list[int]] = {}
         self.kept = 0
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -170,21 +174,18 @@ class Codec:
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         cut = [list(self.pieces(t)) if self.cut and self.cut.search(t) else self._split(t) for t in texts]
-        new = {w for words in cut for w in words if type(w) is str and w not in self.words}
-        if self.kept > KEPT_BYTES:
-            self.words, self.kept = {}, 0
-            new = {w for words in cut for w in words if type(w) is str}
-        new = list(new)
-        self.kept += sum(WORD_COST + 9 * len(w) for w in new)
+        asked = set().union(*cut)
+        if self.kept > KEPT_BYTES // 2:
+            # the store has two halves: what is asked for again moves to the new one, the rest goes with the old one
+            self.old, self.words, self.kept = self.words, dict(self.seeds), 0
+        new = asked.difference(self.words)
+        again = {w: self.old[w] for w in new if w in self.old} if self.old else {}
+        new = list(new.difference(again))
+        self.words |= again
         self.words |= zip(new, self.merge([w.encode() for w in new]), strict=True)
-        known = self.words
-        out = []
-        for words in cut:
-            ids: list[int] = []
-            for w in words:
-                ids += known[w] if type(w) is str else [w]
-            out.append(ids)
-        return out
+        self.kept += sum(WORD_COST + 9 * len(w) for w in new) + sum(WORD_COST + 9 * len(w) for w in again)
+        known = self.words.__getitem__
+        return [list(chain.from_iterable(map(known, words))) for words in cut]
 
     def encode(self, text: str) -> list[int]:
         return self.encode_batch([text])[0]
@@ -206,7 +207,7 @@ def _encode(source: str):
             for a, b in K.chunks(offsets, HAND_ON):
                 ids = codec.encode_batch([t or "" for t in column.slice(a, b - a).to_pylist()])
                 n = [len(x) for x in ids]
-                flat = np.fromiter((i for x in ids for i in x), np.int32, sum(n))
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(n))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(flat))
                 decoded = pa.array([codec.decode(x) for x in ids], pa.string())
                 kept = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)]
