@@ -419,6 +419,29 @@ def registered_metadata(spark, d):
     return spark.createDataFrame(rows, "name string, value string")
 
 
+class _Extremes:
+    name, width = "extremes", 2
+
+    def compute(self, block):
+        flat = block.reshape(len(block), -1).astype(float)
+        return np.stack((flat.min(axis=1), flat.max(axis=1)), axis=1)
+
+
+class _Corner:
+    name, width = "corner", 1
+
+    def compute(self, block):
+        return block[:, 0, -1, :1].astype(float)
+
+
+@query("""WITH e AS (SELECT vec_id AS f, embedding::DOUBLE[] AS x FROM embeddings) SELECT 'extremes' AS operator, f AS global_frame, 0::BIGINT AS k, round(list_min(x), 6) AS value FROM e UNION ALL SELECT 'extremes', f, 1, round(list_max(x), 6) FROM e UNION ALL SELECT 'corner', f, 0, round(x[8], 6) FROM e""")
+def chunk_operators(spark, d):
+    """Two operators on frame blocks in one pass."""
+    from .operators.chunks import run_chunks
+
+    return run_chunks(movie(spark, d), [_Extremes(), _Corner()]).select("operator", "global_frame", "k", r6("value"))
+
+
 # -- texts and small kernels -----------------------------------------------------------------------
 
 

@@ -624,6 +624,30 @@ def patchwise_motion(spark, d):
     return spark.createDataFrame([(f, bool(np.abs(e).max() <= 0.25), bool(s)) for f, (e, s) in enumerate(zip(error, steady))], "frame long, close boolean, steady boolean")
 
 
+@query("SELECT f AS frame, TRUE AS close, TRUE AS steady FROM range(12) t(f)")
+def block_motion(spark, d):
+    """Whole shifts with block shifts on top: a drift is found to the pixel, and frames come back to one another inside the border."""
+    shifts = [((f * 5) % 5 - 2, (f * 3) % 4 - 1) for f in range(12)]
+    film = drifting(spark, shifts, 64)
+    found = motion.compute_motion(film, "integer", max_shift=(6, 6), spatial_taper=0.0, nonrigid=True, block_size=(32, 32))
+    error = found.rigid.toPandas().sort_values("frame")[["dy", "dx"]].to_numpy() - np.array(shifts)
+    error -= np.median(error, axis=0)
+    rows = motion.register_motion(film, found).frames.orderBy("frame").toPandas()
+    x = np.stack(rows["pixels"].to_list()).reshape(12, 64, 64)[:, 8:-8, 8:-8]
+    steady = np.abs(x - np.median(x, axis=0)).mean(axis=(1, 2)) < 0.3 * texture(64).std()
+    return spark.createDataFrame([(f, bool(np.abs(e).max() < 0.5), bool(s)) for f, (e, s) in enumerate(zip(error, steady))], "frame long, close boolean, steady boolean")
+
+
+@query("SELECT f AS frame, i, j, TRUE AS close FROM range(6) a(f), range(3) b(i), range(3) c(j)")
+def patch_shifts(spark, d):
+    """Shifts of patches that were each moved by a shift of their own."""
+    base, out = kernels.smooth_image(np.random.default_rng(0).normal(size=(96, 96)), 1.5) * 100, []
+    for f in range(6):
+        rigid, found, centres = registration.patch_shifts(registration.move(base, 0.4 * f, -0.3 * f, False), base, (24, 24), (24, 24), (5, 5), 3)
+        out += [(f, i, j, bool(np.abs(found[i, j] - np.array([-0.4 * f, 0.3 * f])).max() <= 0.25)) for i in range(found.shape[0]) for j in range(found.shape[1])]
+    return spark.createDataFrame(out, "frame long, i long, j long, close boolean")
+
+
 # -- scalar kernels -----------------------------------------------------------------------
 
 

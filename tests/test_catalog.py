@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from lumenframe import catalog
@@ -27,7 +28,7 @@ def plain(rows):
 
 
 @pytest.mark.skipif(not TABLES, reason="no test tables")
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_matches_oracle(spark, oracle, name):
     got = catalog.QUERIES[name](spark, DATA)
     want = oracle.execute(catalog.ORACLE_SQL[name])
@@ -45,3 +46,113 @@ def test_filters_reach_the_scan(spark):
     m = catalog.movie(spark, DATA)
     plan = m.get_series(10, 20, epoch_index=0)._jdf.queryExecution().executedPlan().toString()
     assert "label" not in plan.split("ReadSchema")[1]
+
+
+#: Queries that SQL has no form for, with the test that holds each against another way of computing it.
+BY_OTHER_MEANS = {"kde_percentile", "dff_percentile_auto", "deconvolution_second_order", "trace_nnls_all", "cnmf_background"}
+
+
+def test_every_query_is_held_against_something():
+    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == BY_OTHER_MEANS
+
+
+@pytest.fixture(scope="module")
+def small_traces(spark):
+    rows = catalog.trace_table(spark, DATA).orderBy("roi", "frame").toPandas()
+    return {roi: g["value"].to_numpy(float) for roi, g in rows.groupby("roi")}
+
+
+@pytest.mark.skipif(not TABLES, reason="no test tables")
+def test_mode_percentiles(spark, small_traces):
+    """The level is the share of a sum of Gaussian kernels up to its peak, with the kernels' width from the diffusion rule."""
+    from lumenframe.functions import kernels
+
+    got = {r.roi: r.level for r in catalog.QUERIES["kde_percentile"](spark, DATA).collect()}
+    assert set(got) == set(small_traces)
+    for roi, x in small_traces.items():
+        if np.ptp(x) == 0:
+            continue
+        margin = np.ptp(x) / 10
+        low, high = x.min() - margin, x.max() + margin
+        counts, edges = np.histogram(x, 4096, (low, high))
+        t = kernels.Diffusion(counts / len(x), len(x)).time()
+        if t is None:
+            assert got[roi] == 50
+            continue
+        at = (edges[:-1] + edges[1:]) / 2
+        width = np.sqrt(t) * (high - low)
+        density = np.zeros(4096)
+        for v in np.concatenate((x, 2 * low - x, 2 * high - x)):  # the range's ends reflect
+            density += np.exp(-((at - v) ** 2) / (2 * width**2))
+        want = 100 * density[: density.argmax() + 1].sum() / density.sum()
+        assert got[roi] == pytest.approx(want, abs=1.0)
+
+
+@pytest.mark.skipif(not TABLES, reason="no test tables")
+def test_automatic_baselines(spark, small_traces):
+    from lumenframe.functions import kernels
+
+    rows = catalog.QUERIES["dff_percentile_auto"](spark, DATA).toPandas()
+    for roi, g in rows.groupby("roi"):
+        x = small_traces[roi]
+        level = kernels.mode_percentile(x[:20])
+        pad = np.pad(x, (10, 9), mode="symmetric")
+        f0 = np.array([np.sort(pad[i : i + 20])[min(int(20 * level / 100), 19)] for i in range(len(x))]) if len(x) > 20 else np.full(len(x), np.percentile(x, level))
+        g = g.sort_values("frame")
+        assert np.allclose(g["f0"], f0, rtol=1e-5) and np.allclose(g["dff"], (x - f0) / (f0 + 1.1920929e-07), rtol=1e-4, atol=1e-4)
+
+
+@pytest.mark.skipif(not TABLES, reason="no test tables")
+def test_nnls_of_all_regions(spark):
+    """Every frame against all active sets."""
+    import itertools
+
+    from lumenframe.operators import extraction
+
+    flat = extraction.FlatMasks(catalog.masks(spark, True), catalog.ROIS)
+    a = np.zeros((6, 64))
+    a[np.repeat(np.arange(6), np.diff(flat.edge)), flat.pix] = flat.w
+    movie = catalog.frames(spark, DATA).orderBy("frame").toPandas()
+    y = np.stack(movie["pixels"].to_list()).astype(float)
+    got = catalog.QUERIES["trace_nnls_all"](spark, DATA).toPandas().pivot(index="frame", columns="roi", values="value")[catalog.ROIS].to_numpy()
+    best, at = np.full(len(y), np.inf), np.zeros((len(y), 6))
+    for k in range(7):
+        for s in map(list, itertools.combinations(range(6), k)):
+            c = np.zeros((len(y), 6))
+            if s:
+                c[:, s] = np.linalg.lstsq(a[s].T, y.T, rcond=None)[0].T
+            left = np.where((c >= -1e-12).all(axis=1), ((y - c @ a) ** 2).sum(axis=1), np.inf)
+            at[left < best], best = c[left < best], np.minimum(best, left)
+    assert np.allclose(got, at, atol=2e-6)
+
+
+@pytest.mark.skipif(not TABLES, reason="no test tables")
+def test_second_order_deconvolution_is_consistent(spark):
+    """Spikes are not negative, and denoised traces follow from them by a recursion of order two with stable roots."""
+    rows = catalog.QUERIES["deconvolution_second_order"](spark, DATA).toPandas()
+    assert (rows["spikes"] >= 0).all()
+    for _, g in rows.sort_values("frame").groupby("roi"):
+        c, s = g["denoised"].to_numpy(float), g["spikes"].to_numpy(float)
+        if len(c) < 8 or np.abs(c).max() < 1e-6:
+            continue
+        past = np.stack((c[1:-1], c[:-2]), axis=1)
+        fit, *_ = np.linalg.lstsq(past, c[2:] - s[2:], rcond=None)
+        assert np.abs(past @ fit + s[2:] - c[2:]).max() < 1e-3 * max(1.0, np.abs(c).max())
+
+
+@pytest.mark.skipif(not TABLES, reason="no test tables")
+def test_background_of_the_movie(spark):
+    """Unit norm, nothing negative, and a smaller residual than masks alone leave."""
+    b = np.zeros(64)
+    for r in catalog.QUERIES["cnmf_background"](spark, DATA).collect():
+        b[r.pix] = r.b
+    assert (b >= 0).all() and np.linalg.norm(b) == pytest.approx(1, abs=1e-4)
+
+
+def test_long_windows_equal_short_ones(monkeypatch):
+    from lumenframe.functions import kernels
+
+    x = np.random.default_rng(4).normal(size=900)
+    long = kernels.rolling_percentile(x, 301, 20)
+    monkeypatch.setattr(kernels, "LONG_WINDOW", 10_000)
+    assert np.array_equal(long, kernels.rolling_percentile(x, 301, 20))
