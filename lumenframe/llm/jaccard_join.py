@@ -217,11 +217,17 @@ def _keys(percent: int, k: int, hot: np.ndarray):
 
 
 def _runs(batches):
-    """Of rows sorted by key and class: pairs of the classes of short runs, and links to the first class of long ones."""
+    """Of rows sorted by key (alone, which Spark sorts by radix): pairs of the classes of short runs, and links to the first class of long ones."""
     key, names = np.zeros(0, np.int64), np.zeros(0, np.int64)
     long_key = long_first = None
 
     def pairs(key, names):
+        same = key[1:] == key[:-1]
+        met = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        if not len(met):
+            return
+        met = met[np.lexsort((names[met], key[met]))]
+        key, names = key[met], names[met]
         keep = np.ones(len(key), bool)
         keep[1:] = (key[1:] != key[:-1]) | (names[1:] != names[:-1])
         key, names = key[keep], names[keep]
@@ -431,7 +437,7 @@ def links(docs: DataFrame, scanned: DataFrame, text: str = "text", percent: int
     texts = docs.select(F.col(text).cast("string"))
     hot = frequent_cells(scanned.where("cell is not null").select("cell", "counts"))
     keys = texts.mapInArrow(lean(_keys(percent, k, hot)), "key long, cls long")
-    found = cut(keys.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(lean(_runs), "a long, b long, hot boolean").distinct())
+    found = cut(keys.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_runs), "a long, b long, hot boolean").distinct())
     pairs, crowds = found.where("not hot").select("a", "b"), found.where("hot and a <> b").select("a", "b")
     sketched = scanned.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     side = lambda of, s, *c: of.select(F.col("cls").alias(s), *[F.col(x).alias(f"{x}_{s}") for x in c])

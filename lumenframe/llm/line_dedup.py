@@ -203,16 +203,24 @@ def _crowd(key, tile, names, sketch, indexed):
 
 
 def _runs(edits: int):
-    """Of rows sorted by key: pairs that pass the sketch, of short runs; the rows of long runs, dealt into tiles."""
+    """Of rows sorted by key (alone, which Spark sorts by radix): pairs that pass the sketch, of short runs; the rows of long runs, dealt into tiles."""
     most = 4 * edits
 
     def distinct(key, names, sketch, indexed):
-        """One row for each key and line, however many batches the line stood in."""
+        """One row for each key and line, however many batches the line stood in; keys that one row has are left out."""
+        same = key[1:] == key[:-1]
+        met = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        met = met[np.lexsort((names[met], key[met]))]
+        key, names, sketch, indexed = key[met], names[met], sketch[met], indexed[met]
+        if not len(key):
+            return key, names, sketch, indexed
         first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (names[1:] != names[:-1]))))
         return key[first], names[first], sketch[first], np.logical_or.reduceat(indexed, first)
 
     def pairs(key, names, sketch, indexed):
         key, names, sketch, indexed = distinct(key, names, sketch, indexed)
+        if not len(key):
+            return
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(first, len(key)))
         short = np.repeat((size > 1) & (size <= RUN), size)
@@ -239,7 +247,7 @@ def _runs(edits: int):
             now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
             if long_key is not None:
                 same = int(np.searchsorted(now[0], long_key, side="right"))
-                more = distinct(*(x[:same] for x in now)) if same else [x[:0] for x in now]
+                more = [x[:same] for x in now]
                 for a in range(0, len(more[0]), TILE):
                     tile += 1
                     yield _crowd(long_key, tile, *(x[a : a + TILE] for x in more[1:]))
@@ -252,7 +260,7 @@ def _runs(edits: int):
             if last:
                 yield from pairs(*(x[:last] for x in held))
                 held = [x[last:] for x in held]
-            if len(held[0]) > 1 << 16:
+            if len(held[0]) > 1 << 16:  # one key is left
                 held = list(distinct(*held))
             if len(held[0]) > 1 << 16:
                 long_key = held[0][0]
@@ -366,7 +374,7 @@ def _texts(edits: int, bits: np.ndarray):
 def links(texts: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
     """``(a, b)``: verified matches between different lines of a one-column frame of texts, each a pair of names."""
     keyed = texts.mapInArrow(lean(_keyed(edits, shortest)), "key long, name long, sketch long, indexed boolean")
-    found = cut(keyed.repartition("key").sortWithinPartitions("key", "name").mapInArrow(lean(_runs(edits)), PAIRED).distinct())
+    found = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_runs(edits)), PAIRED).distinct())
     pairs, crowd = found.where("key is null").select("a", "b"), found.where("key is not null")
     if not crowd.isEmpty():
         counted = crowd.groupBy("key").agg((F.max("tile") + 1).alias("tiles"))
