@@ -102,13 +102,13 @@ class Remembered:
     """Rows that a task has seen: a row that stands many times is read about once a task."""
 
     def __init__(self) -> None:
-        self.rows = np.zeros((REMEMBERED, 2), np.int64)
+        self.rows: dict[int, tuple[int, int]] = {}
 
     def new(self, id: int, th: int) -> bool:
-        slot = self.rows[(th ^ id) & REMEMBERED - 1]
-        if slot[0] == id and slot[1] == th:
+        place = (th ^ id) & REMEMBERED - 1
+        if self.rows.get(place) == (id, th):
             return False
-        slot[:] = id, th
+        self.rows[place] = id, th
         return True
 
     def column(self, batch) -> pa.Array:
@@ -194,8 +194,9 @@ def _bits(bits: int):
     return scan
 
 
-#: place is where the region begins in its text, lead how far the anchor lies from there.
-REGION = "key long, id long, th long, place long, lead long, region binary"
+#: place is where the region begins in its text, and in its last bits how far the anchor lies from there.
+REGION = "key long, id long, th long, place long, region binary"
+LEAD_BITS = 5
 
 
 def _regions(table, bits: int):
@@ -213,7 +214,7 @@ def _regions(table, bits: int):
                 who = pa.array(document + row)
                 text = part.tobytes()
                 blobs = [text[s : e + LENGTH] for s, e in zip(first.tolist(), last.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column(0).take(who), batch.column(1).take(who), pa.array(first - rows[document] + place), pa.array(anchor - first), pa.array(blobs, pa.binary())], names=["key", "id", "th", "place", "lead", "region"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column(0).take(who), batch.column(1).take(who), pa.array((first - rows[document] + place) << LEAD_BITS | (anchor - first)), pa.array(blobs, pa.binary())], names=["key", "id", "th", "place", "region"])
 
     return scan
 
@@ -347,7 +348,8 @@ def _judge(batches):
     held, carried = None, 0
 
     def read(batch):
-        return [batch.column(i).to_numpy() for i in range(5)] + [batch.column(5).to_pylist()]
+        key, id, th, place = (batch.column(i).to_numpy() for i in range(4))
+        return [key, id, th, place >> LEAD_BITS, place & (1 << LEAD_BITS) - 1, batch.column(4).to_pylist()]
 
     def join(a, b):
         return [np.concatenate((x, y)) for x, y in zip(a[:5], b[:5], strict=True)] + [a[5] + b[5]]
@@ -389,15 +391,10 @@ def _squeezed(batches):
 def _cut_out(batches):
     """Kept bytes and removed spans of each text."""
     for batch in batches:
-        size, bodies = batch.column(1).to_pylist(), batch.column(5).to_pylist()
-        whole, starts, ends = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()
+        size, starts, ends, bodies = (batch.column(i).to_pylist() for i in range(1, 5))
         kept, spans = [], []
         for i in range(batch.num_rows):
             text = np.frombuffer(pa.decompress(bodies[i], size[i], codec="zstd"), np.uint8)
-            if whole[i] and len(text) >= LENGTH:
-                kept.append(b"")
-                spans.append([{"start": 0, "end": len(text)}])
-                continue
             if not starts[i]:
                 kept.append(text.tobytes())
                 spans.append([])
@@ -422,6 +419,11 @@ def dedup_strings(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     spark = docs.sparkSession
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     named = docs.select(F.col(id).cast("long").alias("given"), F.coalesce(F.col(id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(body).alias("th"), F.md5(body).alias("md5"), body.alias("text"))
+    # the text's hash tells rows of one id apart; where an id stands once it is not carried along
+    again = cut(named.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    if again.count() <= BROADCAST_TEXTS:
+        shared_id = F.broadcast(again.withColumn("shared_id", F.lit(True)))
+        named = named.join(shared_id, "id", "left").withColumn("th", F.when(F.col("shared_id"), F.col("th")).otherwise(F.lit(0).cast("long")))
     copies = cut(named.groupBy("md5").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("md5", "least"))
     few = copies.count() <= BROADCAST_TEXTS
     told = named.join(F.broadcast(copies) if few else copies, "md5", "left").withColumn("copy", F.coalesce(F.col("id") > F.col("least"), F.lit(False)))
@@ -439,6 +441,15 @@ def dedup_strings(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     regions = first.select("id", "th", "text").mapInArrow(lean(_regions(spark.sparkContext.broadcast(table), bits)), REGION)
     spans = regions.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lean(_judge), "id long, th long, a long, b long")
     gone = spans.groupBy("id", "th").agg(F.collect_list("a").alias("starts"), F.collect_list("b").alias("ends"))
-    bodies = told.select("given", "id", "th", "copy", "text").mapInArrow(lean(_squeezed), "given long, id long, th long, copy boolean, n long, body binary")
-    out = bodies.join(gone, ["id", "th"], "left").select(F.col("given").alias("id"), "n", "copy", "starts", "ends", "body")
-    return out.mapInArrow(lean(_cut_out), "id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary").withColumnRenamed("id", id)
+    # what is known without spans is not moved: copies, which lose everything, and texts too short for a string
+    size = F.octet_length("text")
+    plain = F.col("copy") | (size < LENGTH)
+    whole = F.col("copy") & (size >= LENGTH)
+    bytes_ = F.col("text").cast("binary")
+    none = F.array().cast("array<struct<start: long, end: long>>")
+    all_ = F.array(F.struct(F.lit(0).cast("long").alias("start"), size.cast("long").alias("end")))
+    known = told.where(plain).select(F.col("given").alias("id"), size.cast("long").alias("n_bytes"), F.when(whole, all_).otherwise(none).alias("spans"), F.when(whole, F.lit(b"")).otherwise(bytes_).alias("kept"))
+    bodies = told.where(~plain).select("given", "id", "th", "text").mapInArrow(lean(_squeezed), "given long, id long, th long, n long, body binary")
+    out = bodies.join(gone, ["id", "th"], "left").select(F.col("given").alias("id"), "n", "starts", "ends", "body")
+    done = out.mapInArrow(lean(_cut_out), "id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    return known.unionByName(done).withColumnRenamed("id", id)
