@@ -27,9 +27,9 @@ part of the automaton and is read. There are as many shards as keep about
 ``SHARD_KEYS`` n-grams in each, by the number of tokens. N and V are two numbers
 for each shard.
 
-N-grams are told apart by as many bits of their names as keep the chance that one
-shares its counts with another below 2^-``SPARE``, by the number of tokens (up to
-64 bits, which is reached at 2^42 tokens).
+Words are told apart by 64-bit names, longer n-grams by as many bits as keep the
+chance that one shares its counts with another below 2^-``SPARE``, by the number
+of tokens (64 bits are reached at 2^48 tokens).
 
 A null text is empty and has the end only. A document with a null id trains and
 is not held out. Rows with equal ids are separate documents with one common
@@ -57,7 +57,7 @@ FOLDS, HELD_OUT = 5, 1
 #: Bytes of text in a block, and n-grams asked of a shard.
 BLOCK_BYTES, SHARD_KEYS = 8 << 20, 4 << 20
 #: Bits of a name beyond those that number the tokens.
-SPARE = 22
+SPARE = 16
 END, START = U(0x0123456789ABCDEF), U(0x0FEDCBA987654321)
 
 
@@ -109,25 +109,20 @@ def _pack(batches):
                 streams.append(tokens)
                 lengths.append(np.diff(begin))
             distinct, stream = np.unique(np.concatenate(streams), return_inverse=True)
-            # words are numbered by falling frequency: that makes their stream small
-            order = np.argsort(-np.bincount(stream), kind="stable")
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            stream = place[stream]
             held = [held_out(i) for i in ids.slice(a, b - a).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([at + seq], pa.int64()), pa.array([ids.slice(a, b - a).to_pylist()], pa.list_(pa.int64())),
                     pa.array([np.concatenate(lengths)], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())),
-                    pa.array([squeeze(np.diff(distinct, prepend=U(0)))], pa.binary()), pa.array([squeeze(place)], pa.binary()), pa.array([len(distinct)], pa.int64()), pa.array([squeeze(stream)], pa.binary()), pa.array([len(stream)], pa.int64()),
+                    pa.array([squeeze(np.diff(distinct, prepend=U(0)))], pa.binary()), pa.array([len(distinct)], pa.int64()), pa.array([squeeze(stream)], pa.binary()), pa.array([len(stream)], pa.int64()),
                 ],
                 names=BLOCK_NAMES,
             )
             seq += 1
 
 
-BLOCK = "block long, ids array<long>, lengths array<long>, held array<boolean>, words binary, places binary, n_words long, stream binary, n_tokens long"
-BLOCK_NAMES = ["block", "ids", "lengths", "held", "words", "places", "n_words", "stream", "n_tokens"]
+BLOCK = "block long, ids array<long>, lengths array<long>, held array<boolean>, words binary, n_words long, stream binary, n_tokens long"
+BLOCK_NAMES = ["block", "ids", "lengths", "held", "words", "n_words", "stream", "n_tokens"]
 
 
 class Block:
@@ -138,8 +133,7 @@ class Block:
         lengths = np.array(row["lengths"], dtype=np.int64)
         self.begin = np.concatenate(([0], np.cumsum(lengths)))
         words = np.cumsum(unsqueeze(row["words"], row["n_words"]), dtype=U)
-        number = np.argsort(unsqueeze(row["places"], row["n_words"]))
-        stream = number[unsqueeze(row["stream"], int(self.begin[-1])).astype(np.int64)]
+        stream = unsqueeze(row["stream"], int(self.begin[-1])).astype(np.int64)
         self.document = np.repeat(np.arange(len(lengths)), lengths)
         self.names, self.grams = [words], [stream]
         tokens = name = words[stream]
