@@ -92,7 +92,7 @@ class Imaging:
 
     def epoch_frame(self) -> DataFrame:
         """(epoch_index, n_frames, frame_offset, t_start)."""
-        rows = [(i, e.n_frames, o, e.t_start) for i, (e, o) in enumerate(zip(self.epochs, self.offsets, strict=True))]
+        rows = [(i, int(e.n_frames), int(o), float(e.t_start)) for i, (e, o) in enumerate(zip(self.epochs, self.offsets, strict=True))]
         return self.spark.createDataFrame(rows, "epoch_index int, n_frames long, frame_offset long, t_start double")
 
     def plane_indices(self, plane_ids) -> list[int]:

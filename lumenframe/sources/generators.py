@@ -140,7 +140,7 @@ def compose_movie(spark: SparkSession, signal: np.ndarray, masks: np.ndarray, co
                 yield batch_of(int(e), frames[mine] - edges[e], list(range(p)), x[mine].reshape(-1, h, w, p).astype(np.float32))
 
     rows = spark.createDataFrame(table).repartitionByRange(max(1, min(len(signal) // 16, 4 * spark.sparkContext.defaultParallelism)), "frame")
-    epochs = tuple(Epoch(n, o / fs) for n, o in zip(lengths, edges, strict=False))
+    epochs = tuple(Epoch(int(n), float(o / fs)) for n, o in zip(lengths, edges, strict=False))
     return Imaging(rows.mapInArrow(make, FRAMES), fs, h, w, epochs, tuple(range(p)))
 
 
