@@ -14,8 +14,10 @@ that length's segments could lie: a segment i (from 0) leaves at most i edits
 to its left and edits - i to its right, which bounds its shift. Lines that
 share a key pass a parity sketch of their byte pairs (one edit flips at most
 four bits) and are verified by a banded bit-parallel edit distance. Equal lines
-are one line throughout. A key that more than ``RUN`` lines share is handed on
-as tiles that are compared two by two.
+are one line throughout. Lines of a key that more than ``RUN`` share meet again
+under finer keys, the key with any two of 4 edits + 2 parts of the sketch (of
+which at most 4 edits differ); what is still a crowd is handed on as tiles that
+are compared two by two.
 
 Lines are told apart by two independent 64-bit names: 10^12 different lines
 hold two that agree in both with a chance below 10^-14. Positions are (id, text
@@ -42,6 +44,8 @@ EDITS, SHORTEST = 2, 16
 #: The band of 2 edits + 1 rows lies in one word of 64 bits.
 MOST_EDITS = 30
 RUN, TILE = 256, 2048
+#: Parts of a sketch that crowds are refined by, at most.
+THINNEST = 16
 
 U = np.uint64
 ALL = U(0xFFFFFFFFFFFFFFFF)
@@ -273,6 +277,26 @@ def _runs(edits: int):
     return scan
 
 
+KEYED = "key long, name long, sketch long, indexed boolean"
+
+
+def _refined(edits: int):
+    """Rows of crowds under finer keys: any two of 4 edits + 2 parts of the sketch, which lines within the edits have in common."""
+    count = 4 * edits + 2
+    edge = [64 * i // count for i in range(count + 1)]
+
+    def scan(batches):
+        for batch in batches:
+            key, names, sketch = (batch.column(i).to_numpy().view(U) for i in (2, 0, 4))
+            part = [(sketch >> U(a)) & U((1 << (b - a)) - 1) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            for i in range(count):
+                for j in range(i):
+                    finer = K.mix(K.mix(key ^ (part[i] << U(32) | part[j])) + U(i * count + j))
+                    yield pa.RecordBatch.from_arrays([pa.array(finer.view(np.int64)), batch.column(0), batch.column(4), batch.column(5)], names=["key", "name", "sketch", "indexed"])
+
+    return scan
+
+
 def _tiles(edits: int):
     def compare(table: pa.Table) -> pa.Table:
         names, sketch = table.column("a").to_numpy(), table.column("sketch").to_numpy().view(U)
@@ -373,9 +397,12 @@ def _texts(edits: int, bits: np.ndarray):
 
 def links(texts: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
     """``(a, b)``: verified matches between different lines of a one-column frame of texts, each a pair of names."""
-    keyed = texts.mapInArrow(lean(_keyed(edits, shortest)), "key long, name long, sketch long, indexed boolean")
-    found = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_runs(edits)), PAIRED).distinct())
-    pairs, crowd = found.where("key is null").select("a", "b"), found.where("key is not null")
+    met = lambda keyed: cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_runs(edits)), PAIRED).distinct())
+    split = lambda found: (found.where("key is null").select("a", "b"), found.where("key is not null"))
+    pairs, crowd = split(met(texts.mapInArrow(lean(_keyed(edits, shortest)), KEYED)))
+    if 4 * edits + 2 <= THINNEST and not crowd.isEmpty():
+        more, crowd = split(met(crowd.mapInArrow(lean(_refined(edits)), KEYED)))
+        pairs = pairs.unionAll(more).distinct()
     if not crowd.isEmpty():
         counted = crowd.groupBy("key").agg((F.max("tile") + 1).alias("tiles"))
         dealt = crowd.join(counted, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
