@@ -172,7 +172,8 @@ class Codec:
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         return self.pattern.findall(text)
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+    def words_of(self, texts: list[str]) -> list[list]:
+        """The words of each text; all of them are in the store afterwards."""
         cut = [list(self.pieces(t)) if self.cut and self.cut.search(t) else self._split(t) for t in texts]
         asked = set().union(*cut)
         if self.kept > KEPT_BYTES // 2:
@@ -184,11 +185,16 @@ class Codec:
         self.words |= again
         self.words |= zip(new, self.merge([w.encode() for w in new]), strict=True)
         self.kept += sum(WORD_COST + 9 * len(w) for w in new) + sum(WORD_COST + 9 * len(w) for w in again)
-        known = self.words.__getitem__
-        return [list(chain.from_iterable(map(known, words))) for words in cut]
+        return cut
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Token ids of each text."""
+        known = self.words_of(texts)
+        stored = self.words.__getitem__
+        return [np.fromiter(chain.from_iterable(map(stored, words)), np.int32) for words in known]
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_batch([text])[0]
+        return self.encode_batch([text])[0].tolist()
 
     def decode(self, ids) -> str:
         """Tokens joined by a space: the vocabulary names no decoder."""
@@ -207,9 +213,9 @@ def _encode(source: str):
             for a, b in K.chunks(offsets, HAND_ON):
                 ids = codec.encode_batch([t or "" for t in column.slice(a, b - a).to_pylist()])
                 n = [len(x) for x in ids]
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(n))
+                flat = np.concatenate([*ids, np.zeros(0, np.int32)])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(flat))
-                decoded = pa.array([codec.decode(x) for x in ids], pa.string())
+                decoded = pa.array([codec.decode(x.tolist()) for x in ids], pa.string())
                 kept = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*kept, lists, pa.array(n, pa.int64()), decoded], names=[*batch.schema.names[:-1], "token_ids", "n_tokens", "decoded"])
 
