@@ -418,7 +418,7 @@ best AS (SELECT * FROM t ORDER BY s DESC LIMIT 1), pick AS (SELECT 'r0' AS i, j0
 SELECT i AS roi_i, j AS roi_j, round(c, 6) AS corr FROM pick JOIN c USING (i, j) WHERE c > 0.2""")
 def footprint_assignment(spark, d):
     m = masks(spark, True)
-    c = scoring.footprint_correlation(m.where("roi in ('r0', 'r2', 'r4')"), m.where("roi in ('r1', 'r2', 'r5')"), SIDE * SIDE)
+    c = scoring.footprint_correlation(m.where("roi in ('r0', 'r2', 'r4')"), m.where("roi in ('r1', 'r2', 'r5')"), SIDE * SIDE, every=False)
     return scoring.assign_footprints(c, 0.2).select("roi_i", "roi_j", r6("corr"))
 
 

@@ -8,17 +8,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def footprint_correlation(a: DataFrame, b: DataFrame, field: int, roi: str = "roi") -> DataFrame:
-    """Pearson correlation of every two footprints over a field of so many pixels, from sparse sums."""
+def footprint_correlation(a: DataFrame, b: DataFrame, field: int, roi: str = "roi", every: bool = True) -> DataFrame:
+    """Pearson correlation of every two footprints over a field of so many pixels, from sparse sums.
+
+    With ``every`` off only footprints that share a pixel are paired: no others of
+    non-negative weights correlate above 0, and the pairs are as many as overlaps.
+    """
     stats = lambda m, s: m.groupBy(F.col(roi).alias(f"roi_{s}")).agg(F.sum("w").alias(f"s_{s}"), F.sum(F.col("w") * F.col("w")).alias(f"q_{s}"))
     met = a.select("pix", F.col(roi).alias("roi_i"), F.col("w").alias("wi")).join(b.select("pix", F.col(roi).alias("roi_j"), F.col("w").alias("wj")), "pix")
     met = met.groupBy("roi_i", "roi_j").agg(F.sum(F.col("wi") * F.col("wj")).alias("c"))
-    # a region list is small next to a movie; all pairs are asked for
-    every = stats(a, "i").crossJoin(stats(b, "j")).join(met, ["roi_i", "roi_j"], "left")
+    if every:  # all pairs are what is asked for
+        paired = stats(a, "i").crossJoin(stats(b, "j")).join(met, ["roi_i", "roi_j"], "left")
+    else:
+        paired = met.join(stats(a, "i"), "roi_i").join(stats(b, "j"), "roi_j")
     n = float(field)
     top = n * F.coalesce("c", F.lit(0.0)) - F.col("s_i") * F.col("s_j")
     spread = lambda s: n * F.col(f"q_{s}") - F.col(f"s_{s}") * F.col(f"s_{s}")
-    return every.select("roi_i", "roi_j", (top / F.nullif(F.sqrt(spread("i") * spread("j")), F.lit(0.0))).alias("corr"))
+    return paired.select("roi_i", "roi_j", (top / F.nullif(F.sqrt(spread("i") * spread("j")), F.lit(0.0))).alias("corr"))
 
 
 def assign_footprints(corr: DataFrame, least: float = 0.5) -> DataFrame:
