@@ -16,8 +16,8 @@ share a key pass a parity sketch of their byte pairs (one edit flips at most
 four bits) and are verified by a banded bit-parallel edit distance. Equal lines
 are one line throughout. Lines of a key that more than ``RUN`` share meet again
 under finer keys, the key with any two of 4 edits + 2 parts of the sketch (of
-which at most 4 edits differ); what is still a crowd is handed on as tiles that
-are compared two by two.
+which at most 4 edits differ), each pair under the first of them; lines that
+still are a crowd are cut into tiles that are compared two by two.
 
 Lines are told apart by two independent 64-bit names: 10^12 different lines
 hold two that agree in both with a chance below 10^-14. Positions are (id, text
@@ -193,36 +193,66 @@ def _keyed(edits: int, shortest: int):
     return scan
 
 
-PAIRED = "a long, b long, key long, tile long, sketch long, indexed boolean"
+#: A pair of lines, or a line of a crowd (b is null) and the key that it is crowded under.
+PAIRED = "a long, b long, key long, sketch long, indexed boolean"
+PAIRED_NAMES = ["a", "b", "key", "sketch", "indexed"]
 
 
 def _paired(a, b):
     n = len(a)
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], names=["a", "b", "key", "tile", "sketch", "indexed"])
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], names=PAIRED_NAMES)
 
 
-def _crowd(key, tile, names, sketch, indexed):
-    n = len(names)
-    return pa.RecordBatch.from_arrays([pa.array(names), pa.nulls(n, pa.int64()), pa.array(np.full(n, key)), pa.array(np.full(n, tile)), pa.array(sketch), pa.array(indexed)], names=["a", "b", "key", "tile", "sketch", "indexed"])
+def _crowd(key, names, sketch, indexed):
+    return pa.RecordBatch.from_arrays([pa.array(names), pa.nulls(len(names), pa.int64()), pa.array(key), pa.array(sketch), pa.array(indexed)], names=PAIRED_NAMES)
 
 
-def _runs(edits: int):
-    """Of rows sorted by key (alone, which Spark sorts by radix): pairs that pass the sketch, of short runs; the rows of long runs, dealt into tiles."""
-    most = 4 * edits
+def sketch_edges(edits: int) -> list[int]:
+    """Where 4 edits + 2 parts of a sketch begin and end."""
+    count = 4 * edits + 2
+    return [64 * i // count for i in range(count + 1)]
+
+
+def first_two(differ: np.ndarray, edges: list[int]) -> np.ndarray:
+    """Number (later * parts + earlier) of the first two parts without a difference."""
+    count = len(edges) - 1
+    one, two = np.full(len(differ), -1), np.full(len(differ), -1)
+    for i in range(count):
+        same = (differ >> U(edges[i])) & U((1 << (edges[i + 1] - edges[i])) - 1) == 0
+        two = np.where((one >= 0) & (two < 0) & same, i, two)
+        one = np.where((one < 0) & same, i, one)
+    return two * count + one
+
+
+def _runs(edits: int, refined: bool = False):
+    """Of rows sorted by key (alone, which Spark sorts by radix): pairs that pass the sketch, of short runs; the lines of long runs.
 
-    def distinct(key, names, sketch, indexed):
+    Rows are (key, name, sketch, indexed) and, if refined, the number of the two
+    parts that the key holds and the key that it refines: of the finer keys that
+    two lines share only the first gives the pair.
+    """
+    most, edges = 4 * edits, sketch_edges(edits)
+
+    def distinct(rows):
         """One row for each key and line, however many batches the line stood in; keys that one row has are left out."""
+        key, names = rows[0], rows[1]
         same = key[1:] == key[:-1]
         met = np.flatnonzero(np.append(same, False) | np.append(False, same))
         met = met[np.lexsort((names[met], key[met]))]
-        key, names, sketch, indexed = key[met], names[met], sketch[met], indexed[met]
-        if not len(key):
-            return key, names, sketch, indexed
+        rows = [x[met] for x in rows]
+        if not len(met):
+            return rows
+        key, names = rows[0], rows[1]
         first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (names[1:] != names[:-1]))))
-        return key[first], names[first], sketch[first], np.logical_or.reduceat(indexed, first)
+        indexed = np.logical_or.reduceat(rows[3], first)
+        return [x[first] if i != 3 else indexed for i, x in enumerate(rows)]
 
-    def pairs(key, names, sketch, indexed):
-        key, names, sketch, indexed = distinct(key, names, sketch, indexed)
+    def crowded(rows):
+        return _crowd(rows[5] if refined else rows[0], *rows[1:4])
+
+    def pairs(rows):
+        rows = distinct(rows)
+        key, names, sketch, indexed = rows[:4]
         if not len(key):
             return
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -234,65 +264,65 @@ def _runs(edits: int):
             i = np.flatnonzero(short[:-step] & (key[step:] == key[:-step]))
             if not len(i):
                 break
-            ok = (np.bitwise_count(sketch[i].view(U) ^ sketch[i + step].view(U)) <= most) & (names[i] != names[i + step]) & (indexed[i] | indexed[i + step])
+            differ = sketch[i].view(U) ^ sketch[i + step].view(U)
+            ok = (np.bitwise_count(differ) <= most) & (names[i] != names[i + step]) & (indexed[i] | indexed[i + step])
+            if refined and ok.any():
+                ok[ok] = first_two(differ[ok], edges) == rows[4][i[ok]]
             if ok.any():
                 yield _paired(names[i[ok]], names[i[ok] + step])
-        for s, n in zip(first[size > RUN], size[size > RUN], strict=True):
-            for tile, a in enumerate(range(s, s + n, TILE)):
-                part = slice(a, min(a + TILE, s + n))
-                yield _crowd(key[s], tile, names[part], sketch[part], indexed[part])
+        long = np.flatnonzero(np.repeat(size > RUN, size))
+        if len(long):
+            yield crowded([x[long] for x in rows])
 
     def scan(batches):
-        held = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
-        long_key, tile = None, 0
+        held, long_key = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
             if long_key is not None:
                 same = int(np.searchsorted(now[0], long_key, side="right"))
-                more = [x[:same] for x in now]
-                for a in range(0, len(more[0]), TILE):
-                    tile += 1
-                    yield _crowd(long_key, tile, *(x[a : a + TILE] for x in more[1:]))
+                if same:
+                    yield crowded([x[:same] for x in now])
                 now = [x[same:] for x in now]
                 if not len(now[0]):
                     continue
                 long_key = None
-            held = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
             last = int(np.searchsorted(held[0], held[0][-1]))
             if last:
-                yield from pairs(*(x[:last] for x in held))
+                yield from pairs([x[:last] for x in held])
                 held = [x[last:] for x in held]
             if len(held[0]) > 1 << 16:  # one key is left
-                held = list(distinct(*held))
+                held = distinct(held)
             if len(held[0]) > 1 << 16:
                 long_key = held[0][0]
-                tile = -(-len(held[0]) // TILE) - 1
-                yield from pairs(*held)
-                held = [x[:0] for x in held]
-        if len(held[0]):
-            yield from pairs(*held)
+                yield crowded(held)
+                held = None
+        if held is not None and len(held[0]):
+            yield from pairs(held)
 
     return scan
 
 
 KEYED = "key long, name long, sketch long, indexed boolean"
+REFINED = KEYED + ", parts long, origin long"
 
 
 def _refined(edits: int):
-    """Rows of crowds under finer keys: any two of 4 edits + 2 parts of the sketch, which lines within the edits have in common."""
-    count = 4 * edits + 2
-    edge = [64 * i // count for i in range(count + 1)]
+    """Lines of crowds under finer keys: any two parts of the sketch, which lines within the edits have in common."""
+    edges = sketch_edges(edits)
+    count = len(edges) - 1
 
     def scan(batches):
         for batch in batches:
-            key, names, sketch = (batch.column(i).to_numpy().view(U) for i in (2, 0, 4))
-            part = [(sketch >> U(a)) & U((1 << (b - a)) - 1) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            key, sketch = (batch.column(i).to_numpy().view(U) for i in (2, 3))
+            part = [(sketch >> U(a)) & U((1 << (b - a)) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             for i in range(count):
                 for j in range(i):
-                    finer = K.mix(K.mix(key ^ (part[i] << U(32) | part[j])) + U(i * count + j))
-                    yield pa.RecordBatch.from_arrays([pa.array(finer.view(np.int64)), batch.column(0), batch.column(4), batch.column(5)], names=["key", "name", "sketch", "indexed"])
+                    number = i * count + j
+                    finer = K.mix(K.mix(key ^ (part[i] << U(32) | part[j])) + U(number))
+                    yield pa.RecordBatch.from_arrays([pa.array(finer.view(np.int64)), batch.column(0), batch.column(3), batch.column(4), pa.array(np.full(len(key), number)), batch.column(2)], names=["key", "name", "sketch", "indexed", "parts", "origin"])
 
     return scan
 
@@ -397,15 +427,16 @@ def _texts(edits: int, bits: np.ndarray):
 
 def links(texts: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
     """``(a, b)``: verified matches between different lines of a one-column frame of texts, each a pair of names."""
-    met = lambda keyed: cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_runs(edits)), PAIRED).distinct())
-    split = lambda found: (found.where("key is null").select("a", "b"), found.where("key is not null"))
+    met = lambda keyed, refined=False: cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_runs(edits, refined)), PAIRED).distinct())
+    split = lambda found: (found.where("b is not null").select("a", "b"), found.where("b is null").select("a", "b", "key", "sketch", "indexed"))
     pairs, crowd = split(met(texts.mapInArrow(lean(_keyed(edits, shortest)), KEYED)))
     if 4 * edits + 2 <= THINNEST and not crowd.isEmpty():
-        more, crowd = split(met(crowd.mapInArrow(lean(_refined(edits)), KEYED)))
+        more, crowd = split(met(crowd.mapInArrow(lean(_refined(edits)), REFINED), True))
         pairs = pairs.unionAll(more).distinct()
     if not crowd.isEmpty():
-        counted = crowd.groupBy("key").agg((F.max("tile") + 1).alias("tiles"))
-        dealt = crowd.join(counted, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        # what is crowded under a finer key still is compared under the key that it came from, once
+        counted = crowd.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).select(again("key").alias("key"), "tiles")
+        dealt = crowd.join(counted, "key").withColumn("tile", F.pmod(F.xxhash64("a"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         dealt = dealt.select("key", "a", "sketch", "indexed", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), (F.col("tile") > F.col("other")).alias("side"))
         pairs = cut(pairs.unionAll(dealt.groupBy("key", "i", "j").applyInArrow(_tiles(edits), "a long, b long")).distinct())
     bytes_of = cut(texts.mapInArrow(lean(_texts(edits, _filter_bits(pairs.select(F.explode(F.array("a", "b")))))), "name long, check long, bytes binary").dropDuplicates(["name", "check"]))
