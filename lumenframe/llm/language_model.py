@@ -29,7 +29,7 @@ for each shard.
 
 Words are told apart by 64-bit names, longer n-grams by as many bits as keep the
 chance that one shares its counts with another below 2^-``SPARE``, by the number
-of tokens (64 bits are reached at 2^48 tokens).
+of tokens (``LEAST_BITS`` at least; 64 bits are reached at 2^44 tokens).
 
 A null text is empty and has the end only. A document with a null id trains and
 is not held out. Rows with equal ids are separate documents with one common
@@ -56,14 +56,15 @@ ORDER, STRENGTH = 3, (500.0, 10.0)
 FOLDS, HELD_OUT = 5, 1
 #: Bytes of text in a block, and n-grams asked of a shard.
 BLOCK_BYTES, SHARD_KEYS = 8 << 20, 4 << 20
-#: Bits of a name beyond those that number the tokens.
-SPARE = 16
+#: Bits of a name beyond those that number the tokens, and the fewest.
+SPARE, LEAST_BITS = 20, 48
 END, START = U(0x0123456789ABCDEF), U(0x0FEDCBA987654321)
 
 
-def squeeze(x: np.ndarray) -> bytes:
+def squeeze(x: np.ndarray, level: int = 1) -> bytes:
     """64-bit integers, byte plane by byte plane, compressed."""
-    return pa.compress(np.ascontiguousarray(x.astype(U).view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+    planes = np.ascontiguousarray(x.astype(U).view(np.uint8).reshape(-1, 8).T).tobytes()
+    return pa.Codec("zstd", compression_level=level).compress(planes, asbytes=True)
 
 
 def unsqueeze(blob: bytes, n: int) -> np.ndarray:
@@ -109,12 +110,17 @@ def _pack(batches):
                 streams.append(tokens)
                 lengths.append(np.diff(begin))
             distinct, stream = np.unique(np.concatenate(streams), return_inverse=True)
+            # words by falling frequency, those of one frequency by name: that makes both the stream and the names small
+            order = np.argsort(-np.bincount(stream), kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            distinct, stream = distinct[order], place[stream]
             held = [held_out(i) for i in ids.slice(a, b - a).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([at + seq], pa.int64()), pa.array([ids.slice(a, b - a).to_pylist()], pa.list_(pa.int64())),
                     pa.array([np.concatenate(lengths)], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())),
-                    pa.array([squeeze(np.diff(distinct, prepend=U(0)))], pa.binary()), pa.array([len(distinct)], pa.int64()), pa.array([squeeze(stream)], pa.binary()), pa.array([len(stream)], pa.int64()),
+                    pa.array([squeeze(np.diff(distinct, prepend=U(0)))], pa.binary()), pa.array([len(distinct)], pa.int64()), pa.array([squeeze(stream, 6)], pa.binary()), pa.array([len(stream)], pa.int64()),
                 ],
                 names=BLOCK_NAMES,
             )
@@ -132,8 +138,11 @@ class Block:
         self.ids, self.held = row["ids"], np.array(row["held"], dtype=bool)
         lengths = np.array(row["lengths"], dtype=np.int64)
         self.begin = np.concatenate(([0], np.cumsum(lengths)))
-        words = np.cumsum(unsqueeze(row["words"], row["n_words"]), dtype=U)
-        stream = unsqueeze(row["stream"], int(self.begin[-1])).astype(np.int64)
+        words = np.cumsum(unsqueeze(row["words"], row["n_words"]), dtype=U)  # differences wrap where a lower frequency begins
+        by_name = np.argsort(words)
+        place = np.empty(len(by_name), np.int64)
+        place[by_name] = np.arange(len(by_name))
+        words, stream = words[by_name], place[unsqueeze(row["stream"], int(self.begin[-1])).astype(np.int64)]
         self.document = np.repeat(np.arange(len(lengths)), lengths)
         self.names, self.grams = [words], [stream]
         tokens = name = words[stream]
@@ -306,7 +315,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", strength=STRE
     order = len(strength) + 1
     blocks = cut(docs.select(F.col(id).cast("long"), F.col(text).cast("string")).mapInArrow(lean(_pack), BLOCK))
     tokens, words = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
-    bits = min(64, int(tokens).bit_length() + SPARE)
+    bits = min(64, max(LEAST_BITS, int(tokens).bit_length() + SPARE))
     answered = lambda shards, orders: blocks.mapInArrow(lean(_ask(shards, orders, bits)), ASKED).groupBy("kind", "shard").applyInArrow(_answer, ANSWER)
     ones = cut(answered(1 + words // SHARD_KEYS, [0]))
     total, distinct = ones.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
