@@ -37,7 +37,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -457,7 +457,7 @@ def links(docs: DataFrame, scanned: DataFrame, text: str = "text", percent: int
     if crowds.isEmpty():
         return checked
     member = cut(components(crowds, "a", "b").select("component", F.col("node").alias("cls")))
-    held = _smallest(member).join(sets, "cls").groupBy("component").agg(F.sort_array(F.collect_list(F.struct("cls", "shingles"))).alias("pivots")).select(again("component").alias("component"), "pivots")
+    held = _pivots(member).join(sets, "cls").groupBy("component").agg(F.sort_array(F.collect_list(F.struct("cls", "shingles"))).alias("pivots")).select(again("component").alias("component"), "pivots")
     grouped = cut(member.join(sets, "cls").join(held, "component").select("component", "cls", "shingles", "pivots").mapInArrow(lean(_grouped(percent)), "component long, cls long, grp int, pivot long"))
     found = grouped.where("grp >= 0 and cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b"))
     # tiles of a component: runs of its groups; within a group nothing is left to compare
@@ -472,10 +472,10 @@ def links(docs: DataFrame, scanned: DataFrame, text: str = "text", percent: int
     return checked.unionAll(found).unionAll(tiled)
 
 
-def _smallest(member: DataFrame) -> DataFrame:
-    """(component, cls) of the PIVOTS classes of each component that come first by a hash; ranked within partitions before they are moved."""
-    order = Window.partitionBy("component").orderBy(F.xxhash64("cls"), "cls")
-    return member.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS).select("component", "cls")
+def _pivots(member: DataFrame) -> DataFrame:
+    """(component, cls) of up to PIVOTS classes of each component, one from each part of it that a hash deals: a combined minimum."""
+    part = F.pmod(F.xxhash64("cls"), F.lit(PIVOTS)).alias("part")
+    return member.groupBy("component", part).agg(F.min("cls").alias("cls")).select("component", "cls")
 
 
 def _scanned(docs: DataFrame, id: str, text: str, k: int) -> DataFrame:
