@@ -34,7 +34,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import again
 from .session import cut
 
 SIMILAR, RADIUS, SHINGLE = 0.8, 7, 5
@@ -145,7 +144,7 @@ def _matching(docs: DataFrame, benchmark: DataFrame, id: str, text: str, item: s
     small = (shape.rows or 0) <= BROADCAST_ROWS
     prints = items.select("number", "n", F.explode("of_item").alias("shingle")).groupBy("number", "n").agg(*lanes.counts(F.col("shingle"))).select("number", "n", lanes.fingerprint().alias("item_print"))
     offered = prints.select("number", "n", "item_print", F.explode(blocks_of(F.col("item_print"), radius)).alias("block"))
-    known = items.select(F.explode("of_item").alias("shingle"), "n", "k").distinct().groupBy("shingle").agg(F.collect_set(F.struct("n", "k")).alias("sizes")).select(again("shingle").alias("shingle"), "sizes")
+    known = items.select(F.explode("of_item").alias("shingle"), "n", "k").distinct().groupBy("shingle").agg(F.collect_set(F.struct("n", "k")).alias("sizes"), F.max("shingle").alias("held")).select(F.col("held").alias("shingle"), "sizes")
 
     named = docs.select(F.col(id).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text")).where("text is not null")
     # words are a column of their own: inside a lambda their expression would be evaluated again and again

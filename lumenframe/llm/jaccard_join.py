@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .components import again, components
+from .components import components
 from .session import cut, lean
 
 #: Counters of the shingle-frequency sketch, and the multiple of the mean that counts as frequent.
@@ -457,13 +457,13 @@ def links(docs: DataFrame, scanned: DataFrame, text: str = "text", percent: int
     if crowds.isEmpty():
         return checked
     member = cut(components(crowds, "a", "b").select("component", F.col("node").alias("cls")))
-    held = _pivots(member).join(sets, "cls").groupBy("component").agg(F.sort_array(F.collect_list(F.struct("cls", "shingles"))).alias("pivots")).select(again("component").alias("component"), "pivots")
+    held = _pivots(member).join(sets, "cls").groupBy("component").agg(F.sort_array(F.collect_list(F.struct("cls", "shingles"))).alias("pivots"), F.max("component").alias("k")).select(F.col("k").alias("component"), "pivots")
     grouped = cut(member.join(sets, "cls").join(held, "component").select("component", "cls", "shingles", "pivots").mapInArrow(lean(_grouped(percent)), "component long, cls long, grp int, pivot long"))
     found = grouped.where("grp >= 0 and cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b"))
     # tiles of a component: runs of its groups; within a group nothing is left to compare
     sizes = grouped.groupBy("component", "grp").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
-    tiles = sizes.groupBy("component").agg(F.flatten(F.transform(F.collect_list(F.struct("grp", "blocks")), lambda g: F.transform(F.sequence(F.lit(0), g["blocks"] - 1), lambda b: F.struct(g["grp"].alias("grp"), b.alias("block"))))).alias("others"))
-    tiles = tiles.where("size(others) > 1 or others[0].grp = -1").select(again("component").alias("component"), "others")
+    tiles = sizes.groupBy("component").agg(F.flatten(F.transform(F.collect_list(F.struct("grp", "blocks")), lambda g: F.transform(F.sequence(F.lit(0), g["blocks"] - 1), lambda b: F.struct(g["grp"].alias("grp"), b.alias("block"))))).alias("others"), F.max("component").alias("k"))
+    tiles = tiles.where("size(others) > 1 or others[0].grp = -1").select(F.col("k").alias("component"), "others")
     own = F.struct("grp", "block")
     dealt = grouped.join(sizes, ["component", "grp"]).select("component", "cls", "grp", F.pmod(F.xxhash64("cls"), "blocks").cast("int").alias("block")).join(tiles, "component")
     dealt = dealt.select("component", "cls", "grp", own.alias("own"), F.explode("others").alias("other")).where("grp = -1 or other.grp <> grp")
@@ -487,8 +487,8 @@ def _named(full: DataFrame, joined: DataFrame, least) -> DataFrame:
     """``(cls, least)``: of each class the least over its component."""
     classes = full.groupBy("cls").agg(least.alias("least")).join(joined, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("component", "cls").alias("component"))
     classes = cut(classes)
-    named = classes.groupBy("component").agg(F.min("least").alias("component_least")).select(again("component").alias("component"), "component_least")
-    return classes.join(named, "component").select(again("cls").alias("cls"), F.col("component_least").alias("least"))
+    named = classes.groupBy("component").agg(F.min("least").alias("component_least"), F.max("component").alias("k")).select(F.col("k").alias("component"), "component_least")
+    return classes.join(named, "component").select("cls", F.col("component_least").alias("least"))
 
 
 def jaccard_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80, k: int = K.SHINGLE) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .components import again, components
+from .components import components
 from .jaccard_join import _filter_at, _filter_bits
 from .session import cut, lean, numbered
 
@@ -435,7 +435,7 @@ def links(texts: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> Dat
         pairs = pairs.unionAll(more).distinct()
     if not crowd.isEmpty():
         # what is crowded under a finer key still is compared under the key that it came from, once
-        counted = crowd.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).select(again("key").alias("key"), "tiles")
+        counted = crowd.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.max("key").alias("k")).select(F.col("k").alias("key"), "tiles")
         dealt = crowd.join(counted, "key").withColumn("tile", F.pmod(F.xxhash64("a"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         dealt = dealt.select("key", "a", "sketch", "indexed", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), (F.col("tile") > F.col("other")).alias("side"))
         pairs = cut(pairs.unionAll(dealt.groupBy("key", "i", "j").applyInArrow(_tiles(edits), "a long, b long")).distinct())
@@ -482,13 +482,13 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", edits:
     linked = components(links(keyed.select("text"), edits, shortest), "a", "b")
     classes = cut(linked.select(F.col("node.name").alias("name"), F.col("node.check").alias("check"), F.col("component.name").alias("first_name"), F.col("component.check").alias("first_check")))
     # only lines that stand more than once, or that match others, go further
-    often = seen.groupBy("name", "check").agg(F.count("*").alias("n")).select(again("name").alias("name"), again("check").alias("check"), "n")
+    often = seen.groupBy("name", "check").agg(F.count("*").alias("n"), F.max("name").alias("k"), F.max("check").alias("l")).select(F.col("k").alias("name"), F.col("l").alias("check"), "n")
     often = often.join(classes, ["name", "check"], "left").where("n > 1 or first_name is not null")
     cls = [F.coalesce("first_name", "name").alias("cls"), F.coalesce("first_check", "check").alias("cls_check")]
     met = seen.join(often.select("name", "check", *cls), ["name", "check"]).select("id", "th", "line", "cls", "cls_check")
-    firsts = met.groupBy("cls", "cls_check").agg(F.min(F.struct("id", "th", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    # the class is named anew, so that the join deals out both sides itself and may split a frequent line's occurrences
-    firsts = firsts.select(again("cls").alias("cls"), again("cls_check").alias("cls_check"), "first")
+    firsts = met.groupBy("cls", "cls_check").agg(F.min(F.struct("id", "th", "line")).alias("first"), F.count("*").alias("n"), F.max("cls").alias("k"), F.max("cls_check").alias("l")).where("n > 1")
+    # the class is an aggregate of its own, so that the join deals out both sides itself and may split a frequent line's occurrences
+    firsts = firsts.select(F.col("k").alias("cls"), F.col("l").alias("cls_check"), "first")
     gone = met.join(firsts, ["cls", "cls_check"]).where("struct(id, th, line) <> first").groupBy("id", "th").agg(F.collect_set("line").alias("gone"))
     joined = plain.withColumns({"own_id": order, "own_th": F.xxhash64(words)}).join(gone, (F.col("own_id") == F.col("id")) & (F.col("own_th") == F.col("th")), "left")
     kinds = ", ".join(f"{f.name} {'string' if i == body else f.dataType.simpleString()}" for i, f in enumerate(plain.schema.fields))

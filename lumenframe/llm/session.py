@@ -33,6 +33,16 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """The rows of a checkpoint as a plan that knows nothing of them.
+
+    A checkpoint keeps what its plan implied of order, partitioning and values;
+    in a loop that grows from round to round, and so does planning.
+    """
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema()), spark)
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """The same columns named c0, c1, ...: no name of a caller's column can clash with one of our own."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
