@@ -18,12 +18,17 @@ sketches that differ are at most as many as the sets' symmetric difference.
   publishes its single shingles too, which two such sets must share.
 * Sets that share a block are compared by bit sketches, whose Hamming distance
   is a lower bound of the symmetric difference, then by the sets themselves.
-* A block shared by more than ``RUN`` sets is not expanded into pairs: its sets
-  are joined into clusters. Of a cluster, ``PIVOTS`` sets are compared with all
-  others; sets that link with one pivot are one group, and within a group all
-  are connected already. Groups (and what no pivot links) are cut into tiles, and
-  tiles of different groups are compared two by two, until one link between two
-  groups is found; each comparison returns a spanning forest of its links.
+* The sets that share a block are a run; runs of the same sets are one. A run is
+  first compared with its first set (a run of more than ``RUN`` sets with a second
+  one too): as many pairs as the run has sets. What links is connected, and runs
+  whose sets are all connected are done with.
+* Within each other run, and within that run only, all sets that are not connected
+  yet are compared by their sketches, in tiles of two times ``TILE`` sets at most:
+  in runs of more than ``RUN`` sets first for the nearest of each set, then, with
+  what that connects, in all runs for every pair (in runs that are almost the same
+  a pair counts once as a rule, under the first of its runs). Only the pairs that the sketches
+  leave are fetched again as sets, so sets travel for pairs that link or nearly do,
+  not for all that share a frequent block.
 
 Texts of equal sets are one class throughout, so copies cost nothing.
 
@@ -42,13 +47,15 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .session import cut, lean
-
-#: Counters of the shingle-frequency sketch, and the multiple of the mean that counts as frequent.
-CELLS, FREQUENT = 1 << 19, 4
-#: Sets that share a block are paired up to this many; beyond it clusters are tiled.
-RUN, TILE, PIVOTS = 48, 512, 8
-#: Bits of the membership filter of candidate classes.
+from .session import cut, lean, plain
+
+#: Counters of the shingle-frequency sketch, and by how many standard deviations of a Poisson count a frequent one exceeds the mean.
+CELLS, FREQUENT = 1 << 21, 6
+#: Runs of more than RUN sets get a second pivot; a tile has up to TILE sets of a run on each side.
+RUN, TILE = 48, 2048
+#: Of each set so many of its first runs are known in every tile, where pairs that met in one of them before are left out.
+FIRSTS = 8
+#: Bits of the membership filter of the texts whose sets are fetched.
 FILTER_BITS = 1 << 23
 
 U = np.uint64
@@ -186,7 +193,7 @@ def frequent_cells(counts: DataFrame) -> np.ndarray:
     total = np.zeros(CELLS, dtype=np.uint64)
     for r in rows:
         total.reshape(8, -1)[r.cell] += np.frombuffer(r.counts, np.uint64)
-    return total > FREQUENT * (total.mean() + 16)
+    return total > total.mean() + FREQUENT * np.sqrt(total.mean()) + 16
 
 
 def _keys(percent: int, k: int, hot: np.ndarray):
@@ -217,11 +224,15 @@ def _keys(percent: int, k: int, hot: np.ndarray):
 
 
 def _runs(batches):
-    """Of rows sorted by key (alone, which Spark sorts by radix): pairs of the classes of short runs, and links to the first class of long ones."""
+    """Of rows sorted by key (alone, which Spark sorts by radix): the classes of each run with its pivots, runs of the same classes once (and again after many)."""
     key, names = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    long_key = long_first = None
+    long_key = long_row = None
+    seen: set[int] = set()
+
+    def rows(run, names, first, second):
+        return pa.RecordBatch.from_arrays([pa.array(run), pa.array(names), pa.array(first), pa.array(second)], names=["run", "cls", "first", "second"])
 
-    def pairs(key, names):
+    def whole(key, names):
         same = key[1:] == key[:-1]
         met = np.flatnonzero(np.append(same, False) | np.append(False, same))
         if not len(met):
@@ -231,24 +242,24 @@ def _runs(batches):
         keep = np.ones(len(key), bool)
         keep[1:] = (key[1:] != key[:-1]) | (names[1:] != names[:-1])
         key, names = key[keep], names[keep]
-        a, b, hot = [], [], []
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(first, len(key)))
-        short = np.repeat((size > 1) & (size <= RUN), size)
-        for step in range(1, RUN):
-            i = np.flatnonzero(short[:-step] & (key[step:] == key[:-step])) if len(key) > step else []
-            if not len(i):
-                break
-            a.append(names[i])
-            b.append(names[i + step])
-            hot.append(np.zeros(len(i), bool))
-        for s, n in zip(first[size > RUN], size[size > RUN], strict=True):
-            a.append(np.full(n - 1, names[s]))
-            b.append(names[s + 1 : s + n])
-            hot.append(np.ones(n - 1, bool))
-        if a:
-            a, b, hot = map(np.concatenate, (a, b, hot))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(hot)], names=["a", "b", "hot"])
+        mixed = K.mix(names.view(U))
+        run = K.mix(np.add.reduceat(mixed, first) + size.astype(U)).view(np.int64)
+        fresh = size > 1
+        for i in np.flatnonzero(fresh):
+            fresh[i] = (r := int(run[i])) not in seen
+            seen.add(r)
+        if len(seen) > 1 << 18:
+            seen.clear()
+        if not fresh.any():
+            return
+        second = names[first].copy()
+        for i in np.flatnonzero(fresh & (size > RUN)):
+            second[i] = names[first[i] + int(np.argmin(mixed[first[i] : first[i] + size[i]]))]
+        taken = np.repeat(fresh, size)
+        spread = lambda x: np.repeat(x[fresh], size[fresh])
+        yield rows(spread(run), names[taken], spread(names[first]), spread(second))
 
     for batch in batches:
         if not batch.num_rows:
@@ -257,7 +268,8 @@ def _runs(batches):
         if long_key is not None:  # the run that was too long to hold goes on
             same = int(np.searchsorted(k, long_key, side="right"))
             if same:
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(c[:same], long_first)), pa.array(np.maximum(c[:same], long_first)), pa.array(np.ones(same, bool))], names=["a", "b", "hot"])
+                more = np.unique(c[:same])
+                yield rows(np.full(len(more), long_row[0]), more, np.full(len(more), long_row[1]), np.full(len(more), long_row[2]))
             k, c = k[same:], c[same:]
             if not len(k):
                 continue
@@ -265,22 +277,24 @@ def _runs(batches):
         key, names = np.concatenate((key, k)), np.concatenate((names, c))
         last = int(np.searchsorted(key, key[-1]))
         if last:
-            yield from pairs(key[:last], names[:last])
+            yield from whole(key[:last], names[:last])
             key, names = key[last:], names[last:]
         if len(key) > 1 << 16:
-            # one key is left, sorted by class: copies of a class are one
+            # one key is left: copies of a class are one
             names = np.unique(names)
             key = np.full(len(names), key[0])
             if len(names) > RUN:
-                long_key, long_first = key[0], names[0]
-                yield from pairs(key, names)
+                # named by its key, as its classes are not known yet
+                long_key = key[0]
+                long_row = int(K.mix(key[:1].view(U)).view(np.int64)[0]), names[0], names[int(np.argmin(K.mix(names.view(U))))]
+                yield rows(np.full(len(names), long_row[0]), names, np.full(len(names), long_row[1]), np.full(len(names), long_row[2]))
                 key, names = key[:0], names[:0]
     if len(key):
-        yield from pairs(key, names)
+        yield from whole(key, names)
 
 
 def _filter_bits(names: DataFrame) -> np.ndarray:
-    """A membership filter of fixed size over the classes, built on the executors."""
+    """A membership filter of fixed size over a column of longs, built on the executors."""
 
     def build(batches):
         bits = np.zeros(FILTER_BITS, bool)
@@ -307,12 +321,15 @@ def _filter_at(names: np.ndarray) -> np.ndarray:
 
 
 def _sets(k: int, bits: np.ndarray):
+    """Sets of the texts (text hash, text) that pass the filter."""
+
     def scan(batches):
         words, bit = K.Words(), np.unpackbits(bits).astype(bool)
         for batch in batches:
             seen, rows = set(), []
-            for _, s in K.shingle_sets(batch.column(0), words, k):
-                if not len(s) or (c := class_of(s)) in seen or not bit[_filter_at(np.array([c]))[0]]:
+            wanted = batch.column(1).filter(pa.array(bit[_filter_at(batch.column(0).to_numpy())]))
+            for _, s in K.shingle_sets(wanted, words, k):
+                if not len(s) or (c := class_of(s)) in seen:
                     continue
                 seen.add(c)
                 rows.append((c, s.tobytes()))
@@ -358,124 +375,141 @@ def _verify(percent: int):
     return scan
 
 
-def forest(n: int):
-    """Union-find over 0..n-1."""
-    up = list(range(n))
+def near_pairs(percent: int, names, component, n, side, sketches, nearest: bool = False, run: int = 0, firsts=None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a tile, of different components (and sides, if there are two), whose sketches may be of linked sets; or of each set the nearest ones only.
 
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = x = up[up[x]]
-        return x
-
-    return up, root
-
-
-def _grouped(percent: int):
-    """(component, cls, grp, pivot): the first pivot that each set links with; a set that links with none is a group of its own (-1)."""
+    Pairs whose ``firsts`` share a run before this one are left out: they meet there.
+    """
+    order = np.argsort(n, kind="stable")
+    firsts = None if firsts is None else firsts[order]
+    names, component, n, side = names[order], component[order], n[order], side[order]
+    bits = [np.frombuffer(sketches[i].as_buffer(), np.uint8) for i in order.tolist()]
+    alone, out_a, out_b = bool((side == side[0]).all()), [], []
+    folded: dict[int, np.ndarray] = {}
+    best, whose = np.full(len(n), np.iinfo(np.int64).max), np.full(len(n), -1)
+    upto = np.searchsorted(n, n * 100 // percent, side="right")
+    for i, to in enumerate(upto.tolist()):
+        if to <= i + 1:
+            continue
+        size = len(bits[i])
+        if size not in folded:
+            # sizes ascend: of what comes before i nothing is asked any more
+            folded, start = {size: np.stack([fold(x, size) for x in bits[i:]])}, i
+        far = np.bitwise_count(folded[size][i + 1 - start : to - start].view(U) ^ bits[i].view(U)).sum(axis=1, dtype=np.int64)
+        near = (far <= (n[i] + n[i + 1 : to]) * (100 - percent) // (100 + percent)) & (component[i + 1 : to] != component[i])
+        if not alone:
+            near &= side[i + 1 : to] != side[i]
+        j = np.flatnonzero(near)
+        if firsts is not None and len(j) and len(before := firsts[i][firsts[i] < run]):
+            j = j[~np.isin(firsts[j + i + 1], before).any(axis=1)]
+        if not len(j):
+            continue
+        far, j = far[j], j + i + 1
+        if nearest:
+            closer = far < best[j]
+            best[j[closer]], whose[j[closer]] = far[closer], i
+            j = j[np.argsort(far, kind="stable")[:2]]
+        out_a.append(np.full(len(j), names[i]))
+        out_b.append(names[j])
+    if nearest:
+        j = np.flatnonzero(whose >= 0)
+        out_a.append(names[whose[j]])
+        out_b.append(names[j])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
+
+
+def _tiles(percent: int, nearest: bool):
+    """Rows (tile, run, side, cls, component, n, sketch, firsts) sorted by tile: the pairs that are left of each tile, each once a batch."""
+
+    def compare(table):
+        tile = table.column("tile").to_numpy()
+        names, component, n, side = (table.column(c).to_numpy(zero_copy_only=False) for c in ("cls", "component", "n", "side"))
+        sketches, run, firsts = table.column("sketch"), table.column("run").to_numpy(), table.column("firsts").flatten().to_numpy().reshape(-1, FIRSTS)
+        first = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
+        a, b = [], []
+        for s, e in zip(first.tolist(), np.append(first[1:], len(tile)).tolist(), strict=True):
+            x, y = near_pairs(percent, names[s:e], component[s:e], n[s:e], side[s:e], sketches.slice(s, e - s), nearest, run[s], firsts[s:e])
+            a.append(x)
+            b.append(y)
+        a, b = np.concatenate(a), np.concatenate(b)
+        pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    def whole(parts):
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
     def scan(batches):
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            group, pivot = np.full(batch.num_rows, -1, np.int32), np.zeros(batch.num_rows, np.int64)
-            names, pivots = batch.column(1).to_numpy(), batch.column(3).to_pylist()
-            mine, held = batch.column(2), {}
-            for i in range(batch.num_rows):
-                own = np.frombuffer(mine[i].as_buffer(), U)
-                for k, p in enumerate(pivots[i]):
-                    if p["cls"] not in held:
-                        held = held if len(held) < 64 else {}
-                        held[p["cls"]] = np.frombuffer(p["shingles"], U)
-                    if p["cls"] == names[i] or linked(own, held[p["cls"]], percent):
-                        group[i], pivot[i] = k, p["cls"]
-                        break
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(group), pa.array(pivot)], names=["component", "cls", "grp", "pivot"])
+            if not batch.num_rows:
+                continue
+            tile = batch.column(0).to_numpy()
+            last = int(np.searchsorted(tile, tile[-1]))
+            if not last and held and held[-1].column(0)[-1].as_py() == tile[0]:
+                held.append(batch)
+                continue
+            if last or held:
+                yield compare(whole([*held, batch.slice(0, last)]))
+            held = [batch.slice(last)]
+        if held:
+            yield compare(whole(held))
 
     return scan
 
 
-def _tile(percent: int):
-    """Links between the two sides of a tile pair, as a spanning forest of what is found; a group is connected from the start."""
-
-    def compare(table: pa.Table) -> pa.Table:
-        n = table.column("n").to_numpy()
-        order = np.argsort(n, kind="stable")
-        n, names, side, group = n[order], table.column("cls").to_numpy()[order], table.column("side").to_numpy()[order], table.column("grp").to_numpy()[order]
-        sketches, sets = table.column("sketch").to_pylist(), table.column("shingles").to_pylist()
-        bits, sets = [np.frombuffer(sketches[i], np.uint8) for i in order], [np.frombuffer(sets[i], U) for i in order]
-        up, root = forest(len(n))
-        first: dict[int, int] = {}
-        for i, g in enumerate(group.tolist()):
-            if g >= 0:
-                up[i] = first.setdefault(g, i)
-        out_a, out_b = [], []
-        alone = bool((side == side[0]).all())
-        folded: dict[int, np.ndarray] = {}
-        for i in range(len(n)):
-            to = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
-            if to <= i + 1:
-                continue
-            if len(first) == 2 and not alone and (group >= 0).all() and root(first[min(first)]) == root(first[max(first)]):
-                break  # two groups that are one by now
-            size = len(bits[i])
-            if size not in folded:
-                folded = {size: np.stack([fold(x, size) if len(x) >= size else np.zeros(size, np.uint8) for x in bits])}
-            far = np.bitwise_count(folded[size][i + 1 : to].view(U) ^ bits[i].view(U)).sum(axis=1)
-            near = far <= (n[i] + n[i + 1 : to]) * (100 - percent) // (100 + percent)
-            if not alone:
-                near &= side[i + 1 : to] != side[i]
-            for j in np.flatnonzero(near) + i + 1:
-                if (x := root(i)) != (y := root(int(j))) and linked(sets[i], sets[j], percent):
-                    up[x] = y
-                    out_a.append(names[i])
-                    out_b.append(names[j])
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-    return compare
+def _fetched(texts: DataFrame, scanned: DataFrame, pairs: DataFrame, percent: int, k: int) -> DataFrame:
+    """Of pairs of classes those whose sets link; the sets are made again, from one text each."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
+    one = scanned.where("n > 0").groupBy("cls").agg(F.min("th").alias("th"), F.max("cls").alias("c"))
+    bits = _filter_bits(wanted.join(one, F.col("w") == F.col("c")).select("th"))
+    sets = texts.mapInArrow(lean(_sets(k, bits)), "cls long, shingles binary").dropDuplicates(["cls"])
+    sets = plain(cut(sets))
+    side = lambda s: sets.select(F.col("cls").alias(s), F.col("shingles").alias(f"shingles_{s}"))
+    return (
+        pairs.join(side("a"), "a").join(side("b"), "b")
+        .select("a", "b", "shingles_a", "shingles_b")
+        .mapInArrow(lean(_verify(percent)), "a long, b long")
+    )
 
 
 def links(docs: DataFrame, scanned: DataFrame, text: str = "text", percent: int = 80, k: int = K.SHINGLE) -> DataFrame:
     """Links ``(a, b)`` between classes of equal sets that connect whatever all links connect."""
-    texts = docs.select(F.col(text).cast("string"))
+    body = F.col(text).cast("string")
     hot = frequent_cells(scanned.where("cell is not null").select("cell", "counts"))
-    keys = texts.mapInArrow(lean(_keys(percent, k, hot)), "key long, cls long")
-    found = cut(keys.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_runs), "a long, b long, hot boolean").distinct())
-    pairs, crowds = found.where("not hot").select("a", "b"), found.where("hot and a <> b").select("a", "b")
-    sketched = scanned.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    side = lambda of, s, *c: of.select(F.col("cls").alias(s), *[F.col(x).alias(f"{x}_{s}") for x in c])
-    # sets are fetched only for what the sketches leave
-    near = cut(
-        pairs.join(side(sketched, "a", "n", "sketch"), "a").join(side(sketched, "b", "n", "sketch"), "b")
+    keys = docs.select(body).mapInArrow(lean(_keys(percent, k, hot)), "key long, cls long")
+    runs = plain(cut(keys.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_runs), "run long, cls long, first long, second long").distinct()))
+    texts = docs.select(F.xxhash64(body).alias("th"), body.alias("text"))
+    sketched = scanned.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.max("cls").alias("c")).select(F.col("c").alias("cls"), "n", "sketch")
+    side = lambda s: sketched.select(F.col("cls").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    star = runs.select("cls", F.explode(F.array("first", "second")).alias("pivot")).where("cls <> pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
+    near = plain(cut(
+        star.join(side("a"), "a").join(side("b"), "b")
         .select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
         .mapInArrow(lean(_near_sketches(percent)), "a long, b long")
-    )
-    wanted = near.unionAll(crowds).select(F.explode(F.array("a", "b")))
-    sets = cut(texts.mapInArrow(lean(_sets(k, _filter_bits(wanted))), "cls long, shingles binary").dropDuplicates(["cls"]))
-    checked = (
-        near.join(side(sets, "a", "shingles"), "a").join(side(sets, "b", "shingles"), "b")
-        .select("a", "b", "shingles_a", "shingles_b")
-        .mapInArrow(lean(_verify(percent)), "a long, b long")
-    )
-    if crowds.isEmpty():
-        return checked
-    member = cut(components(crowds, "a", "b").select("component", F.col("node").alias("cls")))
-    held = _pivots(member).join(sets, "cls").groupBy("component").agg(F.sort_array(F.collect_list(F.struct("cls", "shingles"))).alias("pivots"), F.max("component").alias("k")).select(F.col("k").alias("component"), "pivots")
-    grouped = cut(member.join(sets, "cls").join(held, "component").select("component", "cls", "shingles", "pivots").mapInArrow(lean(_grouped(percent)), "component long, cls long, grp int, pivot long"))
-    found = grouped.where("grp >= 0 and cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b"))
-    # tiles of a component: runs of its groups; within a group nothing is left to compare
-    sizes = grouped.groupBy("component", "grp").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
-    tiles = sizes.groupBy("component").agg(F.flatten(F.transform(F.collect_list(F.struct("grp", "blocks")), lambda g: F.transform(F.sequence(F.lit(0), g["blocks"] - 1), lambda b: F.struct(g["grp"].alias("grp"), b.alias("block"))))).alias("others"), F.max("component").alias("k"))
-    tiles = tiles.where("size(others) > 1 or others[0].grp = -1").select(F.col("k").alias("component"), "others")
-    own = F.struct("grp", "block")
-    dealt = grouped.join(sizes, ["component", "grp"]).select("component", "cls", "grp", F.pmod(F.xxhash64("cls"), "blocks").cast("int").alias("block")).join(tiles, "component")
-    dealt = dealt.select("component", "cls", "grp", own.alias("own"), F.explode("others").alias("other")).where("grp = -1 or other.grp <> grp")
-    dealt = dealt.select("component", "cls", "grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"))
-    tiled = dealt.join(sets, "cls").join(sketched, "cls").groupBy("component", "i", "j").applyInArrow(_tile(percent), "a long, b long")
-    return checked.unionAll(found).unionAll(tiled)
-
-
-def _pivots(member: DataFrame) -> DataFrame:
-    """(component, cls) of up to PIVOTS classes of each component, one from each part of it that a hash deals: a combined minimum."""
-    part = F.pmod(F.xxhash64("cls"), F.lit(PIVOTS)).alias("part")
-    return member.groupBy("component", part).agg(F.min("cls").alias("cls")).select("component", "cls")
+    ))
+    checked = plain(cut(_fetched(texts, scanned, near, percent, k)))
+    for nearest in (True, False):
+        left = plain(cut(_left(runs, components(checked, "a", "b"), sketched, percent, nearest).join(near, ["a", "b"], "left_anti")))
+        if not left.isEmpty():
+            checked, near = checked.unionAll(plain(cut(_fetched(texts, scanned, left, percent, k)))), near.unionAll(left)
+    return checked
+
+
+def _left(runs: DataFrame, joined: DataFrame, sketched: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs ``(a, b)`` that share a run, lie in different components and may link by their sketches; or the nearest of each set in the long runs."""
+    labelled = plain(cut(runs.select("run", "cls").join(joined, F.col("cls") == F.col("node"), "left").select("run", "cls", F.coalesce("component", "cls").alias("component"))))
+    mixed = labelled.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.max("run").alias("r"))
+    mixed = mixed.where(f"lo <> hi and size > {RUN if nearest else 1}").select("r", F.ceil(F.col("size") / TILE).cast("int").alias("blocks"))
+    met = labelled.join(mixed, F.col("run") == F.col("r"))
+    firsts = F.slice(F.sort_array(F.collect_list("run")), 1, FIRSTS)
+    firsts = F.slice(F.concat(firsts, F.array_repeat(F.lit((1 << 63) - 1), FIRSTS)), 1, FIRSTS).alias("firsts")
+    known = met.groupBy("cls").agg(firsts, F.max("cls").alias("c")).select(F.col("c").alias("cls"), "firsts").join(sketched, "cls")
+    dealt = met.select("run", "cls", "component", F.pmod(F.xxhash64("cls"), "blocks").cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    tile = F.xxhash64("run", F.least("own", "other"), F.greatest("own", "other")).alias("tile")
+    dealt = dealt.select(tile, "run", (F.col("own") > F.col("other")).alias("side"), "cls", "component").join(known, "cls")
+    dealt = dealt.select("tile", "run", "side", "cls", "component", "n", "sketch", "firsts").repartition("tile").sortWithinPartitions("tile")
+    return dealt.mapInArrow(lean(_tiles(percent, nearest)), "a long, b long").distinct()
 
 
 def _scanned(docs: DataFrame, id: str, text: str, k: int) -> DataFrame:

@@ -10,10 +10,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.llm import bpe, decontamination, jaccard_join, language_model, line_dedup, nearest, quality, suffix_array, suffix_dedup, toxicity, url_filter
+from lumenframe.llm import kernels as K
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string"
@@ -123,6 +125,46 @@ def test_jaccard_crowds_at_default_settings(spark):
     check_jaccard(spark, docs)
 
 
+def shuffled(spark, done):
+    """Bytes that an action writes to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def total():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    before = total()
+    done()
+    return total() - before
+
+
+def test_jaccard_shuffle_grows_with_the_texts(spark):
+    """Texts of frequent lines are chained by what they share: sets must not travel to every tile of all that is chained."""
+    r = random.Random(5)
+    lines = [" ".join(f"w{r.randrange(4000)}" for _ in range(12)) for _ in range(60)]
+    texts = [(i, " ".join(r.sample(lines, 6))) for i in range(6000)]
+    took = [shuffled(spark, lambda m=m: jaccard_join.jaccard_groups(spark.createDataFrame(texts[:m], SCHEMA)).collect()) for m in (1500, 6000)]
+    print("bytes shuffled", took)
+    assert took[1] < 10 * took[0]  # of four times the texts; 16 were the square
+
+
+def test_pairs_of_runs_that_are_almost_the_same_meet_once():
+    r = np.random.default_rng(4)
+    base = K.mix(np.arange(60, dtype=np.uint64))
+    sets = [np.sort(np.concatenate((base[r.random(60) < 0.93], K.mix(r.integers(100, 1 << 40, 5).astype(np.uint64))))) for _ in range(40)]
+    names, n, side = np.arange(40), np.array([len(x) for x in sets]), np.zeros(40, bool)
+    sketches = [pa.scalar(jaccard_join.sketch_of(x), pa.binary()) for x in sets]
+    runs = {run: np.flatnonzero(r.random(40) < 0.9) for run in range(1, 16)}
+    firsts = np.array([([run for run, who in runs.items() if i in who] + [1 << 62] * 8)[:8] for i in range(40)])
+    tell = lambda run, who, f: zip(*jaccard_join.near_pairs(80, names[who], names[who], n[who], side[who], [sketches[i] for i in who], run=run, firsts=f), strict=True)
+    plain = [frozenset((int(a), int(b))) for run, who in runs.items() for a, b in tell(run, who, None)]
+    once = [frozenset((int(a), int(b))) for run, who in runs.items() for a, b in tell(run, who, firsts[who])]
+    linked = {frozenset((a, b)) for a, b in itertools.combinations(range(40), 2) if jaccard_join.linked(sets[a], sets[b], 80)}
+    assert set(once) == set(plain) and len(once) < len(plain) / 5
+    assert linked and linked <= set(plain)
+
+
 def test_lines_crowds_at_default_settings(spark):
     """Lines of one length with one beginning and one end, more than a run holds; copies with up to three edits among them."""
     r = random.Random(22)
