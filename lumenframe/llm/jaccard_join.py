@@ -18,15 +18,19 @@ sketches that differ are at most as many as the sets' symmetric difference.
   publishes its single shingles too, which two such sets must share.
 * Sets that share a block are compared by bit sketches, whose Hamming distance
   is a lower bound of the symmetric difference, then by the sets themselves.
-* The sets that share a block are a run; runs of the same sets are one. A run is
-  first compared with its first set (a run of more than ``RUN`` sets with a second
-  one too): as many pairs as the run has sets. What links is connected, and runs
-  whose sets are all connected are done with.
-* Within each other run, and within that run only, all sets that are not connected
+* The sets that share a block are a run, one row of names; runs of the same sets
+  are one. A run's sets are first compared with its first set (of a run of more than
+  ``RUN`` sets with a second one too): of each set the pivot that it shares most
+  runs with, then those of its other pivots that it is not connected with yet.
+* Near copies that miss the threshold share most of their blocks, each block with a
+  few sets more or fewer. So runs of one first set are one group where they are much
+  the same (``_groups``): a set then stands in it once, not once for each block.
+  Groups and runs whose sets are all connected are done with.
+* Within each other group or run, and within it only, all sets that are not connected
   yet are compared by their sketches, in tiles of two times ``TILE`` sets at most:
-  in runs of more than ``RUN`` sets first for the nearest of each set, then, with
-  what that connects, in all runs for every pair (in runs that are almost the same
-  a pair counts once as a rule, under the first of its runs). Only the pairs that the sketches
+  in those of more than ``RUN`` sets first for the nearest of each set, then, with
+  what that connects, in all of them for every pair (a pair that meets again counts
+  once as a rule, under the first run of both). Only the pairs that the sketches
   leave are fetched again as sets, so sets travel for pairs that link or nearly do,
   not for all that share a frequent block.
 
@@ -47,7 +51,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .session import cut, lean, plain
+from .session import cut, lean, plain, sweep
 
 #: Counters of the shingle-frequency sketch, and by how many standard deviations of a Poisson count a frequent one exceeds the mean.
 CELLS, FREQUENT = 1 << 21, 6
@@ -224,13 +228,16 @@ def _keys(percent: int, k: int, hot: np.ndarray):
 
 
 def _runs(batches):
-    """Of rows sorted by key (alone, which Spark sorts by radix): the classes of each run with its pivots, runs of the same classes once (and again after many)."""
+    """Of rows sorted by key (alone, which Spark sorts by radix): each run's pivots and classes in one row, runs of the same classes once (and again after many).
+
+    A run that is too long to hold comes in several rows.
+    """
     key, names = np.zeros(0, np.int64), np.zeros(0, np.int64)
     long_key = long_row = None
     seen: set[int] = set()
 
-    def rows(run, names, first, second):
-        return pa.RecordBatch.from_arrays([pa.array(run), pa.array(names), pa.array(first), pa.array(second)], names=["run", "cls", "first", "second"])
+    def rows(run, first, second, members):
+        return pa.RecordBatch.from_arrays([pa.array(run, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(members, pa.binary())], names=["run", "first", "second", "members"])
 
     def whole(key, names):
         same = key[1:] == key[:-1]
@@ -257,9 +264,8 @@ def _runs(batches):
         second = names[first].copy()
         for i in np.flatnonzero(fresh & (size > RUN)):
             second[i] = names[first[i] + int(np.argmin(mixed[first[i] : first[i] + size[i]]))]
-        taken = np.repeat(fresh, size)
-        spread = lambda x: np.repeat(x[fresh], size[fresh])
-        yield rows(spread(run), names[taken], spread(names[first]), spread(second))
+        taken = np.flatnonzero(fresh)
+        yield rows(run[taken], names[first[taken]], second[taken], [names[first[i] : first[i] + size[i]].tobytes() for i in taken])
 
     for batch in batches:
         if not batch.num_rows:
@@ -269,7 +275,7 @@ def _runs(batches):
             same = int(np.searchsorted(k, long_key, side="right"))
             if same:
                 more = np.unique(c[:same])
-                yield rows(np.full(len(more), long_row[0]), more, np.full(len(more), long_row[1]), np.full(len(more), long_row[2]))
+                yield rows(*([x] for x in long_row), [more.tobytes()])
             k, c = k[same:], c[same:]
             if not len(k):
                 continue
@@ -287,12 +293,24 @@ def _runs(batches):
                 # named by its key, as its classes are not known yet
                 long_key = key[0]
                 long_row = int(K.mix(key[:1].view(U)).view(np.int64)[0]), names[0], names[int(np.argmin(K.mix(names.view(U))))]
-                yield rows(np.full(len(names), long_row[0]), names, np.full(len(names), long_row[1]), np.full(len(names), long_row[2]))
+                yield rows(*([x] for x in long_row), [names.tobytes()])
                 key, names = key[:0], names[:0]
     if len(key):
         yield from whole(key, names)
 
 
+def _members(batches):
+    """A row for each class of each run."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        members = batch.column(3).to_pylist()
+        size = [len(x) // 8 for x in members]
+        spread = lambda x: pa.array(np.repeat(x.to_numpy(), size))
+        cls = np.frombuffer(b"".join(members), np.int64)
+        yield pa.RecordBatch.from_arrays([spread(batch.column(0)), pa.array(cls), spread(batch.column(1)), spread(batch.column(2))], names=["run", "cls", "first", "second"])
+
+
 def _filter_bits(names: DataFrame) -> np.ndarray:
     """A membership filter of fixed size over a column of longs, built on the executors."""
 
@@ -360,7 +378,7 @@ def _near_sketches(percent: int):
                 x, y = np.frombuffer(a[i].as_buffer(), np.uint8), np.frombuffer(b[i].as_buffer(), np.uint8)
                 size = min(len(x), len(y))
                 keep[i] = int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum()) <= differ(int(na[i] + nb[i]), percent)
-            yield batch.select([0, 1]).filter(pa.array(keep))
+            yield batch.select([0, 1, 6]).filter(pa.array(keep))
 
     return scan
 
@@ -478,24 +496,58 @@ def links(docs: DataFrame, scanned: DataFrame, text: str = "text", percent: int
     body = F.col(text).cast("string")
     hot = frequent_cells(scanned.where("cell is not null").select("cell", "counts"))
     keys = docs.select(body).mapInArrow(lean(_keys(percent, k, hot)), "key long, cls long")
-    runs = plain(cut(keys.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_runs), "run long, cls long, first long, second long").distinct()))
+    runs = plain(cut(keys.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_runs), "run long, first long, second long, members binary").distinct()))
+    sweep(docs.sparkSession)  # of the keys, the largest shuffle by far
+    members = runs.mapInArrow(lean(_members), "run long, cls long, first long, second long")
+    stars = plain(cut(members.groupBy("first", "cls").agg(F.count("*").alias("shared"))))
     texts = docs.select(F.xxhash64(body).alias("th"), body.alias("text"))
     sketched = scanned.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.max("cls").alias("c")).select(F.col("c").alias("cls"), "n", "sketch")
     side = lambda s: sketched.select(F.col("cls").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
-    star = runs.select("cls", F.explode(F.array("first", "second")).alias("pivot")).where("cls <> pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
+    star = stars.select("cls", F.col("first").alias("pivot"), "shared").unionAll(members.where("first <> second").select("cls", F.col("second").alias("pivot"), F.lit(1).cast("long").alias("shared")))
+    star = star.where("cls <> pivot").groupBy(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).agg(F.sum("shared").alias("shared"))
     near = plain(cut(
         star.join(side("a"), "a").join(side("b"), "b")
-        .select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
-        .mapInArrow(lean(_near_sketches(percent)), "a long, b long")
+        .select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b", "shared")
+        .mapInArrow(lean(_near_sketches(percent)), "a long, b long, shared long")
     ))
-    checked = plain(cut(_fetched(texts, scanned, near, percent, k)))
+    # first of each set the pivot that it shares most with, then the others of other components
+    best = near.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+    seen = plain(cut(best))
+    near = near.select("a", "b")
+    checked = plain(cut(_fetched(texts, scanned, seen, percent, k)))
+    sweep(docs.sparkSession)
+    runs = plain(cut(_groups(stars, members)))
     for nearest in (True, False):
-        left = plain(cut(_left(runs, components(checked, "a", "b"), sketched, percent, nearest).join(near, ["a", "b"], "left_anti")))
+        joined = components(checked, "a", "b")
+        left = _left(runs, joined, sketched, percent, nearest)
+        left = plain(cut((left.unionAll(_apart(near, joined)).distinct() if nearest else left).join(seen, ["a", "b"], "left_anti")))
         if not left.isEmpty():
-            checked, near = checked.unionAll(plain(cut(_fetched(texts, scanned, left, percent, k)))), near.unionAll(left)
+            checked, seen = checked.unionAll(plain(cut(_fetched(texts, scanned, left, percent, k)))), seen.unionAll(left)
+            sweep(docs.sparkSession)
     return checked
 
 
+def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` whose ends lie in different components."""
+    of = lambda s: joined.select(F.col("node").alias(s), F.col("component").alias(f"of_{s}"))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("not coalesce(of_a = of_b, false)").select("a", "b")
+
+
+def _groups(stars: DataFrame, members: DataFrame) -> DataFrame:
+    """``(run, cls)``: the sets that are to meet without their first pivot, which all of them have met.
+
+    The runs of one first pivot are one group where they are much the same: if
+    they have t rows, are r runs and hold u sets, from t^2 >= r u^2 on. The squares
+    of their sizes then add up to u^2 at least, so the group compares no more
+    pairs than its runs would. Other runs stay by themselves.
+    """
+    own = F.max(F.when(F.col("cls") == F.col("first"), F.col("shared")))
+    size = stars.groupBy("first").agg(F.sum("shared").cast("double").alias("t"), F.count("*").cast("double").alias("u"), own.cast("double").alias("r"), F.max("first").alias("f"))
+    loose = size.where("u > 2 and t * t < r * u * u").select("f")
+    met = lambda rows, how: rows.where("cls <> first").join(loose, F.col("first") == F.col("f"), how)
+    return met(stars, "left_anti").select(F.col("first").alias("run"), "cls").unionAll(met(members, "left_semi").select("run", "cls").distinct())
+
+
 def _left(runs: DataFrame, joined: DataFrame, sketched: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Pairs ``(a, b)`` that share a run, lie in different components and may link by their sketches; or the nearest of each set in the long runs."""
     labelled = plain(cut(runs.select("run", "cls").join(joined, F.col("cls") == F.col("node"), "left").select("run", "cls", F.coalesce("component", "cls").alias("component"))))

@@ -149,6 +149,32 @@ def test_jaccard_shuffle_grows_with_the_texts(spark):
     assert took[1] < 10 * took[0]  # of four times the texts; 16 were the square
 
 
+def test_jaccard_shuffles_a_near_copy_once_and_not_for_each_block(spark):
+    """Copies on either side of the threshold share most of their blocks, each with other copies."""
+    r = random.Random(8)
+    word, docs = lambda: f"w{r.randrange(4000)}", []
+    for _ in range(2):
+        base = [word() for _ in range(400)]
+        for _ in range(120):
+            w = list(base)
+            for _ in range(r.randrange(14)):
+                w[r.randrange(len(w))] = word()
+            docs.append((len(docs), " ".join(w)))
+    took = shuffled(spark, lambda: check_jaccard(spark, docs))
+    print("bytes shuffled a text", took / len(docs))
+    assert took < 18_000 * len(docs)  # the published keys and one set are 5 000
+
+
+def test_runs_of_one_pivot_meet_together_where_they_are_much_the_same(spark):
+    crowd, lines = [(1, [1, 2, 3, 4]), (2, [1, 2, 3, 5]), (3, [1, 3, 4, 5])], [(4, [7, 8, 9]), (5, [7, 10, 11]), (6, [7, 12, 13])]
+    members = spark.createDataFrame([(run, c, who[0], who[0]) for run, who in crowd + lines for c in who], "run long, cls long, first long, second long")
+    stars = members.groupBy("first", "cls").agg(F.count("*").alias("shared"))
+    groups = {}
+    for x in jaccard_join._groups(stars, members).collect():
+        groups.setdefault(x.run, []).append(x.cls)
+    assert {run: sorted(who) for run, who in groups.items()} == {1: [2, 3, 4, 5], 4: [8, 9], 5: [10, 11], 6: [12, 13]}
+
+
 def test_pairs_of_runs_that_are_almost_the_same_meet_once():
     r = np.random.default_rng(4)
     base = K.mix(np.arange(60, dtype=np.uint64))
