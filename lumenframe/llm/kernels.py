@@ -93,36 +93,39 @@ def span_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, *seeds: i
         a, b = int(np.searchsorted(ends, lo, side="right")), int(np.searchsorted(starts, hi, side="left"))
         if a >= b:
             continue
-        inner = starts[a:b] - lo
-        begin = np.zeros(hi - lo, np.int32)
-        inside = inner[inner >= 0]
-        begin[inside] = inside
         # the first span may have begun before the slice; bytes of no span are counted from anywhere
-        before = max(0, -int(inner[0]))
-        place = np.arange(hi - lo, dtype=np.int32) - np.maximum.accumulate(begin)
+        first, last = np.clip(starts[a:b], lo, hi) - lo, np.clip(ends[a:b], lo, hi) - lo
+        before = first[0] + lo - starts[a]
+        code = np.arange(hi - lo)
+        code[first[0] :] -= np.repeat(first, np.diff(first, append=hi - lo))
         if before:
-            whole = place.astype(np.int64)
-            whole[: int(inside[0]) if len(inside) else hi - lo] += before
-        else:
-            whole = place
-        code = ((whole & 63) << 8) | data[lo:hi]
-        top = int(whole.max()) >> 6
+            code[first[0] : last[0]] += before
+        code &= 63
+        code <<= 8
+        code |= data[lo:hi]
+        # pieces: each span's places of like 64s, the first of them at place 0 or where the slice cuts in
+        skipped = np.zeros(b - a, np.int64)
+        skipped[0] = before
+        low = skipped >> 6
+        count = np.where(last > first, (skipped + last - first - 1 >> 6) - low + 1, 1)
+        at = np.cumsum(count) - count
+        step = np.arange(count.sum()) - np.repeat(at - low, count)
+        begin = np.maximum(np.repeat(first - skipped, count) + (step << 6), np.repeat(first, count))
+        end = np.minimum(np.repeat(first - skipped, count) + (step + 1 << 6), np.repeat(last, count))
         far = None
-        if top:
-            step = whole >> 6
-            low = int(step.min())
-            scale = mix(np.arange(low, top + 1, dtype=U)) | U(1)
-            if low == 0:
+        if (top := int(step.max())) > 0:
+            least = int(step.min())
+            scale = mix(np.arange(least, top + 1, dtype=U)) | U(1)
+            if least == 0:
                 scale[0] = 1
-            far = scale[step - low]
-        first, last = np.clip(starts[a:b], lo, hi) - lo, np.clip(ends[a:b], lo, hi) - lo
+            far = scale[step - least]
         total = np.zeros(hi - lo + 1, dtype=U)
         for names, seed in zip(out, seeds or (0,), strict=True):
-            value = _near(seed)[code]
+            np.cumsum(np.take(_near(seed), code), out=total[1:])
+            piece = total[end] - total[begin]
             if far is not None:
-                value *= far
-            np.cumsum(value, out=total[1:])
-            names[a:b] += total[last] - total[first]
+                piece *= far
+            names[a:b] += np.add.reduceat(piece, at)
     size = (ends - starts).astype(U) * U(0x9E3779B97F4A7C15)
     out = [mix(x ^ size) for x in out]
     return out if len(out) > 1 else out[0]

@@ -7,12 +7,14 @@ of UTF-8) is at most ``edits``. Matches join into classes; of a class the first
 occurrence by (document id, position) stays, the others are removed. Blank
 lines are never compared or removed.
 
-Join. A line of length L is cut into edits + 1 segments; a partner within the
-distance keeps one of them intact. A line is indexed by (L, segment number,
-segment) and probes, for every length from L - edits to L, the substrings where
-that length's segments could lie: a segment i (from 0) leaves at most i edits
-to its left and edits - i to its right, which bounds its shift. Lines that
-share a key pass a parity sketch of their byte pairs (one edit flips at most
+Join. A line of length L holds edits + 1 disjoint segments of L // (edits + 1)
+bytes, the first half of them counted from its start, the others from its end; a
+partner within the distance keeps one of them intact. A line is indexed by (size,
+segment number, segment) and probes, for every length from L - edits to L, the
+substrings where that length's segments could lie: one segment i (from 0) is
+intact with i edits to its left and at most edits - i to its right, which bounds
+its shift. Lengths of one size put their segments at the same places, so a
+line probes them once. Lines that share a key pass a parity sketch of their byte pairs (one edit flips at most
 four bits) and are verified by a banded bit-parallel edit distance. Equal lines
 are one line throughout. Lines of a key that more than ``RUN`` share meet again
 under finer keys, the key with any two of 4 edits + 2 parts of the sketch (of
@@ -108,13 +110,6 @@ def _line_ends(starts: np.ndarray, document: np.ndarray, offsets: np.ndarray) ->
     return ends
 
 
-def segments(length: np.ndarray, number: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and size of a segment of lines cut into parts: the longer segments come last."""
-    size, more = length // parts, length % parts
-    short = parts - more
-    return number * size + np.maximum(0, number - short), size + (number >= short)
-
-
 #: The sketch's bit of each byte pair.
 FLIP = U(1) << (K.mix(np.arange(1 << 16, dtype=U)) >> U(58))
 
@@ -125,12 +120,22 @@ class Lines:
     def __init__(self, edits: int) -> None:
         self.rolling, self.edits = K.Rolling(), edits
 
-    def __call__(self, data: np.ndarray, offsets: np.ndarray):
+    def __call__(self, data: np.ndarray, offsets: np.ndarray, checked: bool = False):
         self.data = data
         document, number, self.starts, self.ends = line_spans(data, offsets)
-        self.names, self.checks = (x.view(np.int64) for x in K.span_names(data, self.starts, self.ends, 0, 1))
+        if checked:
+            self.names, self.checks = (x.view(np.int64) for x in K.span_names(data, self.starts, self.ends, 0, 1))
+        else:
+            self.names = K.span_names(data, self.starts, self.ends).view(np.int64)
         return document, number, self.ends > self.starts
 
+    def checks_of(self, at: np.ndarray) -> np.ndarray:
+        """The second names of some lines only."""
+        size = (self.ends - self.starts)[at]
+        ends = np.cumsum(size)
+        inside = np.arange(ends[-1]) + np.repeat(self.starts[at] - (ends - size), size)
+        return K.span_names(self.data[inside], ends - size, ends, 1).view(np.int64)
+
     def sketches(self, at: np.ndarray) -> np.ndarray:
         """Parity of each line's byte pairs in 64 bits."""
         pair = self.data[:-1].astype(np.uint16) << 8 | self.data[1:]
@@ -139,20 +144,26 @@ class Lines:
         return flips[np.maximum(self.ends[at] - 1, self.starts[at])] ^ flips[self.starts[at]]
 
     def keys(self, at: np.ndarray):
-        """(key, is it an index entry) arrays, one after another, for the given lines."""
+        """(has the line this key, key, is it an index entry) arrays, one after another, for the given lines."""
         starts, length, parts = self.starts[at], (self.ends - self.starts)[at], self.edits + 1
         prefix = self.rolling.prefix(self.data)
-        for shorter in range(self.edits + 1):
+        given: dict[tuple[int, int], np.ndarray] = {}
+        for shorter in range(parts):
             target = length - shorter
+            size = target // parts
             for i in range(parts):
-                where, size = segments(target, i, parts)
                 low = max(-i, shorter - (self.edits - i))
                 high = min(i, shorter + (self.edits - i))
+                left = 2 * i <= self.edits
                 for shift in range(low, high + 1):
-                    begin = starts + where + shift
-                    fits = (where + shift >= 0) & (where + shift + size <= length)
-                    begin = np.where(fits, begin, starts)
-                    key = self.rolling.spans(prefix, begin, begin + size) ^ K.mix((target * parts + i).astype(U))
+                    # from the line's start, or from its end: there a target of any length has it at the same place
+                    place = shift if left else shift - shorter
+                    where = i * size + place if left else length - (parts - i) * size + place
+                    before = given.get((i, place), np.full(len(at), -1))
+                    fits = (target >= 0) & (where >= 0) & (where + size <= length) & (before != size)
+                    given[i, place] = np.where(fits, size, before)
+                    begin = np.where(fits, starts + where, starts)
+                    key = self.rolling.spans(prefix, begin, begin + np.where(fits, size, 0)) ^ K.mix((size * parts + i).astype(U))
                     yield fits, K.mix(key).view(np.int64), shorter == 0 and shift == 0
 
 
@@ -162,7 +173,7 @@ def _occurrences(edits: int):
         for batch in batches:
             data, offsets = K.packed(batch.column(2))
             for a, b in K.chunks(offsets):
-                document, number, solid = lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                document, number, solid = lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], True)
                 take = pa.array(document[solid] + a)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(number[solid]), pa.array(lines.names[solid]), pa.array(lines.checks[solid])], names=["id", "th", "line", "name", "check"])
 
@@ -187,8 +198,10 @@ def _keyed(edits: int, shortest: int):
                     continue
                 told[names & REMEMBERED - 1] = names
                 sketch = lines.sketches(at).view(np.int64)
-                for fits, key, index in lines.keys(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[fits]), pa.array(names[fits]), pa.array(sketch[fits]), pa.array(np.full(fits.sum(), index))], names=["key", "name", "sketch", "indexed"])
+                fits, keys, index = zip(*lines.keys(at), strict=True)
+                # one batch a chunk: each costs the JVM more than its rows do
+                which, at = np.divmod(np.flatnonzero(np.concatenate(fits)), len(at))
+                yield pa.RecordBatch.from_arrays([pa.array(np.stack(keys)[which, at]), pa.array(names[at]), pa.array(sketch[at]), pa.array(np.array(index)[which])], names=["key", "name", "sketch", "indexed"])
 
     return scan
 
@@ -416,11 +429,13 @@ def _texts(edits: int, bits: np.ndarray):
                 _, _, solid = lines(part, offsets[a : b + 1] - offsets[a])
                 at = np.flatnonzero(solid & bit[_filter_at(lines.names)])
                 if len(at):
-                    order = at[np.lexsort((lines.checks[at], lines.names[at]))]
-                    names, checks = lines.names[order], lines.checks[order]
-                    at = order[np.concatenate(([True], (names[1:] != names[:-1]) | (checks[1:] != checks[:-1])))]
+                    checks = lines.checks_of(at)
+                    order = np.lexsort((checks, lines.names[at]))
+                    at, checks = at[order], checks[order]
                     names = lines.names[at]
-                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(lines.checks[at]), pa.array([part[lines.starts[i] : lines.ends[i]].tobytes() for i in at], pa.binary())], names=["name", "check", "bytes"])
+                    fresh = np.concatenate(([True], (names[1:] != names[:-1]) | (checks[1:] != checks[:-1])))
+                    at = at[fresh]
+                    yield pa.RecordBatch.from_arrays([pa.array(names[fresh]), pa.array(checks[fresh]), pa.array([part[lines.starts[i] : lines.ends[i]].tobytes() for i in at], pa.binary())], names=["name", "check", "bytes"])
 
     return scan
 

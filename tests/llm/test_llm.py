@@ -80,6 +80,26 @@ def extra(df):
     return df.select("*", *[F.lit(1).alias(c) for c in ("id", "n", "cls", "key", "component_id", "words", "th", "tag", "rank", "score", "host")])
 
 
+@pytest.mark.parametrize("edits, most", [(0, 1), (1, 3), (2, 7.5), (3, 13)])
+def test_lines_within_the_edits_share_a_key_of_few(edits, most):
+    r, rows, lines = random.Random(edits), 0, line_dedup.Lines(edits)
+    for _ in range(1000):
+        one = bytes(r.choice(b"abcdefgh") for _ in range(r.randrange(edits + 1, 40)))
+        two = bytearray(one)
+        for _ in range(edits):
+            at, kind = r.randrange(len(two) + 1), r.randrange(3)
+            two[at : at + (kind > 0)] = bytes([r.choice(b"abcdefgh")]) if kind < 2 else b""
+        lines.data = np.frombuffer(one + bytes(two), np.uint8)
+        lines.starts, lines.ends = np.array([0, len(one)]), np.array([len(one), len(one) + len(two)])
+        keys = [{}, {}]
+        for fits, key, index in lines.keys(np.arange(2)):
+            for i in np.flatnonzero(fits):
+                keys[i][key[i]] = index or keys[i].get(key[i], False)
+                rows += 1
+        assert not two or any(k in keys[1] and (own or keys[1][k]) for k, own in keys[0].items())
+    assert rows <= most * 2000  # of two edits 12 each, when every length had keys of its own
+
+
 # -- jaccard ----------------------------------------------------------------
 
 
