@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm import bpe, decontamination, jaccard_join, line_dedup, toxicity
 from lumenframe.llm.queries import table, vocabulary
-from lumenframe.llm.session import cut, ensure_checkpoint_dir, remove_folder
+from lumenframe.llm.session import cut, ensure_checkpoint_dir, remove_folder, small_batches
 
 
 #: Names of the stages' own columns beside those of docs.
@@ -23,6 +23,7 @@ OWN = ("__stage_1", "__stage_2", "__stage_3")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)  # for all stages: each hands whole texts to its workers
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, keep=docs.columns, into=OWN).where(f"not {OWN[2]}").select(*docs.columns)
 

@@ -9,7 +9,8 @@ Texts go through the vocabulary file's own steps: special tokens cut the raw
 text, then NFC, lower case, the word pattern, bytes, merges with the word-end
 mark. (The file also turns white space to one space; its pattern takes no white
 space, so that step changes nothing and is left out.) A worker keeps up to about
-``KEPT_BYTES`` of encoded words.
+``KEPT_BYTES`` of encoded words, each word's ids as packed 32-bit numbers, and is
+handed its texts in batches of bounded bytes.
 
 A null or empty text has no tokens and decodes to the empty string. Texts of
 any length are encoded whole. Of equal ranks the leftmost pair merges first. Rows
@@ -22,6 +23,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from itertools import chain
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .session import lean, numbered
+from .session import lean, numbered, small_batches
 
 INF = np.iinfo(np.int64).max
-#: Bytes of words that a worker keeps encoded before it starts anew, and the cost of a word beside its bytes.
-KEPT_BYTES, WORD_COST = 48 << 20, 200
+#: Bytes of words that a worker keeps encoded before it starts anew, and the cost of a word beside its text and ids: its place in the table.
+KEPT_BYTES, WORD_COST = 48 << 20, 100
+#: Leaves of the trees that advance together; a longer word advances alone.
+LEAVES = 1 << 17
 #: Encoded documents handed on at once, in bytes of text.
 HAND_ON = 1 << 18
 
@@ -71,9 +75,9 @@ class Codec:
         order = np.argsort(code)
         self.code, self.rank, self.into = code[order], order, into
         # special tokens stand among the words as their ids
-        self.seeds = {i: [i] for i in self.special.values()}
-        self.words: dict[str | int, list[int]] = dict(self.seeds)
-        self.old: dict[str | int, list[int]] = {}
+        self.seeds = {i: np.int32(i).tobytes() for i in self.special.values()}
+        self.words: dict[str | int, bytes] = dict(self.seeds)
+        self.old: dict[str | int, bytes] = {}
         self.kept = 0
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -82,14 +86,14 @@ class Codec:
         at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
         return np.where(self.code[at] == code, self.rank[at], -1)
 
-    def merge(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of each word."""
-        out: list[list[int]] = [[]] * len(words)
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Token ids of each word, packed."""
+        out = [b""] * len(words)
         lengths = np.array([len(w) for w in words])
         width = 1
         while width < (lengths.max() if len(words) else 0) * 2:
             rows = np.flatnonzero((lengths > width // 2) & (lengths <= width))
-            step = max(1, (1 << 19) // width)
+            step = max(1, LEAVES // width)
             for a in range(0, len(rows), step):
                 some = rows[a : a + step]
                 for i, ids in zip(some, self._trees([words[i] for i in some], width), strict=True):
@@ -141,8 +145,8 @@ class Codec:
             rank = self.ranks(symbol[r, p], merged[has])
             self._set(tree, r, p, np.where(rank >= 0, rank * width + p, INF), width)
             active = active[tree[active, 1] != INF]
-        ids = symbol[:, :width][live].tolist()
-        ends = np.cumsum(live.sum(axis=1)).tolist()
+        ids = symbol[:, :width][live].astype(np.int32).tobytes()
+        ends = (4 * np.cumsum(live.sum(axis=1))).tolist()
         begin = 0
         for end in ends:
             yield ids[begin:end]
@@ -184,14 +188,14 @@ class Codec:
         new = list(new.difference(again))
         self.words |= again
         self.words |= zip(new, self.merge([w.encode() for w in new]), strict=True)
-        self.kept += sum(WORD_COST + 9 * len(w) for w in new) + sum(WORD_COST + 9 * len(w) for w in again)
+        self.kept += sum(WORD_COST + getsizeof(w) + getsizeof(self.words[w]) for w in chain(new, again))
         return cut
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text."""
         known = self.words_of(texts)
         stored = self.words.__getitem__
-        return [np.fromiter(chain.from_iterable(map(stored, words)), np.int32) for words in known]
+        return [np.frombuffer(b"".join(map(stored, words)), np.int32) for words in known]
 
     def encode(self, text: str) -> list[int]:
         return self.encode_batch([text])[0].tolist()
@@ -229,6 +233,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep=
     """
     with open(vocabulary, encoding="utf-8") as f:
         source = f.read()
+    small_batches(docs.sparkSession)
     picked = numbered(docs.select(*[F.col(c) for c in keep], F.col(text).cast("string")))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
     return picked.mapInArrow(lean(_encode(source)), f"{kinds}, {OUT}").toDF(*keep, *into)

@@ -7,6 +7,7 @@ import math
 import os
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -590,6 +591,32 @@ def test_bpe(spark):
     assert one.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
 
 
+def test_bpe_memory(spark, monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("word_bpe_49k.json")
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 1 << 20)
+    codec, r = bpe.Codec(open(path).read()), random.Random(2)
+    size = lambda x: sys.getsizeof(x) + (sum(map(sys.getsizeof, x)) if isinstance(x, list) else 0)
+    most = 0
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "漢字한글かなжщю"):
+        for _ in range(200):
+            codec.encode(" ".join("".join(r.choice(letters) for _ in range(20)) for _ in range(50)))
+            kept = [codec.words, codec.old]
+            most = max(most, sum(sys.getsizeof(x) + sum(map(size, x)) + sum(map(size, x.values())) for x in kept))
+    assert bpe.KEPT_BYTES / 2 < most <= bpe.KEPT_BYTES
+    # texts of 12 MB reach a worker in small batches, unless the session was told a size of its own
+    own = spark.newSession()
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20)
+    before = spark._jsparkSession.conf().contains("spark.sql.execution.arrow.maxBytesPerBatch")
+    for session, least, limit in ((spark, 3, 4 << 20), (own, 1, 32 << 20)):
+        docs = session.range(600).selectExpr("id doc_id", "repeat('word ', 4000) text").coalesce(1)
+        bpe.encode_documents(docs, path)
+        sizes = [x.n for x in docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()]
+        assert len(sizes) >= least and max(sizes) <= limit and sum(sizes) >= 12e6
+    if not before:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
 # -- classifiers ------------------------------------------------------------
 
 
