@@ -61,10 +61,13 @@ def temporal_projection(pixels: DataFrame, courses: DataFrame) -> DataFrame:
 
 
 def padded_histogram(traces: DataFrame, bins: int, value: str = "value", roi: str = "roi") -> DataFrame:
-    """(roi, bin, n): counts of each trace over its range widened by a tenth at both ends; constant traces have none."""
+    """(roi, bin, n): counts of each trace over its range widened by a tenth at both ends; constant traces have none.
+
+    A bin is the whole part of the distance from the lower end over the bin's width: a value on an edge goes where that quotient puts it.
+    """
     span = traces.groupBy(roi).agg(F.min(value).alias("__a"), F.max(value).alias("__b")).where("__b > __a")
-    margin = (F.col("__b") - F.col("__a")) / 10
-    at = F.width_bucket(F.col(value), F.col("__a") - margin, F.col("__b") + margin, F.lit(bins)) - 1
+    extent = F.col("__b") - F.col("__a")
+    at = F.floor((F.col(value) - (F.col("__a") - extent / 10)) / (extent * F.lit(1.2) / F.lit(float(bins))))
     return traces.join(span, roi).groupBy(roi, at.alias("bin")).agg(F.count("*").alias("n"))
 
 

@@ -1,5 +1,6 @@
 """Every registered query against its DuckDB counterpart, on the smallest tables."""
 
+import datetime
 import math
 import os
 
@@ -156,3 +157,23 @@ def test_long_windows_equal_short_ones(monkeypatch):
     long = kernels.rolling_percentile(x, 301, 20)
     monkeypatch.setattr(kernels, "LONG_WINDOW", 10_000)
     assert np.array_equal(long, kernels.rolling_percentile(x, 301, 20))
+
+
+def both(spark, folder, events, name):
+    """A query over these events and its SQL, which sums in one thread."""
+    t0 = datetime.datetime(2024, 1, 1)
+    rows = [(i, t0 + datetime.timedelta(seconds=i), u, "view", v) for i, (u, v) in enumerate(events)]
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double"
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/events.parquet")
+    con = duckdb.connect()
+    con.execute("set threads=1")
+    con.execute(f"create view events as select * from '{folder}/events.parquet/*.parquet'")
+    want = con.execute(catalog.ORACLE_SQL[name])
+    columns = [c[0] for c in want.description]
+    return sorted(tuple(r) for r in catalog.QUERIES[name](spark, str(folder)).select(*columns).collect()), sorted(want.fetchall())
+
+
+def test_histogram_edges(spark, tmp_path):
+    """Values on the edges of bins."""
+    got, want = both(spark, tmp_path, [(1, k / 20) for k in range(21)] + [(2, 0.0), (2, 2.0), (2, 0.25), (3, 1.0)], "padded_histogram")
+    assert got == want
