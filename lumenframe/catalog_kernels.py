@@ -125,7 +125,8 @@ def median_over_regions(spark, d):
 
 @query(f"WITH {TR}, s AS (SELECT roi, roi % 5 AS grp, round(avg(value), 6) AS score FROM tr GROUP BY ALL) SELECT roi, row_number() OVER (PARTITION BY grp ORDER BY score DESC, roi) AS rank FROM s")
 def roi_ranking(spark, d):
-    s = trace_table(spark, d).groupBy("roi", (F.col("roi") % 5).alias("grp")).agg(F.round(F.avg("value"), 6).alias("score"))
+    # as DuckDB rounds: the nearest whole number of millionths of the double, not of its shortest decimal form
+    s = traces.ordered_means(trace_table(spark, d)).select("roi", (F.col("roi") % 5).alias("grp"), (F.round(F.col("mean") * 1e6, 0) / 1e6).alias("score"))
     return scoring.ranked(s, "score", "roi", "grp").select("roi", F.col("rank").cast("long").alias("rank"))
 
 

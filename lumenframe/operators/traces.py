@@ -173,6 +173,15 @@ def outliers_removed(traces: DataFrame, half: int, clip: float, value: str = "va
     return flat.join(limit, roi).withColumn("flat", cut).drop("__l")
 
 
+def ordered_means(traces: DataFrame, *by: str, value: str = "value", roi: str = "roi", frame: str = "frame") -> DataFrame:
+    """(roi, by..., mean) of each trace, summed frame by frame: the same last digit however the rows are dealt. The columns ``by`` are constant along a trace."""
+    before = along(roi, frame).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = traces.withColumns({"__s": F.sum(value).over(before), "__n": F.count(value).over(before)})
+    # the last row of a trace has its whole sum
+    last = running.groupBy(roi, *by).agg(F.max_by(F.struct("__s", "__n"), frame).alias("__t"))
+    return last.select(roi, *by, (F.col("__t.__s") / F.nullif(F.col("__t.__n"), F.lit(0))).alias("mean"))
+
+
 def median_over_regions(scores: DataFrame, score: str, *by: str) -> DataFrame:
     """The median of a score over regions."""
     return scores.groupBy(*by).agg(F.median(score).alias(score), F.count("*").alias("n"))
