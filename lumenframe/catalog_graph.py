@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .catalog import SIDE, frames, masks, movie, query, r6, rois
 from .functions import kernels, registration, text
-from .model import Rois
+from .model import Rois, explode_pixels
 from .operators import background, extensions, extraction, motion, segmentation  # noqa: F401
 from .plans import graph
 from .plans.graph import Analysis
@@ -368,15 +368,12 @@ def analysis_of_slice(spark, d):
 
 @query("SELECT vec_id // 100 AS epoch_index, count(*) AS n, round(sum(list_sum(embedding::DOUBLE[])), 5) AS total FROM embeddings GROUP BY 1")
 def split_by_epochs(spark, d):
-    """One movie for each epoch, summed on its own."""
+    """One movie for each epoch, summed on its own; all of them in one plan."""
     from .operators import algebra
 
-    parts = algebra.split_by_epochs(movie(spark, d))
-    out = None
-    for e, m in enumerate(parts):
-        t = m.pixels().agg((F.count("*") / 64).cast("long").alias("n"), (F.round(F.sum("v"), 5) + 0.0).alias("total")).select(F.lit(e).cast("long").alias("epoch_index"), "n", "total")
-        out = t if out is None else out.unionByName(t)
-    return out
+    p = explode_pixels(algebra.epochs_apart(movie(spark, d)))
+    sums = p.groupBy(F.col("part").cast("long").alias("epoch_index")).agg((F.count("*") / 64).cast("long").alias("n"), (F.round(F.sum("v"), 5) + 0.0).alias("total"))
+    return sums.select("epoch_index", "n", "total")
 
 
 @query(values([("background missing", "ValueError"), ("fluorescence", "ok"), ("no such key", "ValueError"), ("no regions", "ok")], "asked, outcome"))

@@ -35,7 +35,19 @@ def split_epochs(movie: Imaging, epochs) -> Imaging:
 
 
 def split_by_epochs(movie: Imaging) -> list[Imaging]:
-    return [split_epochs(movie, [e]) for e in range(len(movie.epochs))]
+    """A movie for each epoch, a filter each. What is asked of all of them goes over ``epochs_apart``, one plan however many there are."""
+
+    def only(df: DataFrame, e: int) -> DataFrame:
+        return df.where(F.col("epoch_index") == e).withColumn("epoch_index", F.lit(0))
+
+    times = movie.times
+    return [movie.with_frames(only(movie.frames, e), epochs=(epoch,), times=only(times, e) if times is not None else None) for e, epoch in enumerate(movie.epochs)]
+
+
+def epochs_apart(movie: Imaging) -> DataFrame:
+    """The frames of all movies that ``split_by_epochs`` lists, in one table: ``part`` is the place in that list, and every frame is of epoch 0 of its part."""
+    known = (F.col("epoch_index") >= 0) & (F.col("epoch_index") < len(movie.epochs))
+    return movie.frames.where(known).withColumn("part", F.col("epoch_index")).withColumn("epoch_index", F.lit(0))
 
 
 def part_of(frame: Column, edges: list[int]) -> Column:

@@ -201,3 +201,18 @@ def test_means_are_summed_along_the_trace(spark):
     for parts in (1, 7):
         df = spark.createDataFrame(rows[::-1], "roi long, frame long, value double").repartition(parts)
         assert {r.roi: r["mean"] for r in traces.ordered_means(df).collect()} == want
+
+
+@pytest.mark.skipif(not TABLES, reason="no test tables")
+def test_epochs_apart_are_one_plan(spark):
+    """The table of all epochs holds what the movies by epoch hold, and reads the recording once."""
+    from lumenframe.operators import algebra
+
+    m = catalog.movie(spark, DATA)
+    m = m.with_frames(m.frames.where("epoch_index < 3"), epochs=m.epochs[:3])
+    parts = algebra.epochs_apart(m)
+    for e, one in enumerate(algebra.split_by_epochs(m)):
+        want = one.frames.collect()
+        assert want and {r.epoch_index for r in want} == {0} and sorted(want) == sorted(parts.where(f"part = {e}").select(*one.frames.columns).collect())
+    plan = catalog.QUERIES["split_by_epochs"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
