@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,15 +54,56 @@ def smoothed(traces: DataFrame, sigma: float, value: str = "value", roi: str = "
     return traces.groupBy(roi).applyInPandas(run, f"{kinds}, soft double")
 
 
+#: Rows of whole traces that a kernel gets at once; a longer trace comes alone.
+ROWS_AT_ONCE = 1 << 17
+
+
+def by_traces(traces: DataFrame, columns: list[str], run, kinds: str, roi: str = "roi", frame: str = "frame") -> DataFrame:
+    """Rows that ``run`` gives for tables (roi, frame, columns...) of whole traces in the order of their frames, many traces at a time.
+
+    ``run`` gets such a table and the place of each trace's first row, so that kernels can solve traces side by side;
+    a call for each trace would cost more than most traces do. Sorted by a window, whose row numbers tell where a trace starts.
+    """
+    order = Window.partitionBy(roi).orderBy(F.asc_nulls_last(frame))
+    numbered = traces.select(roi, frame, *columns).withColumn("__at", F.row_number().over(order))
+
+    def scan(batches):
+        held, rows = [], 0
+
+        def done(parts):
+            table = pd.concat(parts, ignore_index=True)
+            return run(table.drop(columns="__at"), np.flatnonzero(table["__at"].to_numpy() == 1))
+
+        for batch in batches:
+            firsts = np.flatnonzero(batch["__at"].to_numpy() == 1)
+            # all before the batch's last start is whole, what follows may go on
+            if len(firsts) and rows + firsts[-1] >= ROWS_AT_ONCE:
+                whole = [*held, batch.iloc[: firsts[-1]]]
+                if rows + firsts[-1]:
+                    yield done(whole)
+                held, rows = [], 0
+                batch = batch.iloc[firsts[-1] :]
+            if len(batch):
+                held.append(batch)
+                rows += len(batch)
+        if rows:
+            yield done(held)
+
+    return numbered.mapInPandas(scan, kinds)
+
+
+def pieces(x: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    return np.split(x, starts[1:])
+
+
 def mode_levels(traces: DataFrame, value: str = "value", roi: str = "roi", frame: str = "frame") -> DataFrame:
     """(roi, level): the percentile at which each trace's density peaks."""
 
-    def run(pdf):
-        pdf = pdf.sort_values(frame)
-        return pdf[[roi]].iloc[:1].assign(level=kernels.mode_percentile(pdf[value].to_numpy(float)))
+    def run(pdf, starts):
+        return pdf[[roi]].iloc[starts].assign(level=kernels.mode_percentiles(pieces(pdf[value].to_numpy(float), starts)))
 
     kind = traces.schema[roi].dataType.simpleString()
-    return traces.groupBy(roi).applyInPandas(run, f"`{roi}` {kind}, level double")
+    return by_traces(traces, [value], run, f"`{roi}` {kind}, level double", roi, frame)
 
 
 def high_pass(traces: DataFrame, half: int, value: str = "value", roi: str = "roi", frame: str = "frame") -> DataFrame:
@@ -103,22 +145,25 @@ def baseline_dff(
     columns = [roi, frame, value, *([background] if background else [])]
     single = np.float32 if kind == "float" else np.float64
 
-    def run(pdf):
-        pdf = pdf.sort_values(frame)
-        x = pdf[value].to_numpy(float)
+    size = int(window * fs)
+
+    def run(pdf, starts):
+        xs = pieces(pdf[value].to_numpy(float), starts)
         if method == "maximin":
-            base = lambda v: kernels.maximin(v, sigma, kernels.odd_window(window, fs))
+            base = lambda v, level: kernels.maximin(v, sigma, kernels.odd_window(window, fs))
         else:
-            size = int(window * fs)
-            level = kernels.mode_percentile(x[:size]) if percentile is None else percentile
-            base = lambda v: kernels.rolling_percentile(v, size, level)
-        f0 = base(x)
-        below = f0 + base(pdf[background].to_numpy(float)) if background else f0
+            base = lambda v, level: kernels.rolling_percentile(v, size, level)
+        automatic = method == "percentile" and percentile is None
+        levels = kernels.mode_percentiles([x[:size] for x in xs]) if automatic else [percentile] * len(xs)
+        x, f0 = np.concatenate(xs), np.concatenate([base(x, level) for x, level in zip(xs, levels)])
+        below = f0
+        if background:
+            below = f0 + np.concatenate([base(b, level) for b, level in zip(pieces(pdf[background].to_numpy(float), starts), levels)])
         pdf["dff"], pdf["f0"] = ((x - f0) / (below + EPS32)).astype(single), f0.astype(single)
         return pdf[[roi, frame, "dff", "f0"]]
 
     kinds = {f.name: f.dataType.simpleString() for f in traces.schema.fields}
-    return traces.select(*columns).groupBy(roi).applyInPandas(run, f"`{roi}` {kinds[roi]}, `{frame}` {kinds[frame]}, dff {kind}, f0 {kind}")
+    return by_traces(traces, columns[2:], run, f"`{roi}` {kinds[roi]}, `{frame}` {kinds[frame]}, dff {kind}, f0 {kind}", roi, frame)
 
 
 def deconvolve(

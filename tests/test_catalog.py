@@ -216,3 +216,26 @@ def test_epochs_apart_are_one_plan(spark):
         assert want and {r.epoch_index for r in want} == {0} and sorted(want) == sorted(parts.where(f"part = {e}").select(*one.frames.columns).collect())
     plan = catalog.QUERIES["split_by_epochs"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 1
+
+
+def test_traces_are_handed_over_whole(spark, monkeypatch):
+    """Traces cut by batches and blocks come to the kernel whole and in order, and as many at a time as a block holds."""
+    from lumenframe.operators import traces
+
+    monkeypatch.setattr(traces, "ROWS_AT_ONCE", 40)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        lengths = {**{k: 1 + 5 * k % 13 for k in range(30)}, None: 4, 99: 150}
+        rows = [(k, f, float(f)) for k, n in lengths.items() for f in range(n)]
+        df = spark.createDataFrame(rows[::-1], "roi long, frame long, value double").repartition(5)
+
+        def run(pdf, starts):
+            ends = [*starts[1:], len(pdf)]
+            good = [pdf["value"].to_numpy()[a:b].tolist() == list(range(b - a)) for a, b in zip(starts, ends)]
+            return pdf[["roi"]].iloc[starts].assign(n=np.diff([*starts, len(pdf)]), good=good, calls=len(starts))
+
+        got = traces.by_traces(df, ["value"], run, "roi long, n long, good boolean, calls long").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.roi: r.n for r in got} == lengths and len(got) == len(lengths)
+    assert all(r.good for r in got) and max(r.calls for r in got) > 1
