@@ -178,14 +178,13 @@ def deconvolve(
         raise ValueError("lam and s_min need penalty None")
     how = {"penalty": penalty, "noise_std": noise_std, "baseline": baseline, "baseline_nonneg": baseline_nonneg, "lam": lam, "s_min": s_min, "refine": refine}
 
-    def run(pdf):
-        pdf = pdf.sort_values(frame)
-        c, s = kernels.deconvolve(pdf[value].to_numpy(float), fs, decay, rise, **how)
-        pdf["denoised"], pdf["spikes"] = c.astype(np.float32), s.astype(np.float32)
+    def run(pdf, starts):
+        done = kernels.deconvolve_all(pieces(pdf[value].to_numpy(float), starts), fs, decay, rise, **how)
+        pdf["denoised"], pdf["spikes"] = (np.concatenate(x).astype(np.float32) for x in zip(*done))
         return pdf[[roi, frame, "denoised", "spikes"]]
 
     kinds = {f.name: f.dataType.simpleString() for f in traces.schema.fields}
-    return traces.select(roi, frame, value).groupBy(roi).applyInPandas(run, f"`{roi}` {kinds[roi]}, `{frame}` {kinds[frame]}, denoised float, spikes float")
+    return by_traces(traces, [value], run, f"`{roi}` {kinds[roi]}, `{frame}` {kinds[frame]}, denoised float, spikes float", roi, frame)
 
 
 def project_out(traces: DataFrame, regressor: str, value: str = "value", roi: str = "roi") -> DataFrame:
